@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanengine.llm import mixing, warc
+from scanengine.llm import fingerprint, mixing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     digest = F.when(F.col("record_type") == "revisit", F.col("payload_digest")).otherwise(F.sha1("payload"))
@@ -60,7 +64,7 @@ FROM k
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op7_warc": op7_warc}
+    return {"op1_mix_sources": op1_mix_sources, "op5_fingerprint": op5_fingerprint, "op7_warc": op7_warc}
 
 
 def oracle_sql() -> dict[str, str]:
