@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanengine.llm import fingerprint, jaccard_join, mixing, warc
+from scanengine.llm import fingerprint, jaccard_join, linediff, mixing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linediff.dedup_lines(docs).select("doc_id", "removed_lines", "removed_words", "text")
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -84,7 +89,7 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op5_fingerprint": op5_fingerprint, "op7_warc": op7_warc, "op8_jaccard_join": op8_jaccard_join}
+    return {"op1_mix_sources": op1_mix_sources, "op4_line_dedup": op4_line_dedup, "op5_fingerprint": op5_fingerprint, "op7_warc": op7_warc, "op8_jaccard_join": op8_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
