@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanengine.llm import fingerprint, jaccard_join, linediff, mixing, warc
+from scanengine.llm import fingerprint, jaccard_join, linediff, mixing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,15 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.resample(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -89,7 +98,7 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op4_line_dedup": op4_line_dedup, "op5_fingerprint": op5_fingerprint, "op7_warc": op7_warc, "op8_jaccard_join": op8_jaccard_join}
+    return {"op1_mix_sources": op1_mix_sources, "op4_line_dedup": op4_line_dedup, "op5_fingerprint": op5_fingerprint, "op7_warc": op7_warc, "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
