@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,33 +90,39 @@ def bucket_by_range(df: DataFrame, column: str, rows_a_bucket: int = 2000, most:
     return F.when(value.isNull(), F.lit(len(bounds) + 1)).otherwise(bucket).cast("int"), len(bounds) + 2
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
-    """Adds next_<name> for each carried column: its value in the next row by descending key, after the last the first.
+def with_next(docs: DataFrame, key: str, carried: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """prepare(docs) and next_<name> for each carried column: its value in the next row by descending key, after the last
+    the first.
 
     Rows with equal keys are ordered by the hash of what they carry.  One shuffle: rows meet in ranges of keys, and only
-    the first row of each range is sent to the range before it.
+    the first row of each range is sent to the range before it; it is prepared apart, for those rows alone.
     """
     bucket, _ = bucket_by_range(docs.select(key), key)
-    d = docs.withColumn("_bucket", bucket).withColumn("_tie", F.xxhash64(*carried))
+    d = prepare(docs.withColumn("_bucket", bucket)).withColumn("_tie", F.xxhash64(*carried))
     order = Window.partitionBy("_bucket").orderBy(F.col(key).desc_nulls_last(), "_tie")
     inside = d.select("*", *[F.lead(c).over(order).alias(f"_in_{c}") for c in carried], F.lead(F.lit(1)).over(order).alias("_has"))
     heads = docs.select(key).withColumn("_bucket", bucket).groupBy("_bucket").agg(F.max(key).alias("_head"))
     by = Window.orderBy("_bucket")
     heads = heads.withColumn("_prev", F.coalesce(F.lag("_bucket").over(by), F.max("_bucket").over(Window.partitionBy())))
-    first = d.join(F.broadcast(heads.select("_head", F.col("_prev"), F.col("_bucket").alias("_hb"))), F.col(key).eqNullSafe(F.col("_head")))
+    # a row for each range, at most 16386
+    found = docs.join(F.broadcast(heads.select("_head", "_prev")), F.col(key).eqNullSafe(F.col("_head")))
+    first = prepare(found).withColumn("_tie", F.xxhash64(*carried))
     best = Window.partitionBy("_prev").orderBy("_tie")
     first = first.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(
         F.col("_prev").alias("_bucket"), *[F.col(c).alias(f"_out_{c}") for c in carried]
     )
     joined = inside.join(first, "_bucket", "left")
     chosen = [F.when(F.col("_has").isNotNull(), F.col(f"_in_{c}")).otherwise(F.col(f"_out_{c}")).alias(f"next_{c}") for c in carried]
-    return joined.select(*docs.columns, *chosen)
+    return joined.select(*[c for c in d.columns if c not in ("_bucket", "_tie")], *chosen)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row a document: doc_id, text and its fingerprint.  Other columns are ignored."""
-    plain = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return with_fingerprint(plain, "text", "fingerprint")
+    return with_fingerprint(plain_texts(docs), "text", "fingerprint")
+
+
+def plain_texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
@@ -123,7 +131,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     The next document is by descending doc_id, after the last the first; a lone document is its own next.  Null texts are
     empty; rows with equal doc_id each count; rows without one come last; an empty table gives no rows.
     """
-    d = with_next(fingerprints(docs), "doc_id", ["text", "fingerprint"])
+    d = with_next(plain_texts(docs), "doc_id", ["text", "fingerprint"], lambda x: with_fingerprint(x, "text", "fingerprint"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
