@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanengine.llm import fingerprint, jaccard_join, linediff, mixing, quality, toxicity, warc
+from scanengine.llm import decontaminate, fingerprint, jaccard_join, linediff, mixing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), "similarity")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linediff.dedup_lines(docs).select("doc_id", "removed_lines", "removed_words", "text")
@@ -70,6 +76,35 @@ SELECT p.doc_id, p.size, s5.source_size, s5.target,
 FROM p JOIN s5 ON p.source IS NOT DISTINCT FROM s5.source
 """
 
+OP2_SQL = r"""
+WITH iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+it AS (SELECT item_id, w, len(w) AS n, least(5, len(w)) AS k FROM iw WHERE len(w) > 0),
+dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+ish AS (SELECT item_id, n, k, o, array_to_string(list_slice(w, o, o + k - 1), ' ') AS s
+        FROM (SELECT *, unnest(range(1, n - k + 2)) AS o FROM it)),
+ks AS (SELECT DISTINCT k FROM it),
+dsh AS (SELECT doc_id, k, i, len(w) AS m, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s
+        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, ks WHERE len(w) >= k)),
+hit AS (SELECT DISTINCT d.doc_id, h.n, h.k, greatest(0, least(d.i - h.o, d.m - h.n)) AS start
+        FROM dsh d JOIN ish h ON d.k = h.k AND d.s = h.s),
+ours AS (SELECT h.doc_id, h.n, h.k, h.start, d.s, count(*) AS c
+         FROM hit h JOIN dsh d ON d.doc_id = h.doc_id AND d.k = h.k AND d.i > h.start AND d.i <= h.start + h.n - h.k + 1
+         GROUP BY 1, 2, 3, 4, 5),
+size AS (SELECT doc_id, n, k, start, sum(c) AS total FROM ours GROUP BY 1, 2, 3, 4),
+theirs AS (SELECT item_id, n, k, s, count(*) AS c FROM ish GROUP BY 1, 2, 3, 4),
+met AS (SELECT o.doc_id, t.item_id, o.start, o.n, o.k, sum(least(o.c, t.c)) AS shared
+         FROM ours o JOIN theirs t ON o.n = t.n AND o.k = t.k AND o.s = t.s GROUP BY 1, 2, 3, 4, 5),
+sim AS (SELECT b.doc_id, b.item_id, b.start, b.n, b.shared, z.total + (b.n - b.k + 1) - b.shared AS whole
+        FROM met b JOIN size z ON z.doc_id = b.doc_id AND z.n = b.n AND z.k = b.k AND z.start = b.start),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared::DOUBLE / whole DESC, start) AS r
+         FROM sim WHERE 100 * shared >= 80 * whole)
+SELECT doc_id, item_id, start::BIGINT AS start, n::BIGINT AS n_words, shared::DOUBLE / whole::DOUBLE AS similarity FROM best WHERE r = 1
+"""
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 q AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS h FROM p),
@@ -98,8 +133,8 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op4_line_dedup": op4_line_dedup, "op5_fingerprint": op5_fingerprint, "op7_warc": op7_warc, "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+    return {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_fingerprint": op5_fingerprint, "op7_warc": op7_warc, "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op7_warc": OP7_SQL, "op8_jaccard_join": OP8_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op7_warc": OP7_SQL, "op8_jaccard_join": OP8_SQL}
