@@ -86,7 +86,7 @@ class Exchange:
     """
 
     def __init__(
-        self, docs: DataFrame, families: Callable[[pa.Table], Families], bits: int = 64, text: str = "text", unit_bytes: int = 24 << 20, keys_a_bucket: int = 4_000_000
+        self, docs: DataFrame, families: Callable[[pa.Table], Families], bits: int = 64, text: str = "text", unit_bytes: int = 8 << 20, keys_a_bucket: int = 4_000_000
     ):
         self.docs, self.families, self.bits, self.text, self.unit_bytes = docs, families, bits, text, unit_bytes
         total = docs.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
