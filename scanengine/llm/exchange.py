@@ -24,7 +24,7 @@ from scanengine.llm.shared import scratch, written
 from scanengine.llm.warc import file_system
 
 MESSAGE = "bucket int, family int, pid int, unit int, keys binary, counts array<binary>"
-REPLY = "pid int, unit int, bucket int, family int, n long, sum long, counts array<binary>"
+REPLY = "pid int, unit int, bucket int, family int, n long, sum long, counts array<binary>, stats array<long>"
 
 #: A unit's keys of each family: sorted distinct keys and one or more arrays of counts.
 Families = list[tuple[np.ndarray, list[np.ndarray]]]
@@ -79,14 +79,20 @@ def _cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edge), [len(keys)]])
 
 
+def key_bits(docs: DataFrame, text: str = "text") -> int:
+    """A width at which about one key in 2^18 of the corpus meets another by chance."""
+    total = docs.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
+    return min(64, 18 + max(1, int(total / 6)).bit_length())
+
+
 class Exchange:
     """The counts of one set of families over docs.
 
-    families(table) gives a unit's keys; it must depend on the table's rows alone.  bits: width of the keys.
+    families(table) gives a unit's keys; it must depend on the table's rows alone.  bits: width of each family's keys.
     """
 
     def __init__(
-        self, docs: DataFrame, families: Callable[[pa.Table], Families], bits: int = 64, text: str = "text", unit_bytes: int = 8 << 20, keys_a_bucket: int = 4_000_000
+        self, docs: DataFrame, families: Callable[[pa.Table], Families], bits: list[int], text: str = "text", unit_bytes: int = 8 << 20, keys_a_bucket: int = 4_000_000
     ):
         self.docs, self.families, self.bits, self.text, self.unit_bytes = docs, families, bits, text, unit_bytes
         total = docs.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
@@ -103,7 +109,7 @@ class Exchange:
             pid = TaskContext.get().partitionId()
             for u, table in enumerate(units(batches, text, unit_bytes)):
                 for f, (keys, counts) in enumerate(families(table)):
-                    cut = _cuts(keys, buckets, bits)
+                    cut = _cuts(keys, buckets, bits[f])
                     rows = [(b, cut[b], cut[b + 1]) for b in range(buckets) if cut[b + 1] > cut[b]]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -125,15 +131,18 @@ class Exchange:
             sums = [np.bincount(back, np.concatenate([row[k] for row in counts]).astype(np.float64), len(distinct)).astype(np.uint64) for k in range(len(counts[0]))]
             edge = np.cumsum([0] + [len(k) for k in keys])
             out = [[tv.pack_counts(s[back[edge[r] : edge[r + 1]]]) for s in sums] for r in range(len(keys))]
+            # beside the answers a row of totals: for each count its sum and how many keys have any
+            stats = [int(x) for s in sums for x in (s.sum(), (s > 0).sum())]
             return pa.table(
                 {
-                    "pid": table["pid"],
-                    "unit": table["unit"],
-                    "bucket": table["bucket"],
-                    "family": table["family"],
-                    "n": pa.array([len(k) for k in keys], pa.int64()),
-                    "sum": pa.array([check_of(k) for k in keys], pa.int64()),
-                    "counts": pa.array(out, pa.list_(pa.binary())),
+                    "pid": pa.array([*table["pid"].to_pylist(), -1], pa.int32()),
+                    "unit": pa.array([*table["unit"].to_pylist(), -1], pa.int32()),
+                    "bucket": pa.array([*table["bucket"].to_pylist(), table["bucket"][0].as_py()], pa.int32()),
+                    "family": pa.array([*table["family"].to_pylist(), table["family"][0].as_py()], pa.int32()),
+                    "n": pa.array([*map(len, keys), len(distinct)], pa.int64()),
+                    "sum": pa.array([*map(check_of, keys), 0], pa.int64()),
+                    "counts": pa.array([*out, None], pa.list_(pa.binary())),
+                    "stats": pa.array([*[None] * len(keys), stats], pa.list_(pa.int64())),
                 }
             )
 
@@ -141,6 +150,12 @@ class Exchange:
         answers = asked.groupBy("bucket", "family").applyInArrow(add, REPLY)
         answers.repartition("pid").write.partitionBy("pid").option("compression", "zstd").parquet(self.path)
 
+    def totals(self, family: int, count: int) -> tuple[int, int]:
+        """The sum of one count over all keys of a family, and how many keys have any."""
+        rows = self.docs.sparkSession.read.schema(REPLY).parquet(self.path).where((F.col("pid") == -1) & (F.col("family") == family))
+        got = rows.agg(F.sum(F.get("stats", F.lit(2 * count))).alias("a"), F.sum(F.get("stats", F.lit(2 * count + 1))).alias("b")).first()
+        return got["a"] or 0, got["b"] or 0
+
     def each(self, work: Callable[[pa.Table, Families, list[list[np.ndarray]]], pa.RecordBatch | None], schema: str) -> DataFrame:
         """work(rows, own keys, corpus counts of those keys by family) for each unit, as a DataFrame of `schema`."""
         families, text, unit_bytes, path, buckets, bits = self.families, self.text, self.unit_bytes, self.path, self.buckets, self.bits
@@ -168,7 +183,7 @@ class Exchange:
                 own = families(table)
                 totals = []
                 for f, (keys, counts) in enumerate(own):
-                    cut = _cuts(keys, buckets, bits)
+                    cut = _cuts(keys, buckets, bits[f])
                     parts: list[list[np.ndarray]] = [[] for _ in counts]
                     for b in range(buckets):
                         if cut[b + 1] > cut[b]:

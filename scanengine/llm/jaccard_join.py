@@ -89,7 +89,7 @@ def members(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
             ["doc_id", "n_shingles", "node", "prefix", "keys"],
         )
 
-    return written(Exchange(docs, families, KEY_BITS).each(work, MEMBER), "members")
+    return written(Exchange(docs, families, [KEY_BITS]).each(work, MEMBER), "members")
 
 
 def overlaps(pairs: DataFrame, fragments: DataFrame, count: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanengine.llm import decontaminate, fingerprint, jaccard_join, linediff, mixing, quality, toxicity, warc
+from scanengine.llm import decontaminate, fingerprint, interpolated_lm, jaccard_join, linediff, mixing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), "similarity")
 
 
+def op3_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linediff.dedup_lines(docs).select("doc_id", "removed_lines", "removed_words", "text")
@@ -133,7 +137,7 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_fingerprint": op5_fingerprint, "op7_warc": op7_warc, "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+    return {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_interpolated_lm": op3_interpolated_lm, "op4_line_dedup": op4_line_dedup, "op5_fingerprint": op5_fingerprint, "op7_warc": op7_warc, "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
