@@ -7,12 +7,16 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanengine.llm.shared import BLANKS, lower_az, written
+from scanengine.llm import textvec as tv
+from scanengine.llm.shared import written
 
+LINES = "pos long, rid long, h array<long>, w array<int>, i array<int>"
 REMOVED = "pos long, rid long, removed array<int>"
 
 
@@ -76,11 +80,39 @@ def common_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], leas
             return sorted(gone)
 
 
-def line_columns(text: Column) -> tuple[Column, Column]:
-    """A hash of each line (A-Z lowered, runs of white space as one blank; null where it is blank) and its words."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    plain = F.transform(lines, lambda x: F.btrim(F.regexp_replace(lower_az(x), BLANKS, " ")))
-    return F.transform(plain, lambda x: F.when(x != "", F.xxhash64(x))), F.transform(plain, lambda x: F.when(x != "", F.size(F.split(x, " "))).otherwise(0))
+def lines_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of all texts that hold words: text, place in the text from 0, hash of the words (A-Z lowered), words."""
+    raw, off = tv.text_bytes(text)
+    byte, starts, length = tv.word_spans(raw, off)
+    none = np.zeros(0, np.int64)
+    if not len(starts):
+        return none, none, none, none
+    breaks = np.flatnonzero(raw == 10)
+    doc = np.searchsorted(off, starts, side="right") - 1
+    before = np.searchsorted(breaks, starts)
+    at = before - np.searchsorted(breaks, off[doc])
+    new = np.ones(len(starts), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(starts)))
+    place = np.arange(len(starts)) - np.repeat(first, n)
+    each = tv.combine(tv.hash_spans(byte, starts, length), place.astype(np.uint64))
+    return doc[first], at[first], np.add.reduceat(each, first).view(np.int64), n
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """(pos, rid, h, w, i): each document's lines with words as arrays of hashes, word counts and places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, at, h, n = lines_of(batch.column(2))
+            offsets = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h, n.astype(np.int32), at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["pos", "rid", "h", "w", "i"])
+
+    at = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    rows = docs.select(at.alias("pos"), F.xxhash64("doc_id", "text").alias("rid"), "text")
+    return rows.mapInArrow(run, LINES).where(F.size("h") > 0)
 
 
 def removed_lines(docs: DataFrame, least_words: int = 40) -> DataFrame:
@@ -92,16 +124,12 @@ def removed_lines(docs: DataFrame, least_words: int = 40) -> DataFrame:
     and are left out, which leaves the rare lines to decide.  A line's first holder never loses it to this pair or any
     other, so each distinct line stays somewhere.
     """
-    hashes, words = line_columns(F.col("text"))
-    d = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("pos"), F.xxhash64("doc_id", "text").alias("rid"), hashes.alias("h"), words.alias("w")
-    )
-    kept = F.filter(F.arrays_zip("h", "w", F.sequence(F.lit(0), F.size("h") - 1).alias("i")), lambda x: x["h"].isNotNull())
-    d = d.select("pos", "rid", kept.alias("l")).where(F.size("l") > 0).dropDuplicates(["pos", "rid"])
-    d = written(d.select("pos", "rid", F.col("l.h").alias("h"), F.col("l.w").alias("w"), F.col("l.i").alias("i")), "lines")
+    d = written(line_table(docs).dropDuplicates(["pos", "rid"]), "lines")
     own = d.select(F.struct("pos", "rid").alias("doc"), F.explode(F.array_distinct(F.arrays_zip("h", "w"))).alias("x"))
     own = own.select("doc", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
     first = own.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    # a table of its own, so that the join shuffles both sides and a very common line's holders can be split
+    first = written(first, "first-holders")
     met = own.join(first, "h").where(F.col("doc") != F.col("first"))
     pairs = met.groupBy("first", "doc").agg(F.sum("w").alias("w")).where(F.col("w") >= least_words)
     pairs = written(pairs.select(F.col("first.pos").alias("p0"), F.col("first.rid").alias("r0"), F.col("doc.pos").alias("pos"), F.col("doc.rid").alias("rid")), "overlaps")
