@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanengine.llm import decontaminate, fingerprint, interpolated_lm, jaccard_join, linediff, mixing, quality, toxicity, warc
+from scanengine.llm import decontaminate, fingerprint, interpolated_lm, jaccard_join, linediff, mixing, quality, toxicity, warc, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     digest = F.when(F.col("record_type") == "revisit", F.col("payload_digest")).otherwise(F.sha1("payload"))
@@ -137,7 +141,7 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_interpolated_lm": op3_interpolated_lm, "op4_line_dedup": op4_line_dedup, "op5_fingerprint": op5_fingerprint, "op7_warc": op7_warc, "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+    return {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_interpolated_lm": op3_interpolated_lm, "op4_line_dedup": op4_line_dedup, "op5_fingerprint": op5_fingerprint, "op6_html_text": op6_html_text, "op7_warc": op7_warc, "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
