@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from scanengine.plans import fusion_queries
+
 FLAGSHIP = "a1_fuse_voxels"
+MODULES = (fusion_queries,)
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: q for m in MODULES for k, q in m.SQL.items()}
