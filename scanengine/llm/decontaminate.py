@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanengine.llm.shared import lower_az, words_of
+from scanengine.llm.shared import lower_az, words_of, written
 
 RADIUS, BLOCKS, WIDTH, NEAR = 15, 4, 16, 3
 #: Item shingles up to this many (about 64 bytes each) are sent to every executor; more are joined by shuffling.
@@ -46,11 +46,12 @@ def windows(docs: DataFrame, items: DataFrame, shingle: int, broadcast_rows: int
     for (k,) in sorted(items.select("k").distinct().collect()):
         runs = items.where(F.col("k") == k).select("n", "shingles", F.posexplode("shingles").alias("o", "s"))
         runs = runs.select("n", "o", "s", F.get("shingles", F.col("o") - 1).alias("before")).distinct()
-        d = docs.select("doc_id", words_of(lower_az(F.col("text"))).alias("words")).where(F.size("words") >= k)
+        d = docs.select("doc_id", words_of(lower_az(F.col("text"))).alias("words"))
         small = runs.count() <= broadcast_rows
         if not small:
             d = d.withColumn("rid", F.xxhash64("doc_id", "words"))
-        at = d.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("i"))
+        # words ride along unmoved as long as this stage stays in generated code, so nothing with a lambda is in it
+        at = d.select("*", F.explode(F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))).alias("i"))
 
         def here(j: Column, words: Column = F.col("words"), k: int = k) -> Column:
             return F.xxhash64(F.array(*[F.get(words, j + t) for t in range(k)]))
@@ -82,7 +83,8 @@ def within_radius(found: DataFrame, items: DataFrame) -> DataFrame:
     filed = filed.select("item_id", "n", "k", "item_fp", "block", F.explode(masks).alias("mask"), "v")
     filed = filed.withColumn("value", F.col("v").bitwiseXOR(F.col("mask"))).drop("v", "mask")
     looked = found.select("*", F.posexplode(part(F.col("fp"))).alias("block", "value"))
-    met = looked.join(filed, ["n", "k", "block", "value"]).drop("block", "value")
+    # the filed values are many times the items they come from; never broadcast on the items' size
+    met = looked.join(filed.hint("merge"), ["n", "k", "block", "value"]).drop("block", "value")
     met = met.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
     return met.where(F.col("hamming") <= RADIUS).dropDuplicates(["doc_id", "start", "n", "fp", "item_id"])
 
@@ -96,12 +98,13 @@ def leaks(docs: DataFrame, bench: DataFrame, percent: int = 80, shingle: int = 5
     document shorter than an item is one window.  Rows that repeat doc_id count as one document, items that repeat
     item_id as one item.  Other columns are ignored; empty tables give no rows.
     """
-    items = items_of(bench, shingle)
+    items = written(items_of(bench, shingle), "items")
     found = windows(docs, items, shingle)
     if found is None:
         schema = "doc_id long, item_id long, start int, n_words int, hamming int, similarity double"
         return docs.sparkSession.createDataFrame([], schema)
-    found = found.where(F.size("words") >= F.col("k")).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    # a table, so that later conditions stay out of the pass over all words
+    found = written(found, "windows").withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     found = found.withColumn("fp", simhash("h")).drop("h")
     met = within_radius(found, items).join(items.select("item_id", F.col("fp").alias("item_fp"), F.col("shingles").alias("theirs")), ["item_id", "item_fp"])
     met = met.withColumn("ours", shingle_hashes(F.col("words"), F.col("k")))

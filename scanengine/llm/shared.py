@@ -51,7 +51,8 @@ def lower_az(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare != "", F.split(bare, BLANKS)).otherwise(F.array().cast("array<string>"))
 
 
 def running_start(
