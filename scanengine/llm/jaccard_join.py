@@ -6,15 +6,16 @@ candidates at all.  Candidates are checked by vertical partitioning: the order i
 counts the shared shingles of a pair on its own, and the counts are summed per pair.
 
 Pairs are not made within whole groups: documents with equal sets are one node; the holders of a prefix shingle are
-compared with one of them, the centre; what that joins needs no more comparing, and only holders that still lie in
-different components are compared with each other.
+compared with one of them, the centre, whose shingles are the commonest; what that joins needs no more comparing, and
+only holders that still lie in different components, and whose places of the shared shingle leave room for a link, are
+compared with each other.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanengine.llm import textvec as tv
@@ -25,7 +26,7 @@ from scanengine.llm.shared import written
 _U = np.uint64
 #: Width of the hashes by which documents are counted; their own hashes keep 52 bits beside a count of 11.
 KEY_BITS = 44
-MEMBER = "doc_id long, n_shingles long, node long, prefix int, keys array<long>"
+MEMBER = "doc_id long, n_shingles long, node long, prefix int, common int, keys array<long>"
 
 
 def sets_of(table: pa.Table, shingle: int) -> tv.Words:
@@ -76,6 +77,8 @@ def members(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
         rank = (np.minimum(df[keep], _U(2047)) << _U(52)) | (sets.hashes[keep] >> _U(12))
         order = np.lexsort((rank, doc[keep]))
         sizes = np.where(hopeful, n_shared, 0)
+        # how common a document's shingles are: a thousand times their mean binary logarithm of documents
+        common = 1000 * np.bincount(doc, np.log2(np.maximum(df, 1)), len(n)) / np.maximum(n, 1)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rank[order].astype(np.int64)))
         return pa.RecordBatch.from_arrays(
@@ -84,9 +87,10 @@ def members(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
                 pa.array(n.astype(np.int64)),
                 pa.array(nodes.view(np.int64)),
                 pa.array(np.where(hopeful, prefix, 0).astype(np.int32)),
+                pa.array(np.where(hopeful, common, 0).astype(np.int32)),
                 lists,
             ],
-            ["doc_id", "n_shingles", "node", "prefix", "keys"],
+            ["doc_id", "n_shingles", "node", "prefix", "common", "keys"],
         )
 
     return written(Exchange(docs, families, [KEY_BITS]).each(work, MEMBER), "members")
@@ -106,7 +110,7 @@ def linked(docs: DataFrame, percent: int = 80, shingle: int = 5, cuts: int = 8)
     """(members, roots): a row a document (doc_id, n_shingles, node), and the smallest node that each linked node reaches."""
     m = members(stable(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "documents"), percent, shingle)
     sets = written(
-        m.where("prefix > 0").select("node", F.col("n_shingles").alias("n"), "prefix", "keys").dropDuplicates(["node"]), "sets"
+        m.where("prefix > 0").select("node", F.col("n_shingles").alias("n"), "prefix", "common", "keys").dropDuplicates(["node"]), "sets"
     )
     # fragments of about equal weight: cuts at the quantiles of what stands at even places in each set
     marks = sets.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(cuts - 1)), lambda i: F.get("keys", F.floor(F.size("keys") * i / cuts).cast("int")))).alias("k"))
@@ -119,18 +123,26 @@ def linked(docs: DataFrame, percent: int = 80, shingle: int = 5, cuts: int = 8)
     parts = F.array(*[between(lo, hi) for lo, hi in zip(pivots, pivots[1:])])
     fragments = sets.select("node", "n", F.posexplode(parts).alias("fragment", "part"))
     count = len(pivots) - 1
-    holders = written(sets.select(F.explode(F.slice("keys", F.lit(1), F.col("prefix"))).alias("key"), "node", "n"), "prefixes")
-    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    # at: a shingle's place in the document's whole order, in which the shingles that no other document holds come first
+    holders = sets.select(F.posexplode(F.slice("keys", F.lit(1), F.col("prefix"))).alias("i", "key"), "node", "n", "common", (F.col("n") - F.size("keys")).alias("own"))
+    holders = written(holders.select("key", "node", "n", "common", (F.col("own") + F.col("i")).alias("at")), "prefixes")
     enough = F.col("shared") * 100 >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("shared"))
 
+    def may_link(n: Column, at: Column, m: Column, to: Column) -> Column:
+        """Sizes that fit, and what is left from the first shared shingle on is as much as a link needs.  Of a pair's
+        shared shingles the first leaves most, so a pair that can link passes there."""
+        left = F.least(n - at, m - to)
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (left * (100 + percent) >= (n + m) * percent)
+
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         return written(overlaps(pairs, fragments, count).where(enough).select("a", "b"), name)
 
     def starred(rest: DataFrame) -> DataFrame:
-        """Pairs of each key's centre, the holder with the least node, and its other holders of fitting size."""
-        centre = rest.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("k")).where("k > 1")
-        met = rest.join(centre.select("key", "c"), "key").where((F.col("c.node") != F.col("node")) & alike(F.col("c.n"), F.col("n")))
-        return met.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+        """Pairs of each key's centre, the holder with the commonest shingles, and the other holders that may link to it."""
+        best = F.max(F.struct("common", "node", "n", "at")).alias("c")
+        centre = written(rest.groupBy("key").agg(best, F.count("*").alias("k")).where("k > 1").select("key", "c"), "centres")
+        met = rest.join(centre, "key").where((F.col("c.node") != F.col("node")) & may_link(F.col("c.n"), F.col("c.at"), F.col("n"), F.col("at")))
+        return met.select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).distinct()
 
     tried = written(starred(holders), "pairs")
     links = checked(tried, "linked")
@@ -139,8 +151,9 @@ def linked(docs: DataFrame, percent: int = 80, shingle: int = 5, cuts: int = 8)
     placed = holders.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = written(placed.join(split, "key", "left_semi"), "rest")
-    one, two = (rest.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"r_{x}")) for x in "ab")
-    across = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & alike(F.col("n_a"), F.col("n_b")))
+    one, two = (rest.select("key", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "root")]) for x in "ab")
+    fits = may_link(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"))
+    across = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits)
     across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = checked(across, "linked")
     if more.isEmpty():
