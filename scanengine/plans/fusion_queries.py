@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
 from scanengine.operators import fuse, plan
+from scanengine.plans.common import registrar
 from scanengine.plans.scan_sql import block_sql, d, eval_sql, fused_with, plan_sql, scan_with, volume_sql
 from scanengine.sources import derived
 from scanengine.sources.derived import CAMERA
@@ -18,14 +17,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = re.sub(r"\bby\b", '"by"', sql)  # the block column, not the keyword, which is upper case here
-        return f
-
-    return add
+query = registrar(QUERIES, SQL)
 
 
 def points(s: SparkSession, sf: str) -> DataFrame:

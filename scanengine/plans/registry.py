@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from scanengine.plans import fusion_queries
+from scanengine.plans import evaluate_queries, fusion_queries, stream_queries, surface_queries, verify_queries
 
 FLAGSHIP = "a1_fuse_voxels"
-MODULES = (fusion_queries,)
+MODULES = (fusion_queries, stream_queries, surface_queries, evaluate_queries, verify_queries)
 
 
 def queries() -> dict:
