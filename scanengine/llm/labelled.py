@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanengine.llm import textvec as tv
+
 
 def id_text(doc_id: str = "doc_id") -> Column:
     """doc_id as text; null is empty."""
@@ -46,8 +48,9 @@ def ids_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else ids_of(column.combine_chunks())
 
 
-def summed(docs: DataFrame, width: int, count: Callable[[pa.RecordBatch], np.ndarray], pieces: int = 64, salts: int = 64) -> np.ndarray:
-    """The sum over all documents of count(batch), an array of `width` whole numbers.
+def summed(docs: DataFrame, width: int, count: Callable[[pa.RecordBatch], np.ndarray], pieces: int = 64, salts: int = 64, text: int = 1) -> np.ndarray:
+    """The sum over all documents of count(batch), an array of `width` whole numbers.  text: the column of texts, by which
+    batches are cut to a few megabytes.
 
     Each partition adds up its own batches; partial sums are added by piece of the array and salt, then by piece.
     """
@@ -57,7 +60,7 @@ def summed(docs: DataFrame, width: int, count: Callable[[pa.RecordBatch], np.nda
         from pyspark import TaskContext
 
         total = np.zeros(width, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in tv.slices(whole, text)):
             total += count(batch)
         cut = [total[k * step : (k + 1) * step] for k in range(pieces)]
         yield pa.RecordBatch.from_arrays(

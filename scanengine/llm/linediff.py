@@ -104,7 +104,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     """(pos, rid, h, w, i): each document's lines with words as arrays of hashes, word counts and places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in tv.slices(whole, 2)):
             doc, at, h, n = lines_of(batch.column(2))
             offsets = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h, n.astype(np.int32), at.astype(np.int32))]

@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             out[1, k] = np.bincount(f[target[doc]], minlength=BINS)
         return out.ravel()
 
-    raw, target = summed(docs.select("doc_id", "text"), 2 * FAMILIES * BINS, count).reshape(2, FAMILIES, BINS).astype(float)
+    raw, target = summed(docs.select("doc_id", "text"), 2 * FAMILIES * BINS, count, text=1).reshape(2, FAMILIES, BINS).astype(float)
     if not target.any():
         return np.zeros((FAMILIES, BINS)), (ids, y)
     return log_ratios(raw, target), (ids, y)
@@ -147,7 +147,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, label:
     held = (tv.mix(ids.astype(np.uint64)) % _U(4)) == 0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in tv.slices(whole, 1)):
             mean, n = score_batch(batch.column(1), logs)
             y_of = label_of(ids_of(batch.column(0)), ids[held], y[held])
             yield pa.RecordBatch.from_arrays(

@@ -66,6 +66,16 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 4 << 20) -> list[pa.RecordBatch]:
+    """A batch in runs of rows of about most_bytes of text, so that a task's arrays stay small; a row is never cut."""
+    if not batch.num_rows:
+        return []
+    _, off = text_bytes(batch.column(text))
+    step = off[1:] // most_bytes
+    cut = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
+    return [batch.slice(i, j - i) for i, j in zip(cut, cut[1:])]
+
+
 def word_spans(raw: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The folded bytes, and each word's first byte and length.  No word crosses two rows."""
     byte = (_FOLD if fold else _PLAIN)[raw]

@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4
     columns[inputs] = np.arange(len(inputs))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in tv.slices(whole, 1)):
             bins, doc, n = word_bins(batch.column(1))
             d, c = presence(bins, doc, n, columns)
             cut = np.searchsorted(d, np.arange(n + 1))
@@ -167,7 +167,7 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, lea
     model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), parts=parts, held=held, most=most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in tv.slices(whole, 2)):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(model.score(batch.column(2)))], ["doc_id", "held_out", "score"])
 
     rows = docs.select("doc_id", (fold(parts) == held).alias("held_out"), "text")
