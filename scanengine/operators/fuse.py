@@ -69,8 +69,15 @@ def culled_pairs(pairs: DataFrame, cam: g.Camera, grid: g.Grid) -> DataFrame:
 
 
 def pairs_of(scan: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Every integrated frame with every block of the plan.  Frames keep their partitions; the plan is sent to them."""
+    """Every integrated frame with every block of the plan, which is sent to the frames.
+
+    Frames are dealt out by number first: a frame is a few kilobytes and millions of voxel evaluations, so partitions sized
+    by bytes would leave most cores idle.
+    """
+    spark = scan.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     whole = scan.where("has_depth and has_pose").select("seq", "depth", *[f"m{i}" for i in range(12)])
+    whole = whole if scan.isStreaming else whole.repartition(parts, "seq")
     return whole.crossJoin(small_plan(blocks))  # the plan is bounded, see MOST_BLOCKS
 
 
