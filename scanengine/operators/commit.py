@@ -274,3 +274,32 @@ def unpack(data: bytes, most: int) -> bytes:
     if len(out) > most or not d.eof or d.unused_data or d.unconsumed_tail:
         raise ValueError("a packed proof is too large, cut short or followed by other bytes")
     return out
+
+
+def held_blocks_verdict(blocks: DataFrame, proof: DataFrame, count: int, map_root: bytes, refused: DataFrame) -> DataFrame:
+    """One row: verified, refuted (with a block that differs) or invalid, over all held blocks.
+
+    blocks: idx, data; proof: paths into the map's root; refused: (bx, by, bz, verdict) of the blocks fused again from the
+    pixels they read, as compare_volumes gives it.  A wrong root or path makes a proof invalid; only a block whose fusion
+    differs refutes the map.
+    """
+    checked = check_path_proofs(blocks, proof, count, map_root)
+    bad = checked.agg(F.count_if(F.col("verdict") != "verified").alias("broken"))
+    wrong = refused.agg(F.count_if(F.col("verdict") != "identical").alias("different"), F.min(F.when(F.col("verdict") != "identical", F.struct("bz", "by", "bx"))).alias("first"))
+    both = bad.crossJoin(wrong)  # a row each
+    verdict = F.when(F.col("broken") > 0, "invalid").when(F.col("different") > 0, "refuted").otherwise("verified")
+    return both.select(verdict.alias("verdict"), "broken", "different", F.col("first.bx").alias("bx"), F.col("first.by").alias("by"), F.col("first.bz").alias("bz"))
+
+
+def route_verdict(held: DataFrame, clearance: DataFrame) -> DataFrame:
+    """Clear or not-clear for a route whose blocks are verified, else what the blocks say."""
+    h = held.select(F.col("verdict").alias("held"))
+    c = clearance.select(F.col("verdict").alias("clear"), "unobserved", "occupied")
+    return h.crossJoin(c).select(F.when(F.col("held") == "verified", F.col("clear")).otherwise(F.col("held")).alias("verdict"), "unobserved", "occupied")
+
+
+def audit_verdict(drawn: DataFrame, answered: DataFrame, held: DataFrame) -> DataFrame:
+    """An audit's answer must hold exactly the rows drawn; then the held blocks decide."""
+    odd = drawn.select("row").join(answered.select("row"), "row", "full_outer").count()
+    both = drawn.select("row").intersect(answered.select("row")).count()
+    return held.select(F.when(F.lit(odd != both), "invalid").otherwise(F.col("verdict")).alias("verdict"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from scanengine.plans import evaluate_queries, fusion_queries, ray_queries, stream_queries, streaming_queries, surface_queries, verify_queries
+from scanengine.plans import evaluate_queries, fusion_queries, ray_queries, render_queries, stream_queries, streaming_queries, surface_queries, verify_queries
 
 FLAGSHIP = "a1_fuse_voxels"
-MODULES = (fusion_queries, stream_queries, surface_queries, evaluate_queries, verify_queries, ray_queries, streaming_queries)
+MODULES = (fusion_queries, stream_queries, surface_queries, evaluate_queries, verify_queries, ray_queries, streaming_queries, render_queries)
 
 
 def queries() -> dict:
