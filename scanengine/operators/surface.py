@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
@@ -112,8 +112,9 @@ def triangles(c: DataFrame) -> DataFrame:
     return t.select("gx", "gy", "gz", "tetra", "tri", "corner", F.get("values", F.col("e.n")).alias("vn"), F.get("values", F.col("e.p")).alias("vp"), F.col("e.n").alias("n"), F.col("e.p").alias("p"))
 
 
-def corners(t: DataFrame, voxel: float) -> DataFrame:
-    """Triangle corners with the edge they lie on (its lower voxel and direction code) and their point."""
+def corners(t: DataFrame, voxel: float, more: tuple[str, ...] = ()) -> DataFrame:
+    """Triangle corners with the edge they lie on (its lower voxel and direction code) and their point; more: other columns
+    to keep."""
     bit = lambda c, a: F.shiftright(F.col(c), "xyz".index(a)) % 2
     low = [(F.col(f"g{a}") + F.least(bit("n", a), bit("p", a))).alias(f"e{a}") for a in "xyz"]
     code = F.col("n").bitwiseXOR(F.col("p")).alias("code")
@@ -122,7 +123,7 @@ def corners(t: DataFrame, voxel: float) -> DataFrame:
     for a in "xyz":
         neg, pos = g.centre(F.col(f"g{a}") + bit("n", a), voxel), g.centre(F.col(f"g{a}") + bit("p", a), voxel)
         point.append((neg + alpha * (pos - neg)).alias(a))
-    return t.select("gx", "gy", "gz", "tetra", "tri", "corner", *low, code, *point)
+    return t.select("gx", "gy", "gz", "tetra", "tri", "corner", *low, code, *point, *more)
 
 
 EDGE = ["ex", "ey", "ez", "code"]
@@ -134,6 +135,21 @@ def vertices(k: DataFrame) -> DataFrame:
     return k.groupBy(*EDGE).agg(*[F.min(a).alias(a) for a in "xyz"])
 
 
+def vertex_numbers(k: DataFrame) -> DataFrame:
+    """(ex, ey, ez, code, id): vertices numbered in the order of their first use, by cell (z, y, x), tetrahedron and
+    crossed edge.  k: corners with n and p.
+
+    Counts of rows of cells give each row its first number; numbers within a row need that row alone.
+    """
+    used = k.groupBy(*EDGE).agg(F.min(F.struct("gz", "gy", "gx", "tetra", "n", "p")).alias("f"))
+    rows = used.groupBy(F.col("f.gz").alias("_z"), F.col("f.gy").alias("_y")).agg(F.count("*").alias("c"))
+    before = Window.orderBy("_z", "_y").rowsBetween(Window.unboundedPreceding, -1)
+    start = rows.select("_z", "_y", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("f.gz", "f.gy").orderBy("f")) - 1
+    met = used.withColumn("k", inside).join(start, (F.col("f.gz") == F.col("_z")) & (F.col("f.gy") == F.col("_y")))
+    return met.select(*EDGE, (F.col("start") + F.col("k")).alias("id"))
+
+
 def half_edges(k: DataFrame) -> DataFrame:
     """Undirected edges of the mesh: two vertex keys in order, for each side of each triangle."""
     key = F.concat_ws(",", *EDGE)

@@ -96,7 +96,7 @@ tc AS (SELECT gx, gy, gz, tetra, tri, k, n, p, vs[n + 1] AS vn, vs[p + 1] AS vp
     + f"""
 kc AS (SELECT gx, gy, gz, tetra, tri, k AS corner, gx + least(n & 1, p & 1) AS ex, gy + least((n >> 1) & 1, (p >> 1) & 1) AS ey,
               gz + least((n >> 2) & 1, (p >> 2) & 1) AS ez, xor(n, p) AS code,
-              {_corner("n", "p", 0, "gx")} AS x, {_corner("n", "p", 1, "gy")} AS y, {_corner("n", "p", 2, "gz")} AS z FROM tc),
+              {_corner("n", "p", 0, "gx")} AS x, {_corner("n", "p", 1, "gy")} AS y, {_corner("n", "p", 2, "gz")} AS z, n, p FROM tc),
 hk AS (SELECT gx, gy, gz, tetra, tri, corner, ex || ',' || ey || ',' || ez || ',' || code AS k FROM kc),
 fk AS (SELECT gx, gy, gz, tetra, tri, max(CASE corner WHEN 0 THEN k END) AS k0, max(CASE corner WHEN 1 THEN k END) AS k1, max(CASE corner WHEN 2 THEN k END) AS k2 FROM hk GROUP BY 1, 2, 3, 4, 5),
 he AS (SELECT least(k0, k1) AS a, greatest(k0, k1) AS b FROM fk UNION ALL SELECT least(k1, k2), greatest(k1, k2) FROM fk UNION ALL SELECT least(k2, k0), greatest(k2, k0) FROM fk),
@@ -118,6 +118,17 @@ def m7(s, sf):
     return surface.vertices(mesh_corners(s, sf))
 
 
+@query(
+    "w3_vertex_numbers",
+    base(*MESH)
+    + """, vf AS (SELECT *, row_number() OVER (PARTITION BY ex, ey, ez, code ORDER BY gz, gy, gx, tetra, n, p) AS r FROM kc)
+    SELECT ex, ey, ez, code, row_number() OVER (ORDER BY gz, gy, gx, tetra, n, p) - 1 AS id FROM vf WHERE r = 1""",
+)
+def w3(s, sf):
+    t = surface.triangles(surface.cells(samples(s, sf)))
+    return surface.vertex_numbers(surface.corners(t, V, ("n", "p")))
+
+
 @query("a17_half_edges", base(*MESH) + "SELECT count(*) FILTER (n = 1) AS boundary, count(*) FILTER (n = 2) AS manifold, count(*) FILTER (n > 2) AS non_manifold FROM hn")
 def a17(s, sf):
     return surface.edge_report(mesh_corners(s, sf))
