@@ -1,5 +1,5 @@
-"""Line dedup by pairwise alignment: overlapping documents meet through shared line hashes, are aligned by patience diff,
-and the later one loses the aligned common blocks."""
+"""Line dedup by pairwise alignment: overlapping documents meet through hashes of shared runs of lines, are aligned by
+patience diff, and the later one loses the aligned common blocks."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scanengine.llm import textvec as tv
 from scanengine.llm.shared import written
 
-LINES = "pos long, rid long, h array<long>, w array<int>, i array<int>"
+LINES = "pos long, rid long, h array<long>, w array<int>, i array<int>, g array<long>"
 REMOVED = "pos long, rid long, removed array<int>"
 
 
@@ -56,7 +56,8 @@ def common_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], leas
     """The places in b of all blocks, of `least` words or more, that also stand in a.
 
     Anchors grow in both directions while lines agree.  Lines of found blocks leave b and the rest is aligned again, so
-    blocks that changed places or come twice are found as well.
+    blocks that changed places or come twice are found as well.  Where a repeats lines, an anchor may stand at another
+    copy than the block's; there the short runs of b that are left are looked up in a as well.
     """
     free, gone = [True] * len(b), []
     while True:
@@ -77,7 +78,46 @@ def common_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], leas
             if sum(words[k] for k in block) >= least:
                 gone += block
         if not taken:
-            return sorted(gone)
+            break
+    if len(set(a)) == len(a):
+        return sorted(gone)
+    found, lo, hi = set(gone), *runs(np.array(words, np.int64), np.array([0, len(b)]), least)
+    left = [(i, j) for i, j in zip(lo.tolist(), hi.tolist()) if not found.issuperset(range(i, j))]
+    for n in {j - i for i, j in left}:
+        held = {tuple(a[k : k + n]) for k in range(len(a) - n + 1)}
+        for i, j in left:
+            if j - i == n and tuple(b[i:j]) in held:
+                found.update(range(i, j))
+    return sorted(found)
+
+
+def runs(words: np.ndarray, edge: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, line after the last) of the shortest run of `least` words or more from each line on, and up to each.
+
+    words: of each line of all texts; edge: each text's first line, with one more at the end.  Every line of a block of
+    `least` words or more is in such a run that lies in the block.
+    """
+    n = np.arange(len(words))
+    start, end = np.repeat(edge[:-1], np.diff(edge)), np.repeat(edge[1:], np.diff(edge))
+    before = np.concatenate([[0], np.cumsum(words)])
+    to = np.searchsorted(before, before[:-1] + least)
+    since = np.searchsorted(before, before[1:] - least, side="right") - 1
+    on, up = to <= end, since >= start
+    size = len(words) + 1
+    both = np.unique(np.append(n[on], since[up]) * size + np.append(to[on], n[up] + 1))
+    return both // size, both % size
+
+
+def run_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of each run of line hashes."""
+    acc = tv.mix(h[lo].view(np.uint64))
+    which, at = np.arange(len(lo)), lo + 1
+    while len(which):
+        more = at < hi[which]
+        which, at = which[more], at[more]
+        acc[which] = tv.combine(acc[which], h[at].view(np.uint64))
+        at = at + 1
+    return acc.view(np.int64)
 
 
 def lines_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,15 +140,19 @@ def lines_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return doc[first], at[first], np.add.reduceat(each, first).view(np.int64), n
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(pos, rid, h, w, i): each document's lines with words as arrays of hashes, word counts and places."""
+def line_table(docs: DataFrame, least_words: int) -> DataFrame:
+    """(pos, rid, h, w, i, g): each document's lines with words as arrays of hashes, word counts and places, and hashes of
+    its short runs of `least_words` words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in tv.slices(whole, 2)):
             doc, at, h, n = lines_of(batch.column(2))
-            offsets = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32))
+            edge = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            lo, hi = runs(n, edge, least_words)
+            offsets, cuts = (pa.array(x.astype(np.int32)) for x in (edge, np.searchsorted(lo, edge)))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h, n.astype(np.int32), at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["pos", "rid", "h", "w", "i"])
+            lists.append(pa.ListArray.from_arrays(cuts, pa.array(run_hashes(h, lo, hi))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["pos", "rid", "h", "w", "i", "g"])
 
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(at.alias("pos"), F.xxhash64("doc_id", "text").alias("rid"), "text")
@@ -118,20 +162,19 @@ def line_table(docs: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, least_words: int = 40) -> DataFrame:
     """(pos, rid, removed): the lines, from 0, that each document loses.  docs: doc_id, text.
 
-    pos and rid place a document: by doc_id (rows without one last), then by a hash of its text.  Every line is held
-    first by one document; every later holder meets that first holder alone, so a line in any number of documents makes
-    as many pairs as it has holders.  Pairs that share fewer than `least_words` words in such lines cannot have a block
-    and are left out, which leaves the rare lines to decide.  A line's first holder never loses it to this pair or any
-    other, so each distinct line stays somewhere.
+    pos and rid place a document: by doc_id (rows without one last), then by a hash of its text.  Every short run of
+    lines of `least_words` words or more is held first by one document; every later holder meets that first holder alone,
+    so a run in any number of documents makes as many pairs as it has holders.  Each line of a block that any earlier
+    document holds is in such a run within the block, and so in one that the document it meets holds whole: what is
+    removed are the lines of all blocks that any earlier document holds, whichever documents held their lines first.  A
+    line's first holder never loses it to this pair or any other, so each distinct line stays somewhere.
     """
-    d = written(line_table(docs).dropDuplicates(["pos", "rid"]), "lines")
-    own = d.select(F.struct("pos", "rid").alias("doc"), F.explode(F.array_distinct(F.arrays_zip("h", "w"))).alias("x"))
-    own = own.select("doc", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
-    first = own.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    # a table of its own, so that the join shuffles both sides and a very common line's holders can be split
+    d = written(line_table(docs, least_words).dropDuplicates(["pos", "rid"]), "lines")
+    own = d.select(F.struct("pos", "rid").alias("doc"), F.explode(F.array_distinct("g")).alias("g"))
+    first = own.groupBy("g").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first")
+    # a table of its own, so that the join shuffles both sides and a very common run's holders can be split
     first = written(first, "first-holders")
-    met = own.join(first, "h").where(F.col("doc") != F.col("first"))
-    pairs = met.groupBy("first", "doc").agg(F.sum("w").alias("w")).where(F.col("w") >= least_words)
+    pairs = own.join(first, "g").where(F.col("doc") != F.col("first")).select("first", "doc").distinct()
     pairs = written(pairs.select(F.col("first.pos").alias("p0"), F.col("first.rid").alias("r0"), F.col("doc.pos").alias("pos"), F.col("doc.rid").alias("rid")), "overlaps")
     earlier = d.select(F.col("pos").alias("p0"), F.col("rid").alias("r0"), F.col("h").alias("a"))
     both = pairs.join(earlier, ["p0", "r0"]).join(d, ["pos", "rid"]).select("pos", "rid", "a", "h", "w", "i")

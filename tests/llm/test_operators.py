@@ -273,6 +273,27 @@ def test_common_blocks_keep_firsts_and_find_moves():
         assert gone == [j for j, x in enumerate(b) if x in a]
 
 
+def test_line_dedup_against_all_earlier_documents(spark):
+    r = random.Random(11)
+    pool = [" ".join(f"{w}{k}" for w in r.choices(WORDS, k=r.choice([1, 3, 7, 12, 25, 45]))) for k in range(30)]
+    rows = [(0, "\n".join([pool[0], *pool[5:9]])), (1, "\n".join(pool[1:5]))]  # lines whose first holders differ
+    rows += [(k, "\n".join(pool[a : a + 6] + r.choices(pool, k=3) + pool[b : b + 5])) for k in range(2, 60) for a, b in [(r.randrange(25), r.randrange(25))]]
+    lines = {k: t.split("\n") for k, t in rows}
+    blocks = lambda x, least: {tuple(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1) if sum(len(y.split()) for y in x[i:j]) >= least}
+    held, want = set(), {}
+    for k, x in sorted(lines.items()):
+        gone = {p for i in range(len(x)) for j in range(i + 1, len(x) + 1) if tuple(x[i:j]) in held for p in range(i, j)}
+        want[k] = sorted(gone)
+        held |= blocks(x, 40)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.pos: sorted(x.removed) for x in linediff.removed_lines(d).collect()}
+    assert {k: got.get(k, []) for k in want} == want and any(want.values())
+
+
+def test_common_blocks_past_copies_of_their_lines():
+    assert linediff.common_blocks([1, 9, 2, 8, 3, 7, 1, 2, 3], [1, 2, 3], [20, 20, 20], 40) == [0, 1, 2]
+
+
 def test_quality_keeps_good_and_rejects_junk(spark):
     r = random.Random(4)
     good = lambda: " ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(r.randrange(30, 80)))
