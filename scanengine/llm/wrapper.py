@@ -239,18 +239,19 @@ def is_dropped(key: str) -> bool:
 
 
 def rules_of(wrapper: list, total: dict, pages: int) -> dict:
-    """roots: the places whose text is main; dropped: places in them that are part of the template.
+    """roots: the places whose text may be main, ranks: how they rank; dropped: places in them that are part of the template.
 
-    Main are article and main elements, or else elements of such names, or else the body.  A single slot that holds the
+    Main are article and main elements, or else elements of such names, or else the body, or else all; which of them is
+    for each page to say, as the pages of a host need not share a template.  A single slot that holds the
     same text on each of five pages or more, no heading and no paragraph, belongs to the template.
     """
-    found: list[tuple[int, str, int]] = []
+    found: list[tuple[int, str]] = []
     dropped: list[str] = []
 
-    def walk(w: list, path: str, depth: int, many: bool) -> None:
+    def walk(w: list, path: str, many: bool) -> None:
         if w[0] == "()":
             for c in w[3]:
-                walk(c, path, depth, True)
+                walk(c, path, True)
             return
         here = f"{path}/{w[0]}" if path or w[0] != "#root" else "#root"
         if w[0] == "#" or is_dropped(w[0]):
@@ -258,24 +259,50 @@ def rules_of(wrapper: list, total: dict, pages: int) -> dict:
         tag = w[0].partition(" ")[0]
         rank = 0 if tag == "article" else 1 if tag == "main" or "main" in names_of(w[0]) else 2 if names_of(w[0]) & MAIN_NAMES else 3 if tag == "body" else 9
         if rank < 9:
-            found.append((rank, here, depth))
+            found.append((rank, here))
         seen, chars, _, differs = total.get(here, (0, 0, None, True))
         many = many or bool(w[2])
         if not differs and not many and seen >= 5 and seen == pages and tag not in HEADINGS and tag not in ("p", "article", "main", "body"):
             dropped.append(here)
         for c in w[3]:
-            walk(c, here, depth + 1, many)
+            walk(c, here, many)
 
-    walk(wrapper, "", 0, False)
-    best = min((f[0] for f in found), default=None)
-    roots = [path for rank, path, _ in found if rank == best] or ["#root"]
-    return {"roots": sorted(set(roots)), "dropped": sorted(set(dropped))}
+    walk(wrapper, "", False)
+    ranks = {path: rank for rank, path in found} | {"#root": 9}
+    return {"roots": sorted(ranks), "ranks": ranks, "dropped": sorted(set(dropped))}
+
+
+def is_skipped(node: list) -> bool:
+    """Whether an inline element's text is left out."""
+    return "~hidden" in key_of(node) or bool(node[1] and names_of(key_of(node)) & DROPPED_NAMES and node[0] != "a")
+
+
+def roots_of(tree: list, rules: dict) -> set[str]:
+    """Of the places whose text may be main the best-ranked that the page has."""
+    roots, ranks = set(rules["roots"]), rules.get("ranks", {})
+    here: list[tuple[int, str]] = []
+
+    def walk(node: list, path: str) -> None:
+        if path in roots:
+            here.append((ranks.get(path, 0), path))
+        for c in node[2]:
+            if isinstance(c, str):
+                continue
+            if c[0] in INLINE:
+                if not is_skipped(c):
+                    walk(c, path)
+            elif not is_dropped(key_of(c)):
+                walk(c, f"{path}/{key_of(c)}")
+
+    walk(tree, "#root")
+    best = min((rank for rank, _ in here), default=0)
+    return {path for rank, path in here if rank == best}
 
 
 def main_text(page: str, rules: dict) -> str:
     """The blocks of a page's main text, joined by two line feeds."""
     tree = parse(page)
-    roots, dropped = set(rules["roots"]), set(rules["dropped"])
+    roots, dropped = roots_of(tree, rules), set(rules["dropped"])
     blocks: list[str] = []
     current: list[str] = []
 
@@ -297,7 +324,7 @@ def main_text(page: str, rules: dict) -> str:
                     current.append(" ")
                 continue
             if tag in INLINE and tag not in ("img", "wbr"):
-                if "~hidden" not in key and not (c[1] and names_of(key) & DROPPED_NAMES and tag != "a"):
+                if not is_skipped(c):
                     read(c, path, on, heading_only)
                 continue
             here = f"{path}/{key}"

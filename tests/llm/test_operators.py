@@ -359,6 +359,14 @@ def test_html_main_text(spark):
     assert wrapper.extract(d).count() == len(rows) and wrapper.extract(d.where("1 = 0")).count() == 0
 
 
+def test_html_roots_are_chosen_per_page(spark):
+    top = "<body><div>x</div>"
+    mixed = [f"{top}<article><p>a</p></article></body>", f"{top}<main><p>b</p></main></body>", f"{top}<div class='content'><p>c</p></div></body>", "<body><p>d</p></body>", "<p>e</p>"]
+    rows = [(k + 10 * h, url, t) for h, url in enumerate(["http://h/a", None, "no scheme"]) for k, t in enumerate(mixed)]
+    got = {x.page_id: x for x in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k + 10 * h].text for h in range(3) for k in range(5)] == list("abcde") * 3 and all(x.n_chars == 1 for x in got.values())
+
+
 def test_wrappers_generalise():
     trees = ["<div><h2>a</h2><p>x</p><p>y</p></div>", "<div><p>x</p></div>", "<div><h2>b</h2><p>x</p><hr><p>z</p><hr><p>q</p><hr></div>"]
     w = None
