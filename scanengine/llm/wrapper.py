@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,6 +49,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 DEPTH = 120
+#: Distinct pages of a host from which on a text that they all have is known to be the template's.
+DISTINCT = 5
 
 
 def parse(page: str) -> list:
@@ -210,7 +212,7 @@ def places(node: list, path: str, out: dict) -> int:
     text = " ".join("".join(own).split())
     if text:
         pages, chars, h, differs = out.get(path, (1, 0, None, False))
-        out[path] = (1, chars + len(text), text if h is None else h, differs or h is not None)
+        out[path] = (1, chars + len(text), text if h is None else hash_text(f"{h}\0{text}"), differs or h is not None)
     return below + len(text)
 
 
@@ -238,20 +240,21 @@ def is_dropped(key: str) -> bool:
     return tag not in KEPT_WHOLE and " " in key and bool(names_of(key) & DROPPED_NAMES)
 
 
-def rules_of(wrapper: list, total: dict, pages: int) -> dict:
+def rules_of(wrapper: list, total: dict, pages: int, distinct: int) -> dict:
     """roots: the places whose text may be main, ranks: how they rank; dropped: places in them that are part of the template.
 
     Main are article and main elements, or else elements of such names, or else the body, or else all; which of them is
     for each page to say, as the pages of a host need not share a template.  A single slot that holds the
-    same text on each of five pages or more, no heading and no paragraph, belongs to the template.
+    same text on all pages, of which five or more are distinct, belongs to the template if it is no heading, no paragraph
+    and not in an article or main element.  Elements below it are judged on their own.
     """
     found: list[tuple[int, str]] = []
     dropped: list[str] = []
 
-    def walk(w: list, path: str, many: bool) -> None:
+    def walk(w: list, path: str, many: bool, inside: bool) -> None:
         if w[0] == "()":
             for c in w[3]:
-                walk(c, path, True)
+                walk(c, path, True, inside)
             return
         here = f"{path}/{w[0]}" if path or w[0] != "#root" else "#root"
         if w[0] == "#" or is_dropped(w[0]):
@@ -260,14 +263,14 @@ def rules_of(wrapper: list, total: dict, pages: int) -> dict:
         rank = 0 if tag == "article" else 1 if tag == "main" or "main" in names_of(w[0]) else 2 if names_of(w[0]) & MAIN_NAMES else 3 if tag == "body" else 9
         if rank < 9:
             found.append((rank, here))
-        seen, chars, _, differs = total.get(here, (0, 0, None, True))
-        many = many or bool(w[2])
-        if not differs and not many and seen >= 5 and seen == pages and tag not in HEADINGS and tag not in ("p", "article", "main", "body"):
+        seen, _, _, differs = total.get(here, (0, 0, None, True))
+        many, inside = many or bool(w[2]), inside or rank < 2
+        if not differs and not many and not inside and distinct >= DISTINCT and seen == pages and tag not in HEADINGS and tag not in ("p", "body"):
             dropped.append(here)
         for c in w[3]:
-            walk(c, here, many)
+            walk(c, here, many, inside)
 
-    walk(wrapper, "", False)
+    walk(wrapper, "", False, False)
     ranks = {path: rank for rank, path in found} | {"#root": 9}
     return {"roots": sorted(ranks), "ranks": ranks, "dropped": sorted(set(dropped))}
 
@@ -312,10 +315,10 @@ def main_text(page: str, rules: dict) -> str:
         if text:
             blocks.append(text)
 
-    def read(node: list, path: str, on: bool, heading_only: bool) -> None:
+    def read(node: list, path: str, on: bool, heading_only: bool, muted: bool = False) -> None:
         for c in node[2]:
             if isinstance(c, str):
-                if on and not heading_only:
+                if on and not heading_only and not muted:
                     current.append(c)
                 continue
             tag, key = c[0], key_of(c)
@@ -325,20 +328,20 @@ def main_text(page: str, rules: dict) -> str:
                 continue
             if tag in INLINE and tag not in ("img", "wbr"):
                 if not is_skipped(c):
-                    read(c, path, on, heading_only)
+                    read(c, path, on, heading_only, muted)
                 continue
             here = f"{path}/{key}"
             inner = on or here in roots
             only = heading_only
             if tag == "header" and inner or inner and "header" in names_of(key) and tag not in KEPT_WHOLE and tag not in DROPPED and "~hidden" not in key:
                 only = True
-            elif is_dropped(key) or here in dropped:
+            elif is_dropped(key):
                 continue
             if only and tag in HEADINGS:
                 only = False
             if inner:
                 flush()
-            read(c, here, inner, only)
+            read(c, here, inner, only, here in dropped)
             if inner:
                 flush()
 
@@ -347,14 +350,14 @@ def main_text(page: str, rules: dict) -> str:
     return "\n\n".join(blocks)
 
 
-WRAPPERS = "host string, salt int, wrapper string, places string, pages long"
+WRAPPERS = "host string, salt int, wrapper string, places string, pages long, known array<string>"
 
 
 class Host:
     """A host's wrapper and places so far; pages of a form that has been seen only add to the places."""
 
     def __init__(self) -> None:
-        self.wrapper, self.places, self.pages, self.seen = None, {}, 0, set()
+        self.wrapper, self.places, self.pages, self.seen, self.known = None, {}, 0, set(), set()
 
     def page(self, text: str) -> None:
         tree = parse(text)
@@ -368,14 +371,20 @@ class Host:
         places(tree, "#root", own)
         add_places(self.places, {k: (a, b, hash_text(h), d) for k, (a, b, h, d) in own.items()})
         self.pages += 1
+        self.know([hash_text(json.dumps(own))])
 
-    def add(self, wrapper: list, found: dict, pages: int) -> None:
+    def know(self, hashes: Iterable[str]) -> None:
+        """Keeps the smallest hashes of the pages' texts, as many as tell whether DISTINCT pages are distinct."""
+        self.known = set(sorted(self.known.union(hashes))[:DISTINCT])
+
+    def add(self, wrapper: list, found: dict, pages: int, known: Iterable[str]) -> None:
         self.wrapper = wrapper if self.wrapper is None else merged(self.wrapper, wrapper)
         add_places(self.places, {k: tuple(v) for k, v in found.items()})
         self.pages += pages
+        self.know(known)
 
     def row(self, host: str, salt: int) -> dict:
-        return {"host": host, "salt": salt, "wrapper": json.dumps(self.wrapper), "places": json.dumps(self.places), "pages": self.pages}
+        return {"host": host, "salt": salt, "wrapper": json.dumps(self.wrapper), "places": json.dumps(self.places), "pages": self.pages, "known": sorted(self.known)}
 
 
 def hash_text(text: str | None) -> str:
@@ -400,14 +409,14 @@ def wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         h = Host()
-        for w, found, pages in sorted(zip(pdf.wrapper, pdf.places, pdf.pages)):
-            h.add(json.loads(w), json.loads(found), int(pages))
+        for w, found, pages, known in sorted(zip(pdf.wrapper, pdf.places, pdf.pages, map(list, pdf.known))):
+            h.add(json.loads(w), json.loads(found), int(pages), known)
         return pd.DataFrame([h.row(pdf.host.iloc[0], int(pdf.salt.iloc[0]))])
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         r = join(pdf).iloc[0]
         w = json.loads(r.wrapper)
-        return pd.DataFrame([{"host": r.host, "rules": json.dumps(rules_of(w, json.loads(r.places), int(r.pages))), "expression": expression(w), "pages": r.pages}])
+        return pd.DataFrame([{"host": r.host, "rules": json.dumps(rules_of(w, json.loads(r.places), int(r.pages), len(r.known))), "expression": expression(w), "pages": r.pages}])
 
     parts = pages.select("host", "html").mapInPandas(fold, WRAPPERS)
     some = parts.groupBy("host", "salt").applyInPandas(join, WRAPPERS)

@@ -367,6 +367,20 @@ def test_html_roots_are_chosen_per_page(spark):
     assert [got[k + 10 * h].text for h in range(3) for k in range(5)] == list("abcde") * 3 and all(x.n_chars == 1 for x in got.values())
 
 
+def test_html_drops_only_constant_slots_of_distinct_pages(spark):
+    article = "<div>one</div><ul><li>two</li></ul><pre>three</pre><p>four</p>"
+    kinds = {
+        "a": lambda k: f"<body><article><section>Lead-in <p>own {k}</p></section></article></body>",
+        "b": lambda k: f"<body><article>{article}</article></body>",
+        "c": lambda k: f"<body>{article}</body>",
+        "d": lambda k: f"<body><div>Menu<p>z</p><pre>menu</pre><section>own {k}</section></div></body>",
+    }
+    rows = [(100 * i + k, f"http://{h}/{k}", f(k)) for i, (h, f) in enumerate(kinds.items()) for k in range(7)]
+    got = {x.page_id: x.text for x in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(7):
+        assert got[k] == f"Lead-in\n\nown {k}" and got[100 + k] == got[200 + k] == "one\n\ntwo\n\nthree\n\nfour" and got[300 + k] == f"z\n\nown {k}"
+
+
 def test_wrappers_generalise():
     trees = ["<div><h2>a</h2><p>x</p><p>y</p></div>", "<div><p>x</p></div>", "<div><h2>b</h2><p>x</p><hr><p>z</p><hr><p>q</p><hr></div>"]
     w = None
