@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -54,10 +55,24 @@ DISTINCT = 5
 
 
 def parse(page: str) -> list:
-    """The tree of a page: [tag, name, children], text as str.  name: class, id and role without digits, or None."""
+    """The tree of a page: [tag, name, children], text as str.  name: class, id and role without digits, or None.
+
+    Elements deeper than DEPTH stay open until their own end tags, but what is in them goes to the children of the last
+    element above, parted from its neighbours where they are no inline elements; what is_dropped() goes nowhere.
+    """
     root: list = ["#root", None, []]
     stack = [root]
+    # for each open element the nearest one from it outwards that is not inline; and how many of each tag are open
+    block, opened = [0], Counter()
     pos, n = 0, len(page)
+
+    def shut(k: int) -> None:
+        parts = any(x[0] not in INLINE for x in stack[max(k, DEPTH) :])
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:], block[k:]
+        if parts:
+            stack[-1][2].append(["div", None, []])
+
     while pos < n:
         m = _TOKEN.match(page, pos)
         pos = m.end()
@@ -68,29 +83,33 @@ def parse(page: str) -> list:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                shut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         attrs = m[3] if m[2] else m[6]
         if tag not in INLINE:
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k][0]
-                if t in CLOSED_BY_BLOCK or t in SIBLINGS.get(tag, ()):
-                    del stack[k:]
-                    break
-                if t not in INLINE and t not in CLOSED_BY_BLOCK:
-                    break
+            t = stack[block[-1]][0]
+            if t in CLOSED_BY_BLOCK or t in SIBLINGS.get(tag, ()):
+                shut(block[-1])
         name = None
         if attrs and "=" in attrs or "hidden" in (attrs or ""):
             name = _name(attrs)
         node = [tag, name, []]
-        stack[-1][2].append(node)
+        opens = tag not in VOID and tag not in RAW and not attrs.rstrip().endswith("/")
+        if opens and len(stack) >= DEPTH:
+            gone = is_skipped(node) if tag in INLINE else tag != "header" and is_dropped(key_of(node))
+            if tag not in INLINE:
+                stack[-1][2].append(["div", None, []])
+            if not gone:
+                node[2] = stack[-1][2]
+        else:
+            stack[-1][2].append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
             pos = close.end() if close else n
-        elif tag not in VOID and not attrs.rstrip().endswith("/") and len(stack) < DEPTH:
+        elif opens:
+            block.append(block[-1] if tag in INLINE else len(stack))
+            opened[tag] += 1
             stack.append(node)
     return root
 
@@ -427,8 +446,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """A row a page: page_id, url, text (its main text) and n_chars (code points).
 
     Null html is an empty page, whose text is empty; pages without url share the host ''.  Broken markup is repaired as
-    browsers do for the commonest faults (paragraphs and items close each other, stray end tags are ignored, elements
-    deeper than 120 join their parent).  White space inside a block becomes one blank.  Rows that repeat a page are read
+    browsers do for the commonest faults (paragraphs and items close each other, stray end tags are ignored, what is
+    in elements deeper than 120 joins the last element above).  White space inside a block becomes one blank.  Rows that repeat a page are read
     each.  Other columns are ignored; an empty table gives no rows.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))

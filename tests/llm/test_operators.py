@@ -381,6 +381,18 @@ def test_html_drops_only_constant_slots_of_distinct_pages(spark):
         assert got[k] == f"Lead-in\n\nown {k}" and got[100 + k] == got[200 + k] == "one\n\ntwo\n\nthree\n\nfour" and got[300 + k] == f"z\n\nown {k}"
 
 
+def test_html_deep_elements_close_only_themselves():
+    def text(page):
+        h = wrapper.Host()
+        h.page(page)
+        return wrapper.main_text(page, wrapper.rules_of(h.wrapper, h.places, h.pages, len(h.known)))
+
+    deep = lambda x, n=130: "<div>" * n + x + "</div>" * n
+    assert text(f"<body><div><article><p>a</p>{deep('b<p>c</p><nav>n</nav>d')}<p>e</p></article></div><p>f</p></body>") == "a\n\nb\n\nc\n\nd\n\ne"
+    assert text(f"<body>{deep('<article><p>a</p></article>')}<p>b</p></body>") == "a\n\nb"
+    assert text(f"<article>{deep('<div>a', 300)}</div>" + "</p></i>" * 9 + "<p>b<i>c</i></article>d") == "a\n\nbc"
+
+
 def test_wrappers_generalise():
     trees = ["<div><h2>a</h2><p>x</p><p>y</p></div>", "<div><p>x</p></div>", "<div><h2>b</h2><p>x</p><hr><p>z</p><hr><p>q</p><hr></div>"]
     w = None
