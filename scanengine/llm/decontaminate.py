@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanengine.llm.shared import lower_az, words_of, written
+from scanengine.llm.shared import lower_az, row_key, words_of, written
 
 RADIUS, BLOCKS, WIDTH, NEAR = 15, 4, 16, 3
 #: Item shingles up to this many (about 64 bytes each) are sent to every executor; more are joined by shuffling.
@@ -119,6 +119,7 @@ def leaks(docs: DataFrame, bench: DataFrame, percent: int = 80, shingle: int = 5
 
 
 def cleaned(docs: DataFrame, bench: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with their columns.  Rows without doc_id share one fate."""
-    found = leaks(docs.select("doc_id", "text"), bench, percent, shingle).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """The rows of docs that hold no benchmark item, with their columns.  Each row is judged by its own text."""
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    found = leaks(keyed, bench, percent, shingle).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(found, row_key() == F.col("_leak"), "left_anti")

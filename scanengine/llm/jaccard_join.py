@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from scanengine.llm import textvec as tv
 from scanengine.llm.components import components
 from scanengine.llm.exchange import Exchange, Families, stable
-from scanengine.llm.shared import written
+from scanengine.llm.shared import row_key, without, written
 
 _U = np.uint64
 #: Width of the hashes by which documents are counted; their own hashes keep 52 bits beside a count of 11.
 KEY_BITS = 44
-MEMBER = "doc_id long, n_shingles long, node long, prefix int, common int, keys array<long>"
+MEMBER = "doc_id long, n_shingles long, node long, prefix int, common int, keys array<long>, key long"
 
 
 def sets_of(table: pa.Table, shingle: int) -> tv.Words:
@@ -89,8 +89,9 @@ def members(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
                 pa.array(np.where(hopeful, prefix, 0).astype(np.int32)),
                 pa.array(np.where(hopeful, common, 0).astype(np.int32)),
                 lists,
+                table["key"].combine_chunks() if table.num_rows else pa.array([], pa.int64()),
             ],
-            ["doc_id", "n_shingles", "node", "prefix", "common", "keys"],
+            ["doc_id", "n_shingles", "node", "prefix", "common", "keys", "key"],
         )
 
     return written(Exchange(docs, families, [KEY_BITS]).each(work, MEMBER), "members")
@@ -107,8 +108,10 @@ def overlaps(pairs: DataFrame, fragments: DataFrame, count: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, percent: int = 80, shingle: int = 5, cuts: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(members, roots): a row a document (doc_id, n_shingles, node), and the smallest node that each linked node reaches."""
-    m = members(stable(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "documents"), percent, shingle)
+    """(members, roots): a row a document (doc_id, n_shingles, node, key), and the smallest node that each linked node
+    reaches."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("key"))
+    m = members(stable(rows, "documents"), percent, shingle)
     sets = written(
         m.where("prefix > 0").select("node", F.col("n_shingles").alias("n"), "prefix", "common", "keys").dropDuplicates(["node"]), "sets"
     )
@@ -180,10 +183,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; of rows that repeat it, one.
+    """docs with one row of each component, one of the smallest doc_id; rows without doc_id come after all others.
 
-    Documents without words stay, each as its own component; so do rows without doc_id that stand alone.
+    Rows that share a doc_id, or have none, are told apart by their texts; of rows that agree in both, one stays.
+    Documents without words stay, each as its own component.
     """
-    named = near_duplicates(docs, percent, shingle)
-    drop = named.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
+    m, roots = linked(docs, percent, shingle)
+    m = m.where("n_shingles > 0").select("doc_id", "key", "node")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    nodes = m.groupBy("node").agg(F.min(row).alias("least"))
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = placed.groupBy("root").agg(F.min("least").alias("first"))
+    stays = placed.join(first, "root").select(F.col("node").alias("_node"), "first")
+    stays = m.join(stays, F.col("node") == F.col("_node")).withColumn("stays", row == F.col("first"))
+    each = stays.groupBy("doc_id", "key", "stays").agg(F.count("*").alias("n")).where("not stays or n > 1")
+    each = written(each, "repeats")
+    left = without(docs, each.where("not stays"))
+    again = each.where("stays").select("doc_id", "key")
+    if again.isEmpty():
+        return left
+    same = F.col("doc_id").eqNullSafe(F.col("_again_id")) & (row_key() == F.col("_again_key"))
+    again_of = again.select(F.col("doc_id").alias("_again_id"), F.col("key").alias("_again_key"))
+    one = left.join(again_of, same).dropDuplicates(["_again_id", "_again_key"]).select(*docs.columns)
+    return without(left, again).unionByName(one)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from scanengine.llm import textvec as tv
 from scanengine.llm.labelled import id_text, ids_of, label_of, sample, summed
-from scanengine.llm.shared import written
+from scanengine.llm.shared import row_key, without, written
 
 _U = np.uint64
 BINS = 1 << 16
@@ -134,15 +134,8 @@ def kth_largest(scores: DataFrame, column: str, k: int, bins: int = 4096) -> flo
             return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, label: str = "quality", most: int = 100_000, seed: int = 7) -> DataFrame:
-    """A row a document: doc_id, n_words, log_ratio (mean a word), sample_key and kept.
-
-    keep: how many documents to draw; by default as many as have a log ratio on the good side of the threshold that
-    parts the labelled sample best (all that have words, if the sample lacks a label).  Null, empty and blank texts have
-    no weight and are never drawn.  Rows with equal doc_id and text have equal keys and are drawn alike, even beyond
-    keep.  Columns other than doc_id and text are ignored, as are labels of unknown documents.  An empty table gives no
-    rows.  The noise follows from doc_id, text and seed, so reruns agree.
-    """
+def drawn(docs: DataFrame, labels: DataFrame, keep: int | None, label: str, most: int, seed: int) -> DataFrame:
+    """What resample() gives, with each row's row_key() as key."""
     logs, (ids, y) = fit(docs, labels, label, most)
     held = (tv.mix(ids.astype(np.uint64)) % _U(4)) == 0
 
@@ -151,12 +144,12 @@ def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, label:
             mean, n = score_batch(batch.column(1), logs)
             y_of = label_of(ids_of(batch.column(0)), ids[held], y[held])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(mean), pa.array(y_of.astype(np.int32)), batch.column(2)],
-                ["doc_id", "n_words", "log_ratio", "label", "noise"],
+                [batch.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(mean), pa.array(y_of.astype(np.int32)), batch.column(2), batch.column(3)],
+                ["doc_id", "n_words", "log_ratio", "label", "noise", "key"],
             )
 
-    rows = docs.select("doc_id", "text", F.xxhash64(id_text(), F.coalesce("text", F.lit("")), F.lit(seed)).alias("noise"))
-    scored = rows.mapInArrow(score, "doc_id long, n_words long, log_ratio double, label int, noise long")
+    rows = docs.select("doc_id", "text", F.xxhash64(id_text(), F.coalesce("text", F.lit("")), F.lit(seed)).alias("noise"), row_key().alias("key"))
+    scored = rows.mapInArrow(score, "doc_id long, n_words long, log_ratio double, label int, noise long, key long")
     u = (F.shiftrightunsigned("noise", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     scored = scored.withColumn("sample_key", F.when(F.col("n_words") > 0, F.col("log_ratio") * SHARPNESS - F.log(-F.log(u))))
     scored = written(scored.drop("noise"), "scores")
@@ -166,11 +159,22 @@ def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, label:
         keep = scored.where((F.col("n_words") > 0) & (F.col("log_ratio") >= F.lit(float(least)))).count()
     edge = kth_largest(scored, "sample_key", keep)
     kept = F.lit(False) if edge is None else F.coalesce(F.col("sample_key") >= F.lit(edge), F.lit(False))
-    return scored.select("doc_id", "n_words", "log_ratio", "sample_key", kept.alias("kept"))
+    return scored.select("doc_id", "n_words", "log_ratio", "sample_key", kept.alias("kept"), "key")
+
+
+def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, label: str = "quality", most: int = 100_000, seed: int = 7) -> DataFrame:
+    """A row a document: doc_id, n_words, log_ratio (mean a word), sample_key and kept.
+
+    keep: how many documents to draw; by default as many as have a log ratio on the good side of the threshold that
+    parts the labelled sample best (all that have words, if the sample lacks a label).  Null, empty and blank texts have
+    no weight and are never drawn.  Rows with equal doc_id and text have equal keys and are drawn alike, even beyond
+    keep.  Columns other than doc_id and text are ignored, as are labels of unknown documents.  An empty table gives no
+    rows.  The noise follows from doc_id, text and seed, so reruns agree.
+    """
+    return drawn(docs, labels, keep, label, most, seed).drop("key")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 100_000, seed: int = 7) -> DataFrame:
-    """The rows of docs that resample() draws, with their columns.  Rows without doc_id are judged by their text as well:
-    one that any equal row keeps is kept."""
-    drop = resample(docs, labels, None, label, most, seed).where("not kept").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_drop")), "left_anti")
+    """The rows of docs that resample() draws, with their columns.  Each row is judged by its own doc_id and text; only
+    rows that agree in both share a fate."""
+    return without(docs, drawn(docs, labels, None, label, most, seed).where("not kept").select("doc_id", "key").distinct())

@@ -49,6 +49,17 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def row_key() -> Column:
+    """What tells rows of one doc_id, or of none, apart: a hash of doc_id and text.  Rows that agree in both agree in it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and row_key() are not in drop (doc_id, key)."""
+    gone = drop.select(F.col("doc_id").alias("_drop_id"), F.col("key").alias("_drop_key"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_drop_id")) & (row_key() == F.col("_drop_key")), "left_anti")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))

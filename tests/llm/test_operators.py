@@ -162,6 +162,31 @@ def test_jaccard_join_on_many_near_copies(spark):
     assert got == collections.Counter(brute_components(rows))
 
 
+def test_filters_judge_rows_and_not_ids(spark):
+    r = random.Random(12)
+    text = lambda n=40: " ".join(r.choice(WORDS) + r.choice(WORDS) + r.choice(WORDS) for _ in range(n))
+    a, b, c, leak = text(), text(), text(), text(12)
+    near = " ".join(a.split()[:-1])
+    schema = "doc_id long, text string, tag int"
+    ids = [None, None, None, 7, 7, 7]
+    rows = [(i, t, k) for k, (i, t) in enumerate(zip(ids, [a, a, near, b, b, c]))] + [(None, c, 6), (None, None, 7), (None, " ", 8), (None, " ", 9), (9, a, 10), (7, near, 11)]
+    kept = sorted((x.doc_id or 0, low(x.text)) for x in jaccard_join.one_of_each(spark.createDataFrame(rows, schema)).collect())
+    # a and near link: the smallest id, 7, keeps near; b and c stay once each
+    assert kept == sorted([(0, ""), (0, " "), (0, " "), (7, b), (7, c), (7, near)])
+    rows = [(None, a, 0), (None, a, 1), (None, near, 2), (None, b, 3)]
+    kept = [x.text for x in jaccard_join.one_of_each(spark.createDataFrame(rows, schema)).collect()]
+    assert len(kept) == 2 and b in kept
+    rows = [(i, t, k) for k, (i, t) in enumerate([(None, a), (None, f"{b} {leak} {c}"), (None, b), (7, leak), (7, c), (8, c)])]
+    got = {x.tag for x in decontaminate.cleaned(spark.createDataFrame(rows, schema), spark.createDataFrame([(1, leak)], "item_id long, text string")).collect()}
+    assert got == {0, 2, 4, 5}
+    junk = lambda: " ".join((r.choice(WORDS) + "!!!").upper() for _ in range(40))
+    rows = [(k, junk() if k % 5 == 0 else text(), k) for k in range(300)]
+    rows += [(None if k % 2 else 1000, junk() if k % 3 == 0 else text(), k) for k in range(300, 330)] + [(None, None, 330), (1000, " ", 331)]
+    labels = spark.createDataFrame([(k, int(k % 5 != 0)) for k in range(300)], "doc_id long, quality int")
+    got = {x.tag for x in quality.accepted(spark.createDataFrame(rows, schema), labels).collect()}
+    assert got == {k for k in range(300) if k % 5} | {k for k in range(300, 330) if k % 3}
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(40).selectExpr("id as a", "id + 1 as b")
     assert {(r.node, r.root) for r in components.components(links).collect()} == {(k, 0) for k in range(1, 41)}
