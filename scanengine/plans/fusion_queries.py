@@ -264,6 +264,13 @@ def j19(s, sf):
     return fuse.compare_volumes(volume(s, sf).where("bx = 0"), fuse.fuse(derived.scan(s, sf), b.where("bz <> 1"), CAMERA, COARSE, culled=False))
 
 
+@query("j19_all_blocks_check", fused_with(*C) + "SELECT DISTINCT bx, by, bz, CASE WHEN bz = 1 THEN 'absent' ELSE 'identical' END AS verdict FROM vo")
+def j19_all(s, sf):
+    """All blocks of a volume against the same blocks fused alone; one layer is left out of the second volume."""
+    b = blocks(s, sf)
+    return fuse.compare_volumes(volume(s, sf), fuse.fuse(derived.scan(s, sf), b.where("bz <> 1"), CAMERA, COARSE, culled=False))
+
+
 @query(
     "m2_dense_tsdf",
     scan_with(

@@ -65,6 +65,14 @@ def test_fusion_has_the_same_bits_however_it_is_cut(spark):
     assert bits(fuse.fuse_blocks(scan, plan, CAMERA, COARSE)) == want
 
 
+def test_whole_volumes_and_trees_are_checked(spark):
+    leaves = registry.queries()["v3_leaf_hashes"](spark, SF).count()
+    assert registry.queries()["v3_merkle_paths"](spark, SF).count() == leaves
+    checked = {(r.bx, r.by, r.bz) for r in registry.queries()["j19_all_blocks_check"](spark, SF).collect()}
+    seen = {(r.bx, r.by, r.bz) for r in registry.queries()["a1_fuse_blocks_arrow"](spark, SF).select("bx", "by", "bz").distinct().collect()}
+    assert checked == seen and len({x for x, _, _ in seen}) > 1
+
+
 def test_empty_scans_give_empty_results(spark):
     scan, plan = derived.scan(spark, SF), blocks(spark, SF)
     assert fuse.fuse(scan.where("1 = 0"), plan, CAMERA, COARSE).count() == 0
