@@ -286,6 +286,12 @@ def m2(s, sf):
     return fuse.fuse(derived.scan(s, sf), box, CAMERA, COARSE)
 
 
+@query("m4_auto_dense_tsdf", scan_with(plan_sql(*C), _BOX, eval_sql(*C, plan="bo"), volume_sql(0.4)) + "SELECT bx, by, bz, l, tsdf_sum, weight FROM vo")
+def m4(s, sf):
+    """A dense box of voxels with the bounds of the scan's own plan (M4)."""
+    return fuse.fuse(derived.scan(s, sf), candidate_box(blocks(s, sf)), CAMERA, COARSE)
+
+
 @query(
     "a27_traversal_receipts",
     fused_with(*C)

@@ -73,6 +73,12 @@ def test_whole_volumes_and_trees_are_checked(spark):
     assert checked == seen and len({x for x, _, _ in seen}) > 1
 
 
+def test_automatic_dense_box_holds_all_surface(spark):
+    dense = bits(registry.queries()["m4_auto_dense_tsdf"](spark, SF))
+    planned = bits(registry.queries()["a1_fuse_blocks_arrow"](spark, SF))
+    assert planned and planned.items() <= dense.items()
+
+
 def test_empty_scans_give_empty_results(spark):
     scan, plan = derived.scan(spark, SF), blocks(spark, SF)
     assert fuse.fuse(scan.where("1 = 0"), plan, CAMERA, COARSE).count() == 0
