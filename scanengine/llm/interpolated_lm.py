@@ -38,24 +38,30 @@ def tokens_of(table: pa.Table, bits: list[int]) -> Tokens:
     n = w.counts + 1
     first = np.concatenate([[0], np.cumsum(n)])
     h = np.full(first[-1], END, np.uint64)
-    last = first[1:] - 1
     inside = np.ones(len(h), bool)
-    inside[last] = False
+    inside[first[1:] - 1] = False
     h[inside] = w.hashes
-    doc = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(h)) - first[:-1][doc]
-    one = np.where(at >= 1, np.roll(h, 1), START)
-    two = np.where(at >= 2, np.roll(h, 2), START)
+    del w, inside
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    one, two = np.roll(h, 1), np.roll(h, 2)
+    begin = first[:-1]
+    one[begin] = two[begin] = START
+    two[(begin + 1)[n > 1]] = START
     pair = tv.combine(one, h)
+    triple = tv.combine(two, pair)
+    del one, two
     part = table["part"].to_numpy()[doc]
     flags = [part > 0, part == 2]
     out = Tokens()
     out.place = []
-    for k, key in enumerate((h, pair, tv.combine(two, pair))):
-        keys, back = np.unique(key >> _U(64 - bits[k]), return_inverse=True)
-        out.append((keys, [np.bincount(back, f, len(keys)).astype(np.uint64) for f in flags]))
-        out.place.append(back)
-    out.doc, out.at, out.n = doc, at, n
+    keyed = [h, pair, triple]
+    del h, pair, triple
+    for k in range(3):
+        keys, back = np.unique(keyed[k] >> _U(64 - bits[k]), return_inverse=True)
+        keyed[k] = None
+        out.append((keys, [np.bincount(back[f], minlength=len(keys)).astype(np.uint64) for f in flags]))
+        out.place.append(back.astype(np.int32))
+    out.doc, out.begin, out.n = doc, begin, n
     return out
 
 
@@ -77,8 +83,7 @@ def estimates(t: Tokens, counts: list[np.ndarray], n_tokens: int, n_texts: int)
     before the start come once a text."""
     c1, c2, c3 = (c.astype(np.float64)[place] for c, place in zip(counts, t.place))
     before1, before2 = np.roll(c1, 1), np.roll(c2, 1)
-    before1[t.at == 0] = n_texts
-    before2[t.at == 0] = n_texts
+    before1[t.begin] = before2[t.begin] = n_texts
     ratio = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b > 0)
     p = np.stack([ratio(c3, before2), ratio(c2, before1), c1 / max(1, n_tokens)])
     return Estimates(p, bucket_of(before2, before1))
@@ -117,17 +122,18 @@ def score(docs: DataFrame, parts: int = 10, held: int = 0, tuned: int = 1) -> Da
     """A row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Documents whose crc32 of doc_id as text, mod parts, is `held` are not learned from; those where it is `tuned` fit the
-    mixture.  Tokens are words in lower case (A-Z) and an end.  Null texts are empty: one token, the end.  An unknown
-    word has the probability of any unknown word, a share of one over the known words and one.  Rows that repeat a doc_id
-    count each.  Without training documents all probabilities are uniform.  An empty table gives no rows; columns other
+    mixture: their tokens are counted by bucket and by half powers of ten of the three estimates, so that
+    expectation-maximisation runs over a bounded table, whose cells stand for the mean estimates of their tokens.  Tokens
+    are words in lower case (A-Z) and an end.  Null texts are empty: one token, the end.  An unknown word has the
+    probability of any unknown word, a share of one over the known words and one.  Rows that repeat a doc_id count each.  Without training documents all probabilities are uniform.  An empty table gives no rows; columns other
     than doc_id and text are ignored.
     """
     f = fold(parts)
     part = F.when(f == held, 0).when(f == tuned, 2).otherwise(1).cast("int")
-    d = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), part.alias("part")), "documents")
+    d = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), part.alias("part"), (part == 2).cast("int").alias("lane")), "documents")
     width = key_bits(d)
     bits = [64, width, width]
-    exchange = Exchange(d, lambda table: tokens_of(table, bits), bits, unit_bytes=8 << 20)
+    exchange = Exchange(d, lambda table: tokens_of(table, bits), bits, lane="lane")
     n_all, v_all = exchange.totals(0, 0)
     n_tuned, _ = exchange.totals(0, 1)
     texts = {r["part"]: r["n"] for r in d.groupBy("part").agg(F.count("*").alias("n")).collect()}
@@ -135,11 +141,8 @@ def score(docs: DataFrame, parts: int = 10, held: int = 0, tuned: int = 1) -> Da
     uniform = 1.0 / (v_all + 1)
 
     def held_out_cells(table: pa.Table, t: Tokens, totals: list) -> pa.RecordBatch | None:
-        tune = table["part"].to_numpy()[t.doc] == 2
-        if not tune.any():
-            return None
         e = estimates(t, [c[0] - c[1] for c in totals], n_all - n_tuned, texts_kept)
-        p, bucket = e.p[:, tune], e.bucket[tune]
+        p, bucket = e.p, e.bucket
         with np.errstate(divide="ignore"):
             q = np.where(p > 0, np.minimum(1 + np.floor(-2 * np.log10(np.maximum(p, 1e-300))), STEPS - 1), 0).astype(np.int64)
         cell = ((bucket * STEPS + q[0]) * STEPS + q[1]) * STEPS + q[2]
@@ -147,7 +150,7 @@ def score(docs: DataFrame, parts: int = 10, held: int = 0, tuned: int = 1) -> Da
         sums = [np.bincount(back, x, len(cells)) for x in p]
         return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.bincount(back).astype(np.int64)), *map(pa.array, sums)], ["cell", "n", "a", "b", "c"])
 
-    found = exchange.each(held_out_cells, "cell long, n long, a double, b double, c double")
+    found = exchange.each(held_out_cells, "cell long, n long, a double, b double, c double", only=1)
     # a bounded histogram: BINS^2 * STEPS^3 cells at the most, whatever the input
     rows = found.groupBy("cell").agg(*[F.sum(x).alias(x) for x in ("n", "a", "b", "c")]).collect()
     weights = fit_mixture({r["cell"]: (r["n"], np.array([r["a"], r["b"], r["c"]])) for r in rows}, uniform)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from scanengine.llm import components, decontaminate, fingerprint, interpolated_lm, jaccard_join, linediff, mixing, quality, textvec, toxicity, warc, wrapper
+from scanengine.llm import components, decontaminate, exchange, fingerprint, interpolated_lm, jaccard_join, linediff, mixing, quality, textvec, toxicity, warc, wrapper
 
 WORDS = "ka lo mi ne pu ra si te vo wu xa ye zi ba do".split()
 DOCS = "doc_id long, text string, source string, lang string, size string, node string, removed_lines string"
@@ -262,6 +262,98 @@ def test_mixture_sums_to_one():
     assert np.allclose(w.sum(1), 1) and (w[0, :2] == 0).all() and (w[1, 0] == 0) and (w[9] > 0).all()
 
 
+def brute_scores(rows, weights_of):
+    """Each row's score by the definition: counts in dictionaries, a token at a time."""
+    part = lambda i: {0: 0, 1: 2}.get(zlib.crc32(("" if i is None else str(i)).encode()) % 10, 1)
+    texts = [(part(i), ["<", "<", *words(t), ">"]) for i, t in rows]
+
+    def table(kept):
+        c = [collections.Counter() for _ in range(3)]
+        for p, w in texts:
+            if p in kept:
+                for k in range(2, len(w)):
+                    c[0][w[k]] += 1
+                    c[1][w[k - 1], w[k]] += 1
+                    c[2][w[k - 2], w[k - 1], w[k]] += 1
+        n = sum(p in kept for p, _ in texts)
+        return c, n, sum(c[0].values())
+
+    def estimates(found, w, k):
+        (c1, c2, c3), n, total = found
+        before1 = n if k == 2 else c1[w[k - 1]]
+        before2 = n if k == 2 else c2[w[k - 2], w[k - 1]]
+        p = [c3[w[k - 2], w[k - 1], w[k]] / before2 if before2 else 0.0, c2[w[k - 1], w[k]] / before1 if before1 else 0.0, c1[w[k]] / max(1, total)]
+        return p, min(7, before2.bit_length()) * 8 + min(7, before1.bit_length())
+
+    fit, every = table({1}), table({1, 2})
+    uniform = 1 / (len(every[0][0]) + 1)
+    held = [estimates(fit, w, k) for p, w in texts if p == 2 for k in range(2, len(w))]
+    mixed = weights_of(held, uniform)
+    out = []
+    for _, w in texts:
+        total = 0.0
+        for k in range(2, len(w)):
+            p, b = estimates(every, w, k)
+            total += math.log10(sum(x * y for x, y in zip(mixed[b], [*p, uniform])))
+        out.append(total)
+    return out
+
+
+def binned(held, uniform):
+    """The weights that fit_mixture() gives for the held-out tokens' estimates, summed by cell."""
+    step = lambda x: 0 if x <= 0 else min(1 + math.floor(-2 * math.log10(x)), interpolated_lm.STEPS - 1)
+    cells = {}
+    for p, b in held:
+        cell = b
+        for x in p:
+            cell = cell * interpolated_lm.STEPS + step(x)
+        n, sums = cells.get(cell, (0, np.zeros(3)))
+        cells[cell] = (n + 1, sums + np.array(p))
+    return interpolated_lm.fit_mixture(cells, uniform)
+
+
+def test_language_model_scores_by_definition(docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = collections.Counter((i, round(x, 6)) for (i, _), x in zip(rows, brute_scores(rows, binned)))
+    assert collections.Counter((r.doc_id, round(r.score, 6)) for r in interpolated_lm.score(docs).collect()) == want
+
+
+def test_binned_estimates_cost_little(docs):
+    """Weights from each held-out token's own estimates, without cells, score about the same."""
+
+    def whole(held, uniform):
+        return interpolated_lm.fit_mixture({(b * interpolated_lm.STEPS**3 + k % interpolated_lm.STEPS**3): (1, np.array(p)) for k, (p, b) in enumerate(held[: interpolated_lm.STEPS**3])}, uniform)
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    a, b = sum(brute_scores(rows, binned)), sum(brute_scores(rows, whole))
+    assert abs(a - b) < 0.01 * abs(b)
+
+
+def test_exchange_counts_alike_by_every_route(spark):
+    r = random.Random(21)
+    rows = [(k, " ".join(r.choice(WORDS) + str(r.randrange(200)) for _ in range(r.randrange(60))), k % 3 % 2) for k in range(400)] + [(400, None, 0), (401, "", 1)]
+    d = exchange.stable(spark.createDataFrame(rows, "doc_id long, text string, lane int").repartition(5), "documents")
+    count = collections.Counter(w for _, t, _ in rows for w in words(t))
+    hashed = {int(textvec.words(pa.array([w])).hashes[0]): n for w, n in count.items()}
+
+    def families(table):
+        keys, n = np.unique(textvec.words(table["text"]).hashes, return_counts=True)
+        return [(keys, [n, n * 0 + 1])]
+
+    def work(table, own, totals):
+        return pa.RecordBatch.from_arrays([pa.array(own[0][0].view(np.int64)), pa.array(totals[0][0].astype(np.int64))], ["key", "n"])
+
+    for size, a_bucket, fan, lane in ((1 << 20, 10**6, 4096, None), (600, 40, 4096, None), (600, 40, 3, None), (600, 40, 3, "lane")):
+        x = exchange.Exchange(d, families, [64], unit_bytes=size, keys_a_bucket=a_bucket, fan_out=fan, lane=lane)
+        assert (fan > 4 or x.inner > 5) and x.totals(0, 0) == (sum(count.values()), len(count))
+        got = [(q.key % (1 << 64), q.n) for q in x.each(work, "key long, n long").collect()]
+        assert set(got) == set(hashed.items())
+        if lane:
+            lane_keys = {int(h) for _, t, k in rows if k for h in textvec.words(pa.array([t])).hashes}
+            assert {q.key % (1 << 64) for q in x.each(work, "key long, n long", only=1).collect()} == lane_keys
+    assert exchange.Exchange(d.where("1 = 0"), families, [64]).totals(0, 0) == (0, 0)
+
+
 def test_line_dedup(spark, docs):
     long = " ".join(f"p{k}" for k in range(30))
     more = " ".join(f"q{k}" for k in range(30))
