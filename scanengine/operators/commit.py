@@ -6,6 +6,7 @@ for each level, never the tree itself.
 
 from __future__ import annotations
 
+import bisect
 import math
 import struct
 import zlib
@@ -218,17 +219,19 @@ def audit_rows(spark, statement_digest: bytes, seed: bytes, rows: int, count: in
 
 
 def wrong_blocks_caught(blocks: int, drawn: int, one_in: int = 100) -> int:
-    """The least number of wrong blocks that a draw misses at most one time in `one_in`; exact, in whole numbers."""
-    if not 1 <= drawn <= blocks or one_in < 1:
+    """The least number of wrong blocks that a draw misses at most one time in `one_in`; exact, in whole numbers.
+
+    A draw of d of n blocks misses w wrong ones with probability (n-d)(n-d-1).../(n(n-1)...), w factors on each side; as w
+    and d may change places there, the shorter product will do.
+    """
+    if min(drawn, one_in) < 1 or drawn > blocks:
         raise ValueError("an audit draws at least one block and at most all")
-    every = math.comb(blocks, drawn)
-    wrong = range(1, blocks - drawn + 2)
-    lo, hi = 0, len(wrong) - 1
-    while lo < hi:
-        mid = (lo + hi) // 2
-        caught = one_in * math.comb(blocks - wrong[mid], drawn) <= every
-        lo, hi = (lo, mid) if caught else (mid + 1, hi)
-    return wrong[lo]
+
+    def caught(wrong: int) -> bool:
+        few, many = sorted((wrong, drawn))
+        return one_in * math.perm(blocks - many, few) <= math.perm(blocks, few)
+
+    return 1 + bisect.bisect_left(range(1, blocks - drawn + 1), True, key=caught)
 
 
 def evidence(e: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
+from scanengine.operators import vector
 
 BLOCK = ["bx", "by", "bz"]
 VOXEL = [*BLOCK, "l"]
@@ -128,34 +129,16 @@ def ordered_sum(order: str, value: str) -> Column:
 
 
 def fuse(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid, culled: bool = True) -> DataFrame:
-    """A1: (bx, by, bz, l, tsdf_sum, weight) of observed voxels; one shuffle, of contributions alone."""
-    c = contributions(scan, blocks, cam, grid, culled)
-    return c.groupBy(*VOXEL).agg(ordered_sum("seq", "delta").alias("tsdf_sum"), F.count("*").alias("weight"))
-
+    """A1: (bx, by, bz, l, tsdf_sum, weight) of observed voxels.
 
-def fuse_blocks(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid, culled: bool = True) -> DataFrame:
-    """A1 for scans of many frames: each block's contributions are added in NumPy, a frame at a time, in order.
-
-    The same bits as fuse(); memory is a block's contributions, without a row object for each.
+    A frame is evaluated where its image lies; one shuffle brings a row for each frame and block that it adds to, and sums
+    are made in the order of frames.  Without the cull, and for streams, contributions are rows of their own: the same
+    bits by built-in functions alone.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    def add(table: pa.Table) -> pa.Table:
-        seq, l, d = (table[c].to_numpy() for c in ("seq", "l", "delta"))
-        order = np.lexsort((l, seq))
-        seq, l, d = seq[order], l[order], d[order]
-        total, weight = np.zeros(512), np.zeros(512, np.int64)
-        cut = np.flatnonzero(np.diff(seq, prepend=seq[0] - 1))
-        for i, j in zip(cut, [*cut[1:], len(seq)]):
-            total[l[i:j]] += d[i:j]  # a voxel comes once a frame
-            weight[l[i:j]] += 1
-        k = np.flatnonzero(weight)
-        key = [pa.array([table[c][0].as_py()] * len(k), pa.int32()) for c in BLOCK]
-        return pa.table([*key, pa.array(k.astype(np.int32)), pa.array(total[k]), pa.array(weight[k])], names=[*VOXEL, "tsdf_sum", "weight"])
-
+    if culled and not scan.isStreaming:
+        return vector.folded(vector.packed_contributions(scan, blocks, cam, grid))
     c = contributions(scan, blocks, cam, grid, culled)
-    return c.groupBy(*BLOCK).applyInArrow(add, "bx int, by int, bz int, l int, tsdf_sum double, weight long")
+    return c.groupBy(*VOXEL).agg(ordered_sum("seq", "delta").alias("tsdf_sum"), F.count("*").alias("weight"))
 
 
 def status_histogram(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid) -> DataFrame:
@@ -169,11 +152,8 @@ def status_histogram(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.
         F.when(~F.col("has_depth") & ~F.col("has_pose"), STATUSES[0]).when(~F.col("has_depth"), STATUSES[1]).otherwise(STATUSES[2]).alias("status")
     )
     whole = lacking.groupBy("status").count().crossJoin(n).select("status", (F.col("count") * F.col("voxels")).alias("n"))
-    p = culled_pairs(pairs_of(scan, blocks), cam, grid).select("verdict")
-    settled = p.where("verdict = 'behind'").groupBy(F.lit(STATUSES[4]).alias("status")).agg((F.count("*") * 512).alias("n"))
-    settled = settled.unionByName(p.where("verdict = 'outside'").groupBy(F.lit(STATUSES[6]).alias("status")).agg((F.count("*") * 512).alias("n")))
-    some = evaluated(scan, blocks, cam, grid).groupBy("status").agg(F.count("*").alias("n"))
-    return whole.unionByName(settled).unionByName(some).groupBy("status").agg(F.sum("n").alias("n"))
+    some = vector.status_counts(scan, blocks, cam, grid).select(F.get(F.array(*map(F.lit, STATUSES)), F.col("code")).alias("status"), "n")
+    return whole.unionByName(some).groupBy("status").agg(F.sum("n").alias("n"))
 
 
 def volume_report(volume: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -184,14 +164,14 @@ def volume_report(volume: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def cross_view(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid) -> DataFrame:
-    """Each planned voxel's verdict over all frames: surface, else free-space, else occluded, else unseen."""
-    e = evaluated(scan, blocks, cam, grid).where("sd is not null")
-    t = g.lit(grid.truncation)
-    kind = F.when(F.col("sd") < -t, 1).when(F.col("sd") <= t, 3).otherwise(2)
-    best = e.groupBy(*VOXEL).agg(F.max(kind).alias("k"))
-    every = blocks.select(*BLOCK, F.explode(F.sequence(F.lit(0), F.lit(511))).alias("l"))
-    name = F.when(F.col("k") == 3, "surface").when(F.col("k") == 2, "free-space").when(F.col("k") == 1, "occluded").otherwise("unseen")
-    return every.join(best, VOXEL, "left").select(*VOXEL, name.alias("verdict"))
+    """Each planned voxel's verdict over all frames: surface, else free-space, else occluded, else unseen.
+
+    Tasks keep the best sample of each voxel of the blocks that their frames see, 512 bytes a block; those are spread into
+    voxels only after the blocks met.
+    """
+    v = vector.best_of_voxels(scan, blocks, cam, grid)
+    name = F.get(F.array(*map(F.lit, ("unseen", "occluded", "free-space", "surface"))), F.col("kind"))
+    return v.select(*VOXEL, name.alias("verdict"))
 
 
 def sampling(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid) -> DataFrame:
@@ -203,8 +183,7 @@ def sampling(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid) ->
 
 def observed_blocks(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid) -> DataFrame:
     """Candidate blocks in which some voxel contributes (F4's approval)."""
-    e = evaluated(scan, blocks, cam, grid)
-    return e.groupBy(*BLOCK).agg(F.max(F.col("status") == "contributes").alias("observed")).where("observed").select(*BLOCK)
+    return vector.contributing(scan, blocks, cam, grid).distinct()
 
 
 def depth_tiles(px: DataFrame, cam: g.Camera, side: int = 8) -> DataFrame:

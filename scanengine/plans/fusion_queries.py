@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
-from scanengine.operators import fuse, plan
+from scanengine.operators import fuse, plan, vector
 from scanengine.plans.common import registrar
 from scanengine.plans.scan_sql import block_sql, d, eval_sql, fused_with, plan_sql, scan_with, volume_sql
 from scanengine.sources import derived
@@ -42,7 +42,8 @@ def a1(s, sf):
 
 @query("a1_fuse_blocks_arrow", fused_with(*C) + "SELECT bx, by, bz, l, tsdf_sum, weight FROM vo")
 def a1_blocks(s, sf):
-    return fuse.fuse_blocks(derived.scan(s, sf), blocks(s, sf), CAMERA, COARSE)
+    """Packed contributions, a row for each frame and block, folded in Arrow batches."""
+    return vector.folded(vector.packed_contributions(derived.scan(s, sf), blocks(s, sf), CAMERA, COARSE))
 
 
 @query("m1_point_cloud", scan_with() + "SELECT seq, u, v, wx, wy, wz FROM pt")

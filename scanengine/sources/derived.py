@@ -6,6 +6,8 @@ angle (0.6, 0.8), so both engines agree on every bit.  Some frames lack a pose o
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,11 +62,17 @@ def with_poses(seq: DataFrame) -> DataFrame:
 
 
 def depth_images(px: DataFrame, cam: Camera = CAMERA) -> DataFrame:
-    """(seq, depth): a row-major array a frame, 0 where there is no reading."""
-    at = (F.col("v") * cam.width + F.col("u")).alias("i")
-    packed = px.select("seq", F.struct(at, F.col("raw").cast("int").alias("raw")).alias("p")).groupBy("seq").agg(F.map_from_entries(F.collect_list("p")).alias("p"))
-    whole = F.transform(F.sequence(F.lit(0), F.lit(cam.width * cam.height - 1)), lambda i: F.coalesce(F.try_element_at("p", i), F.lit(0)))
-    return packed.select("seq", whole.alias("depth"))
+    """(seq, depth): a row-major array a frame, 0 where there is no reading.  Readings are put in their places, so a frame
+    costs as much as it has pixels."""
+    size = cam.width * cam.height
+
+    def image(table: pa.Table) -> pa.Table:
+        out = np.zeros(size, np.int32)
+        out[table["i"].to_numpy()] = table["raw"].to_numpy()
+        return pa.table({"seq": table["seq"][:1], "depth": pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(out))})
+
+    at = px.select("seq", (F.col("v") * cam.width + F.col("u")).alias("i"), F.col("raw").cast("int").alias("raw"))
+    return at.groupBy("seq").applyInArrow(image, "seq long, depth array<int>")
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,16 +92,27 @@ def test_nanoseconds_round_halves_to_even(spark):
     assert [r.n for r in rows] == [1_000_000_000, 1_000_000_002, 100_000_000]
 
 
-def test_rays_pass_the_blocks_that_samples_find():
+def paths(spark, segments, extent):
+    rows = spark.createDataFrame([(k, *map(float, a), *map(float, b)) for k, (a, b) in enumerate(segments)], "k long, ax double, ay double, az double, zx double, zy double, zz double")
+    got = rays.with_path(rows, ("ax", "ay", "az"), ("zx", "zy", "zz"), extent).orderBy("k").collect()
+    return [[tuple(p) for p in r.path] for r in got]
+
+
+def test_rays_pass_the_blocks_that_samples_find(spark):
     r = random.Random(9)
-    for _ in range(200):
-        a, b = ([r.uniform(-3, 3) for _ in range(3)] for _ in range(2))
-        path = rays.blocks_on_segment(tuple(a), tuple(b), 0.8)
+    segments = [tuple([r.uniform(-3, 3) for _ in range(3)] for _ in range(2)) for _ in range(200)]
+    for (a, b), path in zip(segments, paths(spark, segments, 0.8)):
         assert all(max(abs(x - y) for x, y in zip(p, q)) == 1 for p, q in zip(path, path[1:]))
+        assert path[-1] == tuple(math.floor(c / 0.8) for c in b)
         for k in range(300):
             p = [x + (y - x) * k / 299 for x, y in zip(a, b)]
             assert tuple(math.floor(c / 0.8) for c in p) in path
-    assert rays.blocks_on_segment((0.5, 0.5, 0.5), (2.5, 2.5, 0.5), 1.0) == [(0, 0, 0), (1, 1, 0), (2, 2, 0)]
+
+
+def test_rays_through_corners_along_axes_and_backwards(spark):
+    segments = [((0.5, 0.5, 0.5), (2.5, 2.5, 0.5)), ((2.5, 2.5, 0.5), (0.5, 0.5, 0.5)), ((0.5, 0.5, 0.5), (0.5, 0.5, -1.5)), ((0.2, 0.2, 0.2), (0.2, 0.2, 0.2)), ((0.5, 0.5, 0.5), (2.0, 0.5, 0.5))]
+    want = [[(0, 0, 0), (1, 1, 0), (2, 2, 0)], [(2, 2, 0), (1, 1, 0), (0, 0, 0)], [(0, 0, 0), (0, 0, -1), (0, 0, -2)], [(0, 0, 0)], [(0, 0, 0), (1, 0, 0), (2, 0, 0)]]
+    assert paths(spark, segments, 1.0) == want
 
 
 def test_route_chain_is_a_line_of_cells(spark):

@@ -5,7 +5,9 @@ from pathlib import Path
 
 import pytest
 
-from scanengine.operators import fuse
+from pyspark.sql import functions as F
+
+from scanengine.operators import fuse, vector
 from scanengine.plans import registry
 from scanengine.plans.fusion_queries import COARSE, blocks
 from scanengine.sources import derived
@@ -62,7 +64,29 @@ def test_fusion_has_the_same_bits_however_it_is_cut(spark):
     for n in (1, 7):
         assert bits(fuse.fuse(scan.repartition(n), plan, CAMERA, COARSE)) == want
     assert bits(fuse.fuse(scan, plan, CAMERA, COARSE, culled=False)) == want
-    assert bits(fuse.fuse_blocks(scan, plan, CAMERA, COARSE)) == want
+    rows = fuse.contributions(scan, plan, CAMERA, COARSE)
+    assert bits(rows.groupBy(*fuse.VOXEL).agg(fuse.ordered_sum("seq", "delta").alias("tsdf_sum"), F.count("*").alias("weight"))) == want
+    vector.MOST_SENT, whole = 40, vector.MOST_SENT
+    try:
+        assert bits(fuse.fuse(scan, plan, CAMERA, COARSE)) == want
+    finally:
+        vector.MOST_SENT = whole
+
+
+def test_evaluation_in_numpy_agrees_with_columns(spark):
+    scan, plan = derived.scan(spark, SF).cache(), blocks(spark, SF).cache()
+    e = fuse.evaluated(scan, plan, CAMERA, COARSE, culled=False).cache()
+    code = {n: k for k, n in enumerate(fuse.STATUSES)}
+    want = {(r.seq, code[r.status]): r["count"] for r in e.groupBy("seq", "status").count().collect()}
+    assert {(r.seq, r.code): r.n for r in vector.status_counts(scan, plan, CAMERA, COARSE).collect()} == want
+    t = F.lit(float(COARSE.truncation))
+    kind = F.when(F.col("sd") < -t, 1).when(F.col("sd") <= t, 3).when(F.col("sd") > t, 2).otherwise(0)
+    want = {tuple(r) for r in e.groupBy(*fuse.VOXEL).agg(F.max(kind)).collect()}
+    assert {tuple(r) for r in vector.best_of_voxels(scan, plan, CAMERA, COARSE).collect()} == want
+    few = vector.best_kinds(scan, plan, CAMERA, COARSE, flush=70).groupBy(*fuse.BLOCK).count().collect()
+    assert any(r["count"] > 1 for r in few)
+    want = {tuple(r) for r in e.where("status = 'contributes'").select(*fuse.BLOCK).distinct().collect()}
+    assert {tuple(r) for r in fuse.observed_blocks(scan, plan, CAMERA, COARSE).collect()} == want
 
 
 def test_whole_volumes_and_trees_are_checked(spark):
