@@ -1,10 +1,15 @@
 """Benchmark decontamination: item-sized windows by SimHash, multi-index Hamming blocks, and exact verification.
 
-A window and an item of similarity above nothing share a shingle, so windows are laid where a document's shingle meets an
-item's, as long as the item and aligned with it.  Each window and item gets a 64-bit SimHash of its words.  The hashes are
-cut into four blocks of 16 bits; two hashes at most 15 bits apart agree within 3 bits in some block, so items filed under
-every value within 3 bits of each block meet all windows within the radius.  What meets is verified by the exact weighted
-similarity of its shingles.  Built-in functions alone.
+Of all windows as long as an item, those get a fingerprint that can be alike enough.  Of N shingles each, `percent` percent
+alike, an item and a window share 2 N percent / (100 + percent) at least; so many places of the window hold shingles of items
+of its size.  And a window whose first place holds none is no more alike than the one a word further on, so of each item's
+best windows the last begins at such a place, or ends where the document ends.  Both follow from the places where a
+document holds shingles of items of one size, without regard to which items those are: that is left to the fingerprints.
+
+Each window and item gets a 64-bit SimHash of its words.  The hashes are cut into four blocks of 16 bits; two hashes at most
+15 bits apart agree within 3 bits in some block, so items filed under every value within 3 bits of each block meet all
+windows within the radius.  What meets is verified by the exact weighted similarity of its shingles.  Built-in functions
+alone.
 """
 
 from __future__ import annotations
@@ -40,39 +45,35 @@ def items_of(bench: DataFrame, shingle: int) -> DataFrame:
     return b.withColumn("fp", simhash("h")).drop("h")
 
 
-def windows(docs: DataFrame, items: DataFrame, shingle: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, start, n, k, words): the item-sized windows that begin where a run of an item's shingles fixes them."""
-    out = None
+def windows(docs: DataFrame, items: DataFrame, percent: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, start, n, k, words): the item-sized windows that can be `percent` percent alike to an item of their size.
+
+    Places of shared shingles are gathered by document, which the tasks that find them hold whole; words are cut out of
+    the documents that have such windows by a second pass over them.
+    """
+    names = F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b")
+    words = words_of(lower_az(F.col("text"))).alias("words")
+    laid = None
     for (k,) in sorted(items.select("k").distinct().collect()):
-        runs = items.where(F.col("k") == k).select("n", "shingles", F.posexplode("shingles").alias("o", "s"))
-        runs = runs.select("n", "o", "s", F.get("shingles", F.col("o") - 1).alias("before")).distinct()
-        d = docs.select("doc_id", words_of(lower_az(F.col("text"))).alias("words"))
-        small = runs.count() <= broadcast_rows
-        if not small:
-            d = d.withColumn("rid", F.xxhash64("doc_id", "words"))
-        # words ride along unmoved as long as this stage stays in generated code, so nothing with a lambda is in it
-        at = d.select("*", F.explode(F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))).alias("i"))
-
-        def here(j: Column, words: Column = F.col("words"), k: int = k) -> Column:
-            return F.xxhash64(F.array(*[F.get(words, j + t) for t in range(k)]))
-
-        at = at.withColumn("s", here(F.col("i")))
-        if not small:
-            at = at.withColumn("previous", F.when(F.col("i") > 0, here(F.col("i") - 1))).withColumn("m", F.size("words")).drop("words")
-            met = at.join(runs, "s")
-        else:
-            met = at.join(F.broadcast(runs), "s").withColumn("m", F.size("words"))
-            met = met.withColumn("previous", F.when(F.col("i") > 0, here(F.col("i") - 1)))
-        # a run of shared shingles fixes one window: its first
-        met = met.where(F.col("before").isNull() | F.col("previous").isNull() | (F.col("before") != F.col("previous")))
-        start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("o"), F.col("m") - F.col("n")))
-        met = met.withColumn("start", start)
-        if not small:
-            met = met.select("doc_id", "rid", "start", "n").distinct()
-            met = met.join(d.select("rid", "words").dropDuplicates(["rid"]), "rid")
-        got = met.select("doc_id", "start", "n", F.lit(k).alias("k"), F.slice("words", F.col("start") + 1, F.col("n")).alias("words")).distinct()
-        out = got if out is None else out.unionByName(got)
-    return out
+        # a table, so that a join that shuffles can split the holders of a very common shingle
+        keys = written(items.where(F.col("k") == k).select("n", F.explode("shingles").alias("s")).distinct(), "item-shingles")
+        # words stay in this stage as long as it stays in generated code, so nothing with a lambda is in it
+        d = docs.select(*names, words)
+        at = d.select("a", "b", "words", F.size("words").alias("m"), F.explode(F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))).alias("i"))
+        at = at.select("a", "b", "m", "i", F.xxhash64(F.array(*[F.get("words", F.col("i") + t) for t in range(k)])).alias("s"))
+        met = at.join(F.broadcast(keys) if keys.count() <= broadcast_rows else keys, "s")
+        held = met.groupBy("a", "b", "m", "n").agg(F.array_sort(F.collect_set("i")).alias("at"))
+        theirs, ours = F.col("n") - k + 1, F.least("n", "m") - k + 1
+        need = F.ceil(F.lit(percent) * (theirs + ours) / (100 + percent)).cast("int")
+        held = held.select("*", need.alias("need"), ours.alias("ours"), F.greatest(F.lit(0), F.col("m") - F.col("n")).alias("last"))
+        begun = F.filter("at", lambda x, j: (x <= F.col("last")) & (F.get("at", j + F.col("need") - 1) < x + F.col("ours")))
+        ended = F.when(F.get("at", F.size("at") - F.col("need")) >= F.col("last"), F.array("last")).otherwise(F.array().cast("array<int>"))
+        some = held.select("a", "b", "n", F.lit(k).alias("k"), F.explode(F.array_union(begun, ended)).alias("start"))
+        laid = some if laid is None else laid.unionByName(some)
+    if laid is None:
+        return None
+    laid = written(laid, "places")
+    return docs.select("doc_id", *names, words).join(laid, ["a", "b"]).select("doc_id", "start", "n", "k", F.slice("words", F.col("start") + 1, F.col("n")).alias("words")).distinct()
 
 
 def within_radius(found: DataFrame, items: DataFrame) -> DataFrame:
@@ -93,13 +94,13 @@ def leaks(docs: DataFrame, bench: DataFrame, percent: int = 80, shingle: int = 5
     """A row for each document and benchmark item it holds: doc_id, item_id, start (in words), n_words, hamming, similarity.
 
     The similarity weighs each shingle by how often it comes: the sum of the smaller counts over the sum of the larger.
-    It is of the best window, of equals the first.  Words are compared in lower case (A-Z).  Null and blank texts and
+    It is of the best window, of equals the last.  Words are compared in lower case (A-Z).  Null and blank texts and
     items are never found; an item of fewer than `shingle` words is one shingle and found where it stands whole.  A
     document shorter than an item is one window.  Rows that repeat doc_id count as one document, items that repeat
     item_id as one item.  Other columns are ignored; empty tables give no rows.
     """
     items = written(items_of(bench, shingle), "items")
-    found = windows(docs, items, shingle)
+    found = windows(docs, items, percent)
     if found is None:
         schema = "doc_id long, item_id long, start int, n_words int, hamming int, similarity double"
         return docs.sparkSession.createDataFrame([], schema)
@@ -107,14 +108,17 @@ def leaks(docs: DataFrame, bench: DataFrame, percent: int = 80, shingle: int = 5
     found = written(found, "windows").withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     found = found.withColumn("fp", simhash("h")).drop("h")
     met = within_radius(found, items).join(items.select("item_id", F.col("fp").alias("item_fp"), F.col("shingles").alias("theirs")), ["item_id", "item_fp"])
-    met = met.withColumn("ours", shingle_hashes(F.col("words"), F.col("k")))
-    count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    shared = F.aggregate(F.array_distinct("ours"), F.lit(0), lambda acc, x: acc + F.least(count(F.col("ours"), x), count(F.col("theirs"), x)))
-    met = met.withColumn("shared", shared).withColumn("all", F.size("ours") + F.size("theirs") - F.col("shared"))
+    met = met.withColumn("pair", F.xxhash64("doc_id", "start", "words", "item_id", "item_fp"))
+    met = written(met.select("pair", "doc_id", "item_id", "start", "n", "hamming", "theirs", shingle_hashes(F.col("words"), F.col("k")).alias("ours")).dropDuplicates(["pair"]), "candidates")
+    # how often each shingle comes on either side, counted apart: linear in an item's length
+    count = lambda c: met.select("pair", F.explode(c).alias("x")).groupBy("pair", "x").agg(F.count("*").alias(c))
+    shared = count("ours").join(count("theirs"), ["pair", "x"]).groupBy("pair").agg(F.sum(F.least("ours", "theirs")).alias("shared"))
+    met = met.select("pair", "doc_id", "item_id", "start", "n", "hamming", (F.size("ours") + F.size("theirs")).alias("sizes")).join(shared, "pair")
+    met = met.withColumn("all", F.col("sizes") - F.col("shared"))
     met = met.where(F.col("shared") * 100 >= F.lit(percent) * F.col("all")).withColumn("similarity", F.col("shared") / F.col("all"))
-    best = met.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n", (-F.col("hamming")).alias("d"))).alias("b"))
+    best = met.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", F.col("start").alias("s"), "n", (-F.col("hamming")).alias("d"))).alias("b"))
     return best.select(
-        "doc_id", "item_id", (-F.col("b.s")).alias("start"), F.col("b.n").alias("n_words"), (-F.col("b.d")).alias("hamming"), F.col("b.similarity").alias("similarity")
+        "doc_id", "item_id", F.col("b.s").alias("start"), F.col("b.n").alias("n_words"), (-F.col("b.d")).alias("hamming"), F.col("b.similarity").alias("similarity")
     )
 
 

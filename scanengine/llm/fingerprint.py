@@ -67,19 +67,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(F.lit(0.0), estimate))
 
 
-def bucket_by_range(df: DataFrame, column: str, rows_a_bucket: int = 2000, most: int = 16384) -> tuple[Column, int]:
-    """A column that numbers ranges of `column` in descending order, null last, and how many there are at most.
+def bucket_by_range(df: DataFrame, column: str, rows_a_bucket: int = 2000, most: int = 16384) -> tuple[Column, Column]:
+    """(bucket, crowded): a column that numbers ranges of `column` in descending order, null last, and whether a row's value
+    has a range to itself because it comes so often.
 
-    The bounds are quantiles, at most `most` of them whatever the input; a row finds its range by two short searches.
+    The bounds are quantiles, at most `most` of them whatever the input; a row finds its range by two short searches.  A
+    value that is a bound twice or more holds more rows than a range should, as may null.
     """
     n = df.count()
     want = max(1, min(most, n // rows_a_bucket))
     at = [k / want for k in range(1, want)]
     found = df.select(F.percentile_approx(column, at, 20 * want + 100).alias("q")).first()["q"] if at else []
-    bounds = sorted(set(found or []), reverse=True)
+    found = found or []
+    bounds = sorted(set(found), reverse=True)
+    often = [x for x in bounds if found.count(x) > 1] if len(bounds) < len(found) else []
     wide = 128
     coarse, fine = bounds[::wide], [bounds[k : k + wide] for k in range(0, len(bounds), wide)]
     value = F.col(column)
+    crowded = F.coalesce(value.isin(often), F.lit(False)) if often else F.lit(False)
     if not bounds:
         bucket = F.lit(0)
     else:
@@ -87,30 +92,38 @@ def bucket_by_range(df: DataFrame, column: str, rows_a_bucket: int = 2000, most:
         block = F.greatest(F.lit(0), above(F.array(*[F.lit(x) for x in coarse])) - 1)
         table = F.array(*[F.array(*[F.lit(x) for x in part]) for part in fine])
         bucket = block * wide + above(F.get(table, block))
-    return F.when(value.isNull(), F.lit(len(bounds) + 1)).otherwise(bucket).cast("int"), len(bounds) + 2
+    # a crowded value is the least of its range, so it may follow the rest of it
+    bucket = bucket * 2 + crowded.cast("int")
+    return F.when(value.isNull(), F.lit(2 * len(bounds) + 2)).otherwise(bucket).cast("long"), crowded | value.isNull()
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def with_next(docs: DataFrame, key: str, carried: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda d: d, parts: int = 256) -> DataFrame:
     """prepare(docs) and next_<name> for each carried column: its value in the next row by descending key, after the last
     the first.
 
-    Rows with equal keys are ordered by the hash of what they carry.  One shuffle: rows meet in ranges of keys, and only
-    the first row of each range is sent to the range before it; it is prepared apart, for those rows alone.
+    Rows with equal keys are ordered by the hash of the first carried column, which docs must hold.  One shuffle: rows meet
+    in ranges of keys, those of a key that fills a range, or of none, in `parts` ranges of that hash.  Only the first row
+    of each range is sent to the range before it; it is prepared apart, for those rows alone.
     """
-    bucket, _ = bucket_by_range(docs.select(key), key)
-    d = prepare(docs.withColumn("_bucket", bucket)).withColumn("_tie", F.xxhash64(*carried))
+    bucket, crowded = bucket_by_range(docs.select(key), key)
+    tie = F.xxhash64(carried[0])
+    # hashes from the least to the largest: the top eight bits with the sign turned
+    piece = F.when(crowded, F.shiftright(tie, 56) + 128).otherwise(0) % parts
+    keyed = docs.withColumn("_tie", tie).withColumn("_bucket", bucket * 256 + piece)
+    d = prepare(keyed)
     order = Window.partitionBy("_bucket").orderBy(F.col(key).desc_nulls_last(), "_tie")
     inside = d.select("*", *[F.lead(c).over(order).alias(f"_in_{c}") for c in carried], F.lead(F.lit(1)).over(order).alias("_has"))
-    heads = docs.select(key).withColumn("_bucket", bucket).groupBy("_bucket").agg(F.max(key).alias("_head"))
+    # the largest key and, of its rows, the least hash
+    heads = keyed.groupBy("_bucket").agg(F.max(F.struct(F.col(key), F.bitwise_not("_tie").alias("t"))).alias("_h"))
     by = Window.orderBy("_bucket")
-    heads = heads.withColumn("_prev", F.coalesce(F.lag("_bucket").over(by), F.max("_bucket").over(Window.partitionBy())))
-    # a row for each range, at most 16386
-    found = docs.join(F.broadcast(heads.select("_head", "_prev")), F.col(key).eqNullSafe(F.col("_head")))
-    first = prepare(found).withColumn("_tie", F.xxhash64(*carried))
-    best = Window.partitionBy("_prev").orderBy("_tie")
-    first = first.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(
-        F.col("_prev").alias("_bucket"), *[F.col(c).alias(f"_out_{c}") for c in carried]
+    heads = heads.select(
+        F.col(f"_h.{key}").alias("_head"), F.bitwise_not(F.col("_h.t")).alias("_head_tie"), F.coalesce(F.lag("_bucket").over(by), F.max("_bucket").over(Window.partitionBy())).alias("_prev")
     )
+    # a row for each range: at most twice the bounds, and `parts` for each crowded value and null
+    found = keyed.drop("_bucket").join(F.broadcast(heads), F.col(key).eqNullSafe(F.col("_head")) & (F.col("_tie") == F.col("_head_tie")))
+    # rows that agree in key and hash carry the same, so any of them will do
+    one = found.groupBy("_prev").agg(*[F.first(c).alias(c) for c in docs.columns])
+    first = prepare(one).select(F.col("_prev").alias("_bucket"), *[F.col(c).alias(f"_out_{c}") for c in carried])
     joined = inside.join(first, "_bucket", "left")
     chosen = [F.when(F.col("_has").isNotNull(), F.col(f"_in_{c}")).otherwise(F.col(f"_out_{c}")).alias(f"next_{c}") for c in carried]
     return joined.select(*[c for c in d.columns if c not in ("_bucket", "_tie")], *chosen)

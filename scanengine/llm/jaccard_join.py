@@ -152,11 +152,15 @@ def linked(docs: DataFrame, percent: int = 80, shingle: int = 5, cuts: int = 8)
     roots = components(links)
     # keys whose holders lie in different components: every pair across components is compared
     placed = holders.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = written(placed.join(split, "key", "left_semi"), "rest")
-    one, two = (rest.select("key", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "root")]) for x in "ab")
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("holders")).where("lo <> hi")
+    # a key's holders are cut into parts of about 256, each of which meets all holders in a task of its own
+    split = split.select("key", F.ceil(F.col("holders") / 256).cast("int").alias("parts"))
+    rest = written(placed.join(split, "key"), "rest")
+    one, two = (rest.select("key", "parts", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "root")]) for x in "ab")
+    one = one.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    two = two.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     fits = may_link(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"))
-    across = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits)
+    across = one.join(two, ["key", "part"]).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits)
     across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = checked(across, "linked")
     if more.isEmpty():

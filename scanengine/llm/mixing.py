@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanengine.llm.shared import WORD, running_start
+from scanengine.llm.shared import WORD, running_start, written
 
 #: Slots follow (i * STEP mod 2^31) / 2^31: STEP is the odd number next to 2^31 divided by the golden ratio.
 STEP, PERIOD = 1327217885, 1 << 31
+#: Slots of a schedule: as many blocks of equal words as the mix is cut into, at most.
+SLOTS = 1 << 20
 #: Cells into which [0, 1) is cut so that slots meet sources in an equality join.
 CELLS = 1 << 14
 
@@ -19,7 +23,8 @@ def size_of(text: Column) -> Column:
 
 
 def source_targets(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), volume: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row a source: source, source_size, target, and the span [lo, hi) of its share of all targets.
+    """One row a source: source, rank, source_size, target, words (the target, whole) and the span [lo, hi) of its share of
+    all words.
 
     docs: source, size.  Sources in code point order, null last, weigh `weights`, repeating, and share volume times all
     sizes.  No target is above `most` times its source's size; the excess is shared again by weight.  In order of
@@ -42,50 +47,26 @@ def source_targets(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), volu
     s = s.withColumn("holds", holds)
     target = F.when(F.col("holds").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("holds")["level"] * F.col("weight")))
     s = s.withColumn("target", target)
-    by_rank = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    hi = F.sum("target").over(by_rank)
-    total = F.sum("target").over(Window.partitionBy())
-    s = s.withColumn("hi", F.when(total > 0, hi / total).otherwise(0.0)).withColumn("all_targets", total)
-    lo = F.coalesce(F.lag("hi").over(Window.orderBy("rank")), F.lit(0.0))
-    return s.select("source", "rank", "source_size", "target", lo.alias("lo"), "hi", "all_targets")
+    s = s.withColumn("words", F.round("target").cast("long"))
+    hi = F.sum("words").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.greatest(F.lit(1), F.sum("words").over(Window.partitionBy()))
+    return s.select("source", "rank", "source_size", "target", "words", ((hi - F.col("words")) / total).alias("lo"), (hi / total).alias("hi"))
 
 
-def schedule(targets: DataFrame, block: int) -> DataFrame:
-    """Slots (slot, rank_of_source, turn): the source that each slot draws from, and which of its turns this is.
+def schedule(targets: DataFrame, n: int, step: int = STEP) -> DataFrame:
+    """(s, slot, turn): the source, by rank, that each of n slots draws from, and which of its turns that is.
 
-    Slot i maps the i-th golden-ratio point through the cumulative targets.  turns are ranked by chunks of slots, so no
-    source's slots meet in one task.  Turns beyond what a source needs are left out, and those that a short schedule
-    leaves a source without come after its last slot, so each source's words end at its target, rounded.
+    Slot i maps the i-th golden-ratio point through the cumulative targets, so after any number of slots each source has
+    had its share but for a few.  Turns are ranked by chunks of slots, so no source's slots meet in one task.
     """
     spark = targets.sparkSession
-    need = F.ceil(F.round("target") / 1.0)
-    t = targets.select(
-        F.col("rank").alias("s"),
-        "lo",
-        "hi",
-        "source_size",
-        need.cast("long").alias("words"),
-        F.col("all_targets"),
-    ).withColumn("per_pass", F.ceil(F.col("source_size") / F.lit(float(block))))
-    once = F.ceil(F.least(F.col("words"), F.col("source_size")) / F.lit(float(block)))
-    again = F.ceil(F.greatest(F.lit(0), F.col("words") - F.col("source_size")) / F.lit(float(block)))
-    t = t.withColumn("turns", (once + again).cast("long"))
-    bound = t.agg(F.coalesce(F.sum("turns"), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, min(4096, bound // 50_000))
-    slots = spark.range(0, bound, 1, parts).withColumnRenamed("id", "slot")
-    u = ((F.col("slot") % PERIOD) * STEP % PERIOD) / F.lit(float(PERIOD))
+    slots = spark.range(0, n, 1, max(1, min(4096, n // 50_000))).withColumnRenamed("id", "slot")
+    u = ((F.col("slot") % PERIOD) * step % PERIOD) / F.lit(float(PERIOD))
     slots = slots.withColumn("u", u).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
-    cells = t.where("hi > lo").select(
-        "s", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.floor(F.col("hi") * CELLS).cast("int"))).alias("cell")
-    )
-    drawn = slots.join(cells, "cell").where("u >= lo and u < hi").select("slot", "s")
-    chunk = F.floor(F.col("slot") / 4096)
-    ranked = running_start(drawn.withColumn("chunk", chunk).withColumn("one", F.lit(1)), "s", "chunk", [F.col("slot")], "one", "turn")
-    used = ranked.join(t.select("s", "turns"), "s").where("turn < turns").select("slot", "s", "turn")
-    got = drawn.groupBy("s").agg(F.count("*").alias("got"))
-    short = t.join(got, "s", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < turns")
-    late = short.select("s", F.explode(F.sequence(F.col("got"), F.col("turns") - 1)).alias("turn")).select(F.lit(bound).alias("slot"), "s", "turn")
-    return used.unionByName(late)
+    ends = F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.floor(F.col("hi") * CELLS).cast("int"))
+    cells = targets.where("hi > lo").select(F.col("rank").alias("s"), "lo", "hi", F.explode(ends).alias("cell"))
+    drawn = slots.join(cells, "cell").where("u >= lo and u < hi").select("slot", "s", F.floor(F.col("slot") / 4096).alias("chunk"), F.lit(1).alias("one"))
+    return running_start(drawn, "s", "chunk", [F.col("slot")], "one", "turn").select("s", "slot", "turn")
 
 
 def mix(
@@ -93,49 +74,45 @@ def mix(
     weights: tuple[float, ...] = (3, 1, 2),
     volume: float = 1.5,
     most: float = 2.0,
-    block: int = 1024,
+    slots: int = SLOTS,
     rows_a_bucket: int = 2000,
+    step: int = STEP,
 ) -> DataFrame:
-    """A row a document: doc_id, source, size, source_size, target (the source's) and taken (its words in the mix, repeats counted).
+    """A row a document: doc_id, source, size, source_size, target (the source's), taken (its words in the mix, repeats
+    counted) and first_slot (the first slot of the mix that holds words of it, null for none).
+
+    docs: doc_id, source, text; any other columns are ignored, so clashing names do no harm.  The mix is cut into at most
+    `slots` blocks of equal words.  Each source's documents, shuffled by the MD5 of doc_id, are cut into such blocks (the
+    last of a source may be shorter); a source's turns, as the schedule draws them, take its blocks in order, and again
+    from the first on a further pass, whole blocks at a time and never more than ceil(most) passes.  So a source's words
+    differ from its target by a few blocks, as many as the schedule's points are off by and the short last block lacks.
 
-    docs: doc_id, source, text; any other columns are ignored, so clashing names do no harm.  Each source's documents, shuffled by the MD5 of
-    doc_id, are cut into blocks of `block` words (the last of a source may be shorter); the schedule's turns take blocks
-    in order, and again from the first on a second pass.  Null texts have size 0 and nothing is taken of them; a null
-    source is a source of its own, last; rows with equal doc_id are placed by size and text and count each on its own; an
-    empty table gives no rows.  Reruns agree.
+    Null texts have size 0 and nothing is taken of them; a null source is a source of its own, last; rows with equal
+    doc_id are placed by size and text and count each on its own, rows without one by the MD5 of their text; an empty
+    table gives no rows.  Reruns agree.  Rows of all sources' sums, one a source, meet in windows of one task.
     """
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    narrow = sized.select("doc_id", "source", "size", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_o"))
-    targets = source_targets(narrow, weights, volume, most)
-    n = narrow.count()
-    digits = max(1, min(8, len(f"{max(1, n // rows_a_bucket):x}")))
-    ordered = narrow.withColumn("_bucket", F.substring("_o", 1, digits))
-    placed = running_start(ordered, "source", "_bucket", [F.col("_o"), F.col("doc_id"), F.col("size")], "size", "_at")
-    meta = targets.select(F.col("source").alias("_src"), F.col("rank").alias("s"), "source_size", "target")
-    placed = placed.join(meta, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+    place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    tie = F.xxhash64("text")
+    sized = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), place.alias("_o"), tie.alias("_tie")), "sizes")
+    targets = written(source_targets(sized, weights, volume, most), "targets")
+    sums = targets.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    block = max(1, -(-sums["words"] // slots))
+    per = targets.select(F.col("rank").alias("s"), F.ceil(F.col("source_size") / F.lit(float(block))).alias("per_pass"))
+    turns = schedule(targets, -(-sums["words"] // block), step).join(per, "s").where(F.col("turn") < F.lit(math.ceil(most)) * F.col("per_pass"))
+    blocks = turns.groupBy("s", (F.col("turn") % F.col("per_pass")).alias("blk")).agg(F.count("*").alias("times"), F.min("slot").alias("slot"))
+
+    digits = max(1, min(8, len(f"{max(1, sized.count() // rows_a_bucket):x}")))
+    ordered = sized.join(targets.select(F.col("source").alias("_src"), F.col("rank").alias("s")), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+    ordered = ordered.withColumn("_bucket", F.substring("_o", 1, digits))
+    placed = running_start(ordered, "s", "_bucket", [F.col("_o"), F.col("doc_id"), F.col("size"), F.col("_tie")], "size", "at")
     b = F.lit(block)
-    last = F.col("_at") + F.col("size") - 1
-    pieces = (
-        placed.where("size > 0")
-        .select(
-            "s",
-            F.col("_at").alias("at"),
-            "size",
-            "source_size",
-            F.explode(F.sequence(F.floor(F.col("_at") / b), F.floor(last / b))).alias("blk"),
-        )
-        .withColumn("from", F.greatest(F.col("at"), F.col("blk") * b))
-        .withColumn("to", F.least(F.col("at") + F.col("size"), (F.col("blk") + 1) * b))
-    )
-    slots = schedule(targets, block)
-    per = targets.select(
-        F.col("rank").alias("s"), F.ceil(F.col("source_size") / F.lit(float(block))).alias("per_pass"), F.round("target").cast("long").alias("words"), F.col("source_size").alias("ssize")
-    )
-    turns = slots.join(per, "s").select(
-        "s", (F.col("turn") % F.col("per_pass")).alias("blk"), (F.col("words") - F.floor(F.col("turn") / F.col("per_pass")) * F.col("ssize")).alias("end")
+    # words lie at places of their own in a source, so (s, at) names a document that has any
+    pieces = placed.where("size > 0").select("s", "at", "size", "doc_id", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))).alias("blk"))
+    inside = F.least(F.col("at") + F.col("size"), (F.col("blk") + 1) * b) - F.greatest(F.col("at"), F.col("blk") * b)
+    met = pieces.withColumn("inside", inside).join(blocks, ["s", "blk"], "left")
+    taken = met.groupBy("s", "at").agg(
+        F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.coalesce(F.sum(F.col("times") * F.col("inside")), F.lit(0)).cast("long").alias("taken"), F.min("slot").alias("first_slot")
     )
-    share = F.greatest(F.lit(0), F.least(F.col("to"), F.col("end")) - F.col("from"))
-    taken = pieces.join(turns, ["s", "blk"]).groupBy("s", "at", "size").agg(F.sum(share).alias("_taken"))
-    result = placed.join(taken.select(F.col("s").alias("_s"), F.col("at").alias("_a"), F.col("size").alias("_z"), "_taken"),
-                         (F.col("s") == F.col("_s")) & (F.col("_at") == F.col("_a")) & (F.col("size") == F.col("_z")), "left")
-    return result.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    none = placed.where("size = 0").select("s", "doc_id", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    every = taken.select("s", "doc_id", "size", "taken", "first_slot").unionByName(none)
+    return every.join(targets.withColumnRenamed("rank", "s"), "s").select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")

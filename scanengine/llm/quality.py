@@ -134,7 +134,7 @@ def kth_largest(scores: DataFrame, column: str, k: int, bins: int = 4096) -> flo
             return lo
 
 
-def drawn(docs: DataFrame, labels: DataFrame, keep: int | None, label: str, most: int, seed: int) -> DataFrame:
+def drawn(docs: DataFrame, labels: DataFrame, keep: int | None, label: str, most: int, seed: int, sharpness: float | None = SHARPNESS) -> DataFrame:
     """What resample() gives, with each row's row_key() as key."""
     logs, (ids, y) = fit(docs, labels, label, most)
     held = (tv.mix(ids.astype(np.uint64)) % _U(4)) == 0
@@ -151,10 +151,11 @@ def drawn(docs: DataFrame, labels: DataFrame, keep: int | None, label: str, most
     rows = docs.select("doc_id", "text", F.xxhash64(id_text(), F.coalesce("text", F.lit("")), F.lit(seed)).alias("noise"), row_key().alias("key"))
     scored = rows.mapInArrow(score, "doc_id long, n_words long, log_ratio double, label int, noise long, key long")
     u = (F.shiftrightunsigned("noise", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    scored = scored.withColumn("sample_key", F.when(F.col("n_words") > 0, F.col("log_ratio") * SHARPNESS - F.log(-F.log(u))))
+    scored = scored.withColumn("sample_key", F.when(F.col("n_words") > 0, F.col("log_ratio") * (F.col("n_words") if sharpness is None else F.lit(float(sharpness))) - F.log(-F.log(u))))
     scored = written(scored.drop("noise"), "scores")
     if keep is None:
-        known = scored.where("label >= 0 and n_words > 0").select("log_ratio", "label").toPandas()
+        # one row for each label of the sample, whatever repeats its doc_id
+        known = scored.where("label >= 0 and n_words > 0").groupBy("doc_id").agg(F.min_by(F.struct("log_ratio", "label"), "key").alias("s")).select("s.*").toPandas()
         least = best_threshold(known.log_ratio.to_numpy(), known.label.to_numpy()) if len(known) else -np.inf
         keep = scored.where((F.col("n_words") > 0) & (F.col("log_ratio") >= F.lit(float(least)))).count()
     edge = kth_largest(scored, "sample_key", keep)
@@ -162,16 +163,18 @@ def drawn(docs: DataFrame, labels: DataFrame, keep: int | None, label: str, most
     return scored.select("doc_id", "n_words", "log_ratio", "sample_key", kept.alias("kept"), "key")
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, label: str = "quality", most: int = 100_000, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, label: str = "quality", most: int = 100_000, seed: int = 7, sharpness: float | None = SHARPNESS) -> DataFrame:
     """A row a document: doc_id, n_words, log_ratio (mean a word), sample_key and kept.
 
     keep: how many documents to draw; by default as many as have a log ratio on the good side of the threshold that
-    parts the labelled sample best (all that have words, if the sample lacks a label).  Null, empty and blank texts have
+    parts the labelled sample best (all that have words, if the sample lacks a label); of documents that share a labelled
+    doc_id one counts there.  sharpness: how many words each document counts as having, so that its length does not decide;
+    None for the whole log ratio of the two models, as of independent draws, by which long documents win or lose.  Null, empty and blank texts have
     no weight and are never drawn.  Rows with equal doc_id and text have equal keys and are drawn alike, even beyond
     keep.  Columns other than doc_id and text are ignored, as are labels of unknown documents.  An empty table gives no
     rows.  The noise follows from doc_id, text and seed, so reruns agree.
     """
-    return drawn(docs, labels, keep, label, most, seed).drop("key")
+    return drawn(docs, labels, keep, label, most, seed, sharpness).drop("key")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 100_000, seed: int = 7) -> DataFrame:

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o
+         md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS o
   FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS rk FROM s0),
@@ -75,13 +75,24 @@ s4 AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVE
        FROM s3 WINDOW b AS (ORDER BY fills_at, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
                       r AS (ORDER BY fills_at, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 h AS (SELECT arg_min(lvl, (fills_at, rk)) AS lvl FROM s4 WHERE lvl <= fills_at),
-s5 AS (SELECT source, source_size, CASE WHEN h.lvl IS NULL THEN cap ELSE least(cap, h.lvl * w) END AS target FROM s4, h),
-p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id, size
-                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM d)
-SELECT p.doc_id, p.size, s5.source_size, s5.target,
-       (greatest(0, least(p.size, round(s5.target)::BIGINT - p.at))
-        + greatest(0, least(p.size, round(s5.target)::BIGINT - s5.source_size - p.at)))::BIGINT AS taken
-FROM p JOIN s5 ON p.source IS NOT DISTINCT FROM s5.source
+s5 AS (SELECT source, rk, source_size, CASE WHEN h.lvl IS NULL THEN cap ELSE least(cap, h.lvl * w) END AS target FROM s4 LEFT JOIN h ON true),
+s6 AS (SELECT *, round(target)::BIGINT AS words FROM s5),
+s7 AS (SELECT *, sum(words) OVER (ORDER BY rk)::BIGINT AS upto, sum(words) OVER ()::BIGINT AS total FROM s6),
+s8 AS (SELECT *, (upto - words) / total::DOUBLE AS lo, upto / total::DOUBLE AS hi, greatest(1, (total + 1048575) // 1048576) AS b FROM s7),
+s9 AS (SELECT *, (source_size + b - 1) // b AS per_pass FROM s8),
+slots AS (SELECT i, i * 1327217885 % 2147483648 / 2147483648::DOUBLE AS u
+          FROM (SELECT unnest(range((SELECT any_value((total + b - 1) // b) FROM s9))) AS i)),
+turns AS (SELECT s9.rk, i, row_number() OVER (PARTITION BY s9.rk ORDER BY i) - 1 AS turn, per_pass
+          FROM slots JOIN s9 ON u >= lo AND u < hi),
+blocks AS (SELECT rk, turn % per_pass AS blk, count(*) AS times, min(i) AS slot FROM turns WHERE turn < 2 * per_pass GROUP BY 1, 2),
+p AS (SELECT d.*, s9.rk, s9.b, s9.source_size, s9.target, row_number() OVER () AS rid,
+             coalesce(sum(size) OVER (PARTITION BY s9.rk ORDER BY o, doc_id, size
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+      FROM d JOIN s9 ON d.source IS NOT DISTINCT FROM s9.source),
+q AS (SELECT rid, rk, pos, size, b, unnest(range(pos // b, (pos + size - 1) // b + 1)) AS blk FROM p WHERE size > 0),
+t AS (SELECT rid, sum(times * (least(pos + size, (q.blk + 1) * b) - greatest(pos, q.blk * b)))::BIGINT AS taken, min(slot) AS first_slot
+      FROM q JOIN blocks USING (rk, blk) GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot FROM p LEFT JOIN t USING (rid)
 """
 
 OP2_SQL = r"""
@@ -97,8 +108,8 @@ ish AS (SELECT item_id, n, k, o, array_to_string(list_slice(w, o, o + k - 1), '
 ks AS (SELECT DISTINCT k FROM it),
 dsh AS (SELECT doc_id, k, i, len(w) AS m, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s
         FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, ks WHERE len(w) >= k)),
-hit AS (SELECT DISTINCT d.doc_id, h.n, h.k, greatest(0, least(d.i - h.o, d.m - h.n)) AS start
-        FROM dsh d JOIN ish h ON d.k = h.k AND d.s = h.s),
+met0 AS (SELECT DISTINCT d.doc_id, h.n, h.k, d.i, d.m FROM dsh d JOIN ish h ON d.k = h.k AND d.s = h.s),
+hit AS (SELECT DISTINCT doc_id, n, k, unnest(range(greatest(0, least(i - 1 - (n - k), m - n)), greatest(0, least(i - 1, m - n)) + 1)) AS start FROM met0),
 ours AS (SELECT h.doc_id, h.n, h.k, h.start, d.s, count(*) AS c
          FROM hit h JOIN dsh d ON d.doc_id = h.doc_id AND d.k = h.k AND d.i > h.start AND d.i <= h.start + h.n - h.k + 1
          GROUP BY 1, 2, 3, 4, 5),
@@ -108,18 +119,19 @@ met AS (SELECT o.doc_id, t.item_id, o.start, o.n, o.k, sum(least(o.c, t.c)) AS s
          FROM ours o JOIN theirs t ON o.n = t.n AND o.k = t.k AND o.s = t.s GROUP BY 1, 2, 3, 4, 5),
 sim AS (SELECT b.doc_id, b.item_id, b.start, b.n, b.shared, z.total + (b.n - b.k + 1) - b.shared AS whole
         FROM met b JOIN size z ON z.doc_id = b.doc_id AND z.n = b.n AND z.k = b.k AND z.start = b.start),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared::DOUBLE / whole DESC, start) AS r
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared::DOUBLE / whole DESC, start DESC) AS r
          FROM sim WHERE 100 * shared >= 80 * whole)
 SELECT doc_id, item_id, start::BIGINT AS start, n::BIGINT AS n_words, shared::DOUBLE / whole::DOUBLE AS similarity FROM best WHERE r = 1
 """
 
 OP7_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-q AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS h FROM p),
+q AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS h,
+             row_number() OVER (PARTITION BY sha1(b), octet_length(b) ORDER BY page_id DESC NULLS LAST) AS r FROM p),
 k AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS keeper FROM q)
 SELECT page_id, n AS payload_bytes, h AS payload_digest,
-       CASE WHEN n >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+       CASE WHEN n >= 1000 AND r > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND r > 1 THEN keeper END AS refers_to
 FROM k
 """
 

@@ -14,11 +14,15 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, a temporary folder of our
+    own in local mode, as in tests, and an error on a cluster, whose machines would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="scanengine-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

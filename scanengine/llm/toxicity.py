@@ -65,6 +65,8 @@ class Model:
     columns: np.ndarray
     weights: np.ndarray
     bias: float
+    #: how many swaps of group names the fit was penalised for
+    swaps: int = 0
 
     def score(self, text: pa.Array) -> np.ndarray:
         bins, doc, n = word_bins(text)
@@ -119,8 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4
     chosen = spark.createDataFrame(pa.table({"_id": pa.array(ids), "_y": pa.array(y)})) if len(ids) else None
     if chosen is None or not (y == 1).any():
         return Model(np.full(BINS, -1), np.zeros(1), 0.0 if not len(y) else -5.0)
-    # at most about `most` rows, so the broadcast is bounded
-    learn = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_y", "text", "doc_id")
+    # at most about `most` rows, so the broadcast is bounded; and one row for each of them learns, so what is gathered is
+    learn = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.max("_y").alias("_y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    learn = learn.select("_y", "text", "doc_id")
 
     def count(batch: pa.RecordBatch) -> np.ndarray:
         bins, doc, n = word_bins(batch.column(1))
@@ -154,15 +157,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4
     cols = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
     swaps = counterfactuals(rows, cols, {b: k for k, b in enumerate(inputs)})
     weights, bias = fit_weights(rows, cols, got.y.to_numpy(float), len(inputs), swaps)
-    return Model(columns, weights, bias)
+    return Model(columns, weights, bias, len(swaps[0]))
 
 
 def score(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, least: float = 0.3, most: int = 40_000) -> DataFrame:
     """A row a document: doc_id, held_out (its fold is not learned from), score (0 to 1) and predicted (score >= least).
 
     Null and empty texts get the score of a text without known words.  Labels without document or of unknown documents,
-    and null labels, teach nothing; of labels that repeat a doc_id the largest counts.  Rows that repeat a doc_id are
-    scored each.  Columns other than doc_id and text are never read.  An empty table gives no rows.
+    and null labels, teach nothing; of labels that repeat a doc_id the largest counts, and of documents that share a
+    labelled one the text with the least hash.  Rows that repeat a doc_id are scored each.  Columns other than doc_id and text are never read.  An empty table gives no rows.
     """
     model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), parts=parts, held=held, most=most)
 

@@ -188,33 +188,42 @@ def read(spark: SparkSession, manifest: DataFrame, split_bytes: int = 8 << 20) -
                     yield pd.DataFrame(rows)
 
     ranges = splits(manifest, split_bytes)
-    n = spark.sparkContext.defaultParallelism
-    return ranges.repartition(max(n, 4 * n), "path", "start").mapInPandas(scan, RECORDS)
+    # a task reads a range after another, 16 at the most; fewer where there are cores for more tasks
+    n, wide = ranges.count(), 4 * spark.sparkContext.defaultParallelism
+    return ranges.repartition(max(1, min(n, max(wide, n // 16))), "path", "start").mapInPandas(scan, RECORDS)
 
 
 def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Records of pages (page_id, url, html): of equal payloads of `least` bytes or more, the page with the largest id is
     the response and the others revisit it; smaller payloads are all responses.
 
-    A null html is an empty payload and a null url an empty one.  Repeated rows with one id are records on their own;
-    the first of them by nothing but chance is the response, so which of two identical rows revisits the other is open.
-    A row without an id counts below every id.
+    A null html is an empty payload and a null url an empty one.  A row without an id counts below every id.  Of rows that
+    repeat the largest id, the one with the last url is the response; of rows that agree in id, url and payload one is,
+    and the others revisit it.  Rows are counted by digest, id and url, so no group of equal payloads meets in one task.
     """
     p = pages.select(
         F.col("page_id"), F.col("url").alias("uri"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload")
     )
     p = p.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
-    large = p.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-    shared = large.where("n > 1").select(F.col("digest").alias("_d"), F.col("bytes").alias("_b"), "keeper")
+    each = p.where(F.col("bytes") >= least).groupBy("digest", "bytes", "page_id", "uri").agg(F.count("*").alias("rows"))
+    large = each.groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "uri", "rows")).alias("k"), F.sum("rows").alias("n")).where("n > 1")
+    shared = written(large.select(F.col("digest").alias("_d"), F.col("bytes").alias("_b"), *[F.col(f"k.{c}").alias(f"_{c}") for c in ("page_id", "uri", "rows")]), "shared-payloads")
     p = p.join(shared, (F.col("digest") == F.col("_d")) & (F.col("bytes") == F.col("_b")), "left")
-    own = F.col("keeper").isNull() | F.col("page_id").eqNullSafe(F.col("keeper"))
+    keeper = F.col("page_id").eqNullSafe(F.col("_page_id")) & F.col("uri").eqNullSafe(F.col("_uri"))
+    p = p.withColumn("own", F.col("_d").isNull() | keeper)
+    if not shared.where("_rows > 1").isEmpty():
+        again = F.col("_d").isNotNull() & F.col("own") & (F.col("_rows") > 1)
+        one = p.where(again).groupBy("digest", "bytes", "page_id", "uri", "_page_id", "_rows").agg(F.first("payload").alias("payload"))
+        one = one.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))).alias("copy")).withColumn("own", F.col("copy") == 1)
+        names = ["page_id", "uri", "payload", "own", "_page_id"]
+        p = p.where(~again).select(*names).unionByName(one.select(*names))
     ident = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
     return p.select(
-        F.when(own, "response").otherwise("revisit").alias("kind"),
+        F.when(F.col("own"), "response").otherwise("revisit").alias("kind"),
         ident(F.col("page_id")).alias("record_id"),
         "uri",
         "payload",
-        F.when(~own, ident(F.col("keeper"))).alias("refers_to_id"),
+        F.when(~F.col("own"), ident(F.col("_page_id"))).alias("refers_to_id"),
     )
 
 
