@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanengine.sources.scratch import kept
+
 #: Tags that open the data of a leaf, by kind.
 TILE_TAG, FRAME_TAG, BLOCK_TAG, AUDIT_TAG = b"SFTILE01", b"SFFRAME1", b"SFBLOCK1", b"SFAUDIT1"
 
@@ -52,8 +54,8 @@ def tree(leaves: DataFrame) -> DataFrame:
     while n > 1:
         k, n = k + 1, (n + 1) // 2
         level = next_level(level)
-        if n > 100_000 and k % 4 == 0:
-            level = level.checkpoint()
+        if k % 4 == 0:  # else each level above is computed from the leaves again
+            level = kept(level, "tree-level")
         out = out.unionByName(level.select(F.lit(k).alias("level"), "idx", "hash"))
     return out
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
+from scanengine.operators import order
 
 
 def _neighbour_cells(p: DataFrame, size: float, names: tuple[str, str, str]) -> DataFrame:
@@ -78,49 +79,131 @@ def trilinear(points: DataFrame, v: DataFrame, voxel: float) -> DataFrame:
 
 
 def residual_summary(r: DataFrame, value: str, within: float) -> DataFrame:
-    """Number, median and 95th percentile of the sizes (linear between neighbours), and the share within a bound."""
+    """One row: n, the mean in thousandths (signed), the root mean square, the median and the 95th percentile of the
+    sizes (linear between neighbours), and the share within a bound.
+
+    Sums are of decimals, so they are the same however the rows lie; percentiles are found by counting, not by sorting.
+    """
     e = F.abs(F.col(value))
-    return r.where(F.col(value).isNotNull()).agg(
-        F.count("*").alias("n"), F.percentile(e, 0.5).alias("median"), F.percentile(e, 0.95).alias("p95"), (F.count_if(e <= F.lit(within)) / F.count("*")).alias("within")
+    d = r.where(F.col(value).isNotNull()).select(F.col(value).alias("_e"), e.alias("_a"))
+    median, p95 = order.quantiles(d, "_a", [0.5, 0.95])
+    exact = lambda c: F.sum(c.cast("decimal(38,18)")).cast("double") / F.count("*")
+    return d.agg(
+        F.count("*").alias("n"),
+        F.round(1000 * exact(F.col("_e")), 6).alias("mean_mm"),
+        F.round(1000 * F.sqrt(exact(F.col("_e") * F.col("_e"))), 6).alias("rms_mm"),
+        F.lit(median).cast("double").alias("median"),
+        F.lit(p95).cast("double").alias("p95"),
+        (F.count_if(F.col("_a") <= F.lit(within)) / F.count("*")).alias("within"),
     )
 
 
 def ranked_percentiles(d: DataFrame, value: str, percents: tuple[int, ...] = (50, 90, 95)) -> DataFrame:
-    """Nearest-rank percentiles of all rows, those without a value ranked last; null where the rank falls among them.
+    """Nearest-rank percentiles of all rows, those without a value ranked last; null where the rank falls among them."""
+    n = d.agg(F.count("*").alias("total"), F.count(value).alias("known")).first()
+    rank = {p: max(1, -(-n["total"] * p // 100)) - 1 for p in percents}
+    known = sorted({r for r in rank.values() if r < n["known"]})
+    at = dict(zip(known, order.order_statistics(d, value, known))) if known else {}
+    return d.sparkSession.createDataFrame([(p, at.get(rank[p])) for p in percents], "percent int, value double")
 
-    One pass counts each distinct value; the ranks of values are their running counts.
-    """
-    total = d.agg(F.count("*").alias("total"))
-    n = d.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    upto = n.select(F.col(value).alias("v"), F.sum("n").over(Window.orderBy(value)).alias("upto"))
-    at = [F.struct(F.lit(p).alias("percent"), F.greatest(F.lit(1), F.ceil(F.col("total") * p / 100)).alias("rank")) for p in percents]
-    want = total.select(F.explode(F.array(*at)).alias("w")).select("w.percent", "w.rank")
-    met = want.join(upto, F.col("upto") >= F.col("rank"), "left").groupBy("percent").agg(F.min("v").alias("value"))
-    return met
 
+def visible_cells(points: DataFrame, frames: DataFrame, cam: g.Camera, size: float) -> DataFrame:
+    """(seq, cx, cy, cz): cells of points that a frame may see: none of whose points it sees is left out.
 
-def view_survey(points: DataFrame, scan: DataFrame, cam: g.Camera, tolerance: float) -> DataFrame:
-    """(idx, views, best): how many frames see each oriented point, and the best cosine.
-
-    A frame sees a point in front of it (more than 5 cm) that faces it, in the image, and whose pixel's depth agrees.
-    points: idx, x, y, z, nx, ny, nz.  Frames carry their depth images, as in fusion; the points are sent to them.
+    A cell lies in a ball; it goes only if the ball lies behind the camera or outside an edge of the image.
     """
-    f = scan.where("has_depth and has_pose").select("seq", "depth", *[f"m{i}" for i in range(12)])
-    p = f.crossJoin(points)
+    cell = [F.floor(F.col(a) / F.lit(size)).alias(f"c{a}") for a in "xyz"]
+    cells = points.select(*cell).distinct()
+    centre = [(F.col(f"c{a}") + F.lit(0.5)) * F.lit(size) for a in "xyz"]
+    r = F.lit(size * math.sqrt(3) / 2 * (1 + 1e-9) + 1e-9)
+    poses = frames.select("seq", *[f"m{i}" for i in range(12)])
+    # both sides are bounded by the scene, not by its pixels: poses of 12 numbers, and cells of points
+    met = cells.crossJoin(F.broadcast(poses) if poses.count() <= 250_000 else poses)
+    x, y, z = g.inverse_transform(g.pose(), *centre)
+    far = lambda c, f, off: (F.lit(f) * c + F.lit(off) * z) / F.lit(math.hypot(f, off))
+    sees = (z > F.lit(0.05) - r) & (far(x, cam.fx, cam.cx + 0.5) >= -r) & (far(x, cam.fx, cam.cx + 0.5 - cam.width) <= r)
+    sees = sees & (far(y, cam.fy, cam.cy + 0.5) >= -r) & (far(y, cam.fy, cam.cy + 0.5 - cam.height) <= r)
+    return met.where(sees).select("seq", "cx", "cy", "cz")
+
+
+def sightings(points: DataFrame, scan: DataFrame, cam: g.Camera, tolerance: float, size: float = 0.5, least_z: float = 0.05, least_facing: float = 0.0) -> DataFrame:
+    """(idx, seq, u, v, z, cosine): frames that see each oriented point: in front of it (more than 5 cm), facing it, in
+    the image, and with a reading at the pixel that agrees.
+
+    Frames meet the cells of points that they may see, cells their points, and points the readings of their pixel, each in
+    an equality join.  points: idx, x, y, z, nx, ny, nz.
+    """
+    f = scan.where("has_depth and has_pose")
+    poses = f.select("seq", *[f"m{i}" for i in range(12)])
+    p = points.select("idx", "x", "y", "z", "nx", "ny", "nz", *[F.floor(F.col(a) / F.lit(size)).alias(f"c{a}") for a in "xyz"])
+    p = visible_cells(points, poses, cam, size).join(p, ["cx", "cy", "cz"]).join(poses, "seq")
     xc, yc, zc = g.inverse_transform(g.pose(), F.col("x"), F.col("y"), F.col("z"))
     o = [F.col(a) - F.col(f"m{3 + 4 * k}") for k, a in enumerate("xyz")]
     facing = -(F.col("nx") * o[0] + F.col("ny") * o[1] + F.col("nz") * o[2])
     length = F.sqrt(o[0] * o[0] + o[1] * o[1] + o[2] * o[2])
-    p = p.select("idx", "depth", xc.alias("xc"), yc.alias("yc"), zc.alias("zc"), facing.alias("facing"), length.alias("length")).where("zc > 0.05D and facing > 0")
+    p = p.select("seq", "idx", xc.alias("xc"), yc.alias("yc"), zc.alias("zc"), facing.alias("facing"), length.alias("length")).where((F.col("zc") > F.lit(least_z)) & (F.col("facing") > 0))
     u, w = g.projected(F.col("xc"), F.col("zc"), cam.fx, cam.cx), g.projected(F.col("yc"), F.col("zc"), cam.fy, cam.cy)
-    p = p.select("idx", "depth", "zc", "facing", "length", u.alias("u"), w.alias("w")).where(g.in_image(F.col("u"), cam.width) & g.in_image(F.col("w"), cam.height))
-    raw = F.get("depth", g.nearest_pixel(F.col("w")) * cam.width + g.nearest_pixel(F.col("u")))
-    p = p.select("idx", "zc", (F.col("facing") / F.col("length")).alias("cosine"), raw.alias("raw")).where("raw > 0")
-    p = p.where(F.abs(g.metric(F.col("raw"), cam) - F.col("zc")) <= F.lit(tolerance))
-    seen = p.groupBy("idx").agg(F.count("*").alias("views"), F.max("cosine").alias("best"))
+    p = p.select("seq", "idx", "zc", (F.col("facing") / F.col("length")).alias("cosine"), u.alias("u"), w.alias("w"))
+    p = p.where(g.in_image(F.col("u"), cam.width) & g.in_image(F.col("w"), cam.height) & (F.col("cosine") > F.lit(least_facing)))
+    p = p.select("seq", "idx", "zc", "cosine", (g.nearest_pixel(F.col("w")) * cam.width + g.nearest_pixel(F.col("u"))).alias("i"))
+    readings = f.select("seq", F.posexplode("depth").alias("i", "raw")).where("raw > 0")
+    met = p.join(readings, ["seq", "i"]).where(F.abs(g.metric(F.col("raw"), cam) - F.col("zc")) <= F.lit(tolerance))
+    return met.select("idx", "seq", (F.col("i") % cam.width).alias("u"), F.floor(F.col("i") / cam.width).cast("int").alias("v"), F.col("zc").alias("z"), "cosine")
+
+
+def view_survey(points: DataFrame, scan: DataFrame, cam: g.Camera, tolerance: float) -> DataFrame:
+    """(idx, views, best): how many frames see each oriented point, and the best cosine."""
+    seen = sightings(points, scan, cam, tolerance).groupBy("idx").agg(F.count("*").alias("views"), F.max("cosine").alias("best"))
     return points.select("idx").join(seen, "idx", "left").select("idx", F.coalesce("views", F.lit(0)).alias("views"), "best")
 
 
+def vertex_colours(vertices: DataFrame, scan: DataFrame, colours: DataFrame, cam: g.Camera, tolerance: float = 0.03) -> DataFrame:
+    """(idx, r, g, b, views) of each oriented vertex: the mean colour of the pixels that see it, weighed by how far it
+    faces the camera over its squared depth; null where no frame does.
+
+    colours: (seq, u, v, r, g, b).  Products are folded in the order of frames, so the sums have the same bits however the
+    rows lie.
+    """
+    seen = sightings(vertices, scan, cam, tolerance, least_z=1e-6, least_facing=0.15).join(colours, ["seq", "u", "v"])
+    weight = F.col("cosine") / (F.col("z") * F.col("z"))
+    rows = seen.select("idx", F.struct("seq", weight.alias("w"), *[F.col(c).cast("double").alias(c) for c in "rgb"]).alias("s"))
+    rows = rows.groupBy("idx").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    whole = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x["w"])
+    mean = lambda c: (F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x["w"] * x[c]) / whole).alias(c)
+    found = rows.select("idx", *[mean(c) for c in "rgb"], F.size("s").alias("views"))
+    return vertices.select("idx").join(found, "idx", "left").select("idx", *"rgb", F.coalesce("views", F.lit(0)).alias("views"))
+
+
+def nearest_by_all(query: DataFrame, reference: DataFrame, limit: float, slice_rows: int = 100_000) -> DataFrame:
+    """What nearest() gives, by comparing every query with every reference point, in slices of the reference of at most
+    about `slice_rows` rows: the plain form against which the other is held."""
+    ref = reference.select("idx", *[F.col(a).alias(f"r{a}") for a in "xyz"])
+    n = max(1, -(-ref.count() // slice_rows))
+    d = [F.col(a) - F.col(f"r{a}") for a in "xyz"]
+    d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    found = None
+    for k in range(n):
+        part = ref if n == 1 else ref.where(F.pmod(F.xxhash64("idx"), F.lit(n)) == k)
+        one = query.select("id", "x", "y", "z").crossJoin(F.broadcast(part)).select("id", F.struct(d2.alias("d2"), "idx").alias("s")).where(F.col("s.d2") <= limit * limit)
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy("id").agg(F.min("s").alias("s")).select("id", F.col("s.idx").alias("idx"), F.col("s.d2").alias("d2"))
+    return query.select("id").join(best, "id", "left")
+
+
+def triangle_distance_by_all(query: DataFrame, tri: DataFrame, reach: float, slice_rows: int = 20_000) -> DataFrame:
+    """What triangle_distance() gives, by comparing every query with every triangle, in slices of the triangles."""
+    n = max(1, -(-tri.count() // slice_rows))
+    pt = tuple(F.col(a) for a in "xyz")
+    a, b, c = (tuple(F.col(f"{v}{x}") for x in "xyz") for v in "abc")
+    found = None
+    for k in range(n):
+        part = tri if n == 1 else tri.where(F.pmod(F.xxhash64("face"), F.lit(n)) == k)
+        one = query.select("id", "x", "y", "z").crossJoin(F.broadcast(part)).select("id", g.point_triangle_squared(pt, a, b, c).alias("d2"))
+        found = one if found is None else found.unionByName(one)
+    best = found.where(F.col("d2") <= reach * reach).groupBy("id").agg(F.min("d2").alias("d2"))
+    return query.select("id").join(best, "id", "left")
+
+
 #: The edges, in degrees, of the bands of viewing angles.
 ANGLE_BANDS = (0, 60, 70, 75, 80, 85, 90)
 

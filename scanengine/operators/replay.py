@@ -6,22 +6,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanengine.sources import scratch
+
 
 def bucketed(df: DataFrame, stamp: str, width: int) -> DataFrame:
     return df.withColumn("_bucket", F.floor(F.col(stamp) / width))
 
 
-def sequenced(rgb: DataFrame, stamp: str = "ts") -> DataFrame:
-    """Rows with seq, 0 for the earliest timestamp, and the timestamp before.
+def sequenced(rgb: DataFrame, stamp: str = "ts", tie: str | None = None, rows_a_range: int = 20_000) -> DataFrame:
+    """Rows with seq, 0 for the earliest timestamp, and the timestamp before; equal timestamps by `tie`, if given.
 
-    Ranks are counted within ranges of time and offset by the rows of earlier ranges, so no task holds the whole stream.
+    Ranges of time hold about as many rows each, by quantiles, so a burst does not meet in one task; ranks are counted
+    within ranges and offset by the rows of earlier ones.
     """
-    span = rgb.agg(F.min(stamp).alias("lo"), F.max(stamp).alias("hi"), F.count("*").alias("n")).first()
-    if not span["n"]:
-        return rgb.withColumn("seq", F.lit(0).cast("long")).withColumn("previous", F.col(stamp))
-    width = max(1, (span["hi"] - span["lo"]) // max(1, span["n"] // 20_000) + 1)
-    d = rgb.withColumn("_bucket", F.floor((F.col(stamp) - span["lo"]) / width))
-    inside = Window.partitionBy("_bucket").orderBy(stamp)
+    n = rgb.where(F.col(stamp).isNotNull()).count()
+    want = max(1, n // rows_a_range)
+    at = [k / want for k in range(1, min(want, 10_000))]
+    cut = sorted(set(rgb.select(F.percentile_approx(stamp, at, 20 * want + 100).alias("q")).first()["q"] or [])) if at else []
+    bucket = F.lit(0)
+    if cut:  # two short searches
+        block = F.greatest(F.lit(0), F.size(F.filter(F.array(*map(F.lit, cut[::128])), lambda q: q < F.col(stamp))) - 1)
+        table = F.array(*[F.array(*map(F.lit, cut[k : k + 128])) for k in range(0, len(cut), 128)])
+        bucket = block * 128 + F.size(F.filter(F.get(table, block), lambda q: q < F.col(stamp)))
+    d = rgb.withColumn("_bucket", bucket)
+    inside = Window.partitionBy("_bucket").orderBy(stamp, *([tie] if tie else []))
     per = d.groupBy("_bucket").agg(F.count("*").alias("_n"), F.max(stamp).alias("_last"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     per = per.select(F.col("_bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.max("_last").over(before).alias("_earlier"))
@@ -33,7 +41,7 @@ def replay(rgb: DataFrame, depth: DataFrame, poses: DataFrame, stamp: str = "ts"
     """Each rgb frame with the depth image and the pose of its very timestamp, null where there is none."""
     d = depth.select(F.col(stamp), F.col("id").alias("depth_id"))
     p = poses.select(F.col(stamp), F.col("id").alias("pose_id"))
-    return sequenced(rgb.select("id", stamp), stamp).join(d, stamp, "left").join(p, stamp, "left").select(
+    return sequenced(rgb.select("id", stamp), stamp, "id").join(d, stamp, "left").join(p, stamp, "left").select(
         "seq", "previous", stamp, F.col("id").alias("rgb_id"), "depth_id", "pose_id"
     )
 
@@ -61,25 +69,42 @@ def candidates(a: DataFrame, b: DataFrame, limit: int, stamp: str = "ts") -> Dat
     return x.join(y, "_bucket").where(F.abs(F.col("ta") - F.col("tb")) < limit).select("ia", "ta", "ib", "tb")
 
 
-def associate(a: DataFrame, b: DataFrame, limit: int, stamp: str = "ts") -> DataFrame:
+def associate(a: DataFrame, b: DataFrame, limit: int, stamp: str = "ts", rounds: int = 12) -> DataFrame:
     """One-to-one pairs, greedily by distance, then the timestamps, then the ids.
 
-    Timestamps of both streams that lie at least `limit` from their neighbours part the streams into clusters that cannot
-    compete, so each cluster is matched on its own.
+    A pair that is the best of both its ends comes before all that compete with it, so all such pairs are settled at once
+    and what they exclude goes; that is repeated.  Recorded streams settle in a few rounds; what a stream of ever closer
+    pairs leaves after `rounds` is matched by runs of timestamps that cannot compete with each other.
     """
-    every = a.select(F.col(stamp).alias("t")).union(b.select(F.col(stamp))).distinct()
+    rest = scratch.kept(candidates(a, b, limit, stamp), "association")
+    key = F.struct(F.abs(F.col("ta") - F.col("tb")).alias("gap"), "ta", "tb", "ia", "ib")
+    done = None
+    for _ in range(rounds):
+        best_a = rest.groupBy("ia").agg(F.min(key).alias("k")).select("k")
+        best_b = rest.groupBy("ib").agg(F.min(key).alias("k")).select("k")
+        settled = scratch.kept(best_a.intersect(best_b).select("k.ia", "k.ta", "k.ib", "k.tb"), "settled")
+        done = settled if done is None else done.unionByName(settled)
+        left = rest.join(settled.select("ia"), "ia", "left_anti").join(settled.select("ib"), "ib", "left_anti")
+        rest = scratch.kept(left.select("ia", "ta", "ib", "tb"), "association")
+        if rest.isEmpty():
+            return done
+    return done.unionByName(_matched_runs(rest, limit))
+
+
+def _matched_runs(pairs: DataFrame, limit: int) -> DataFrame:
+    """Greedy pairs of each run of timestamps that lie less than `limit` from the one before."""
+    every = pairs.select(F.col("ta").alias("t")).union(pairs.select("tb")).distinct()
     ranked = sequenced(every, "t")
     gap = F.col("previous").isNull() | (F.col("t") - F.col("previous") >= limit)
-    # a pair's cluster: the last start at or before both; the starts are ranked like the times themselves
+    # a pair's run: the last start at or before both; the starts are ranked like the times themselves
     marks = ranked.select("t", "seq", F.when(gap, F.col("t")).alias("start"))
-    width = 20_000
-    m = marks.withColumn("_bucket", F.floor(F.col("seq") / width))
+    m = marks.withColumn("_bucket", F.floor(F.col("seq") / 20_000))
     per = m.groupBy("_bucket").agg(F.max("start").alias("_s"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("_bucket", F.max("_s").over(before).alias("_s"))
     inside = Window.partitionBy("_bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    clusters = m.withColumn("_c", F.max("start").over(inside)).join(per, "_bucket").select("t", F.coalesce("_c", "_s").alias("cluster"))
-    pairs = candidates(a, b, limit, stamp).join(clusters, F.col("ta") == F.col("t")).drop("t")
+    runs = m.withColumn("_c", F.max("start").over(inside)).join(per, "_bucket").select("t", F.coalesce("_c", "_s").alias("cluster"))
+    pairs = pairs.join(runs, F.col("ta") == F.col("t")).drop("t")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(gap=(pdf.ta - pdf.tb).abs()).sort_values(["gap", "ta", "tb", "ia", "ib"])

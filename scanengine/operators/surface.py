@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
+from scanengine.sources import scratch
 
 #: The corners of the six tetrahedra of a cell; a corner's bits are its x, y and z offsets.
 TETRAHEDRA = ((0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5, 7), (0, 5, 1, 7))
@@ -180,20 +181,15 @@ def fans(k: DataFrame) -> DataFrame:
     return roots.groupBy(F.substring_index("node", "|", 1).alias("v"), F.substring_index("root", "|", -1).alias("fan")).agg(F.count("*").alias("triangles"))
 
 
-def components(links: DataFrame, folder: str | None = None, most: int = 60) -> DataFrame:
+def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) of links (a, b): the smallest node each reaches, by hooking and halving paths.
 
-    Every round writes its table where the session's checkpoints go, so a lost executor costs a round's read and no more.
+    Every round writes its table to the shared folder, so a lost executor costs a round's read and no more.
     """
-    spark = links.sparkSession
 
     def kept(df: DataFrame) -> DataFrame:
-        return df.checkpoint(eager=True)
+        return scratch.kept(df, "components")
 
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(folder or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scanengine-components-"))
     both = kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     for _ in range(most):

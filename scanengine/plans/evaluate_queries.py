@@ -88,7 +88,7 @@ def held_out(s, sf):
     "a11_w5_residual_summary",
     SQL["j14_j15_volume_sampling"].rsplit("SELECT ho.id", 1)[0]
     + f""", re AS (SELECT hv.value * {d(COARSE.truncation)} AS r FROM hv WHERE n = 8)
-    SELECT count(*) AS n, quantile_cont(abs(r), 0.5) AS median, quantile_cont(abs(r), 0.95) AS p95, count(*) FILTER (abs(r) <= {d(V)})::DOUBLE / count(*) AS within FROM re""",
+    SELECT count(*) AS n, round(1000 * avg(r), 6) AS mean_mm, round(1000 * sqrt(avg(r * r)), 6) AS rms_mm, quantile_cont(abs(r), 0.5) AS median, quantile_cont(abs(r), 0.95) AS p95, count(*) FILTER (abs(r) <= {d(V)})::DOUBLE / count(*) AS within FROM re""",
 )
 def a11(s, sf):
     """Residuals of held-out frames: the interpolated value in metres."""
@@ -178,6 +178,32 @@ def a22(s, sf):
     return evaluate.plane_histogram(all_points(s, sf), 0.2)
 
 
+_COLOURS = f"""
+vs AS (SELECT v2.idx, v2.seq, facing / len / (zc * zc) AS w, p.u, p.v FROM v2 JOIN px p ON p.seq = v2.seq AND p.u = CAST(floor(pu + {d(0.5)}) AS INT) AND p.v = CAST(floor(pv + {d(0.5)}) AS INT)
+  WHERE pu >= {d(-0.5)} AND pu < {d(31.5)} AND pv >= {d(-0.5)} AND pv < {d(23.5)} AND p.raw > 0 AND abs(p.raw * {d(0.001)} - zc) <= {d(0.25)} AND facing / len > {d(0.15)})"""
+
+
+@query(
+    "j17_vertex_colours",
+    scan_with(_MODEL, _VIEWS.replace(f"zc > {d(0.05)}", f"zc > {d(1e-6)}"), _COLOURS)
+    + """SELECT mo.idx, round(sum(w * ((u * 7 + v * 3) % 256)) / sum(w), 6) AS r, round(sum(w * ((u * 5 + vs.seq) % 256)) / sum(w), 6) AS g, round(sum(w * ((v * 11) % 256)) / sum(w), 6) AS b, count(w) AS views
+    FROM mo LEFT JOIN vs ON vs.idx = mo.idx GROUP BY 1""",
+)
+def j17(s, sf):
+    """Colours of the model's points from a made-up colour for each pixel of the scan."""
+    px = derived.pixels(s, sf)
+    u, v = F.col("u"), F.col("v")
+    colours = px.select("seq", "u", "v", ((u * 7 + v * 3) % 256).alias("r"), ((u * 5 + F.col("seq")) % 256).alias("g"), ((v * 11) % 256).alias("b"))
+    c = evaluate.vertex_colours(model(s), derived.scan(s, sf), colours, CAMERA, 0.25)
+    return c.select("idx", *[F.round(x, 6).alias(x) for x in "rgb"], F.col("views").cast("long").alias("views"))
+
+
+@query("j11_nearest_by_all", f"WITH {_PTS}, {_NEAR} SELECT id, idx, d2 FROM nr")
+def j11(s, sf):
+    """Nearest points by comparing all with all, as the plain form of j10_nearest_points."""
+    return evaluate.nearest_by_all(cloud(s, sf, 1, "id"), cloud(s, sf, 0, "idx"), LIMIT)
+
+
 @query("j12_triangle_distance")
 def j12(s, sf):
     """Points of one half of the embeddings to triangles of the other half's."""
