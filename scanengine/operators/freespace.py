@@ -13,6 +13,14 @@ def band(low: float, high: float, voxel: float) -> tuple[int, int]:
     return math.ceil(low / voxel - 0.5), math.floor(high / voxel - 0.5)
 
 
+def window(v: DataFrame, voxel: float, a: tuple[float, float], b: tuple[float, float], up: str = "y") -> DataFrame:
+    """the voxels whose centres lie in a rectangle of the ground, ends included."""
+    flat = [x for x in "xyz" if x != up]
+    for axis, (low, high) in zip(flat, (a, b)):
+        v = v.where(((F.col(f"g{axis}").cast("double") + F.lit(0.5)) * F.lit(voxel)).between(F.lit(float(low)), F.lit(float(high))))
+    return v
+
+
 def columns(v: DataFrame, first: int, last: int, up: str = "y") -> DataFrame:
     """(a, b, verdict) of each column that holds a known voxel of the band: occupied if any is at or behind a surface,
     free if all of the band are known and none is, else unknown.  v: gx, gy, gz, value."""

@@ -55,6 +55,18 @@ def samples(volume: DataFrame, min_weight: int = 1) -> DataFrame:
     return v.select(*[(F.col(f"b{a}").cast("long") * 8 + part[a]).alias(f"g{a}") for a in "xyz"], (F.col("tsdf_sum") / F.col("weight")).alias("value"))
 
 
+def locate(points: DataFrame, volume: DataFrame, voxel: float) -> DataFrame:
+    """Points (wx, wy, wz and others) with the block and local voxel they lie in, and what the volume holds there: its
+    sum and weight and a status: observed, unobserved (the block is held, the voxel was never seen) or no-block."""
+    at = {a: F.floor(F.col(f"w{a}") / F.lit(voxel)) for a in "xyz"}
+    p = points.select("*", *[g.block_part(at[a]).cast("int").alias(f"b{a}") for a in "xyz"], (g.local_part(at["x"]) + 8 * g.local_part(at["y"]) + 64 * g.local_part(at["z"])).cast("int").alias("l"))
+    key = ["bx", "by", "bz"]
+    held = volume.select(*key).distinct().withColumn("_held", F.lit(True))
+    met = p.join(held, key, "left").join(volume.select(*key, "l", "tsdf_sum", "weight"), [*key, "l"], "left")
+    status = F.when(F.col("weight").isNotNull(), "observed").when(F.col("_held"), "unobserved").otherwise("no-block")
+    return met.withColumn("status", status).drop("_held")
+
+
 def surface_points(v: DataFrame, voxel: float) -> DataFrame:
     """Exact zeros at voxel centres, then strict sign changes to the next voxel along x, y and z.
 

@@ -232,3 +232,49 @@ def p16(s, sf):
 def s5(s, sf):
     return derived.frames(s, sf).where("has_pose").select("seq", g.is_rigid(g.pose()).alias("rigid"))
 
+
+def _rigid_sql() -> str:
+    rows = [("m0", "m1", "m2"), ("m4", "m5", "m6"), ("m8", "m9", "m10")]
+    near = lambda x, y: f"abs({x} - {y}) <= {d(1e-5)}"
+    dots = [near(" + ".join(f"{a} * {b}" for a, b in zip(rows[i], rows[j])), int(i == j)) for i in range(3) for j in range(i, 3)]
+    det = "m0 * (m5 * m10 - m6 * m9) + m1 * (m6 * m8 - m4 * m10) + m2 * (m4 * m9 - m5 * m8)"
+    return " AND ".join([*dots, near(det, 1)])
+
+
+@query(
+    "s5_rigid_verdicts",
+    scan_with("sh AS (SELECT seq, CASE WHEN seq % 5 = 0 THEN m0 * CAST('1.1' AS DOUBLE) ELSE m0 END AS m0, m1, m2, m4, CASE WHEN seq % 5 = 1 THEN -m5 ELSE m5 END AS m5, m6, m8, m9, m10 FROM fr WHERE has_pose)")
+    + f"SELECT seq, {_rigid_sql()} AS rigid FROM sh",
+)
+def s5_verdicts(s, sf):
+    """Poses of which some are stretched and some mirrored."""
+    f = derived.frames(s, sf).where("has_pose")
+    f = f.withColumn("m0", F.when(F.col("seq") % 5 == 0, F.col("m0") * F.lit(1.1)).otherwise(F.col("m0")))
+    f = f.withColumn("m5", F.when(F.col("seq") % 5 == 1, -F.col("m5")).otherwise(F.col("m5")))
+    return f.select("seq", g.is_rigid(g.pose()).alias("rigid"))
+
+
+@query(
+    "p16_quaternions",
+    scan_with("qn AS (SELECT seq, CAST(seq % 5 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b, CAST(2 AS DOUBLE) AS c, CAST(seq % 3 + 1 AS DOUBLE) AS e FROM fr)", "ql AS (SELECT *, sqrt(a * a + b * b + c * c + e * e) AS n FROM qn)", "qu AS (SELECT seq, a / n AS x, b / n AS y, c / n AS z, e / n AS w FROM ql)")
+    + f"""SELECT seq, {d(1.0)} - {d(2.0)} * (y * y + z * z) AS r0, {d(2.0)} * (x * y - z * w) AS r1, {d(2.0)} * (x * z + y * w) AS r2, {d(2.0)} * (x * y + z * w) AS r3, {d(1.0)} - {d(2.0)} * (x * x + z * z) AS r4,
+    {d(2.0)} * (y * z - x * w) AS r5, {d(2.0)} * (x * z - y * w) AS r6, {d(2.0)} * (y * z + x * w) AS r7, {d(1.0)} - {d(2.0)} * (x * x + y * y) AS r8 FROM qu""",
+)
+def p16_quaternions(s, sf):
+    q = (F.col("seq") % 5).cast("double"), F.lit(1.0), F.lit(2.0), (F.col("seq") % 3 + 1).cast("double")
+    m = g.quaternion_matrix(*q)
+    return derived.frames(s, sf).select("seq", *[x.alias(f"r{k}") for k, x in enumerate(m)])
+
+
+@query(
+    "p17_pose_products",
+    scan_with()
+    + "SELECT seq, " + ", ".join(
+        f"m{i} * {a} + m{i + 1} * {b} + m{i + 2} * {c}" + (f" + m{i + 3}" if j == 3 else "") + f" AS p{i + j}"
+        for i in (0, 4, 8) for j, (a, b, c) in enumerate((("m0", "m4", "m8"), ("m1", "m5", "m9"), ("m2", "m6", "m10"), ("m3", "m7", "m11")))
+    ) + " FROM fr WHERE has_pose",
+)
+def p17(s, sf):
+    """Every pose after itself: all twelve numbers."""
+    m = g.pose()
+    return derived.frames(s, sf).where("has_pose").select("seq", *[x.alias(f"p{k}") for k, x in enumerate(g.compose(m, m))])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scanengine.operators import fuse
 from scanengine.plans.common import registrar
 from scanengine.plans.fusion_queries import COARSE, blocks
 from scanengine.plans.scan_sql import fused_with, plan_sql, scan_with
@@ -40,6 +41,20 @@ def u4(s, sf):
     return fusion.pending(b, b.where("is_surface"))
 
 
+_HALF = "(SELECT CAST(floor(max(seq) / 2) AS BIGINT) FROM fr)"
+
+
+@query(
+    "u4_pending_after_half",
+    fused_with(*C) + f"SELECT bx, by, bz FROM pl EXCEPT SELECT bx, by, bz FROM ev WHERE status = 'contributes' AND seq <= {_HALF}",
+)
+def u4_half(s, sf):
+    """Blocks that the first half of the frames has not reached."""
+    frames, b = derived.scan(s, sf), blocks(s, sf)
+    half = frames.agg(F.floor(F.max("seq") / 2).alias("h")).first()["h"]
+    return fusion.pending(b, fuse.observed_blocks(frames.where(F.col("seq") <= half), b, CAMERA, COARSE))
+
+
 @query("t10_event_windows", "SELECT event_type, CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def t10(s, sf):
     """Hourly windows, as a stream with a watermark would count them."""

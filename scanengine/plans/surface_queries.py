@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanengine.operators import freespace, surface
+from scanengine.operators import freespace, mesh, surface
 from scanengine.plans.common import registrar
-from scanengine.plans.fusion_queries import COARSE, volume
+from scanengine.plans.fusion_queries import COARSE, points, volume
 from scanengine.plans.scan_sql import d, fused_with
 from scanengine.sources import derived
 
@@ -36,6 +36,24 @@ def j6(s, sf):
     return samples(s, sf)
 
 
+@query(
+    "j6_located_points",
+    base(
+        f"""lp AS (SELECT seq, u, v, CAST(floor(wx / {d(V)}) AS BIGINT) AS gx, CAST(floor(wy / {d(V)}) AS BIGINT) AS gy, CAST(floor(wz / {d(V)}) AS BIGINT) AS gz FROM pt),
+lb AS (SELECT *, CAST(floor(gx / 8.0) AS INTEGER) AS bx, CAST(floor(gy / 8.0) AS INTEGER) AS by, CAST(floor(gz / 8.0) AS INTEGER) AS bz FROM lp),
+lh AS (SELECT DISTINCT bx, by, bz FROM vo WHERE (bx + by + bz) % 3 <> 0)"""
+    )
+    + """SELECT lb.seq, lb.u, lb.v, CAST(lb.gx - 8 * lb.bx + 8 * (lb.gy - 8 * lb.by) + 64 * (lb.gz - 8 * lb.bz) AS INTEGER) AS l,
+    CASE WHEN lh.bx IS NULL THEN 'no-block' WHEN vo.l IS NULL THEN 'unobserved' ELSE 'observed' END AS status, vo.weight
+    FROM lb LEFT JOIN lh ON lh.bx = lb.bx AND lh.by = lb.by AND lh.bz = lb.bz
+    LEFT JOIN vo ON lh.bx IS NOT NULL AND vo.bx = lb.bx AND vo.by = lb.by AND vo.bz = lb.bz AND vo.l = lb.gx - 8 * lb.bx + 8 * (lb.gy - 8 * lb.by) + 64 * (lb.gz - 8 * lb.bz)""",
+)
+def j6_points(s, sf):
+    """The voxel of every point of the scan, looked up in a volume that lacks a third of its blocks."""
+    held = volume(s, sf).where("(bx + by + bz) % 3 <> 0")
+    return surface.locate(points(s, sf).select("seq", "u", "v", "wx", "wy", "wz"), held, V).select("seq", "u", "v", "l", "status", "weight")
+
+
 @query(
     "m5_surface_points",
     base(
@@ -140,6 +158,71 @@ def a18(s, sf):
     return surface.face_components(mesh_corners(s, sf)).where("triangles >= 2")
 
 
+_FACES = """,
+vf AS (SELECT *, row_number() OVER (PARTITION BY ex, ey, ez, code ORDER BY gz, gy, gx, tetra, n, p) AS r FROM kc),
+vn AS (SELECT ex, ey, ez, code, row_number() OVER (ORDER BY gz, gy, gx, tetra, n, p) - 1 AS id FROM vf WHERE r = 1),
+ff AS (SELECT row_number() OVER (ORDER BY gz, gy, gx, tetra, tri) - 1 AS face, max(CASE corner WHEN 0 THEN id END) AS v0, max(CASE corner WHEN 1 THEN id END) AS v1, max(CASE corner WHEN 2 THEN id END) AS v2
+       FROM kc JOIN vn USING (ex, ey, ez, code) GROUP BY gz, gy, gx, tetra, tri)"""
+
+
+def indexed(s, sf):
+    t = surface.triangles(surface.cells(samples(s, sf)))
+    return mesh.indexed(surface.corners(t, V, ("n", "p")))
+
+
+@query("w4_face_order", base(*MESH) + _FACES + " SELECT face, v0, v1, v2 FROM ff")
+def w4(s, sf):
+    """Faces by their vertices' numbers, in the order of cells."""
+    return indexed(s, sf)[0]
+
+
+def _face_points() -> str:
+    pick = ", ".join(f"max(CASE k WHEN {i} THEN {c} END) AS {c}{i}" for i in range(3) for c in "xyz")
+    return f""", t3 AS (SELECT face, list_sort([v0, v1, v2]) AS t FROM ff),
+r3 AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY face) AS r FROM t3),
+vp AS (SELECT id, x, y, z FROM vn JOIN (SELECT ex, ey, ez, code, min(x) AS x, min(y) AS y, min(z) AS z FROM kc GROUP BY 1, 2, 3, 4) q USING (ex, ey, ez, code)),
+fp AS (SELECT face, {pick} FROM (SELECT face, unnest([0, 1, 2]) AS k, unnest([v0, v1, v2]) AS id FROM ff) u JOIN vp USING (id) GROUP BY face)"""
+
+
+@query(
+    "m10_face_problems",
+    base(*MESH) + _FACES + _face_points() + """
+    SELECT face, 'repeated' AS problem FROM r3 WHERE r > 1 UNION ALL SELECT face, 'degenerate' FROM fp
+    WHERE (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) = 0 AND (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) = 0 AND (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) = 0""",
+)
+def m10(s, sf):
+    return mesh.face_problems(*indexed(s, sf))
+
+
+@query("m11_split_pinches")
+def m11_split(s, sf):
+    """The mesh without bad faces, a vertex for each fan."""
+    faces, vertices = indexed(s, sf)
+    return mesh.split_pinches(mesh.clean(faces, vertices), vertices)[0]
+
+
+@query("m12_manifold_verdict")
+def m12(s, sf):
+    faces, vertices = indexed(s, sf)
+    return mesh.verdict(mesh.clean(faces, vertices))
+
+
+@query("a19_large_components")
+def a19(s, sf):
+    """Components of four triangles or more, renumbered."""
+    return mesh.keep_components(*indexed(s, sf), 4)[0]
+
+
+_DENSE = "sm AS (SELECT * FROM sm0 WHERE gx BETWEEN -16 AND 15 AND gy BETWEEN -16 AND 15 AND gz BETWEEN 0 AND 31)"
+
+
+@query("m6_dense_mesh", base(*MESH).replace("sm AS (", "sm0 AS (", 1).replace(CELLS, _DENSE + "," + CELLS, 1) + "SELECT gx, gy, gz, tetra, tri, corner, ex, ey, ez, code, x, y, z FROM kc")
+def m6_dense(s, sf):
+    """The mesh of a dense box of voxels."""
+    v = mesh.dense_samples(volume(s, sf), (-16, -16, 0), (32, 32, 32))
+    return surface.corners(surface.triangles(surface.cells(v)), V)
+
+
 @query("m11_m12_vertex_fans")
 def m11(s, sf):
     return surface.fans(mesh_corners(s, sf))
@@ -222,3 +305,24 @@ def a10(s, sf):
 )
 def j20(s, sf):
     return freespace.touched_blocks(route_columns(s), -1, 1).join(volume(s, sf).select("bx", "by", "bz").distinct(), ["bx", "by", "bz"], "left_anti")
+
+
+@query(
+    "j20_absent_high_blocks",
+    rec(base(CHAIN)) + """, tb AS (SELECT DISTINCT CAST(floor(a / 8.0) AS INT) AS bx, CAST(y AS INT) AS by, CAST(floor(b / 8.0) AS INT) AS bz FROM sw, range(-2, 3) r(y))
+    SELECT bx, by, bz FROM tb EXCEPT SELECT bx, by, bz FROM vo""",
+)
+def j20_high(s, sf):
+    """The same route for a taller traveller, above what the scan saw."""
+    return freespace.touched_blocks(route_columns(s), -10, 20).join(volume(s, sf).select("bx", "by", "bz").distinct(), ["bx", "by", "bz"], "left_anti")
+
+
+@query(
+    "f6_band_window",
+    base()
+    + f"""SELECT gx AS a, gz AS b, CASE WHEN bool_or(value <= 0) THEN 'occupied' WHEN count(*) = 3 THEN 'free' ELSE 'unknown' END AS verdict
+    FROM sm WHERE gy BETWEEN -1 AND 1 AND (gx + {d(0.5)}) * {d(V)} BETWEEN {d(-1.0)} AND {d(1.0)} AND (gz + {d(0.5)}) * {d(V)} BETWEEN {d(0.0)} AND {d(2.5)} GROUP BY 1, 2""",
+)
+def f6(s, sf):
+    """The free-space map of a window of the world, two metres wide."""
+    return freespace.columns(freespace.window(samples(s, sf), V, a=(-1.0, 1.0), b=(0.0, 2.5)), -1, 1)

@@ -56,8 +56,8 @@ def decode_pgm(data: bytes) -> tuple[int, int, bytes, int]:
     return width, height, data[at + 1 :], 2 if most > 255 else 1
 
 
-def decode_png(data: bytes) -> tuple[int, int, bytes, int]:
-    """(width, height, raster, bytes a sample) of a grey PNG of 8 or 16 bits, not interlaced."""
+def decode_png(data: bytes, colours: int = 1) -> tuple[int, int, bytes, int]:
+    """(width, height, raster, bytes a sample) of a PNG of 8 or 16 bits, not interlaced: grey, or of 3 colours."""
     import numpy as np
 
     if data[:8] != b"\x89PNG\r\n\x1a\n":
@@ -72,12 +72,13 @@ def decode_png(data: bytes) -> tuple[int, int, bytes, int]:
             packed += body
         at += 12 + n
     width, height, depth, colour, _, _, interlace = head
-    if colour != 0 or depth not in (8, 16) or interlace:
-        raise ValueError("only grey images of 8 or 16 bits are read")
-    size = depth // 8
-    rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * size)
-    out = np.zeros((height, width * size), np.uint8)
-    above = np.zeros(width * size, np.int64)
+    if colour != {1: 0, 3: 2}[colours] or depth not in (8, 16) or interlace:
+        raise ValueError("only whole images of 8 or 16 bits are read, grey or of three colours")
+    sample = depth // 8
+    size, across = colours * sample, width * colours * sample
+    rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + across)
+    out = np.zeros((height, across), np.uint8)
+    above = np.zeros(across, np.int64)
     for y in range(height):
         kind, line = rows[y, 0], rows[y, 1:].astype(np.int64)
         if kind == 2:
@@ -96,7 +97,7 @@ def decode_png(data: bytes) -> tuple[int, int, bytes, int]:
                     guess = left if a <= b and a <= c else up if b <= c else corner
                 line[x] = (line[x] + guess) & 255
         out[y] = above = line
-    return width, height, out.astype(np.uint8).tobytes(), size
+    return width, height, out.tobytes(), sample
 
 
 def read_depth_images(spark: SparkSession, path: str) -> DataFrame:
