@@ -2,7 +2,7 @@
 
 A unit is a run of documents of one partition.  Each unit sends its distinct keys, sorted and coded as gaps, with its own
 counts; the keys of a range meet in one task, which adds the counts and answers each unit in the order of its keys.  The
-answers lie in the shared folder by partition, sorted by unit; a second pass over the same documents reads its own, unit
+answers lie in the shared folder, sorted by partition and unit; a second pass over the same documents reads its own, unit
 by unit.  Keys are counted within a unit first, so a key that all documents hold is sent once a unit.
 
 Both passes must see the same partitions: stable() passes scans of files through and writes anything else first.  Each
@@ -12,12 +12,15 @@ answer carries the number and a checksum of its keys; a pass that sees other key
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,17 +240,26 @@ class Exchange:
             there = found.where("pid >= 0").select(F.col("unit").alias("range"), "family", F.col("pid").alias("group"), "bucket", "counts")
             both = asked.withColumn("range", F.col("bucket")).groupBy("range", "family", "group").cogroup(there.groupBy("range", "family", "group"))
             answers = both.applyInArrow(back, REPLY).unionByName(found.where("pid < 0"))
-        answers = answers.repartition("pid").sortWithinPartitions("pid", "unit", "family", "bucket")
-        answers.write.partitionBy("pid").option("compression", "zstd").parquet(self.path)
+        # a few partitions' answers a file, in their order, and the totals in one of their own; small row groups, so that a
+        # reader skips what is not its own
+        parts = self.docs._jdf.queryExecution().toRdd().getNumPartitions()
+        n = max(1, min(1024, -(-parts // 4)))
+        place = F.when(F.col("pid") < 0, n).otherwise(F.shiftright("pid", 1) % n).cast("int")
+        answers = answers.repartitionById(n + 1, place).sortWithinPartitions("pid", "unit", "family", "bucket")
+        answers.write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(self.path)
+        files, base = file_system(self.path)
+        found: dict[int, list[str]] = {}
+        for info in files.get_file_info(fs.FileSelector(base)):
+            if m := re.match(r"part-(\d+)-.*\.parquet$", info.base_name):
+                found.setdefault(int(m[1]), []).append(info.path)
+        self.n, self.found = n, {k: sorted(v) for k, v in found.items()}
 
     def totals(self, family: int, count: int) -> tuple[int, int]:
         """The sum of one count over all keys of a family, and how many keys have any."""
-        path = f"{self.path}/pid=-1"
         spark = self.docs.sparkSession
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        if self.n not in self.found:
             return 0, 0
-        rows = spark.read.schema(REPLY.partition(", ")[2]).parquet(path).where(F.col("family") == family)
+        rows = spark.read.schema(REPLY).parquet(*[f"{self.path}/{os.path.basename(x)}" for x in self.found[self.n]]).where((F.col("pid") < 0) & (F.col("family") == family))
         got = rows.agg(F.sum(F.get("stats", F.lit(2 * count))).alias("a"), F.sum(F.get("stats", F.lit(2 * count + 1))).alias("b")).first()
         return got["a"] or 0, got["b"] or 0
 
@@ -256,20 +268,25 @@ class Exchange:
         one lane."""
         families, text, unit_bytes, path, buckets, inner, bits, lane = self.families, self.text, self.unit_bytes, self.path, self.buckets, self.inner, self.bits, self.lane
 
+        found, n = self.found, self.n
+
         def answered(pid: int) -> Iterator[dict]:
             """A partition's answers in the order of units, families and buckets, a few at a time."""
             import pyarrow.parquet as pq
-            from pyarrow import fs
 
-            files, base = file_system(path)
-            found = [i.path for i in files.get_file_info(fs.FileSelector(f"{base}/pid={pid}", allow_not_found=True)) if i.path.endswith(".parquet")]
+            files, _ = file_system(path)
 
             def rows(name: str) -> Iterator[dict]:
                 with files.open_input_file(name) as source:
-                    for batch in pq.ParquetFile(source).iter_batches(batch_size=64, use_threads=False):
-                        yield from batch.to_pylist()
-
-            return heapq.merge(*map(rows, sorted(found)), key=lambda r: (r["unit"], r["family"], r["bucket"]))
+                    f = pq.ParquetFile(source)
+                    at = f.schema_arrow.get_field_index("pid")
+                    for k in range(f.num_row_groups):
+                        span = f.metadata.row_group(k).column(at).statistics
+                        if span is None or not span.has_min_max or span.min <= pid <= span.max:
+                            for batch in f.iter_batches(batch_size=64, row_groups=[k], use_threads=False):
+                                yield from batch.filter(pc.equal(batch.column(at), pid)).to_pylist()
+
+            return heapq.merge(*map(rows, found.get((pid >> 1) % n, [])), key=lambda r: (r["unit"], r["family"], r["bucket"]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
