@@ -186,6 +186,13 @@ def observed_blocks(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.G
     return vector.contributing(scan, blocks, cam, grid).distinct()
 
 
+def expansion_parts(plan: DataFrame, candidates: DataFrame, approved: DataFrame) -> DataFrame:
+    """(bx, by, bz, part) of each candidate: surface or halo of the plan, approved beside it, or rejected."""
+    d = candidates.select(*BLOCK).join(plan.select(*BLOCK, "is_surface"), BLOCK, "left").join(approved.select(*BLOCK).distinct().withColumn("_seen", F.lit(True)), BLOCK, "left")
+    part = F.when(F.col("is_surface"), "surface").when(F.col("is_surface").isNotNull(), "halo").when(F.col("_seen"), "approved").otherwise("rejected")
+    return d.select(*BLOCK, part.alias("part"))
+
+
 def depth_tiles(px: DataFrame, cam: g.Camera, side: int = 8) -> DataFrame:
     """The largest depth of each tile of pixels: (seq, tu, tv, depth)."""
     z = F.when(F.col("raw") > 0, g.metric(F.col("raw"), cam)).otherwise(g.lit(0.0))

@@ -35,3 +35,30 @@ def rasterise(tri: DataFrame, pixel: float) -> DataFrame:
     t = t.select("face", "px", "py", *[c.alias(f"w{k}") for k, c in enumerate(w)], "az", "bz", "cz").where("w0 >= 0 and w1 >= 0 and w2 >= 0")
     t = t.select("px", "py", F.struct((F.col("w0") * F.col("az") + F.col("w1") * F.col("bz") + F.col("w2") * F.col("cz")).alias("depth"), "face").alias("s"))
     return t.groupBy("px", "py").agg(F.min("s").alias("s")).select("px", "py", "s.depth", "s.face")
+
+
+def view_basis(azimuth: float, elevation: float) -> list[list[float]]:
+    """The right, down and forward directions of a camera that looks at the scene from an azimuth and an elevation, in
+    degrees, with z up."""
+    import math
+
+    a, e = math.radians(azimuth), math.radians(elevation)
+    forward = [-math.cos(e) * math.cos(a), -math.cos(e) * math.sin(a), -math.sin(e)]
+    right = [-math.sin(a), math.cos(a), 0.0]
+    down = [forward[1] * right[2] - forward[2] * right[1], forward[2] * right[0] - forward[0] * right[2], forward[0] * right[1] - forward[1] * right[0]]
+    return [right, down, forward]
+
+
+def fitted(points: DataFrame, basis: list[list[float]], width: int, height: int, margin: float = 0.05) -> DataFrame:
+    """Points (x, y, z and others) with px, py: the largest flat view along a basis in which all of them are in the
+    picture but for a margin.  One row of bounds is all that is gathered."""
+    along = lambda d: sum((F.col(a) * F.lit(float(x)) for a, x in zip("xyz", d)), F.lit(0.0))
+    p = points.withColumn("_r", along(basis[0])).withColumn("_d", along(basis[1]))
+    b = p.agg(F.min("_r").alias("r0"), F.max("_r").alias("r1"), F.min("_d").alias("d0"), F.max("_d").alias("d1")).first()
+    if b["r0"] is None:
+        return p.drop("_r", "_d").select("*", F.lit(0.0).alias("px"), F.lit(0.0).alias("py"))
+    room = 1 - 2 * margin
+    scale = min(room * width / max(b["r1"] - b["r0"], 1e-9), room * height / max(b["d1"] - b["d0"], 1e-9))
+    px = F.lit(width / 2) + (F.col("_r") - F.lit((b["r0"] + b["r1"]) / 2)) * F.lit(scale)
+    py = F.lit(height / 2) + (F.col("_d") - F.lit((b["d0"] + b["d1"]) / 2)) * F.lit(scale)
+    return p.select(*points.columns, px.alias("px"), py.alias("py"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
-from scanengine.operators import evaluate
+from scanengine.operators import evaluate, mesh, order, placement, replay
 from scanengine.plans.common import registrar
 from scanengine.plans.fusion_queries import COARSE
 from scanengine.plans.fusion_queries import points as all_points
 from scanengine.plans.scan_sql import d, scan_with
-from scanengine.plans.surface_queries import V, base, samples
+from scanengine.plans.surface_queries import V, base, indexed, samples
 from scanengine.sources import derived
 from scanengine.sources.derived import CAMERA, table
 
@@ -278,3 +278,68 @@ def p17(s, sf):
     """Every pose after itself: all twelve numbers."""
     m = g.pose()
     return derived.frames(s, sf).where("has_pose").select("seq", *[x.alias(f"p{k}") for k, x in enumerate(g.compose(m, m))])
+
+
+def _oriented_sql() -> str:
+    at = lambda r, a, b: f"JOIN po {r} ON {r}.seq = c.seq AND {r}.u = c.u + {a} AND {r}.v = c.v + {b}"
+    n = {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}
+    cross = ", ".join(f"(r.{i} - l.{i}) * (b.{j} - a.{j}) - (r.{j} - l.{j}) * (b.{i} - a.{i}) AS n{k}" for k, (i, j) in n.items())
+    flat = " AND ".join(f"abs({d(0.5)} * ({d(1.0)} / {p}.z + {d(1.0)} / {q}.z) - {d(1.0)} / c.z) < {d(0.03)} * ({d(1.0)} / c.z)" for p, q in (("r", "l"), ("b", "a")))
+    return f"""
+po AS (SELECT seq, u, v, x, y, z FROM cp),
+on1 AS (SELECT c.*, {cross} FROM po c {at("r", 1, 0)} {at("l", -1, 0)} {at("b", 0, 1)} {at("a", 0, -1)} WHERE {flat}),
+on2 AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS len FROM on1),
+on3 AS (SELECT seq, u, v, x, y, z, nx / len AS nx, ny / len AS ny, nz / len AS nz FROM on2 WHERE len > 0)"""
+
+
+@query(
+    "m14_oriented_depth",
+    scan_with(_oriented_sql())
+    + "SELECT seq, u, v, x, y, z, CASE WHEN nx * x + ny * y + nz * z > 0 THEN -nx ELSE nx END AS nx, CASE WHEN nx * x + ny * y + nz * z > 0 THEN -ny ELSE ny END AS ny, CASE WHEN nx * x + ny * y + nz * z > 0 THEN -nz ELSE nz END AS nz FROM on3",
+)
+def m14(s, sf):
+    return placement.oriented(derived.pixels(s, sf), CAMERA, 1)
+
+
+@query(
+    "v18_trajectory_difference",
+    scan_with()
+    + f"""SELECT (SELECT count(*) FROM fr WHERE has_pose AND seq % 4 = 3) AS unpaired, max(sqrt(x * x + y * y + z * z)) AS metres, round(max(acos(greatest({d(-1.0)}, least({d(1.0)}, (t - 1.0) / 2.0)))), 9) AS radians
+    FROM (SELECT m3 - (m3 + seq * {d(0.001)}) AS x, m7 - m7 AS y, m11 - m11 AS z,
+          m0 * CASE WHEN seq % 3 = 0 THEN m8 ELSE m0 END + m1 * CASE WHEN seq % 3 = 0 THEN m9 ELSE m1 END + m2 * CASE WHEN seq % 3 = 0 THEN m10 ELSE m2 END + m4 * m4 + m5 * m5 + m6 * m6
+          + m8 * CASE WHEN seq % 3 = 0 THEN -m0 ELSE m8 END + m9 * CASE WHEN seq % 3 = 0 THEN -m1 ELSE m9 END + m10 * CASE WHEN seq % 3 = 0 THEN -m2 ELSE m10 END AS t FROM fr WHERE has_pose AND seq % 4 <> 3)""",
+)
+def v18(s, sf):
+    """The scan's trajectory against one with drift, with quarter turns, and without some frames."""
+    f = derived.frames(s, sf).where("has_pose").select("seq", *[f"m{k}" for k in range(12)])
+    turn = F.col("seq") % 3 == 0
+    moved = f.where("seq % 4 <> 3").withColumn("m3", F.col("m3") + F.col("seq") * F.lit(0.001))
+    rows = {**{f"m{k}": F.when(turn, F.col(f"m{k + 8}")).otherwise(F.col(f"m{k}")) for k in range(3)}, **{f"m{k + 8}": F.when(turn, -F.col(f"m{k}")).otherwise(F.col(f"m{k + 8}")) for k in range(3)}}
+    return placement.trajectory_difference(f, moved.withColumns(rows)).withColumn("radians", F.round("radians", 9))
+
+
+@query(
+    "a24_scan_digest",
+    scan_with(
+        "rd AS (SELECT row_number() OVER (ORDER BY seq, v, u) - 1 AS i, sha256(seq || '|' || u || '|' || v || '|' || raw) AS digest FROM px)",
+        "rr AS (SELECT i // 65536 AS run, sha256(unhex(string_agg(digest, '' ORDER BY i))) AS digest FROM rd GROUP BY 1)",
+    )
+    + "SELECT sha256(unhex(string_agg(digest, '' ORDER BY run))) AS digest FROM rr",
+)
+def a24(s, sf):
+    """One digest of all readings in the order of frames, rows and columns."""
+    px = order.dense_numbers(derived.pixels(s, sf), [F.col("v"), F.col("u")], F.col("seq"), "i")
+    return replay.ordered_digest(px, ["seq", "u", "v", "raw"], "i")
+
+
+@query("p23_band_limit", f"SELECT voxel, round(degrees(acos(least({d(1.0)}, voxel / {d(0.4)}))), 9) AS degrees FROM (VALUES ({d(0.1)}), ({d(0.2)}), ({d(0.4)}), ({d(0.5)})) t(voxel)")
+def p23(s, sf):
+    return s.createDataFrame([(v, round(evaluate.band_limit(v, 0.4), 9)) for v in (0.1, 0.2, 0.4, 0.5)], "voxel double, degrees double")
+
+
+@query("a20_vertex_normals")
+def a20(s, sf):
+    """Area-weighted normals of the mesh's vertices."""
+    faces, vertices = indexed(s, sf)
+    p = mesh.with_points(faces, vertices).select("face", F.col("v0").alias("va"), F.col("v1").alias("vb"), F.col("v2").alias("vc"), *[f"{c}{a}" for c in "abc" for a in "xyz"])
+    return evaluate.vertex_normals(p)

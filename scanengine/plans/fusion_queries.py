@@ -252,6 +252,19 @@ def f4(s, sf):
     return both.groupBy("bx", "by", "bz").agg(F.max("planned").alias("planned"), F.max("approved").alias("approved"))
 
 
+@query(
+    "u2_expansion_parts",
+    scan_with(plan_sql(*C), _BOX, eval_sql(*C, plan="bo"))
+    + """, ap AS (SELECT DISTINCT bx, by, bz FROM ev WHERE status = 'contributes')
+    SELECT bo.bx, bo.by, bo.bz, CASE WHEN pl.is_surface THEN 'surface' WHEN pl.bx IS NOT NULL THEN 'halo' WHEN ap.bx IS NOT NULL THEN 'approved' ELSE 'rejected' END AS part
+    FROM bo LEFT JOIN pl ON pl.bx = bo.bx AND pl.by = bo.by AND pl.bz = bo.bz LEFT JOIN ap ON ap.bx = bo.bx AND ap.by = bo.by AND ap.bz = bo.bz""",
+)
+def u2(s, sf):
+    """Every candidate block: of the plan, approved beside it, or rejected."""
+    b = blocks(s, sf)
+    return fuse.expansion_parts(b, candidate_box(b), fuse.observed_blocks(derived.scan(s, sf), candidate_box(b), CAMERA, COARSE))
+
+
 @query("v7_lone_blocks", fused_with(*C) + "SELECT bx, by, bz, l, tsdf_sum, weight FROM vo WHERE bx = 0 AND by = 0")
 def v7(s, sf):
     """Blocks fused on their own, without fusing the rest of the volume."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from scanengine.operators import fuse, rays
 from scanengine.plans.common import registrar
-from scanengine.plans.fusion_queries import COARSE, points
+from scanengine.plans.fusion_queries import COARSE, blocks, points
+from scanengine.plans.scan_sql import block_sql, d, plan_sql, scan_with
 from scanengine.sources import derived
 from scanengine.sources.derived import CAMERA
 
@@ -13,12 +16,39 @@ SQL: dict[str, str] = {}
 query = registrar(QUERIES, SQL)
 
 
-@query("g5_g7_ray_blocks")
+def _rays_sql() -> str:
+    e = d(COARSE.extent)
+    ends = ", ".join(f"m{k} AS o{a}, {block_sql(f'm{k}', COARSE.extent)} AS f{a}, {block_sql(f'w{a}', COARSE.extent)} AS l{a}" for a, k in zip("xyz", (3, 7, 11)))
+    cross = ", ".join(
+        f"CASE WHEN l{a} <> f{a} THEN list_transform(range(abs(l{a} - f{a})::BIGINT), lambda j: ((f{a} + (l{a} > f{a})::INT + sign(l{a} - f{a}) * j) * {e} - o{a}) / (w{a} - o{a})) ELSE []::DOUBLE[] END AS t{a}"
+        for a in "xyz"
+    )
+    at = ", ".join(f"CAST(f{a} + sign(l{a} - f{a}) * len(list_filter(t{a}, lambda x: x <= t)) AS INTEGER) AS b{a}" for a in "xyz")
+    return f"""
+ry AS (SELECT pt.seq, wx, wy, wz, {ends} FROM pt JOIN fr USING (seq)),
+rt AS (SELECT *, {cross} FROM ry),
+ru AS (SELECT *, unnest(list_distinct(list_concat(tx, ty, tz) || ['-inf'::DOUBLE])) AS t FROM rt),
+rb AS (SELECT DISTINCT seq, {at} FROM ru)"""
+
+
+@query("g5_g7_ray_blocks", scan_with(_rays_sql()) + "SELECT seq, bx, by, bz FROM rb")
 def g5(s, sf):
-    """Blocks between camera and surface, by frame; tests walk the rays one by one and by sampling."""
+    """Blocks between camera and surface, by frame; tests hold the rays against sampling."""
     return rays.traced(points(s, sf), derived.frames(s, sf), COARSE.extent)
 
 
+@query(
+    "g7_rays_in_plan",
+    scan_with(plan_sql(COARSE.voxel, COARSE.truncation), _rays_sql())
+    + "SELECT rb.seq, count(*) AS blocks, count(pl.bx) AS planned, count(*) - count(pl.bx) AS outside FROM rb LEFT JOIN pl ON pl.bx = rb.bx AND pl.by = rb.by AND pl.bz = rb.bz GROUP BY 1",
+)
+def g7(s, sf):
+    """Of each frame's ray blocks, how many the plan holds."""
+    found = rays.by_plan(rays.traced(points(s, sf), derived.frames(s, sf), COARSE.extent), blocks(s, sf))
+    n = found.groupBy("seq").agg(F.count("*").alias("blocks"), F.count_if("planned").alias("planned"))
+    return n.withColumn("outside", F.col("blocks") - F.col("planned"))
+
+
 def feet(s, sf):
     return rays.footprints(derived.pixels(s, sf), derived.frames(s, sf), CAMERA, COARSE)
 

@@ -6,12 +6,13 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from scanengine.operators import commit, fuse
+from scanengine.operators import commit, fuse, proof
 from scanengine.plans.common import registrar
 from scanengine.plans.fusion_queries import COARSE, blocks, volume
 from scanengine.plans.scan_sql import fused_with, plan_sql, scan_with
 from scanengine.sources import derived
 from scanengine.sources.derived import CAMERA, table
+from scanengine.sources.scratch import kept
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -127,3 +128,71 @@ def u6(s, sf):
 )
 def v9(s, sf):
     return commit.evidence(fuse.evaluated(derived.scan(s, sf), blocks(s, sf), CAMERA, COARSE))
+
+
+SIDE = 8
+
+
+def world(s, sf):
+    """(scan, leaves of a map in which some sums are wrong, its statement)."""
+    scan = derived.scan(s, sf)
+    v = volume(s, sf).withColumn("tsdf_sum", F.when((F.col("bx") + F.col("by") + F.col("bz")) % 4 == 0, F.when(F.col("l") % 64 == 0, F.col("tsdf_sum") / 2 + 0.25).otherwise(F.col("tsdf_sum"))).otherwise(F.col("tsdf_sum")))
+    leaves = kept(commit.numbered(commit.block_leaves(v)), "leaves")
+    frames = kept(proof.frame_leaves(scan, proof.depth_trees(proof.image_tiles(scan, CAMERA, SIDE))), "frame-leaves")
+    return scan, leaves, proof.statement(frames, leaves, "derived", CAMERA, COARSE, SIDE)
+
+
+_WRONG = """, wr AS (SELECT bx, by, bz, count(*) FILTER ((bx + by + bz) % 4 = 0 AND l % 64 = 0 AND tsdf_sum / 2 + 0.25 <> tsdf_sum) AS differing FROM vo GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "v11_v12_block_verdicts",
+    fused_with(*C) + _WRONG + " SELECT bx, by, bz, CASE WHEN differing > 0 THEN 'refuted' ELSE 'verified' END AS verdict, CASE WHEN differing > 0 THEN 'fusion' END AS failed, differing::INTEGER AS differing FROM wr",
+)
+def v11(s, sf):
+    """Every block of a map with some wrong sums, proved and checked from its evidence alone."""
+    scan, leaves, stated = world(s, sf)
+    return proof.check_blocks(stated, proof.prove(stated, scan, leaves, leaves, CAMERA, COARSE))
+
+
+@query(
+    "v12_map_verdict",
+    fused_with(*C) + _WRONG + """ SELECT CASE WHEN max(differing) > 0 THEN 'refuted' ELSE 'verified' END AS verdict, CASE WHEN max(differing) > 0 THEN 'fusion' END AS failed, count(*) AS blocks,
+    (SELECT bx FROM wr WHERE differing > 0 ORDER BY bz, by, bx LIMIT 1) AS bx, (SELECT by FROM wr WHERE differing > 0 ORDER BY bz, by, bx LIMIT 1) AS by, (SELECT bz FROM wr WHERE differing > 0 ORDER BY bz, by, bx LIMIT 1) AS bz FROM wr""",
+)
+def v12(s, sf):
+    return proof.held_verdict(v11(s, sf))
+
+
+@query("v14_audit_verdict")
+def v14(s, sf):
+    """An audit of sixteen drawn blocks, answered with their proof."""
+    scan, leaves, stated = world(s, sf)
+    drawn = proof.audit_blocks(s, stated, b"audit", 16, leaves)
+    return proof.check_audit(stated, proof.prove(stated, scan, leaves, drawn, CAMERA, COARSE), b"audit", 16)
+
+
+_TILE = f"CAST(floor(pv + 0.5) AS INTEGER) // {SIDE} * 4 + CAST(floor(pu + 0.5) AS INTEGER) // {SIDE}"
+
+
+@query("v9_evidence_tiles", fused_with(*C) + f"SELECT DISTINCT bx, by, bz, seq, {_TILE} AS tile FROM c5 WHERE seen")
+def v9_tiles(s, sf):
+    """The tiles of depth that each block reads."""
+    return proof.evidence_tiles(derived.scan(s, sf), blocks(s, sf), CAMERA, COARSE, SIDE)
+
+
+@query(
+    "a26_evidence_sizes",
+    fused_with(*C, f"et AS (SELECT DISTINCT bx, by, bz, seq, {_TILE} AS tile FROM c5 WHERE seen)")
+    + "SELECT bx, by, bz, count(DISTINCT seq) AS frames, count(*) AS tiles, count(*) * 128 AS bytes, count(*) * 64 AS samples FROM et GROUP BY 1, 2, 3",
+)
+def a26(s, sf):
+    return proof.evidence_counts(proof.evidence_tiles(derived.scan(s, sf), blocks(s, sf), CAMERA, COARSE, SIDE), CAMERA, SIDE)
+
+
+@query("v4_frame_leaves")
+def v4(s, sf):
+    """A leaf for every frame, with its pose and the root of its depth."""
+    scan = derived.scan(s, sf)
+    f = proof.frame_leaves(scan, proof.depth_trees(proof.image_tiles(scan, CAMERA, SIDE)))
+    return f.select("idx", "seq", F.lower(F.hex(commit.leaf_hash(F.col("data")))).alias("leaf"))
