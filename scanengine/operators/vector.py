@@ -87,11 +87,12 @@ def over_frames(
     whole = scan.where("has_depth and has_pose").select("seq", "depth", *[f"m{i}" for i in range(12)])
     whole = whole if scan.isStreaming else whole.repartition(parts, "seq")
     plan = blocks.select(*[F.col(c).cast("int").alias(c) for c in BLOCK])
-    slices = max(1, -(-plan.count() // MOST_SENT))
+    # one slice's rows and one more, so that a plan within the bound is made once
+    first = plan.limit(MOST_SENT + 1).toArrow()
+    slices = 1 if first.num_rows <= MOST_SENT else -(-plan.count() // MOST_SENT)
     out = None
     for k in range(slices):
-        some = plan if slices == 1 else plan.where(F.pmod(F.xxhash64(*BLOCK), F.lit(slices)) == k)
-        rows = some.toArrow()
+        rows = first if slices == 1 else plan.where(F.pmod(F.xxhash64(*BLOCK), F.lit(slices)) == k).toArrow()
         sent = spark.sparkContext.broadcast(np.column_stack([rows[c].to_numpy() for c in BLOCK]).astype(np.int32))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

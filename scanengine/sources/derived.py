@@ -80,6 +80,19 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).join(depth_images(pixels(spark, sf_dir)), "seq", "left")
 
 
+#: A camera of the size that published figures are for.
+WIDE = Camera(640, 480, 525.0, 525.0, 319.5, 239.5)
+
+
+def wide_scan(spark: SparkSession, sf_dir: str, most: int = 64, cam: Camera = WIDE) -> DataFrame:
+    """frames as scan() has them, with full-size depth images of a slanted surface that moves with the frame."""
+    seq = table(spark, sf_dir, "lineitem").select((F.floor(F.col("l_orderkey") / 625) % most).cast("long").alias("seq")).distinct()
+    spots = F.sequence(F.lit(0), F.lit(cam.width * cam.height - 1))
+    raw = lambda i: (1400 + F.floor(i % cam.width / 4) + F.floor(i / (cam.width * 3)) + F.col("seq") * 2).cast("int")
+    f = with_poses(seq).withColumn("has_depth", F.lit(True))
+    return f.withColumn("depth", F.transform(spots, raw))
+
+
 #: The same tables for the SQL twins.
 SCAN_SQL = """
 px AS (
