@@ -1,11 +1,11 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from the pages of each host.
 
-A page is a tree of elements; a wrapper is a tree of the same form whose children are a union-free expression: items that
-come once, optionally (?), repeatedly (+) or both (*), groups of items that repeat together, and text slots.  Wrappers
+A page's stream of tokens is read as a tree of elements, so that streams are aligned level by level and tags stay balanced;
+a wrapper is a tree of the same form whose children are a union-free expression: items that come once, optionally (?), repeatedly (+) or both (*), groups of items that repeat together, and text slots.  Wrappers
 are folded page by page: repeated siblings fold into repeated items and groups, lists of children are aligned, and what
 one side lacks becomes optional.  Each task folds the pages it holds; the few wrappers of a host are then folded in two
 steps, so a host with a third of all pages never meets in one task.  Each place in the wrapper keeps how many pages have
-it, how much text, and whether the text differs.  From that the places of the main text follow, and every page of the
+it, how much text, how much of it in links, and whether the text differs.  From that the places of the main text follow, and every page of the
 host is read by them.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -50,8 +51,12 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 DEPTH = 120
-#: Distinct pages of a host from which on a text that they all have is known to be the template's.
-DISTINCT = 5
+#: Distinct pages of a host from which on a text that they all have is the template's: the first comparison tells it.
+DISTINCT = 2
+#: A repeated item whose text lies in links to at least this share is a menu.
+LINKS = 0.9
+#: Lists of children that have no unique item in common are aligned by a table of at most so many cells.
+CELLS = 250_000
 
 
 def parse(page: str) -> list:
@@ -181,29 +186,82 @@ def merged(a: list, b: list, repeated: bool = False) -> list:
     return [a[0], a[1] & b[1], 1 if repeated else a[2] | b[2], aligned(a[3], b[3])]
 
 
+def common_run(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places (i, j) of a common subsequence of two lists of keys, rising in both.
+
+    Equal ends are matched first; what is left is parted at the longest rising chain of keys that are unique on both
+    sides, and between those a table finds a longest common subsequence.  Where a part has too many cells for that, and
+    nothing unique to part it, its items stay unmatched, and so optional.
+    """
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        while i0 < i1 and j0 < j1 and a[i0] == b[j0]:
+            out.append((i0, j0))
+            i0, j0 = i0 + 1, j0 + 1
+        while i0 < i1 and j0 < j1 and a[i1 - 1] == b[j1 - 1]:
+            i1, j1 = i1 - 1, j1 - 1
+            out.append((i1, j1))
+        n, m = i1 - i0, j1 - j0
+        if not n or not m:
+            continue
+        if n * m <= CELLS:
+            best = [[0] * (m + 1) for _ in range(n + 1)]
+            for i in range(n - 1, -1, -1):
+                for j in range(m - 1, -1, -1):
+                    best[i][j] = best[i + 1][j + 1] + 1 if a[i0 + i] == b[j0 + j] else max(best[i + 1][j], best[i][j + 1])
+            i = j = 0
+            while i < n and j < m:
+                if a[i0 + i] == b[j0 + j]:
+                    out.append((i0 + i, j0 + j))
+                    i, j = i + 1, j + 1
+                elif best[i + 1][j] >= best[i][j + 1]:
+                    i += 1
+                else:
+                    j += 1
+            continue
+        in_a, in_b = Counter(a[i0:i1]), Counter(b[j0:j1])
+        at = {a[i]: i for i in range(i0, i1) if in_a[a[i]] == 1}
+        chain = rising([(at[b[j]], j) for j in range(j0, j1) if in_b[b[j]] == 1 and b[j] in at])
+        edges = [(i0 - 1, j0 - 1), *chain, (i1, j1)]
+        out += chain
+        todo += [(i + 1, k, j + 1, l) for (i, j), (k, l) in zip(edges, edges[1:])] if chain else []
+    return sorted(out)
+
+
+def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain of pairs, given with rising j, whose i rise as well."""
+    tails: list[int] = []
+    ends: list[int] = []
+    back: list[int] = []
+    for k, (i, _) in enumerate(pairs):
+        p = bisect_left(tails, i)
+        back.append(ends[p - 1] if p else -1)
+        if p == len(tails):
+            tails.append(i)
+            ends.append(k)
+        else:
+            tails[p], ends[p] = i, k
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
 def aligned(a: list, b: list) -> list:
-    """Two lists of children as one: a longest common run of keys is merged, the rest is optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [merged(x, y) for x, y in zip(a, b)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+    """Two lists of children as one: a common run of keys is merged, the rest is optional."""
     out: list = []
     i = j = 0
     optional = lambda x: [x[0], 0, x[2], x[3]]
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merged(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(optional(a[i]))
-            i += 1
-        else:
-            out.append(optional(b[j]))
-            j += 1
-    return folded(out)
+    met = common_run([x[0] for x in a], [x[0] for x in b])
+    for k, l in [*met, (len(a), len(b))]:
+        out += [optional(x) for x in a[i:k]] + [optional(x) for x in b[j:l]]
+        if k < len(a) and l < len(b):
+            out.append(merged(a[k], b[l]))
+        i, j = k + 1, l + 1
+    return out if len(met) == len(a) == len(b) else folded(out)
 
 
 def expression(w: list) -> str:
@@ -215,23 +273,24 @@ def expression(w: list) -> str:
     return f"({inner}){mark}" if w[0] == "()" else f"<{w[0]}>{(' ' + inner + ' ') if inner else ''}</{w[0].split(' ')[0]}>{mark}"
 
 
-# --- what a host's places hold: path -> [pages, characters, a hash of the text, whether it differs]
+# --- what a host's places hold: path -> [pages, characters, a hash of the text, whether it differs, characters in links]
 
 
 def places(node: list, path: str, out: dict) -> int:
     """Adds each element's own text to out by path; returns the characters below."""
-    own, below = [], 0
+    own, below, links = [], 0, 0
     for c in node[2]:
         if isinstance(c, str):
             own.append(c)
         elif c[0] in INLINE:
             own.append(_inline(c))
+            links += len(" ".join(_linked(c).split()))
         elif c[0] not in DROPPED:
             below += places(c, f"{path}/{key_of(c)}", out)
     text = " ".join("".join(own).split())
     if text:
-        pages, chars, h, differs = out.get(path, (1, 0, None, False))
-        out[path] = (1, chars + len(text), text if h is None else hash_text(f"{h}\0{text}"), differs or h is not None)
+        pages, chars, h, differs, linked = out.get(path, (1, 0, None, False, 0))
+        out[path] = (1, chars + len(text), text if h is None else hash_text(f"{h}\0{text}"), differs or h is not None, linked + min(links, len(text)))
     return below + len(text)
 
 
@@ -239,13 +298,18 @@ def _inline(node: list) -> str:
     return " " if node[0] == "br" else "".join(c if isinstance(c, str) else _inline(c) if c[0] in INLINE else " " for c in node[2])
 
 
+def _linked(node: list) -> str:
+    """An inline element's text that lies in links."""
+    return _inline(node) if node[0] == "a" else "".join(_linked(c) for c in node[2] if not isinstance(c, str) and c[0] in INLINE)
+
+
 def add_places(total: dict, new: dict) -> None:
-    for path, (pages, chars, h, differs) in new.items():
+    for path, (pages, chars, h, differs, links) in new.items():
         if path in total:
-            p, c, g, d = total[path]
-            total[path] = (p + pages, c + chars, g, d or differs or g != h)
+            p, c, g, d, n = total[path]
+            total[path] = (p + pages, c + chars, g, d or differs or g != h, n + links)
         else:
-            total[path] = (pages, chars, h, differs)
+            total[path] = (pages, chars, h, differs, links)
 
 
 def names_of(key: str) -> set[str]:
@@ -263,9 +327,10 @@ def rules_of(wrapper: list, total: dict, pages: int, distinct: int) -> dict:
     """roots: the places whose text may be main, ranks: how they rank; dropped: places in them that are part of the template.
 
     Main are article and main elements, or else elements of such names, or else the body, or else all; which of them is
-    for each page to say, as the pages of a host need not share a template.  A single slot that holds the
-    same text on all pages, of which five or more are distinct, belongs to the template if it is no heading, no paragraph
-    and not in an article or main element.  Elements below it are judged on their own.
+    for each page to say, as the pages of a host need not share a template.  Outside of article and main elements the slots
+    of the wrapper tell what is the template's, but for headings and paragraphs: a single slot that holds the same text on
+    all pages, if any two of them differ at all, and the slots of repeated items and groups that hold little but links.
+    Elements below a slot are judged on their own.
     """
     found: list[tuple[int, str]] = []
     dropped: list[str] = []
@@ -282,9 +347,11 @@ def rules_of(wrapper: list, total: dict, pages: int, distinct: int) -> dict:
         rank = 0 if tag == "article" else 1 if tag == "main" or "main" in names_of(w[0]) else 2 if names_of(w[0]) & MAIN_NAMES else 3 if tag == "body" else 9
         if rank < 9:
             found.append((rank, here))
-        seen, _, _, differs = total.get(here, (0, 0, None, True))
+        seen, chars, _, differs, links = total.get(here, (0, 0, None, True, 0))
         many, inside = many or bool(w[2]), inside or rank < 2
-        if not differs and not many and not inside and distinct >= DISTINCT and seen == pages and tag not in HEADINGS and tag not in ("p", "body"):
+        plain = not inside and tag not in HEADINGS and tag not in ("p", "body")
+        constant = not differs and not many and distinct >= DISTINCT and seen == pages
+        if plain and (constant or many and chars and links >= LINKS * chars):
             dropped.append(here)
         for c in w[3]:
             walk(c, here, many, inside)
@@ -388,7 +455,7 @@ class Host:
             self.wrapper = w if self.wrapper is None else merged(self.wrapper, w)
         own: dict = {}
         places(tree, "#root", own)
-        add_places(self.places, {k: (a, b, hash_text(h), d) for k, (a, b, h, d) in own.items()})
+        add_places(self.places, {k: (a, b, hash_text(h), d, n) for k, (a, b, h, d, n) in own.items()})
         self.pages += 1
         self.know([hash_text(json.dumps(own))])
 
@@ -412,8 +479,9 @@ def hash_text(text: str | None) -> str:
     return hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
-def wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
-    """(host, rules, expression, pages): each host's wrapper and what follows from it.  pages: host, html."""
+def wrappers(pages: DataFrame, salts: int = 32, written_out: bool = True) -> DataFrame:
+    """(host, rules, expression, pages): each host's wrapper and what follows from it.  pages: host, html; written_out:
+    whether the expression is."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -435,7 +503,7 @@ def wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         r = join(pdf).iloc[0]
         w = json.loads(r.wrapper)
-        return pd.DataFrame([{"host": r.host, "rules": json.dumps(rules_of(w, json.loads(r.places), int(r.pages), len(r.known))), "expression": expression(w), "pages": r.pages}])
+        return pd.DataFrame([{"host": r.host, "rules": json.dumps(rules_of(w, json.loads(r.places), int(r.pages), len(r.known))), "expression": expression(w) if written_out else None, "pages": r.pages}])
 
     parts = pages.select("host", "html").mapInPandas(fold, WRAPPERS)
     some = parts.groupBy("host", "salt").applyInPandas(join, WRAPPERS)
@@ -453,7 +521,7 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     # a table of known size: it is broadcast only if it is below the session's threshold
-    rules = written(wrappers(p).select("host", "rules"), "wrappers")
+    rules = written(wrappers(p, written_out=False).select("host", "rules"), "wrappers")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, dict] = {}

@@ -591,6 +591,37 @@ def test_html_drops_only_constant_slots_of_distinct_pages(spark):
         assert got[k] == f"Lead-in\n\nown {k}" and got[100 + k] == got[200 + k] == "one\n\ntwo\n\nthree\n\nfour" and got[300 + k] == f"z\n\nown {k}"
 
 
+def test_html_slots_tell_menus_and_templates(spark):
+    links = "<ul><li><a href=a>News</a><li><a href=b>Sport {k}</a><li><a>More</a></ul>"
+    kinds = {
+        "a": lambda k: f"<body><div>The Daily</div>{links.format(k=k)}<div><p>Text {k} with <a>one link</a></p><ul><li>point <a>x</a> and more words {k}</li><li>two</li></ul></div></body>",
+        "b": lambda k: f"<body><article>{links.format(k=k)}<p>kept {k}</p></article></body>",
+    }
+    rows = [(100 * i + k, f"http://{h}/{k}", f(k)) for i, (h, f) in enumerate(kinds.items()) for k in range(3)]
+    got = {x.page_id: x.text for x in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(3):
+        assert got[k] == f"Text {k} with one link\n\npoint x and more words {k}\n\ntwo"
+        assert got[100 + k] == f"News\n\nSport {k}\n\nMore\n\nkept {k}"
+
+
+def test_lists_of_children_are_aligned_in_bounds():
+    r = random.Random(5)
+    for _ in range(300):
+        a, b = ([r.choice("abcdef") for _ in range(r.randrange(12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        got = wrapper.common_run(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:])) and len(got) == best[-1][-1]
+    long = [f"x{k}" for k in range(20_000)]
+    moved = [*long[:5000], "new", *long[5000:12_000], *long[12_500:]]
+    assert len(wrapper.common_run(long, moved)) == 19_500
+    assert wrapper.common_run([f"a{k}" for k in range(20_000)], [f"b{k}" for k in range(20_000)]) == []
+    half = ["p", "q"] * 5000
+    assert wrapper.common_run(half, ["q", *half]) != [] and wrapper.common_run(half, half) == [(k, k) for k in range(10_000)]
+
+
 def test_html_deep_elements_close_only_themselves():
     def text(page):
         h = wrapper.Host()
