@@ -123,7 +123,8 @@ def digest_of(stated: dict) -> str:
 
 def statement_differences(spark: SparkSession, stated: dict, again: dict) -> DataFrame:
     """V6: (field, left, right) where two statements differ."""
-    row = lambda d: spark.createDataFrame([tuple(str(d[k]) for k in sorted(d))], ", ".join(f"`{k}` string" for k in sorted(d)))
+    text = lambda x: x if isinstance(x, str) else artifacts.canonical(x).decode().strip()
+    row = lambda d: spark.createDataFrame([tuple(text(d[k]) for k in sorted(d))], ", ".join(f"`{k}` string" for k in sorted(d)))
     return commit.differences(row(stated), row(again))
 
 
