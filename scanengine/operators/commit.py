@@ -31,33 +31,42 @@ def leaf_hash(data: Column) -> Column:
     return sha(F.concat(F.unhex(F.lit("00")), data.cast("binary")))
 
 
-def node_hash(left: Column, right: Column) -> Column:
-    return sha(F.concat(F.unhex(F.lit("01")), left, right))
+def tree(leaves: DataFrame, height: int = 10) -> DataFrame:
+    """(level, idx, hash) of all levels over leaves (idx from 0 without gaps, data); an unpaired last node is carried
+    up as it is.
 
+    Runs of 2^height nodes grow as many levels in one task, so a tree takes a shuffle for every `height` levels.
+    """
+    import hashlib
 
-def next_level(level: DataFrame) -> DataFrame:
-    """The nodes above (idx, hash); an unpaired last one is carried up as it is."""
-    even = F.max(F.when(F.col("idx") % 2 == 0, F.hex("hash")))
-    odd = F.max(F.when(F.col("idx") % 2 == 1, F.hex("hash")))
-    pairs = level.groupBy(F.floor(F.col("idx") / 2).alias("idx")).agg(even.alias("a"), odd.alias("b"))
-    return pairs.select("idx", F.when(F.col("b").isNull(), F.unhex("a")).otherwise(node_hash(F.unhex("a"), F.unhex("b"))).alias("hash"))
+    import pyarrow as pa
 
+    level = kept(leaves.select(F.lit(0).alias("level"), F.col("idx").cast("long").alias("idx"), leaf_hash(F.col("data")).alias("hash")), "leaves")
+    n, out, base = level.count(), level, 0
+    top = max(0, n - 1).bit_length()
+    while base < top:
+        step = min(height, top - base)
+
+        def grow(table: pa.Table, base: int = base, step: int = step) -> pa.Table:
+            table = table.sort_by("idx")
+            first, nodes = table["idx"][0].as_py(), [x.as_py() for x in table["hash"]]
+            rows = []
+            for k in range(1, step + 1):
+                nodes = [hashlib.sha256(b"\x01" + nodes[i] + nodes[i + 1]).digest() if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+                rows += [(base + k, (first >> k) + i, h) for i, h in enumerate(nodes)]
+            return pa.table({"level": pa.array([r[0] for r in rows], pa.int32()), "idx": pa.array([r[1] for r in rows], pa.int64()), "hash": pa.array([r[2] for r in rows], pa.binary())})
+
+        run = F.shiftright("idx", step)
+        grown = kept(level.groupBy(run.alias("run")).applyInArrow(_one(grow), "level int, idx long, hash binary"), "tree")
+        out = out.unionByName(grown)
+        base += step
+        level = grown.where(F.col("level") == base)
+    return out
 
-def tree(leaves: DataFrame) -> DataFrame:
-    """(level, idx, hash) of all levels over leaves (idx from 0 without gaps, data).
 
-    Each level halves the one below; as many rounds as the logarithm of the leaves, none of them on the driver.
-    """
-    level = leaves.select(F.col("idx").cast("long").alias("idx"), leaf_hash(F.col("data")).alias("hash"))
-    n = level.count()
-    out, k = level.select(F.lit(0).alias("level"), "idx", "hash"), 0
-    while n > 1:
-        k, n = k + 1, (n + 1) // 2
-        level = next_level(level)
-        if k % 4 == 0:  # else each level above is computed from the leaves again
-            level = kept(level, "tree-level")
-        out = out.unionByName(level.select(F.lit(k).alias("level"), "idx", "hash"))
-    return out
+def _one(grow):
+    """grow as a function of a group's rows alone."""
+    return lambda table: grow(table)
 
 
 def root(leaves: DataFrame) -> bytes:

@@ -64,13 +64,40 @@ def v3_paths(s, sf):
     return commit.check_path_proofs(every, commit.paths(commit.tree(every), every), every.count(), commit.root(every))
 
 
-@query("v3_shared_proof")
+_LEVELS = " UNION ALL ".join(f"SELECT {k} AS level, idx, h FROM lv{k}" for k in range(20))
+_NODES = f"nd AS (SELECT level, idx, h FROM ({_LEVELS}) q WHERE level = 0 OR level <= (SELECT ceil(log2(count(*))) FROM lv0)), tp AS (SELECT CAST(ceil(log2(count(*))) AS INTEGER) AS top FROM lv0)"
+
+
+@query(
+    "v3_path_hashes",
+    f"WITH {_CUST}, {levels(20)}, {_NODES} SELECT l.idx, nd.level, lower(nd.h) AS hash FROM lv0 l, tp, range(20) r(k) JOIN nd ON nd.level = k AND nd.idx = xor(l.idx >> k, 1) WHERE k < tp.top",
+)
+def v3_hashes(s, sf):
+    """The hashes of every leaf's path."""
+    every = leaves(s, sf)
+    return commit.paths(commit.tree(every), every).select("idx", "level", F.lower(F.hex("hash")).alias("hash"))
+
+
+@query(
+    "v3_shared_proof",
+    f"""WITH {_CUST}, {levels(20)}, {_NODES}, kn AS (SELECT DISTINCT k AS level, l.idx >> k AS idx FROM lv0 l, tp, range(20) r(k) WHERE l.idx % 16 < 3 AND k <= tp.top),
+    nn AS (SELECT DISTINCT level, xor(idx, 1) AS idx FROM kn, tp WHERE level < tp.top)
+    SELECT nd.level, nd.idx, lower(nd.h) AS hash FROM nn JOIN nd ON nd.level = nn.level AND nd.idx = nn.idx WHERE NOT EXISTS (SELECT 1 FROM kn WHERE kn.level = nn.level AND kn.idx = nn.idx)""",
+)
 def v3_shared(s, sf):
     some = leaves(s, sf)
     return commit.shared_proof(commit.tree(some), some.where("idx % 16 < 3").select("idx")).select("level", "idx", F.lower(F.hex("hash")).alias("hash"))
 
 
-@query("g13_depth_tiles")
+@query(
+    "g13_depth_tiles",
+    scan_with(
+        "tg AS (SELECT DISTINCT seq, v // 16 * 2 + u // 16 AS tile FROM px)",
+        "tq AS (SELECT seq, tile, tile // 2 * 16 + k // 16 AS v, tile % 2 * 16 + k % 16 AS u FROM tg, range(256) r(k) WHERE tile // 2 * 16 + k // 16 < 24)",
+    )
+    + f"""SELECT tq.seq, CAST(tq.tile AS BIGINT) AS tile, sha256(unhex('00{commit.TILE_TAG.hex()}' || string_agg(printf('%02x%02x', coalesce(raw, 0) % 256, coalesce(raw, 0) // 256), '' ORDER BY tq.v, tq.u))) AS leaf
+    FROM tq LEFT JOIN px ON px.seq = tq.seq AND px.u = tq.u AND px.v = tq.v GROUP BY 1, 2""",
+)
 def g13(s, sf):
     return commit.tiles(derived.pixels(s, sf), CAMERA.width, CAMERA.height).select("seq", "tile", F.lower(F.hex(commit.leaf_hash(F.col("data")))).alias("leaf"))
 
