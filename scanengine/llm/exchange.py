@@ -123,9 +123,13 @@ def messages(rows: list[tuple], family: int, pid: int, unit: int, keys: np.ndarr
 
 
 class Merged:
-    """The messages of one group: their distinct keys with the sums of each count, and which of them each message holds."""
+    """The messages of one group: their distinct keys with the sums of each count, and which of them each message holds.
 
-    def __init__(self, table: pa.Table):
+    lanes: messages are of units of two lanes, the last bit of pid, and have one count; it is summed over all and over lane 1.
+    """
+
+    def __init__(self, table: pa.Table, lanes: bool):
+        self.lanes = lanes
         table = table.sort_by([("pid", "ascending"), ("unit", "ascending")])
         parts = [tv.unpack(k.as_py()) for k in table["keys"]]
         self.table, self.edge = table, np.cumsum([0] + [len(k) for k in parts])
@@ -141,15 +145,21 @@ class Merged:
         self.sums = []
         for k in range(len(table["counts"][0])):
             c = np.concatenate([tv.unpack_counts(row[k].as_py()) for row in table["counts"]])
-            self.sums.append(np.add.reduceat(c[order], first) if len(first) else c)
+            c = c[order]
+            self.sums.append(np.add.reduceat(c, first) if len(first) else c)
+        if lanes:
+            one = np.repeat(table["pid"].to_numpy() % 2, np.diff(self.edge))[order].astype(np.uint64)
+            self.sums.append(np.add.reduceat(c * one, first) if len(first) else c)
         self.back = np.empty(len(order), np.int32)
         self.back[order] = np.cumsum(new, dtype=np.int32) - 1
 
     def replies(self, totals: list[np.ndarray], stats: list[int] | None) -> pa.Table:
-        """The totals of its own keys for each message; with stats, a row of them beside."""
+        """The totals of its own keys for each message, those of lane 1 only for messages of lane 1; with stats, a row of them
+        beside."""
         t, many = self.table, self.table.num_rows
         more = 0 if stats is None else 1
-        out = [[tv.pack_counts(s[self.back[i:j]]) for s in totals] for i, j in zip(self.edge, self.edge[1:])]
+        lane = t["pid"].to_numpy() % 2 if self.lanes else np.ones(many, np.int64)
+        out = [[tv.pack_counts(s[self.back[i:j]]) for s in (totals if k else totals[:1])] for i, j, k in zip(self.edge, self.edge[1:], lane)]
         return pa.table(
             {
                 "pid": pa.array([*t["pid"].to_pylist(), -1][: many + more], pa.int64()),
@@ -168,7 +178,8 @@ class Exchange:
     """The counts of one set of families over docs.
 
     families(table) gives a unit's keys; it must depend on the table's rows alone.  bits: width of each family's keys.
-    lane: a column of 0 and 1, or None; rows of lane 1 make units of their own, so that each() can read them alone.
+    lane: a column of 0 and 1, or None; rows of lane 1 make units of their own, so that each() can read them alone.  With
+    lanes there is one count, whose sums over all rows, and for units of lane 1 also over rows of that lane, come back.
 
     The range of keys is cut into buckets that receive about keys_a_bucket keys each (words of three bytes or more
     assumed; shorter ones at most double it).  Up to fan_out buckets, units write to them directly.  More would leave a
@@ -211,21 +222,23 @@ class Exchange:
                     for at in range(0, len(rows), 256):
                         yield messages(rows[at : at + 256], f, pid + k, u, keys, counts)
 
+        lanes, direct = lane is not None, lane is not None and inner == 1
+
         def add(table: pa.Table) -> pa.Table:
-            m = Merged(table)
+            m = Merged(table, direct)
             # beside the answers a row of totals: for each count its sum and how many keys have any
             return m.replies(m.sums, [int(x) for s in m.sums for x in (s.sum(), (s > 0).sum())])
 
         def on(table: pa.Table) -> pa.Table:
             """A group's messages to one coarse range, added up, to the buckets in it; the group takes the part of a
             partition and the range that of a unit."""
-            m, coarse, f = Merged(table), table["bucket"][0].as_py(), table["family"][0].as_py()
+            m, coarse, f = Merged(table, lanes), table["bucket"][0].as_py(), table["family"][0].as_py()
             cut = cuts(m.keys, coarse * inner, (coarse + 1) * inner, 1, buckets, bits[f])
             rows = [(coarse * inner + b, cut[b], cut[b + 1]) for b in range(inner) if cut[b + 1] > cut[b]]
             return pa.Table.from_batches([messages(rows, f, table["group"][0].as_py(), coarse, m.keys, m.sums)])
 
         def back(asked: pa.Table, answers: pa.Table) -> pa.Table:
-            m = Merged(asked)
+            m = Merged(asked, lanes)
             rows = answers.sort_by("bucket")["counts"]
             totals = [np.concatenate([tv.unpack_counts(r[k].as_py()) for r in rows]) for k in range(len(m.sums))]
             return m.replies(totals, None)
@@ -299,7 +312,7 @@ class Exchange:
                 totals = []
                 for f, (keys, counts) in enumerate(own):
                     cut = cuts(keys, 0, buckets, inner, buckets, bits[f])
-                    parts: list[list[np.ndarray]] = [[] for _ in counts]
+                    parts: list[list[np.ndarray]] = [[] for _ in range(len(counts) + (k if lane is not None else 0))]
                     for b in range(buckets // inner):
                         if cut[b + 1] > cut[b]:
                             row = next(got[k], None)

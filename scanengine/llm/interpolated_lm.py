@@ -32,8 +32,8 @@ class Tokens(list):
 
 
 def tokens_of(table: pa.Table, bits: list[int]) -> Tokens:
-    """Keys and counts [training, held-out part of training] of words, pairs and triples.  Columns: text, part (0 held
-    out of the training, 1 training, 2 the part of the training to which the mixture is fitted)."""
+    """Keys and counts in training of words, pairs and triples.  Columns: text, part (0 held out of the training, 1
+    training, 2 the part of the training to which the mixture is fitted: the exchange's lane 1)."""
     w = tv.words(table["text"])
     n = w.counts + 1
     first = np.concatenate([[0], np.cumsum(n)])
@@ -51,7 +51,7 @@ def tokens_of(table: pa.Table, bits: list[int]) -> Tokens:
     triple = tv.combine(two, pair)
     del one, two
     part = table["part"].to_numpy()[doc]
-    flags = [part > 0, part == 2]
+    taught = part > 0
     out = Tokens()
     out.place = []
     keyed = [h, pair, triple]
@@ -59,7 +59,7 @@ def tokens_of(table: pa.Table, bits: list[int]) -> Tokens:
     for k in range(3):
         keys, back = np.unique(keyed[k] >> _U(64 - bits[k]), return_inverse=True)
         keyed[k] = None
-        out.append((keys, [np.bincount(back[f], minlength=len(keys)).astype(np.uint64) for f in flags]))
+        out.append((keys, [np.bincount(back[taught], minlength=len(keys)).astype(np.uint64)]))
         out.place.append(back.astype(np.int32))
     out.doc, out.begin, out.n = doc, begin, n
     return out

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
-from scanengine.operators import evaluate, mesh, order, placement, replay
+from scanengine.operators import evaluate, mesh, order, placement, replay, surface
+from scanengine.plans import surface_queries
 from scanengine.plans.common import registrar
 from scanengine.plans.fusion_queries import COARSE
 from scanengine.plans.fusion_queries import points as all_points
 from scanengine.plans.scan_sql import d, scan_with
 from scanengine.plans.surface_queries import V, base, indexed, samples
-from scanengine.sources import derived
+from scanengine.sources import derived, scratch
 from scanengine.sources.derived import CAMERA, table
 
 QUERIES: dict = {}
@@ -343,3 +344,20 @@ def a20(s, sf):
     faces, vertices = indexed(s, sf)
     p = mesh.with_points(faces, vertices).select("face", F.col("v0").alias("va"), F.col("v1").alias("vb"), F.col("v2").alias("vc"), *[f"{c}{a}" for c in "abc" for a in "xyz"])
     return evaluate.vertex_normals(p)
+
+
+_M5, _POINTS = surface_queries.SQL["m5_surface_points"].split("SELECT 0 AS kind", 1)
+
+
+@query(
+    "j16_surface_survey",
+    _M5
+    + f""", sp5 AS (SELECT 0 AS kind{_POINTS}),
+    mo AS (SELECT row_number() OVER (ORDER BY kind, gz, gy, gx) - 1 AS idx, x, y, z, {d(0.0)} AS nx, {d(0.6)} AS ny, {d(-0.8)} AS nz FROM sp5), {_VIEWS} SELECT idx, views, best FROM v4""",
+)
+def j16_surface(s, sf):
+    """Which frames see each point of the fused surface from above and before."""
+    p = surface.surface_points(samples(s, sf), V)
+    p = order.dense_numbers(p, [F.col(c) for c in ("gz", "gy", "gx")], F.struct("kind", F.shiftright("gz", 3)), "idx")
+    p = p.select("idx", "x", "y", "z", F.lit(0.0).alias("nx"), F.lit(0.6).alias("ny"), F.lit(-0.8).alias("nz"))
+    return evaluate.view_survey(scratch.kept(p, "surface"), derived.scan(s, sf), CAMERA, 0.25)

@@ -429,21 +429,25 @@ def test_exchange_counts_alike_by_every_route(spark):
     count = collections.Counter(w for _, t, _ in rows for w in words(t))
     hashed = {int(textvec.words(pa.array([w])).hashes[0]): n for w, n in count.items()}
 
+    lane_count = collections.Counter(w for _, t, k in rows for w in words(t) if k)
+    lane_hashed = {int(textvec.words(pa.array([w])).hashes[0]): (count[w], n) for w, n in lane_count.items()}
+
     def families(table):
         keys, n = np.unique(textvec.words(table["text"]).hashes, return_counts=True)
-        return [(keys, [n, n * 0 + 1])]
+        return [(keys, [n])]
 
     def work(table, own, totals):
-        return pa.RecordBatch.from_arrays([pa.array(own[0][0].view(np.int64)), pa.array(totals[0][0].astype(np.int64))], ["key", "n"])
+        t = totals[0]
+        return pa.RecordBatch.from_arrays([pa.array(own[0][0].view(np.int64)), pa.array(t[0].astype(np.int64)), pa.array((t[1] if len(t) > 1 else t[0] * 0).astype(np.int64))], ["key", "n", "m"])
 
-    for size, a_bucket, fan, lane in ((1 << 20, 10**6, 4096, None), (600, 40, 4096, None), (600, 40, 3, None), (600, 40, 3, "lane")):
+    for size, a_bucket, fan, lane in ((1 << 20, 10**6, 4096, None), (600, 40, 4096, None), (600, 40, 4096, "lane"), (600, 40, 3, None), (600, 40, 3, "lane")):
         x = exchange.Exchange(d, families, [64], unit_bytes=size, keys_a_bucket=a_bucket, fan_out=fan, lane=lane)
         assert (fan > 4 or x.inner > 5) and x.totals(0, 0) == (sum(count.values()), len(count))
-        got = [(q.key % (1 << 64), q.n) for q in x.each(work, "key long, n long").collect()]
+        got = [(q.key % (1 << 64), q.n) for q in x.each(work, "key long, n long, m long").collect()]
         assert set(got) == set(hashed.items())
         if lane:
-            lane_keys = {int(h) for _, t, k in rows if k for h in textvec.words(pa.array([t])).hashes}
-            assert {q.key % (1 << 64) for q in x.each(work, "key long, n long", only=1).collect()} == lane_keys
+            assert x.totals(0, 1) == (sum(lane_count.values()), len(lane_count))
+            assert {q.key % (1 << 64): (q.n, q.m) for q in x.each(work, "key long, n long, m long", only=1).collect()} == lane_hashed
     assert exchange.Exchange(d.where("1 = 0"), families, [64]).totals(0, 0) == (0, 0)
 
 
