@@ -690,3 +690,44 @@ def test_splits_own_each_record_once(tmp_path):
             with path.open("rb") as f:
                 got += [at for at, _ in warc.records_in(f, len(data) + shift, s, min(s + width, len(data) + shift), 64)]
         assert got == [s + shift for s in starts]
+
+
+def test_line_dedup_of_long_and_repeated_rows(spark):
+    r = random.Random(23)
+    line = lambda: " ".join(r.choice(WORDS) + str(r.randrange(10**6)) for _ in range(12))
+    block = "\n".join(line() for _ in range(5))
+    long = "\n".join(line() for _ in range(20_000))
+    rows = [(1, long), (2, f"{line()}\n{block}"), (3, f"{block}\nown three"), (3, f"{block}\nown three"), (3, f"other text\n{block}"), (4, long + "\nmore"), (5, "x " * 50_000), (6, "x " * 50_000 + "y")]
+    got = [(x.doc_id, x.text, x.removed_lines) for x in linediff.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows) and (1, long, 0) in got and (4, "more", 20_000) in got
+    assert sorted(t for i, t, _ in got if i == 3) == ["other text", "own three", "own three"]
+    assert sum(n for i, _, n in got if i in (2, 5, 6)) == 0
+
+
+def test_html_of_long_deep_and_repeated_pages(spark):
+    many = "".join(f"<p>p{k}</p>" for k in range(20_000))
+    rows = [(1, "http://h/1", f"<article>{many}</article>"), (2, "http://h/2", "<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000), (3, "http://h/3", "<p>" + "word " * 200_000 + "</p>")]
+    rows += [(4, "http://h/4", "<body><div>same</div><p>same</p></body>")] * 7
+    got = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    by = collections.defaultdict(set)
+    for x in got:
+        by[x.page_id].add(x.text)
+    assert len(got) == 10 and by[1] == {"\n\n".join(f"p{k}" for k in range(20_000))} and by[2] == {"deep"} and by[3] == {" ".join(["word"] * 200_000)} and by[4] == {"same\n\nsame"}
+
+
+def test_classifiers_on_long_and_repeated_rows(spark):
+    r = random.Random(31)
+    good = lambda n=40: " ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(n))
+    bad = lambda n=40: " ".join((r.choice(WORDS) + "!!!").upper() for _ in range(n)) + " idiot"
+    rows = [(k, bad() if k % 4 == 0 else good()) for k in range(200)] + [(300, good(200_000)), (301, bad(200_000))]
+    rows += [(0, bad())] * 500 + [(1, good())] * 500 + [(None, good()), (None, bad()), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 != 0), int(k % 4 == 0)) for k in range(200)], "doc_id long, quality int, toxic int")
+    is_bad = {t: "idiot" in t for _, t in rows if t}
+    kept = {x.text for x in quality.accepted(d, labels.select("doc_id", "quality")).collect()}
+    assert kept == {t for t, b in is_bad.items() if not b}
+    whole = quality.resample(d, labels.select("doc_id", "quality"), keep=30, sharpness=None).where("kept").collect()
+    assert 300 in {x.doc_id for x in whole} and 300 not in {x.doc_id for x in quality.resample(d, labels.select("doc_id", "quality"), keep=1).where("kept").collect()} | {None}
+    scored = toxicity.score(d, labels.select("doc_id", "toxic")).collect()
+    assert len(scored) == len(rows) and {x.doc_id: x.predicted for x in scored if x.doc_id in (300, 301)} == {300: 0, 301: 1}
+    assert collections.Counter(x.predicted for x in scored if x.doc_id in (0, 1)) == {1: 501, 0: 501}

@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
@@ -48,3 +49,25 @@ def test_pipeline_stages(spark):
     empty = docs.where("1 = 0")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_stages_judge_rows_that_repeat_or_lack_an_id(spark):
+    """Rows without doc_id, and rows that share one, live and die by their own texts in every stage."""
+    import corpus_pipeline
+
+    # the quality stage learns from all rows, so the others get what it leaves and copies of that
+    docs = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).cache()
+    some = docs.where("length(text) > 200").orderBy("doc_id").limit(40)
+    twice = some.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(None)).otherwise(F.lit(10**9)).cast(docs.schema["doc_id"].dataType))
+    both = docs.unionByName(twice).cache()
+    alone = docs
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        alone, both = stage(spark, alone, SF).cache(), stage(spark, both, SF).cache()
+        assert both.columns == docs.columns
+        with_id = {r.doc_id for r in alone.collect()}
+        assert with_id <= {r.doc_id for r in both.collect()}
+    left = both.where("doc_id is null or doc_id = 1000000000")
+    # every such row copies a text that an earlier row has, so none of them outlives the near-duplicate stage
+    assert left.count() == 0
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs.unionByName(twice), SF)
+    assert mixed.where("doc_id is null").count() > 0 and mixed.where("taken > 2 * size").count() == 0
