@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
 from scanengine.operators import order
+from scanengine.sources.scratch import kept
 
 
 def _neighbour_cells(p: DataFrame, size: float, names: tuple[str, str, str]) -> DataFrame:
@@ -85,7 +86,7 @@ def residual_summary(r: DataFrame, value: str, within: float) -> DataFrame:
     Sums are of decimals, so they are the same however the rows lie; percentiles are found by counting, not by sorting.
     """
     e = F.abs(F.col(value))
-    d = r.where(F.col(value).isNotNull()).select(F.col(value).alias("_e"), e.alias("_a"))
+    d = kept(r.where(F.col(value).isNotNull()).select(F.col(value).alias("_e"), e.alias("_a")), "residuals")
     median, p95 = order.quantiles(d, "_a", [0.5, 0.95])
     exact = lambda c: F.sum(c.cast("decimal(38,18)")).cast("double") / F.count("*")
     return d.agg(
@@ -100,6 +101,7 @@ def residual_summary(r: DataFrame, value: str, within: float) -> DataFrame:
 
 def ranked_percentiles(d: DataFrame, value: str, percents: tuple[int, ...] = (50, 90, 95)) -> DataFrame:
     """Nearest-rank percentiles of all rows, those without a value ranked last; null where the rank falls among them."""
+    d = kept(d.select(value), "ranked")
     n = d.agg(F.count("*").alias("total"), F.count(value).alias("known")).first()
     rank = {p: max(1, -(-n["total"] * p // 100)) - 1 for p in percents}
     known = sorted({r for r in rank.values() if r < n["known"]})

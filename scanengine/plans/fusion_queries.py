@@ -9,7 +9,7 @@ from scanengine.functions import geometry as g
 from scanengine.operators import fuse, plan, vector
 from scanengine.plans.common import registrar
 from scanengine.plans.scan_sql import block_sql, d, eval_sql, fused_with, plan_sql, scan_with, volume_sql
-from scanengine.sources import derived
+from scanengine.sources import derived, scratch
 from scanengine.sources.derived import CAMERA
 
 FINE, COARSE = g.Grid(0.1, 0.3), g.Grid(0.2, 0.4)
@@ -29,7 +29,8 @@ def blocks(s: SparkSession, sf: str, grid: g.Grid = COARSE) -> DataFrame:
 
 
 def volume(s: SparkSession, sf: str, grid: g.Grid = COARSE) -> DataFrame:
-    return fuse.fuse(derived.scan(s, sf), blocks(s, sf, grid), CAMERA, grid)
+    """The fused volume, written once an application: what is derived from it reads the table."""
+    return scratch.once(s, "volume", (sf, repr(grid)), lambda: fuse.fuse(derived.scan(s, sf), blocks(s, sf, grid), CAMERA, grid))
 
 
 C = (COARSE.voxel, COARSE.truncation)
@@ -37,7 +38,7 @@ C = (COARSE.voxel, COARSE.truncation)
 
 @query("a1_fuse_voxels", fused_with(FINE.voxel, FINE.truncation) + "SELECT bx, by, bz, l, tsdf_sum, weight FROM vo")
 def a1(s, sf):
-    return volume(s, sf, FINE)
+    return fuse.fuse(derived.scan(s, sf), blocks(s, sf, FINE), CAMERA, FINE)
 
 
 @query("a1_fuse_blocks_arrow", fused_with(*C) + "SELECT bx, by, bz, l, tsdf_sum, weight FROM vo")

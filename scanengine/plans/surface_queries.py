@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from scanengine.operators import freespace, mesh, surface
 from scanengine.plans.common import registrar
 from scanengine.plans.fusion_queries import COARSE, points, volume
 from scanengine.plans.scan_sql import d, fused_with
-from scanengine.sources import derived
+from scanengine.sources import derived, scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -166,8 +168,10 @@ ff AS (SELECT row_number() OVER (ORDER BY gz, gy, gx, tetra, tri) - 1 AS face, m
 
 
 def indexed(s, sf):
-    t = surface.triangles(surface.cells(samples(s, sf)))
-    return mesh.indexed(surface.corners(t, V, ("n", "p")))
+    """The indexed mesh, written once an application."""
+    corners = lambda: surface.corners(surface.triangles(surface.cells(samples(s, sf))), V, ("n", "p"))
+    made = functools.cache(lambda: mesh.indexed(corners()))
+    return scratch.once(s, "faces", (sf,), lambda: made()[0]), scratch.once(s, "vertices", (sf,), lambda: made()[1])
 
 
 @query("w4_face_order", base(*MESH) + _FACES + " SELECT face, v0, v1, v2 FROM ff")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,21 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_MADE: dict[tuple, tuple[str, object]] = {}
+
+
+def once(spark: SparkSession, name: str, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make() gives, written the first time that an application asks for it and read from then on: a fused
+    volume is one file to all that is derived from it.  key: what the table depends on."""
+    own = (spark.sparkContext.applicationId, name, *key)
+    if own in _MADE:
+        path, schema = _MADE[own]
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return spark.read.schema(schema).parquet(path)
+    df, path = make(), scratch(spark, name)
+    df.write.parquet(path)
+    _MADE[own] = path, df.schema
+    return spark.read.schema(df.schema).parquet(path)
