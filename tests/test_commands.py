@@ -47,11 +47,8 @@ def test_sessions_plans_and_volumes(at):
     assert at("validate", "@s.session") == (0, {"session": "wall", "cameras": "1", "depth samples": "8", "pose samples": "8", "rgb samples": "8"})
     code, said = at("replay", "@s.session")
     assert code == 0 and said["frames"] == said["with depth"] == "8" and len(said["digest"]) == 64
-    code, said = at("point-cloud", "@s.session", "@p.ply", "--stride", 4, "--pixel-stride", 2)
-    assert code == 0 and int(said["points"]) == 2 * W * H // 4
     assert at("plan", "@s.session", "@p.json", "--voxel", 0.02, "--truncation", 0.06, "--stride", 2)[0] == 0
     assert at("plan-verify", "@s.session", "@p.json") == (0, {"verdict": "agrees"})
-    assert at("plan", "@s.session", "@e.json", "--voxel", 0.04, "--truncation", 0.12, "--stride", 4, "--expand")[0] == 0
     code, said = at("volume", "@s.session", "@v.vol", "--voxel", 0.02, "--plan", "@p.json")
     assert code == 0 and int(said["observed"]) > 1000
     assert at("volume", "@s.session", "@v.vol", "--voxel", 0.02, "--plan", "@p.json")[0] == 1
@@ -61,7 +58,6 @@ def test_sessions_plans_and_volumes(at):
     assert (code, said) == (0, {"blocks": "5", "identical": "5"})
     code, said = at("mesh", "@v.vol", "@m.ply", "--min-triangles", 20)
     assert code == 0 and int(said["faces"]) > 500 and said["pinched"] == said["crowded"] == "0"
-    assert int(at("surface-points", "@v.vol", "@f.ply")[1]["points"]) > 100
     code, said = at("locate", "@v.vol", "1.0,0.0,0.0", "50,0,0")
     assert "observed" in said["point 0"] and "no-block" in said["point 1"]
 
@@ -70,11 +66,6 @@ def test_statements_and_proofs(at):
     assert at("volume", "@s.session", "@x.vol", "--voxel", 0.03, "--truncation", 0.09)[0] == 0
     assert at("commit", "@s.session", "@x.vol", "@s.json", "--tile", 12)[0] == 0
     assert at("commit-check", "@s.session", "@x.vol", "@s.json") == (0, {"verdict": "agrees"})
-    assert at("volume", "@s.session", "@y.vol", "--voxel", 0.03, "--truncation", 0.12)[0] == 0
-    code, said = at("commit-check", "@s.session", "@y.vol", "@s.json")
-    assert code == 1 and {"verdict", "map_root", "truncation"} <= said.keys()
-    assert at("prove", "@s.session", "@x.vol", "@s.json", "@b.prf", "--block", "4,0,0", "--block", "4,-1,0")[0] == 0
-    assert at("proof-check", "@s.json", "@b.prf")[1]["verdict"] == "verified"
     assert at("prove", "@s.session", "@x.vol", "@s.json", "@a.prf", "--audit", 3, "--seed", "z", "--packed")[0] == 0
     code, said = at("proof-check", "@s.json", "@a.prf", "--audit", 3, "--seed", "z")
     assert code == 0 and said["verdict"] == "verified" and int(said["wrong blocks caught"]) > 0
@@ -84,3 +75,5 @@ def test_statements_and_proofs(at):
     code, said = at("proof-check", "@s.json", "@r.prf", *route, "--min-weight", 1)
     assert said["verdict"] in ("clear", "not-clear") and code == (said["verdict"] != "clear")
     assert at("proof-check", "@s.json", "@r.prf", "--waypoint", "0,0")[0] == 1
+    code, said = at("proof-check", "@s.json", "@r.prf")
+    assert code == 0 and said["verdict"] == "verified"
