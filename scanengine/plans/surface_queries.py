@@ -154,7 +154,21 @@ def a17(s, sf):
     return surface.edge_report(mesh_corners(s, sf))
 
 
-@query("a18_a19_face_components")
+def rec(sql: str) -> str:
+    return "WITH RECURSIVE" + sql[len("WITH") :]
+
+
+def _reached(name: str, links: str) -> str:
+    """name(n, r): the smallest node r that each node n of links (a, b), given both ways, reaches."""
+    return f"""{name}(n, r) USING KEY (n) AS (SELECT DISTINCT a, a FROM {links} UNION SELECT x.n, x.r
+FROM (SELECT l.b AS n, min(c.r) AS r FROM {name} c JOIN {links} l ON l.a = c.n GROUP BY 1) x JOIN recurring.{name} q ON q.n = x.n WHERE x.r < q.r)"""
+
+
+@query(
+    "a18_a19_face_components",
+    rec(base(*MESH)) + ", hl AS MATERIALIZED (SELECT a, b FROM he UNION SELECT b, a FROM he), " + _reached("hc", "hl")
+    + " SELECT gx, gy, gz, tetra, tri, r AS component, count(*) OVER (PARTITION BY r) AS triangles FROM fk JOIN hc ON hc.n = least(k0, k1, k2) QUALIFY triangles >= 2",
+)
 def a18(s, sf):
     """Components of two triangles or more."""
     return surface.face_components(mesh_corners(s, sf)).where("triangles >= 2")
@@ -188,30 +202,70 @@ vp AS (SELECT id, x, y, z FROM vn JOIN (SELECT ex, ey, ez, code, min(x) AS x, mi
 fp AS (SELECT face, {pick} FROM (SELECT face, unnest([0, 1, 2]) AS k, unnest([v0, v1, v2]) AS id FROM ff) u JOIN vp USING (id) GROUP BY face)"""
 
 
-@query(
-    "m10_face_problems",
-    base(*MESH) + _FACES + _face_points() + """
-    SELECT face, 'repeated' AS problem FROM r3 WHERE r > 1 UNION ALL SELECT face, 'degenerate' FROM fp
-    WHERE (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) = 0 AND (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) = 0 AND (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) = 0""",
-)
+_PROBLEMS = """SELECT face, 'repeated' AS problem FROM r3 WHERE r > 1 UNION ALL SELECT face, 'degenerate' FROM fp
+    WHERE (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) = 0 AND (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) = 0 AND (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) = 0"""
+
+
+def _sides(faces: str) -> str:
+    return " UNION ALL ".join(f"SELECT face, least({p}, {q}) AS a, greatest({p}, {q}) AS b FROM {faces}" for p, q in (("v0", "v1"), ("v1", "v2"), ("v2", "v0")))
+
+
+def _fans(cf: str) -> str:
+    """fn(v, face, fan): the fan, named by its first face, that each face of cf belongs to at each of its vertices."""
+    return f""", sd AS MATERIALIZED ({_sides(cf)}), sv AS (SELECT a, b, face, unnest([a, b]) AS v FROM sd),
+s1 AS (SELECT a, b, v, min(face) AS f0 FROM sv GROUP BY 1, 2, 3),
+s2 AS (SELECT DISTINCT v * 1000000000 + f0 AS a, v * 1000000000 + face AS b FROM sv JOIN s1 USING (a, b, v)),
+fl AS MATERIALIZED (SELECT a, b FROM s2 UNION SELECT b, a FROM s2), {_reached("fc", "fl")},
+fn AS MATERIALIZED (SELECT n // 1000000000 AS v, n % 1000000000 AS face, r % 1000000000 AS fan FROM fc)"""
+
+
+def _clean() -> str:
+    """cf(face, v0, v1, v2): the faces without problems, numbered again; and their fans."""
+    return (
+        rec(base(*MESH)) + _FACES + _face_points()
+        + f", bf AS ({_PROBLEMS}), cf AS MATERIALIZED (SELECT row_number() OVER (ORDER BY face) - 1 AS face, v0, v1, v2 FROM ff WHERE face NOT IN (SELECT face FROM bf))"
+        + _fans("cf")
+    )
+
+
+@query("m10_face_problems", base(*MESH) + _FACES + _face_points() + " " + _PROBLEMS)
 def m10(s, sf):
     return mesh.face_problems(*indexed(s, sf))
 
 
-@query("m11_split_pinches")
+@query(
+    "m11_split_pinches",
+    _clean() + """, kp AS (SELECT v, min(fan) AS keeps FROM fn GROUP BY 1),
+    nw AS (SELECT v, fan, row_number() OVER (ORDER BY v, fan) - 1 + (SELECT count(*) FROM vn) AS id FROM (SELECT DISTINCT v, fan FROM fn JOIN kp USING (v) WHERE fan > keeps) q),
+    mv AS (SELECT v, face, id FROM fn JOIN nw USING (v, fan))
+    SELECT cf.face, coalesce(a.id, v0) AS v0, coalesce(b.id, v1) AS v1, coalesce(c.id, v2) AS v2 FROM cf LEFT JOIN mv a ON a.face = cf.face AND a.v = v0
+    LEFT JOIN mv b ON b.face = cf.face AND b.v = v1 LEFT JOIN mv c ON c.face = cf.face AND c.v = v2""",
+)
 def m11_split(s, sf):
     """The mesh without bad faces, a vertex for each fan."""
     faces, vertices = indexed(s, sf)
     return mesh.split_pinches(mesh.clean(faces, vertices), vertices)[0]
 
 
-@query("m12_manifold_verdict")
+@query(
+    "m12_manifold_verdict",
+    _clean() + """, en AS (SELECT count(*) FILTER (n = 1) AS boundary, count(*) FILTER (n = 2) AS inner_, count(*) FILTER (n > 2) AS crowded FROM (SELECT a, b, count(*) AS n FROM sd GROUP BY 1, 2) q),
+    pn AS (SELECT count(*) AS vertices, count(*) FILTER (n > 1) AS pinched FROM (SELECT v, count(DISTINCT fan) AS n FROM fn GROUP BY 1) q)
+    SELECT (SELECT count(*) FROM cf) AS faces, vertices, boundary, inner_ AS "inner", crowded, pinched,
+    CASE WHEN crowded > 0 OR pinched > 0 THEN 'non-manifold' WHEN boundary > 0 THEN 'manifold-with-boundary' ELSE 'closed' END AS verdict FROM en, pn""",
+)
 def m12(s, sf):
     faces, vertices = indexed(s, sf)
     return mesh.verdict(mesh.clean(faces, vertices))
 
 
-@query("a19_large_components")
+@query(
+    "a19_large_components",
+    rec(base(*MESH)) + _FACES + f""", sd AS ({_sides("ff")}), fl AS MATERIALIZED (SELECT a, b FROM sd UNION SELECT b, a FROM sd), {_reached("fc", "fl")},
+    lf AS MATERIALIZED (SELECT face, v0, v1, v2 FROM ff JOIN fc ON fc.n = v0 QUALIFY count(*) OVER (PARTITION BY r) >= 4),
+    lv AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT DISTINCT unnest([v0, v1, v2]) AS id FROM lf) q)
+    SELECT row_number() OVER (ORDER BY face) - 1 AS face, a.k AS v0, b.k AS v1, c.k AS v2 FROM lf JOIN lv a ON a.id = v0 JOIN lv b ON b.id = v1 JOIN lv c ON c.id = v2""",
+)
 def a19(s, sf):
     """Components of four triangles or more, renumbered."""
     return mesh.keep_components(*indexed(s, sf), 4)[0]
@@ -227,7 +281,14 @@ def m6_dense(s, sf):
     return surface.corners(surface.triangles(surface.cells(v)), V)
 
 
-@query("m11_m12_vertex_fans")
+@query(
+    "m11_m12_vertex_fans",
+    rec(base(*MESH)) + """, fs AS (SELECT gx || ',' || gy || ',' || gz || ',' || tetra || ',' || tri AS face, k0, k1, k2 FROM fk),
+    hs AS MATERIALIZED (SELECT face, least(k0, k1) AS a, greatest(k0, k1) AS b FROM fs UNION ALL SELECT face, least(k1, k2), greatest(k1, k2) FROM fs UNION ALL SELECT face, least(k2, k0), greatest(k2, k0) FROM fs),
+    hv AS (SELECT a, b, face, unnest([a, b]) AS v FROM hs), h1 AS (SELECT a, b, v, min(face) AS f0 FROM hv GROUP BY 1, 2, 3),
+    h2 AS (SELECT DISTINCT v || '|' || f0 AS a, v || '|' || face AS b FROM hv JOIN h1 USING (a, b, v)), hl AS MATERIALIZED (SELECT a, b FROM h2 UNION SELECT b, a FROM h2), """
+    + _reached("hc", "hl") + " SELECT split_part(n, '|', 1) AS v, split_part(r, '|', 2) AS fan, count(*) AS triangles FROM hc GROUP BY 1, 2",
+)
 def m11(s, sf):
     return surface.fans(mesh_corners(s, sf))
 
@@ -262,10 +323,6 @@ ch(leg, step, a, b, e, da, db, sa, sb, n) AS (
 sw AS (SELECT DISTINCT a + i AS a, b + j AS b FROM ch, range(-2, 3) r(i), range(-2, 3) q(j) WHERE i * i + j * j <= 4)"""
 
 
-def rec(sql: str) -> str:
-    return "WITH RECURSIVE" + sql[len("WITH") :]
-
-
 def route_columns(s):
     return freespace.swept(freespace.chain(freespace.waypoints(s, ROUTE)), 2)
 

@@ -57,17 +57,29 @@ def a23(s, sf):
     return t.join(top, F.col("level") == F.col("top")).select(F.lower(F.hex("hash")).alias("root"))
 
 
-@query("v3_merkle_paths")
+_LEVELS = " UNION ALL ".join(f"SELECT {k} AS level, idx, h FROM lv{k}" for k in range(20))
+_NODES = f"nd AS (SELECT level, idx, h FROM ({_LEVELS}) q WHERE level = 0 OR level <= (SELECT ceil(log2(count(*))) FROM lv0)), tp AS (SELECT CAST(ceil(log2(count(*))) AS INTEGER) AS top FROM lv0)"
+
+
+def climb(n: int) -> str:
+    """up{n}: what each leaf's path gives, step by step."""
+    node = lambda x, y: f"sha256('\\x01'::BLOB || unhex({x}) || unhex({y}))"
+    step = lambda k: f"CASE WHEN nd.h IS NULL THEN u.h WHEN (u.idx >> {k}) % 2 = 0 THEN {node('u.h', 'nd.h')} ELSE {node('nd.h', 'u.h')} END"
+    return ", ".join(
+        f"up{k + 1} AS MATERIALIZED (SELECT u.idx, {step(k)} AS h FROM {f'up{k}' if k else 'lv0'} u LEFT JOIN nd ON nd.level = {k} AND nd.idx = xor(u.idx >> {k}, 1))" for k in range(n)
+    )
+
+
+@query(
+    "v3_merkle_paths",
+    f"WITH {_CUST}, {levels(20)}, {_NODES.replace('nd AS (', 'nd AS MATERIALIZED (', 1)}, {climb(20)} SELECT idx, CASE WHEN h = (SELECT h FROM lv20) THEN 'verified' ELSE 'refuted' END AS verdict FROM up20",
+)
 def v3_paths(s, sf):
     """The path of every leaf, checked against the root."""
     every = leaves(s, sf)
     return commit.check_path_proofs(every, commit.paths(commit.tree(every), every), every.count(), commit.root(every))
 
 
-_LEVELS = " UNION ALL ".join(f"SELECT {k} AS level, idx, h FROM lv{k}" for k in range(20))
-_NODES = f"nd AS (SELECT level, idx, h FROM ({_LEVELS}) q WHERE level = 0 OR level <= (SELECT ceil(log2(count(*))) FROM lv0)), tp AS (SELECT CAST(ceil(log2(count(*))) AS INTEGER) AS top FROM lv0)"
-
-
 @query(
     "v3_path_hashes",
     f"WITH {_CUST}, {levels(20)}, {_NODES} SELECT l.idx, nd.level, lower(nd.h) AS hash FROM lv0 l, tp, range(20) r(k) JOIN nd ON nd.level = k AND nd.idx = xor(l.idx >> k, 1) WHERE k < tp.top",
