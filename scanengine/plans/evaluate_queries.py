@@ -205,7 +205,30 @@ def j11(s, sf):
     return evaluate.nearest_by_all(cloud(s, sf, 1, "id"), cloud(s, sf, 0, "idx"), LIMIT)
 
 
-@query("j12_triangle_distance")
+def _triangle_sql() -> str:
+    """tb(face, ax..cz) and td(id, face, d2): triangles of every three points, and all points' squared distances to them."""
+    less = lambda q, r: [f"({i} - {j})" for i, j in zip(q, r)]
+    dot = lambda q, r: f"({q[0]} * {r[0]} + {q[1]} * {r[1]} + {q[2]} * {r[2]})"
+    cross = lambda q, r: [f"({q[1]} * {r[2]} - {q[2]} * {r[1]})", f"({q[2]} * {r[0]} - {q[0]} * {r[2]})", f"({q[0]} * {r[1]} - {q[1]} * {r[0]})"]
+    a, b, c, n, p = ([f"{v}{x}" for x in "xyz"] for v in ("a", "b", "c", "n", ""))
+    edges = list(enumerate(((a, b), (b, c), (c, a))))
+    normal = ", ".join(f"{x} AS {name}" for x, name in zip(cross(less(b, a), less(c, a)), n))
+    along = ", ".join(
+        f"CASE WHEN {dot(less(r, q), less(r, q))} > 0 THEN least({d(1.0)}, greatest({d(0.0)}, {dot(less(p, q), less(r, q))} / {dot(less(r, q), less(r, q))})) ELSE {d(0.0)} END AS t{k}" for k, (q, r) in edges
+    )
+    sides = " AND ".join(f"{dot(cross(less(r, q), less(p, q)), n)} >= 0" for _, (q, r) in edges)
+    off = [[f"({w} - t{k} * {e})" for w, e in zip(less(p, q), less(r, q))] for k, (q, r) in edges]
+    corners = ", ".join(f"max(CASE k WHEN {i} THEN {x} END) AS {v}{x}" for i, v in enumerate("abc") for x in "xyz")
+    return f"""tb AS (SELECT face, {corners} FROM (SELECT idx // 6 * 6 AS face, idx % 6 // 2 AS k, x, y, z FROM eb) q GROUP BY face HAVING count(*) = 3),
+tn AS (SELECT *, {dot(n, n)} AS nn FROM (SELECT *, {normal} FROM tb) q),
+te AS (SELECT *, {along}, {dot(less(p, a), n)} AS h FROM ea, tn),
+td AS (SELECT id, face, CASE WHEN nn > 0 AND {sides} THEN h * h / nn ELSE least({", ".join(dot(o, o) for o in off)}) END AS d2 FROM te)"""
+
+
+@query(
+    "j12_triangle_distance",
+    f"WITH {_PTS}, {_triangle_sql()} SELECT id, min(d2) FILTER (d2 <= {d(0.1)} * {d(0.1)}) AS d2 FROM ea LEFT JOIN td USING (id) GROUP BY id",
+)
 def j12(s, sf):
     """Points of one half of the embeddings to triangles of the other half's."""
     p = cloud(s, sf, 0, "idx")
@@ -338,7 +361,20 @@ def p23(s, sf):
     return s.createDataFrame([(v, round(evaluate.band_limit(v, 0.4), 9)) for v in (0.1, 0.2, 0.4, 0.5)], "voxel double, degrees double")
 
 
-@query("a20_vertex_normals")
+def _normals() -> str:
+    """no(v, nx, ny, nz): each face's cross product at its three vertices, added in the order of faces."""
+    u, w = ([f"({a}{k} - {a}0)" for a in "xyz"] for k in (1, 2))
+    normal = [f"{u[1]} * {w[2]} - {u[2]} * {w[1]}", f"{u[2]} * {w[0]} - {u[0]} * {w[2]}", f"{u[0]} * {w[1]} - {u[1]} * {w[0]}"]
+    folded = ", ".join(f"list_reduce(list_prepend({d(0.0)}, list(n{a} ORDER BY face)), lambda p, q: p + q) AS n{a}" for a in "xyz")
+    return f""", fx AS (SELECT face, {", ".join(f"{n} AS n{a}" for n, a in zip(normal, "xyz"))} FROM fp),
+no AS (SELECT v, {folded} FROM (SELECT face, unnest([v0, v1, v2]) AS v FROM ff) q JOIN fx USING (face) GROUP BY v)"""
+
+
+@query(
+    "a20_vertex_normals",
+    base(*surface_queries.MESH) + surface_queries._FACES + surface_queries._face_points() + _normals()
+    + " SELECT v, " + ", ".join(f"CASE WHEN len > 0 THEN n{a} / len END AS n{a}" for a in "xyz") + " FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS len FROM no) q",
+)
 def a20(s, sf):
     """Area-weighted normals of the mesh's vertices."""
     faces, vertices = indexed(s, sf)

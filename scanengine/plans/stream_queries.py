@@ -64,7 +64,19 @@ def j3_candidates(s, sf):
     return replay.candidates(stream(s, sf, "view"), stream(s, sf, "error"), 5 * MINUTE)
 
 
-@query("j3_associate")
+_NEAREST = "row_number() OVER (PARTITION BY {} ORDER BY abs(ta - tb), ta, tb, ia, ib) = 1"
+
+
+@query(
+    "j3_associate",
+    "WITH RECURSIVE " + _EV.strip()[len("WITH") :]
+    + f""" a AS (SELECT * FROM st WHERE event_type = 'view'), b AS (SELECT * FROM st WHERE event_type = 'error'),
+    r(ia, ta, ib, tb, best) AS (
+      SELECT a.id, a.ts, b.id, b.ts, false FROM a JOIN b ON abs(a.ts - b.ts) < {5 * MINUTE}
+      UNION ALL SELECT ia, ta, ib, tb, best FROM (SELECT *, bool_or(best) OVER (PARTITION BY ia) OR bool_or(best) OVER (PARTITION BY ib) AS taken
+        FROM (SELECT ia, ta, ib, tb, {_NEAREST.format("ia")} AND {_NEAREST.format("ib")} AS best FROM r WHERE NOT r.best) q) w WHERE best OR NOT taken)
+    SELECT ia, ta, ib, tb FROM r WHERE best""",
+)
 def j3(s, sf):
     return replay.associate(stream(s, sf, "view"), stream(s, sf, "error"), 5 * MINUTE)
 
