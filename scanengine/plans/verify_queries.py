@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scanengine.operators import commit, fuse, proof
 from scanengine.plans.common import registrar
 from scanengine.plans.fusion_queries import COARSE, blocks, volume
-from scanengine.plans.scan_sql import fused_with, plan_sql, scan_with
+from scanengine.plans.scan_sql import d, fused_with, plan_sql, scan_with
 from scanengine.sources import derived
 from scanengine.sources.derived import CAMERA, table
 from scanengine.sources.scratch import kept
@@ -114,7 +114,23 @@ def g13(s, sf):
     return commit.tiles(derived.pixels(s, sf), CAMERA.width, CAMERA.height).select("seq", "tile", F.lower(F.hex(commit.leaf_hash(F.col("data")))).alias("leaf"))
 
 
-@query("v5_volume_leaves")
+def _packed(c: str, width: int = 8) -> str:
+    """The hexadecimal digits of a number's bytes, the last byte first."""
+    return " || ".join(f"substr(hex(CAST(CAST({c} AS BIT) AS BLOB)), {2 * k + 1}, 2)" for k in reversed(range(width)))
+
+
+@query(
+    "v5_volume_leaves",
+    fused_with(
+        *C,
+        f"hx AS (SELECT bx, by, bz, l, {_packed('tsdf_sum')} AS s, {_packed('CAST(weight AS INTEGER)', 4)} AS w FROM vo)",
+        "bl AS (SELECT DISTINCT bx, by, bz FROM vo)",
+        f"""pk AS (SELECT bl.bx, bl.by, bl.bz, string_agg(coalesce(s, repeat('00', 8)), '' ORDER BY k) || string_agg(coalesce(w, repeat('00', 4)), '' ORDER BY k) AS voxels
+        FROM bl JOIN range(512) r(k) ON true LEFT JOIN hx ON hx.bx = bl.bx AND hx.by = bl.by AND hx.bz = bl.bz AND hx.l = k GROUP BY 1, 2, 3)""",
+    )
+    + f"""SELECT row_number() OVER (ORDER BY bz, by, bx) - 1 AS idx, bx, by, bz,
+    sha256(unhex('00{commit.BLOCK_TAG.hex()}' || {_packed("bx", 4)} || {_packed("by", 4)} || {_packed("bz", 4)} || voxels)) AS leaf FROM pk""",
+)
 def v5(s, sf):
     return commit.numbered(commit.block_leaves(volume(s, sf))).select("idx", "bx", "by", "bz", F.lower(F.hex(commit.leaf_hash(F.col("data")))).alias("leaf"))
 
@@ -229,7 +245,23 @@ def a26(s, sf):
     return proof.evidence_counts(proof.evidence_tiles(derived.scan(s, sf), blocks(s, sf), CAMERA, COARSE, SIDE), CAMERA, SIDE)
 
 
-@query("v4_frame_leaves")
+def _frame_leaves() -> str:
+    """Depth images cut into tiles, a tree for each, and the frames' leaves over the roots."""
+    node = "sha256('\\x01'::BLOB || unhex(max(CASE WHEN idx % 2 = 0 THEN h END)) || unhex(max(CASE WHEN idx % 2 = 1 THEN h END)))"
+    across, down = proof.tiles_across(CAMERA, SIDE), proof.tile_count(CAMERA, SIDE) // proof.tiles_across(CAMERA, SIDE)
+    high = (across * down - 1).bit_length()
+    parts = [
+        f"tq AS (SELECT seq, t AS idx, k, t // {across} * {SIDE} + k // {SIDE} AS v, t % {across} * {SIDE} + k % {SIDE} AS u FROM fr, range({across * down}) r(t), range({SIDE * SIDE}) q(k) WHERE has_depth)",
+        f"""dv0 AS (SELECT tq.seq, tq.idx, sha256(unhex('00{commit.TILE_TAG.hex()}' || string_agg(printf('%02x%02x', coalesce(raw, 0) % 256, coalesce(raw, 0) // 256), '' ORDER BY k))) AS h
+        FROM tq LEFT JOIN px ON px.seq = tq.seq AND px.u = tq.u AND px.v = tq.v GROUP BY 1, 2)""",
+    ]
+    parts += [f"dv{k + 1} AS (SELECT seq, idx // 2 AS idx, CASE WHEN count(*) = 2 THEN {node} ELSE max(h) END AS h FROM dv{k} GROUP BY 1, 2)" for k in range(high)]
+    pose = " || ".join(_packed(f"CAST(m{k} AS DOUBLE)") for k in range(12)) + " || repeat('00', 24) || " + _packed(d(1.0))
+    return scan_with(*parts) + f"""SELECT row_number() OVER (ORDER BY fr.seq) - 1 AS idx, fr.seq, sha256(unhex('00{commit.FRAME_TAG.hex()}' || {_packed("CAST(fr.seq AS BIGINT)")} || printf('%02x', has_depth::INT + 2 * has_pose::INT)
+    || CASE WHEN has_pose THEN {pose} ELSE repeat('00', 128) END || coalesce(h, repeat('00', 32)))) AS leaf FROM fr LEFT JOIN dv{high} ON dv{high}.seq = fr.seq"""
+
+
+@query("v4_frame_leaves", _frame_leaves())
 def v4(s, sf):
     """A leaf for every frame, with its pose and the root of its depth."""
     scan = derived.scan(s, sf)
