@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanengine.llm import alignment, decontaminate, fingerprint, interpolated_lm, jaccard_join, linediff, mixing, quality, toxicity, warc, wrapper
+from scanengine.llm import alignment, chat, decontaminate, fingerprint, interpolated_lm, jaccard_join, linediff, mixing, quality, toxicity, warc, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_conversations(rows))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("groups_sha256", F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))).drop("groups")
@@ -158,7 +165,7 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_interpolated_lm": op3_interpolated_lm, "op4_line_dedup": op4_line_dedup, "op5_fingerprint": op5_fingerprint, "op6_html_text": op6_html_text, "op7_warc": op7_warc, "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality, "op12_token_alignment": op12_token_alignment}
+    return {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_interpolated_lm": op3_interpolated_lm, "op4_line_dedup": op4_line_dedup, "op5_fingerprint": op5_fingerprint, "op6_html_text": op6_html_text, "op7_warc": op7_warc, "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality, "op11_chat_format": op11_chat_format, "op12_token_alignment": op12_token_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
