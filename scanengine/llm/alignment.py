@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from scanengine.llm import textvec as tv
 from scanengine.llm.exchange import Exchange, Families, units
-from scanengine.llm.shared import written
+from scanengine.llm.shared import removed, scratch, written
 
 _U = np.uint64
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -165,16 +165,15 @@ def segments(column: pa.ChunkedArray, cut: bool = True) -> tuple[np.ndarray, pa.
         return n, pa.array([], pa.binary())
     starts = start
     if cut:
-        last = np.maximum.reduceat(np.where(b != 32, np.arange(len(b)), -1), start)
+        last = np.maximum.reduceat(np.where(b != 32, np.arange(len(b), dtype=np.int32), np.int32(-1)), start)
         at = np.flatnonzero(b == 32)
         doc = np.searchsorted(start, at, side="right") - 1
         at = at[(at > start[doc]) & (at < last[doc])]
-        p1 = b[at - 1].astype(np.int64)
-        p2, p3 = b[np.maximum(at - 2, 0)].astype(np.int64), b[np.maximum(at - 3, 0)].astype(np.int64)
+        p1 = b[at - 1]
         blank = _NARROW_BLANKS[p1]
         high = np.flatnonzero(p1 >= 128)
-        code = (p2[high] << 8) | p1[high]
-        blank[high] = np.isin(code, _WIDE_BLANKS) | np.isin((p3[high] << 16) | code, _WIDE_BLANKS)
+        code = (b[np.maximum(at[high] - 2, 0)].astype(np.int64) << 8) | p1[high]
+        blank[high] = np.isin(code, _WIDE_BLANKS) | np.isin((b[np.maximum(at[high] - 3, 0)].astype(np.int64) << 16) | code, _WIDE_BLANKS)
         starts = np.union1d(start, at[~blank])
     n[some] = np.diff(np.searchsorted(starts, np.append(start, len(b))))
     return n, binaries(np.diff(np.append(starts, len(b))), b.tobytes())
@@ -214,25 +213,34 @@ def linked(a, b, ga, gb, n) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (xa[left] << 16) | xb[right], ca[left] * cb[right], np.repeat(np.arange(len(n)), n)[of_a[left]]
 
 
-def group_texts(a, b, ga, gb, n) -> list[bytes]:
-    """Each segment's groups as `a1,a2|b1;`, every group with its `;`."""
+def group_texts(a, b, ga, gb, n, most: int = 32_768) -> list[bytes]:
+    """Each segment's groups as `a1,a2|b1;`, every group with its `;`; some segments at a time."""
+    out: list[bytes] = []
+    group, token_a, token_b = edges(n), edges(ga), edges(gb)
+    for i in range(0, len(n), most):
+        j = min(i + most, len(n))
+        g = slice(group[i], group[j])
+        ids = a[token_a[group[i]] : token_a[group[j]]], b[token_b[group[i]] : token_b[group[j]]]
+        out += _group_texts(*ids, ga[g], gb[g], n[i:j])
+    return out
+
+
+def _group_texts(a, b, ga, gb, n) -> list[bytes]:
     group = np.arange(len(ga))
     words = []
     for ids, sizes in ((a, ga), (b, gb)):
-        last = np.zeros(len(ids), bool)
-        last[np.cumsum(sizes) - 1] = True
+        last = np.zeros(len(ids), np.int64)
+        last[np.cumsum(sizes) - 1] = 1
         words.append(ids * 2 + last)
     codes = np.concatenate([words[0], words[1] + (1 << 17)])
+    # a group's first ids, then its second ones
     order = np.argsort(np.concatenate([np.repeat(group, ga) * 2, np.repeat(group, gb) * 2 + 1]), kind="stable")
-    codes = codes[order]
-    used, back = np.unique(codes, return_inverse=True)
+    used, back = np.unique(codes[order], return_inverse=True)
     marks = {(0, 0): b",", (0, 1): b"|", (1, 0): b",", (1, 1): b";"}
     named = [str((k & 0x1FFFF) >> 1).encode() + marks[k >> 17, k & 1] for k in used.tolist()]
     size = np.array([len(x) for x in named], np.int64)
     flat = b"".join([named[k] for k in back.tolist()])
-    ends = edges(size[back]) if len(back) else np.zeros(1, np.int64)
-    tokens = edges(ga + gb)[edges(n)]
-    at = ends[tokens].tolist()
+    at = edges(size[back])[edges(ga + gb)[edges(n)]].tolist()
     return [flat[i:j] for i, j in zip(at, at[1:])]
 
 
@@ -246,7 +254,7 @@ def _whole(first: np.ndarray, idx: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (np.diff(first) > 0) & (sums((n == 0)[idx].astype(np.int64), first) == 0)
 
 
-def aligned(docs: DataFrame, byte_path: str = BYTE_BPE, piece_path: str = PIECE_BPE, unit_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
+def aligned(docs: DataFrame, byte_path: str = BYTE_BPE, piece_path: str = PIECE_BPE, unit_bytes: int = 6 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
     """A row a document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups, the ids of both sides by
     group, as `a1,a2|b1;a3|b2,b3`.
 
@@ -276,7 +284,10 @@ def aligned(docs: DataFrame, byte_path: str = BYTE_BPE, piece_path: str = PIECE_
             cells = [squeeze(n), squeeze(rank[index]), squeeze(lens), raw]
             yield pa.RecordBatch.from_arrays([pa.array([(pid << 32) | u], pa.int64()), ids, *[pa.array([c], pa.binary()) for c in cells]], ["unit", "doc_ids", "n_segments", "idx", "lens", "raw"])
 
-    held = written(d.mapInArrow(cut, UNIT), "segments")
+    spark = docs.sparkSession
+    path = scratch(spark, "segments")
+    d.mapInArrow(cut, UNIT).write.option("compression", "zstd").parquet(path)
+    held = spark.read.schema(UNIT).parquet(path)
     buckets = max(8, held.count() * unit_bytes // bucket_bytes)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,8 +316,8 @@ def aligned(docs: DataFrame, byte_path: str = BYTE_BPE, piece_path: str = PIECE_
         found: list[list[np.ndarray]] = [[], [], [], [], []]
         lens, raw = bytes_of(known)
         spans = edges(lens)
-        # some two megabytes of segments at a time
-        for i, j in _runs(spans, 2 << 20):
+        # half a megabyte of segments at a time
+        for i, j in _runs(spans, 1 << 19):
             for out, x in zip(found, align(pair, lens[i:j], raw[spans[i] : spans[j]])):
                 out.append(x.astype(np.int32))
         a, b, ga, gb, n = (np.concatenate(x) for x in found)
@@ -347,6 +358,7 @@ def aligned(docs: DataFrame, byte_path: str = BYTE_BPE, piece_path: str = PIECE_
 
     docs_of = held.select("unit", "doc_ids", "n_segments", "idx")
     done = written(docs_of.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(compose, COMPOSED), "aligned")
+    removed(spark, path)  # all that is in it now lies in the units' rows
 
     def families(table: pa.Table) -> Families:
         return [(tv.unpack(table["keys"][0].as_py()), [spread(table["n_docs"][0].as_py()).astype(_U)])]
