@@ -8,9 +8,9 @@ from scanengine.functions import geometry as g
 from scanengine.operators import evaluate, mesh, order, placement, replay, surface
 from scanengine.plans import surface_queries
 from scanengine.plans.common import registrar
-from scanengine.plans.fusion_queries import COARSE
+from scanengine.plans.fusion_queries import COARSE, even_volume
 from scanengine.plans.fusion_queries import points as all_points
-from scanengine.plans.scan_sql import d, scan_with
+from scanengine.plans.scan_sql import d, eval_sql, plan_sql, scan_with, volume_sql
 from scanengine.plans.surface_queries import V, base, indexed, samples
 from scanengine.sources import derived, scratch
 from scanengine.sources.derived import CAMERA, table
@@ -20,6 +20,14 @@ SQL: dict[str, str] = {}
 query = registrar(QUERIES, SQL)
 
 LIMIT = 0.25
+
+
+def even_base(*more: str) -> str:
+    """base() with the plan and the volume of even frames alone."""
+    even = lambda t: f"(SELECT * FROM {t} WHERE seq % 2 = 0)"
+    return scan_with(plan_sql(V, COARSE.truncation, even("pt")), eval_sql(V, COARSE.truncation), volume_sql(COARSE.truncation, even("ev")), surface_queries.SAMPLES, *more)
+
+
 _PTS = """
 ea AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings WHERE vec_id % 2 = 1),
 eb AS (SELECT vec_id AS idx, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings WHERE vec_id % 2 = 0)"""
@@ -65,7 +73,7 @@ def a13(s, sf):
 
 @query(
     "j14_j15_volume_sampling",
-    base(
+    even_base(
         f"""hp AS (SELECT seq * 1000 + v * 32 + u AS id, wx, wy, wz, floor(wx / {d(V)} - {d(0.5)}) AS b0, floor(wy / {d(V)} - {d(0.5)}) AS b1, floor(wz / {d(V)} - {d(0.5)}) AS b2 FROM pt WHERE seq % 2 = 1),
 hc AS (SELECT id, k, b0 + k % 2 AS gx, b1 + (k // 2) % 2 AS gy, b2 + k // 4 AS gz,
   CASE WHEN k % 2 = 1 THEN wx / {d(V)} - {d(0.5)} - b0 ELSE {d(1.0)} - (wx / {d(V)} - {d(0.5)} - b0) END
@@ -81,8 +89,9 @@ def j14(s, sf):
 
 
 def held_out(s, sf):
+    """Points of odd frames in the volume of even ones."""
     p = all_points(s, sf).where("seq % 2 = 1").select((F.col("seq") * 1000 + F.col("v") * 32 + F.col("u")).alias("id"), F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"))
-    return evaluate.trilinear(p, samples(s, sf), V)
+    return evaluate.trilinear(p, surface.samples(even_volume(s, sf)), V)
 
 
 @query(

@@ -28,9 +28,21 @@ def blocks(s: SparkSession, sf: str, grid: g.Grid = COARSE) -> DataFrame:
     return plan.plan(points(s, sf), grid)
 
 
+def scan_tables(sf: str) -> list[str]:
+    """The tables that the derived scan is made from."""
+    return [f"{sf}/lineitem.parquet"]
+
+
 def volume(s: SparkSession, sf: str, grid: g.Grid = COARSE) -> DataFrame:
     """The fused volume, written once an application: what is derived from it reads the table."""
-    return scratch.once(s, "volume", (sf, repr(grid)), lambda: fuse.fuse(derived.scan(s, sf), blocks(s, sf, grid), CAMERA, grid))
+    return scratch.once(s, "volume", scan_tables(sf), (repr(grid),), lambda: fuse.fuse(derived.scan(s, sf), blocks(s, sf, grid), CAMERA, grid))
+
+
+def even_volume(s: SparkSession, sf: str, grid: g.Grid = COARSE) -> DataFrame:
+    """Planned and fused from even frames alone, so that odd ones can judge it."""
+    even = F.col("seq") % 2 == 0
+    plan_of = lambda: plan.plan(points(s, sf).where(even), grid)
+    return scratch.once(s, "even-volume", scan_tables(sf), (repr(grid),), lambda: fuse.fuse(derived.scan(s, sf).where(even), plan_of(), CAMERA, grid))
 
 
 C = (COARSE.voxel, COARSE.truncation)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scanengine.operators import freespace, mesh, surface
 from scanengine.plans.common import registrar
-from scanengine.plans.fusion_queries import COARSE, points, volume
+from scanengine.plans.fusion_queries import COARSE, points, scan_tables, volume
 from scanengine.plans.scan_sql import d, fused_with
 from scanengine.sources import derived, scratch
 
@@ -185,7 +185,7 @@ def indexed(s, sf):
     """The indexed mesh, written once an application."""
     corners = lambda: surface.corners(surface.triangles(surface.cells(samples(s, sf))), V, ("n", "p"))
     made = functools.cache(lambda: mesh.indexed(corners()))
-    return scratch.once(s, "faces", (sf,), lambda: made()[0]), scratch.once(s, "vertices", (sf,), lambda: made()[1])
+    return scratch.once(s, "faces", scan_tables(sf), (), lambda: made()[0]), scratch.once(s, "vertices", scan_tables(sf), (), lambda: made()[1])
 
 
 @query("w4_face_order", base(*MESH) + _FACES + " SELECT face, v0, v1, v2 FROM ff")

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,10 +38,24 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 _MADE: dict[tuple, tuple[str, object]] = {}
 
 
-def once(spark: SparkSession, name: str, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """What tells a table's files from those of another time: their number, bytes and a hash of their names, lengths and
+    times of change.  Only a listing; no file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    told = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.bit_xor(told), F.sum(F.shiftright(told, 20))).first())
+
+
+def forget() -> None:
+    """From now on once() makes everything anew."""
+    _MADE.clear()
+
+
+def once(spark: SparkSession, name: str, sources: list[str], key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     """The table that make() gives, written the first time that an application asks for it and read from then on: a fused
-    volume is one file to all that is derived from it.  key: what the table depends on."""
-    own = (spark.sparkContext.applicationId, name, *key)
+    volume is one file to all that is derived from it.  sources: the tables that it is made from; where their files are no
+    longer the same, it is made anew.  key: what else it depends on."""
+    own = (spark.sparkContext.applicationId, name, *key, *[(p, stamp(spark, p)) for p in sources])
     if own in _MADE:
         path, schema = _MADE[own]
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

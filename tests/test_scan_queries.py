@@ -107,3 +107,30 @@ def test_empty_scans_give_empty_results(spark):
     scan, plan = derived.scan(spark, SF), blocks(spark, SF)
     assert fuse.fuse(scan.where("1 = 0"), plan, CAMERA, COARSE).count() == 0
     assert fuse.fuse(scan, plan.where("1 = 0"), CAMERA, COARSE).count() == 0
+
+
+def test_tables_that_change_under_a_path_are_fused_anew(spark, tmp_path):
+    from scanengine.plans import registry
+
+    report = registry.queries()["a4_volume_report"]
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    path = f"{tmp_path}/lineitem.parquet"
+    items.where("l_orderkey < 800").write.parquet(path)
+    first = report(spark, str(tmp_path)).first()
+    assert report(spark, str(tmp_path)).first() == first
+    items.write.mode("overwrite").parquet(path)
+    second = report(spark, str(tmp_path)).first()
+    assert second != first and second == report(spark, "/root/testdata/sf0.001").first()
+
+
+def test_held_out_frames_are_not_in_the_volume_that_they_judge(spark, tmp_path):
+    """Other readings in odd frames leave the volume of even ones as it is."""
+    from pyspark.sql import functions as F
+
+    from scanengine.plans import fusion_queries
+
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    odd = F.floor(F.col("l_orderkey") / 625) % 2 == 1
+    items.withColumn("l_quantity", F.when(odd, F.col("l_quantity") + 7).otherwise(F.col("l_quantity"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = lambda sf: sorted(map(tuple, fusion_queries.even_volume(spark, sf).collect()))
+    assert rows(str(tmp_path)) == rows("/root/testdata/sf0.001")
