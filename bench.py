@@ -23,7 +23,7 @@ def wide_fusion(spark, sf_dir: str) -> dict:
     from pyspark.sql import functions as F
 
     from scanengine.functions.geometry import Grid
-    from scanengine.operators import fuse, plan
+    from scanengine.operators import expansion, fuse, plan
     from scanengine.sources import derived
 
     grid, cam = Grid(0.005, 0.02), derived.WIDE
@@ -37,7 +37,12 @@ def wide_fusion(spark, sf_dir: str) -> dict:
     fuse.fuse(scan, blocks, cam, grid).write.format("noop").mode("overwrite").save()
     took = time.time() - planned
     seen = n * 512 * frames
-    return {"wide_frames": frames, "wide_blocks": n, "wide_plan_sec": round(planned - began, 3), "wide_fuse_sec": round(took, 3), "wide_observations": seen, "wide_observations_per_second": round(seen / took)}
+    box, expand = expansion.candidate_box(scan, cam, grid), {}
+    for name, hide in (("wide_expand_unpruned_sec", False), ("wide_expand_sec", True)):
+        began = time.time()
+        expand["wide_expand_blocks"] = expansion.observed(scan, cam, grid, hide, box).count()
+        expand[name] = round(time.time() - began, 3)
+    return expand | {"wide_frames": frames, "wide_blocks": n, "wide_plan_sec": round(planned - began, 3), "wide_fuse_sec": round(took, 3), "wide_observations": seen, "wide_observations_per_second": round(seen / took)}
 
 
 def main() -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
-from scanengine.operators import commit, freespace, fuse, mesh, plan, proof, replay, surface
+from scanengine.operators import commit, expansion, freespace, fuse, mesh, plan, proof, replay, surface
 from scanengine.operators.evaluate import residual_summary, trilinear
 from scanengine.sources import artifacts, files, importer, session
 from scanengine.sources.scratch import kept
@@ -106,9 +106,7 @@ def plan_blocks(spark: SparkSession, root: str, out: str, voxel: float, truncati
     blocks, counters = _plan(scan, grid, stride)
     more = None
     if expand:
-        from scanengine.plans.fusion_queries import candidate_box
-
-        more = fuse.observed_blocks(_strided(scan, stride), candidate_box(blocks), scan.camera, grid)
+        more = expansion.observed(_strided(scan, stride), scan.camera, grid)
     digest = artifacts.write_plan(blocks, grid, counters, out, more)
     return {"session": scan.name, "blocks": blocks.count(), "surface blocks": blocks.where("is_surface").count(), "sha256": digest, "output": out}
 

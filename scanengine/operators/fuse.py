@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
-from scanengine.operators import vector
+from scanengine.operators import vector, views
 
 BLOCK = ["bx", "by", "bz"]
 VOXEL = [*BLOCK, "l"]
@@ -199,28 +199,20 @@ def depth_tiles(px: DataFrame, cam: g.Camera, side: int = 8) -> DataFrame:
     return px.groupBy("seq", F.floor(F.col("u") / side).alias("tu"), F.floor(F.col("v") / side).alias("tv")).agg(F.max(z).alias("depth"))
 
 
-def hidden(scan: DataFrame, px: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid, side: int = 8) -> DataFrame:
+def hidden(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid) -> DataFrame:
     """(seq, bx, by, bz) of blocks that lie behind all depth in the rectangle they project to.
 
     The rectangle spans the nearest pixels of the corners, one more on each side, widened to whole tiles; without a
     reading its largest depth is 0.  Blocks that reach behind the camera are never called hidden.
     """
-    p = culled_pairs(pairs_of(scan, blocks).drop("depth"), cam, grid).where("verdict = 'evaluate'")
-    zs = corner("z")
-    near, slack = F.least(*zs), F.col("_slack")
-    u = [F.when(z > 0, g.lit(cam.fx) * x / z + g.lit(cam.cx)) for x, z in zip(corner("x"), zs)]
-    v = [F.when(z > 0, g.lit(cam.fy) * y / z + g.lit(cam.cy)) for y, z in zip(corner("y"), zs)]
-    low = lambda c: F.floor(F.least(*c) + g.lit(0.5)) - 1
-    high = lambda c: F.floor(F.greatest(*c) + g.lit(0.5)) + 1
-    p = p.select(
-        "seq", *BLOCK, (near - slack).alias("near"), (near > slack).alias("ahead"), low(u).alias("u0"), high(u).alias("u1"), low(v).alias("v0"), high(v).alias("v1")
-    ).where("ahead")
-    clip = lambda c, n: F.least(F.lit(n - 1), F.greatest(F.lit(0), c))
-    p = p.select("seq", *BLOCK, "near", *[F.floor(clip(F.col(x), n) / side).alias(f"t{x}") for x, n in (("u0", cam.width), ("u1", cam.width), ("v0", cam.height), ("v1", cam.height))])
-    tiles = depth_tiles(px, cam, side)
-    spread = p.withColumn("tu", F.explode(F.sequence("tu0", "tu1"))).withColumn("tv", F.explode(F.sequence("tv0", "tv1")))
-    deepest = spread.join(tiles, ["seq", "tu", "tv"], "left").groupBy("seq", *BLOCK, "near").agg(F.coalesce(F.max("depth"), F.lit(0.0)).alias("depth"))
-    return deepest.where(F.col("near") > F.col("depth") + g.lit(grid.truncation)).select("seq", *BLOCK)
+    return vector.block_verdicts(scan, blocks, cam, grid, True, (views.HIDDEN,)).drop("code")
+
+
+def verdicts(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid) -> DataFrame:
+    """(seq, bx, by, bz, verdict) of each integrated frame and block: behind, outside or evaluate."""
+    code = F.col("code")
+    named = F.when(code == views.BEHIND, "behind").when(code == views.OUTSIDE, "outside").otherwise("evaluate")
+    return vector.block_verdicts(scan, blocks, cam, grid).select("seq", *BLOCK, named.alias("verdict"))
 
 
 def compare_volumes(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
-from scanengine.operators import commit, fuse, vector
+from scanengine.operators import commit, fuse, vector, views
 from scanengine.sources import artifacts
 from scanengine.sources.scratch import kept
 
@@ -136,7 +136,7 @@ def evidence_tiles(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Gr
     across = tiles_across(cam, side)
 
     def work(frames: Iterator) -> Iterator[pa.RecordBatch]:
-        for frame, b, _ in frames:
+        for frame, b, _, _ in frames:
             for k in range(0, len(b), vector.CHUNK):
                 some = b[k : k + vector.CHUNK]
                 _, u, v, raw, _ = vector.voxels_of(some, frame, cam, grid)
@@ -181,7 +181,7 @@ def fused_from_evidence(frames: DataFrame, blocks: DataFrame, tiles: DataFrame,
             by.setdefault(seq, []).append((tile, data))
         for seq, pose, root in sent.value:
             mine = by.pop(seq, [])
-            if pose is None or root is None or vector.culled(b, np.array(pose[:12]), cam, grid)[0]:
+            if pose is None or root is None or views.judged(b, b, np.array(pose[:12]), cam, grid, None, False)[0]:
                 problem = problem or (f"frame {seq} is not read, but a tile of it is held" if mine else None)
                 continue
             image = np.full((cam.height, cam.width), -2, np.int64)

@@ -3,7 +3,7 @@
 The arithmetic is that of scanengine.operators.fuse.evaluated(), term by term, so both give the same bits.  Along a block's
 side a coordinate takes eight values, so its products with the pose are made once an axis and only added up for each voxel.
 
-The blocks go to every task: a slice of at most MOST_SENT of them, 12 bytes each, at a time.  A frame's image goes to one
+The blocks go to every task: a slice of at most MOST_SENT of them, some 16 bytes each with the cubes above them, at a time.  A frame's image goes to one
 task and stays there; what leaves it is a row for each block that it reaches.
 """
 
@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
+from scanengine.operators import views
 
 BLOCK = ["bx", "by", "bz"]
-#: Blocks sent to all tasks at once (48 MB); more are evaluated in slices of about this many.
+#: Blocks sent to all tasks at once (some 64 MB); more are evaluated in slices of about this many.
 MOST_SENT = 4_000_000
 #: Blocks evaluated at once: their voxels' arrays stay within a core's cache.
 CHUNK = 64
@@ -37,26 +38,6 @@ def frames_in(batches: Iterator[pa.RecordBatch]) -> Iterator[Frame]:
             yield int(seq[k]), images[k].values.to_numpy(zero_copy_only=False), pose[k]
 
 
-def culled(b: np.ndarray, m: np.ndarray, cam: g.Camera, grid: g.Grid) -> np.ndarray:
-    """Of each block 1 behind, 2 outside or 0 to evaluate: F1 for all blocks of a frame at once."""
-    ends = (b[:, :, None] * g.SIDE + np.array([0, 7]) + 0.5) * grid.voxel  # block, axis, end
-    d = ends - m[[3, 7, 11]][None, :, None]
-    slack = 1e-9 * (1.0 + np.abs(d).max((1, 2)))
-    x, y, z = (
-        (m[i] * d[:, 0, :, None, None] + m[i + 4] * d[:, 1, None, :, None] + m[i + 8] * d[:, 2, None, None, :]).reshape(len(b), 8) for i in range(3)
-    )
-    out = np.zeros(len(b), np.int8)
-    safe = abs(cam.fx) <= 1e4 and abs(cam.fy) <= 1e4 and max(cam.width, cam.height, abs(cam.cx), abs(cam.cy)) <= 1e5
-    if safe:
-        aside = (cam.fx * x + (cam.cx + 0.5 + 0.5) * z).max(1) < 0
-        aside |= (cam.fx * x + (cam.cx - (cam.width - 0.5) - 0.5) * z).min(1) > 0
-        aside |= (cam.fy * y + (cam.cy + 0.5 + 0.5) * z).max(1) < 0
-        aside |= (cam.fy * y + (cam.cy - (cam.height - 0.5) - 0.5) * z).min(1) > 0
-        out[(z.min(1) > slack) & aside] = 2
-        out[z.max(1) < -slack] = 1
-    return out
-
-
 def voxels_of(b: np.ndarray, frame: Frame, cam: g.Camera, grid: g.Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(zc, u, v, raw, sd) of every voxel of some blocks, in the order of l; raw -1 outside the image, sd NaN without depth."""
     _, depth, m = frame
@@ -78,14 +59,30 @@ def voxels_of(b: np.ndarray, frame: Frame, cam: g.Camera, grid: g.Grid) -> tuple
     return zc, u, v, raw, sd
 
 
-def over_frames(
-    scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid, work: Callable[[Iterator[tuple[Frame, np.ndarray, np.ndarray]]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """work over each task's frames that have depth and a pose: (frame, the blocks to evaluate, verdicts of all blocks)."""
+def dealt_frames(scan: DataFrame) -> DataFrame:
+    """(seq, depth, m0..m11) of frames that have depth and a pose, dealt out by number: a frame is a few kilobytes and millions
+    of evaluations, so partitions sized by bytes would leave most cores idle."""
     spark = scan.sparkSession
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     whole = scan.where("has_depth and has_pose").select("seq", "depth", *[f"m{i}" for i in range(12)])
-    whole = whole if scan.isStreaming else whole.repartition(parts, "seq")
+    return whole if scan.isStreaming else whole.repartition(parts, "seq")
+
+
+def over_frames(
+    scan: DataFrame,
+    blocks: DataFrame,
+    cam: g.Camera,
+    grid: g.Grid,
+    work: Callable[[Iterator[tuple[Frame, np.ndarray, np.ndarray, np.ndarray]]], Iterator[pa.RecordBatch]],
+    schema: str,
+    hide: bool = False,
+    named: bool = False,
+) -> DataFrame:
+    """work over each task's frames that have depth and a pose: (frame, the blocks to evaluate, verdicts of all blocks, all
+    blocks).  hide: blocks behind all that their frame measured are not evaluated; named: and each is
+    told from those outside of the image."""
+    spark = scan.sparkSession
+    whole = dealt_frames(scan)
     plan = blocks.select(*[F.col(c).cast("int").alias(c) for c in BLOCK])
     # one slice's rows and one more, so that a plan within the bound is made once
     first = plan.limit(MOST_SENT + 1).toArrow()
@@ -93,15 +90,15 @@ def over_frames(
     out = None
     for k in range(slices):
         rows = first if slices == 1 else plan.where(F.pmod(F.xxhash64(*BLOCK), F.lit(slices)) == k).toArrow()
-        sent = spark.sparkContext.broadcast(np.column_stack([rows[c].to_numpy() for c in BLOCK]).astype(np.int32))
+        sent = spark.sparkContext.broadcast(views.Cubes(np.column_stack([rows[c].to_numpy() for c in BLOCK]).astype(np.int32)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            b = sent.value.astype(np.float64)
+            cubes = sent.value
 
-            def each() -> Iterator[tuple[Frame, np.ndarray, np.ndarray]]:
+            def each() -> Iterator[tuple[Frame, np.ndarray, np.ndarray, np.ndarray]]:
                 for frame in frames_in(batches):
-                    verdicts = culled(b, frame[2], cam, grid)
-                    yield frame, b[verdicts == 0], verdicts
+                    verdicts = cubes.verdicts(frame[2], cam, grid, views.Depths(frame[1], cam) if hide else None, named)
+                    yield frame, cubes.blocks[verdicts == views.SEEN].astype(np.float64), verdicts, cubes.blocks
 
             return work(each())
 
@@ -114,7 +111,7 @@ def packed_contributions(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid
     """(seq, bx, by, bz, l, delta): of each frame and block that it adds to, its voxels and what they get, packed."""
 
     def work(frames: Iterator) -> Iterator[pa.RecordBatch]:
-        for frame, b, _ in frames:
+        for frame, b, _, _ in frames:
             for k in range(0, len(b), CHUNK):
                 some = b[k : k + CHUNK]
                 sd = voxels_of(some, frame, cam, grid)[4]
@@ -181,7 +178,7 @@ def status_counts(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Gri
     """(seq, code, n): how often each outcome, by its place in fuse.STATUSES, came in each frame."""
 
     def work(frames: Iterator) -> Iterator[pa.RecordBatch]:
-        for frame, b, verdicts in frames:
+        for frame, b, verdicts, _ in frames:
             n = np.zeros(11, np.int64)
             n[4], n[6] = 512 * (verdicts == 1).sum(), 512 * (verdicts == 2).sum()
             for k in range(0, len(b), CHUNK):
@@ -214,7 +211,7 @@ def best_kinds(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid,
             cols = [pa.array(held[:n, i].copy()) for i in range(3)]
             return pa.RecordBatch.from_arrays([*cols, pa.array([x.tobytes() for x in best[:n]], pa.binary())], [*BLOCK, "kinds"])
 
-        for frame, b, verdicts in frames:
+        for frame, b, verdicts, _ in frames:
             slot = np.full(len(verdicts), -1, np.int32) if slot is None else slot
             number = np.flatnonzero(verdicts == 0)
             for k in range(0, len(b), CHUNK):
@@ -256,13 +253,26 @@ def best_of_voxels(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Gr
     return every.mapInArrow(spread, "bx int, by int, bz int, l int, kind int")
 
 
-def contributing(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid) -> DataFrame:
+def block_verdicts(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid, hide: bool = False, only: tuple[int, ...] | None = None) -> DataFrame:
+    """(seq, bx, by, bz, code) of every integrated frame and block, by the codes of views; only: some codes alone."""
+
+    def work(frames: Iterator) -> Iterator[pa.RecordBatch]:
+        for frame, _, verdicts, b in frames:
+            at = np.arange(len(b)) if only is None else np.flatnonzero(np.isin(verdicts, only))
+            for k in range(0, len(at), 65_536):
+                some = at[k : k + 65_536]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), frame[0])), *[pa.array(b[some, i]) for i in range(3)], pa.array(verdicts[some].astype(np.int32))], ["seq", *BLOCK, "code"])
+
+    return over_frames(scan, blocks, cam, grid, work, "seq long, bx int, by int, bz int, code int", hide, True)
+
+
+def contributing(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid, hide: bool = True) -> DataFrame:
     """(bx, by, bz) of blocks in which some voxel contributes, once a task.  A block that a task has settled is not
-    evaluated again."""
+    evaluated again, nor one that its frame hides (F2): no voxel of it could contribute."""
 
     def work(frames: Iterator) -> Iterator[pa.RecordBatch]:
         settled = None
-        for frame, b, verdicts in frames:
+        for frame, b, verdicts, _ in frames:
             settled = np.zeros(len(verdicts), bool) if settled is None else settled
             number = np.flatnonzero(verdicts == 0)
             left = ~settled[number]
@@ -274,4 +284,42 @@ def contributing(scan: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid
                 if hit.any():
                     yield pa.RecordBatch.from_arrays([pa.array(some[hit, i].astype(np.int32)) for i in range(3)], BLOCK)
 
-    return over_frames(scan, blocks, cam, grid, work, "bx int, by int, bz int")
+    return over_frames(scan, blocks, cam, grid, work, "bx int, by int, bz int", hide)
+
+
+def contributing_in_box(scan: DataFrame, box: views.Box, cam: g.Camera, grid: g.Grid, hide: bool = True, settled_most: int = 1_000_000) -> DataFrame:
+    """(bx, by, bz), once a task, of the blocks of a box in which some voxel contributes.  The box is never listed: each frame
+    halves it where it sees something.  A task remembers at most settled_most blocks that need no more evaluation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settled = np.zeros(0, np.int64)
+        wide = box[1] - box[0] + 1
+        for frame in frames_in(batches):
+            b, _ = views.blocks_in_view(box, frame[2], cam, grid, views.Depths(frame[1], cam) if hide else None)
+            number = ((b[:, 2] - box[0][2]) * wide[1] + b[:, 1] - box[0][1]) * wide[0] + b[:, 0] - box[0][0]
+            left = ~np.isin(number, settled)
+            b, number, found = b[left], number[left], []
+            for k in range(0, len(b), CHUNK):
+                some = b[k : k + CHUNK]
+                hit = (voxels_of(some.astype(np.float64), frame, cam, grid)[4] >= -grid.truncation).reshape(-1, 512).any(1)
+                found.append(np.flatnonzero(hit) + k)
+            found = np.concatenate(found) if found else np.zeros(0, np.int64)
+            if len(found):
+                settled = np.union1d(settled if len(settled) < settled_most else settled[:0], number[found])
+                yield pa.RecordBatch.from_arrays([pa.array(b[found, i].astype(np.int32)) for i in range(3)], BLOCK)
+
+    return dealt_frames(scan).mapInArrow(run, "bx int, by int, bz int")
+
+
+def pruning(scan: DataFrame, box: views.Box, cam: g.Camera, grid: g.Grid) -> DataFrame:
+    """(seq, candidates, judged, in_view, evaluated): for each frame the blocks of a box, the cubes that it judged, and the
+    blocks that it would evaluate without and with the largest depths."""
+    most = int(np.prod(np.maximum(box[1] - box[0] + 1, 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames_in(batches):
+            seen, _ = views.blocks_in_view(box, frame[2], cam, grid, None)
+            left, cubes = views.blocks_in_view(box, frame[2], cam, grid, views.Depths(frame[1], cam))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (frame[0], most, cubes, len(seen), len(left))], ["seq", "candidates", "judged", "in_view", "evaluated"])
+
+    return dealt_frames(scan).mapInArrow(run, "seq long, candidates long, judged long, in_view long, evaluated long")

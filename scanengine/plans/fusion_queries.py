@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
-from scanengine.operators import fuse, plan, vector
+from scanengine.operators import expansion, fuse, plan, vector
 from scanengine.plans.common import registrar
 from scanengine.plans.scan_sql import block_sql, d, eval_sql, fused_with, plan_sql, scan_with, volume_sql
 from scanengine.sources import derived, scratch
@@ -189,8 +189,7 @@ cu AS (SELECT *, CASE WHEN zmax < -slack THEN 'behind' WHEN zmin > slack AND (lf
 
 @query("f1_cull_verdicts", scan_with(plan_sql(*C), _corner_sql()) + "SELECT seq, bx, by, bz, verdict FROM cu")
 def f1(s, sf):
-    p = fuse.pairs_of(derived.scan(s, sf), blocks(s, sf))
-    return fuse.culled_pairs(p, CAMERA, COARSE).select("seq", "bx", "by", "bz", "verdict")
+    return fuse.verdicts(derived.scan(s, sf), blocks(s, sf), CAMERA, COARSE)
 
 
 _TILES = f"ti AS (SELECT seq, u // 8 AS tu, v // 8 AS tv, max(CASE WHEN raw > 0 THEN raw * {d(0.001)} ELSE {d(0.0)} END) AS depth FROM px GROUP BY 1, 2, 3)"
@@ -212,7 +211,7 @@ hi AS (SELECT h.seq, h.bx, h.by, h.bz, h.near, coalesce(max(t.depth), {d(0.0)})
 
 @query("f2_hidden_blocks", scan_with(plan_sql(*C), _corner_sql(), _TILES, _HIDDEN) + f"SELECT seq, bx, by, bz FROM hi WHERE near - {d(0.4)} > depth OR near > depth + {d(0.4)}")
 def f2(s, sf):
-    return fuse.hidden(derived.scan(s, sf), derived.pixels(s, sf), blocks(s, sf), CAMERA, COARSE)
+    return fuse.hidden(derived.scan(s, sf), blocks(s, sf), CAMERA, COARSE)
 
 
 _VERDICT = f"""
@@ -265,6 +264,80 @@ def f4(s, sf):
     return both.groupBy("bx", "by", "bz").agg(F.max("planned").alias("planned"), F.max("approved").alias("approved"))
 
 
+def _ends(name: str, of: str = "") -> str:
+    return ", ".join(f"CAST(floor({f}({of}{a}{k}) / {d(COARSE.extent)}) AS BIGINT) AS {name}{a}{k}" for a in "xyz" for k, f in ((0, "min"), (1, "max")))
+
+
+def _pyramid_sql() -> str:
+    """fb: the bounds of each frame's pyramid; fo: every block of the box of all."""
+    deep = f"(dm.raw * {d(0.001)} + {d(0.4)})"
+    z = deep
+    axes = {a: [m] for a, m in zip("xyz", ("m3", "m7", "m11"))}
+    for u in (-0.5, 31.5):
+        for v in (-0.5, 23.5):
+            x, y = f"(({d(u)} - {d(15.5)}) * {z} / {d(24.0)})", f"(({d(v)} - {d(11.5)}) * {z} / {d(24.0)})"
+            for k, a in enumerate("xyz"):
+                axes[a].append(f"m{4 * k} * {x} + m{4 * k + 1} * {y} + m{4 * k + 2} * {z} + m{4 * k + 3}")
+    cols = ", ".join(f"least({', '.join(e)}) - {d(1e-06)} AS {a}0, greatest({', '.join(e)}) + {d(1e-06)} AS {a}1" for a, e in axes.items())
+    return f"""
+dm AS (SELECT seq, max(raw) AS raw FROM px GROUP BY 1 HAVING max(raw) > 0),
+fb AS (SELECT fr.seq, {cols} FROM fr JOIN dm ON dm.seq = fr.seq WHERE has_depth AND has_pose),
+fx AS (SELECT {_ends("")} FROM fb),
+fo AS (SELECT CAST(x AS INTEGER) AS bx, CAST(y AS INTEGER) AS by, CAST(z AS INTEGER) AS bz
+       FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM fx) a, LATERAL (SELECT unnest(range(a.y0, a.y1 + 1)) AS y) b, LATERAL (SELECT unnest(range(a.z0, a.z1 + 1)) AS z) c)"""
+
+
+@query("g4_frame_bounds", scan_with(_pyramid_sql()) + "SELECT seq, x0, x1, y0, y1, z0, z1 FROM fb")
+def g4_frames(s, sf):
+    return expansion.frame_bounds(derived.scan(s, sf), CAMERA, COARSE)
+
+
+@query("g4_frame_box", scan_with(_pyramid_sql()) + "SELECT * FROM fx")
+def g4_box(s, sf):
+    """The box of blocks that some frame may observe, from poses and depths."""
+    return expansion.box_of(expansion.frame_bounds(derived.scan(s, sf), CAMERA, COARSE), COARSE)
+
+
+@query(
+    "f4_free_space_expansion",
+    scan_with(plan_sql(*C), _pyramid_sql(), eval_sql(*C, plan="fo"))
+    + """, ap AS (SELECT DISTINCT bx, by, bz FROM ev WHERE status = 'contributes')
+    SELECT bx, by, bz, max(planned) AS planned, max(approved) AS approved FROM (
+      SELECT bx, by, bz, true AS planned, false AS approved FROM pl UNION ALL SELECT bx, by, bz, false, true FROM ap) GROUP BY 1, 2, 3""",
+)
+def f4_free(s, sf):
+    """Every block that some frame observes, inside of the plan's box or not."""
+    return expansion.expanded(derived.scan(s, sf), blocks(s, sf), CAMERA, COARSE)
+
+
+@query(
+    "f2_pruned_pairs",
+    scan_with(_pyramid_sql(), _corner_sql("fo"), _TILES, _HIDDEN)
+    + f"""SELECT cu.seq, count(*) AS candidates, count(*) FILTER (verdict = 'evaluate') AS in_view,
+    count(*) FILTER (verdict = 'evaluate' AND NOT coalesce(near > depth + {d(0.4)}, false)) AS evaluated
+    FROM cu LEFT JOIN hi ON hi.seq = cu.seq AND hi.bx = cu.bx AND hi.by = cu.by AND hi.bz = cu.bz GROUP BY 1""",
+)
+def f2_pruned(s, sf):
+    """How many pairs of a frame and a candidate block are evaluated without and with the largest depths."""
+    return expansion.pruned(derived.scan(s, sf), CAMERA, COARSE).drop("judged")
+
+
+_ASIDE, _FAR = "sqrt(0.25 / 576.0 + 0.25 / 576.0)", "sqrt(1.0 + (15.5 / 24.0) * (15.5 / 24.0) + (11.5 / 24.0) * (11.5 / 24.0))"
+
+
+@query(
+    "p24_candidate_margin",
+    scan_with(plan_sql(*C))
+    + f""", hb AS (
+      SELECT {", ".join(f"least(min(b{a}) * {d(1.6)}, (SELECT min(m{k}) FROM fr WHERE has_depth AND has_pose)) AS {a}0, greatest((max(b{a}) + 1) * {d(1.6)}, (SELECT max(m{k}) FROM fr WHERE has_depth AND has_pose)) AS {a}1" for a, k in (("x", 3), ("y", 7), ("z", 11)))} FROM pl),
+    hm AS (SELECT *, {d(0.4)} * {_FAR} + (sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) + (z1 - z0) * (z1 - z0)) + {d(0.4)}) * {_ASIDE} AS margin FROM hb)
+    SELECT round(margin, 9) AS margin, {", ".join(f"CAST(floor(({a}0 - margin) / {d(1.6)}) AS BIGINT) AS {a}0, CAST(floor(({a}1 + margin) / {d(1.6)}) AS BIGINT) AS {a}1" for a in "xyz")} FROM hm""",
+)
+def p24(s, sf):
+    """The margin within which observed voxels lie of the plan and the cameras, and the box that it makes."""
+    return expansion.hull_box(blocks(s, sf), derived.frames(s, sf), CAMERA, COARSE).withColumn("margin", F.round("margin", 9))
+
+
 @query(
     "u2_expansion_parts",
     scan_with(plan_sql(*C), _BOX, eval_sql(*C, plan="bo"))

@@ -97,4 +97,4 @@ def g6(s, sf):
 )
 def f3(s, sf):
     covered = feet(s, sf).select("bx", "by", "bz").distinct()
-    return rays.approved(covered, fuse.cross_view(derived.scan(s, sf), covered, CAMERA, COARSE))
+    return fuse.observed_blocks(derived.scan(s, sf), covered, CAMERA, COARSE)
