@@ -90,20 +90,24 @@ h AS (SELECT arg_min(lvl, (fills_at, rk)) AS lvl FROM s4 WHERE lvl <= fills_at),
 s5 AS (SELECT source, rk, source_size, CASE WHEN h.lvl IS NULL THEN cap ELSE least(cap, h.lvl * w) END AS target FROM s4 LEFT JOIN h ON true),
 s6 AS (SELECT *, round(target)::BIGINT AS words FROM s5),
 s7 AS (SELECT *, sum(words) OVER (ORDER BY rk)::BIGINT AS upto, sum(words) OVER ()::BIGINT AS total FROM s6),
-s8 AS (SELECT *, (upto - words) / total::DOUBLE AS lo, upto / total::DOUBLE AS hi, greatest(1, (total + 1048575) // 1048576) AS b FROM s7),
-s9 AS (SELECT *, (source_size + b - 1) // b AS per_pass FROM s8),
-slots AS (SELECT i, i * 1327217885 % 2147483648 / 2147483648::DOUBLE AS u
-          FROM (SELECT unnest(range((SELECT any_value((total + b - 1) // b) FROM s9))) AS i)),
-turns AS (SELECT s9.rk, i, row_number() OVER (PARTITION BY s9.rk ORDER BY i) - 1 AS turn, per_pass
-          FROM slots JOIN s9 ON u >= lo AND u < hi),
-blocks AS (SELECT rk, turn % per_pass AS blk, count(*) AS times, min(i) AS slot FROM turns WHERE turn < 2 * per_pass GROUP BY 1, 2),
-p AS (SELECT d.*, s9.rk, s9.b, s9.source_size, s9.target, row_number() OVER () AS rid,
+s8 AS (SELECT *, (upto - words) / total::DOUBLE AS lo, upto / total::DOUBLE AS hi, greatest(1, (total + 4095) // 4096) AS n FROM s7),
+slots AS (SELECT i, i * 1327217885 % 2147483648 / 2147483648::DOUBLE AS u FROM (SELECT unnest(range((SELECT any_value(n) FROM s8))) AS i)),
+d0 AS (SELECT s8.rk, i FROM slots JOIN s8 ON u >= lo AND u < hi AND words > 0),
+d1 AS (SELECT rk, i FROM d0 UNION ALL
+       SELECT rk, least(n - 1, floor((lo + hi) / 2 * n)::BIGINT) FROM s8 WHERE words > 0 AND rk NOT IN (SELECT rk FROM d0)),
+turns AS (SELECT rk, i, row_number() OVER (PARTITION BY rk ORDER BY i) - 1 AS turn FROM d1),
+s9 AS (SELECT s8.*, words // t AS b, words % t AS odd FROM s8 LEFT JOIN (SELECT rk, count(*) AS t FROM turns GROUP BY 1) USING (rk)),
+ends AS (SELECT rk, i, turn, turn * b + least(turn, odd) AS lo_word, (turn + 1) * b + least(turn + 1, odd) AS hi_word FROM turns JOIN s9 USING (rk)),
+p AS (SELECT d.*, s9.rk, s9.words, s9.b, s9.odd, s9.source_size, s9.target, row_number() OVER () AS rid,
              coalesce(sum(size) OVER (PARTITION BY s9.rk ORDER BY o, doc_id, size
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
       FROM d JOIN s9 ON d.source IS NOT DISTINCT FROM s9.source),
-q AS (SELECT rid, rk, pos, size, b, unnest(range(pos // b, (pos + size - 1) // b + 1)) AS blk FROM p WHERE size > 0),
-t AS (SELECT rid, sum(times * (least(pos + size, (q.blk + 1) * b) - greatest(pos, q.blk * b)))::BIGINT AS taken, min(slot) AS first_slot
-      FROM q JOIN blocks USING (rk, blk) GROUP BY rid)
+q AS (SELECT *, unnest(range((words - 1) // source_size + 1)) * source_size + pos AS x0 FROM p WHERE size > 0 AND words > 0),
+r AS (SELECT *, least(x0 + size, words) AS x1 FROM q WHERE x0 < words),
+e AS (SELECT rid, rk, x0, x1, unnest(range(
+        CASE WHEN x0 < odd * (b + 1) THEN x0 // (b + 1) ELSE odd + (x0 - odd * (b + 1)) // greatest(b, 1) END,
+        CASE WHEN x1 - 1 < odd * (b + 1) THEN (x1 - 1) // (b + 1) ELSE odd + (x1 - 1 - odd * (b + 1)) // greatest(b, 1) END + 1)) AS turn FROM r),
+t AS (SELECT rid, sum(least(x1, hi_word) - greatest(x0, lo_word))::BIGINT AS taken, min(i) AS first_slot FROM e JOIN ends USING (rk, turn) GROUP BY rid)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot FROM p LEFT JOIN t USING (rid)
 """
 

@@ -79,45 +79,63 @@ def test_mixing_meets_targets(docs):
     total = sum(r["size"] for r in rows)
     for rs in by.values():
         assert sum(r["size"] for r in rs) == rs[0].source_size
-        assert abs(sum(r.taken for r in rs) - rs[0].target) <= 4  # blocks of one word
+        assert sum(r.taken for r in rs) == round(rs[0].target)
     assert abs(sum(rs[0].target for rs in by.values()) - 1.5 * total) < 1e-6 * total
     assert sorted(map(tuple, mixing.mix(docs, rows_a_bucket=10).collect()), key=str) == sorted(map(tuple, rows), key=str)
     assert mixing.mix(none_of(docs)).count() == 0
 
 
 def test_mixing_follows_its_schedule(docs):
-    """Against slots drawn one after another, with blocks of many words; another step makes another mix that still meets
-    the targets, a step that is no low-discrepancy sequence does not."""
+    """Against slots drawn one after another; another step makes another mix.  Blocks of all sources are of like size, but
+    not where the step is of no low-discrepancy sequence."""
     texts = [(r.doc_id, r.source, len(words(r.text)), r.text) for r in docs.collect()]
     key = lambda r: hashlib.md5((str(r[0]) if r[0] is not None else hashlib.md5((r[3] or "").encode()).hexdigest()).encode()).hexdigest()
     out = {}
     for step in (mixing.STEP, 889516853, 3):
-        got = mixing.mix(docs, slots=500, step=step).collect()
+        got = mixing.mix(docs, slot_words=50, step=step).collect()
         out[step] = sorted((str(r.doc_id), r["size"], r.taken, r.first_slot) for r in got)
         target = {r.source: r.target for r in got}
         sources = sorted(target, key=lambda x: (x is None, x))
         need = [round(target[x]) for x in sources]
-        block = -(-sum(need) // 500)
+        n = -(-sum(need) // 50)
         order = {x: sorted((r for r in texts if r[1] == x), key=lambda r: (key(r), r[0] or 0, r[2])) for x in sources}
-        stream = {x: [k for k, r in enumerate(order[x]) for _ in range(r[2])] for x in sources}
-        turn, taken, first = collections.Counter(), collections.Counter(), {}
-        for slot in range(-(-sum(need) // block)):
+        drawn = collections.defaultdict(list)
+        for slot in range(n):
             u = slot * step % mixing.PERIOD / mixing.PERIOD
-            k = next(k for k in range(len(need)) if u < sum(need[: k + 1]) / sum(need))
-            x, per = sources[k], -(-len(stream[sources[k]]) // block)
-            if turn[x] < 2 * per:
-                at = turn[x] % per * block
-                for place in stream[x][at : at + block]:
-                    taken[x, place] += 1
-                    first.setdefault((x, place), slot)
-            turn[x] += 1
-        want = sorted((str(r[0]), r[2], taken[x, k], first.get((x, k))) for x in sources for k, r in enumerate(order[x]))
-        assert out[step] == want
-        off = max(abs(sum(taken[x, k] for k in range(len(order[x]))) - target[x]) for x in sources)
-        assert (off > 20 * block) if step == 3 else (off <= 5 * block)
+            drawn[next(k for k in range(len(need)) if u < sum(need[: k + 1]) / sum(need))].append(slot)
+        for k in range(len(need)):
+            if need[k] and not drawn[k]:
+                drawn[k] = [min(n - 1, int((sum(need[:k]) / sum(need) + sum(need[: k + 1]) / sum(need)) / 2 * n))]
+        taken, first, sizes = collections.Counter(), {}, []
+        for k, x in enumerate(sources):
+            stream = [p for p, r in enumerate(order[x]) for _ in range(r[2])]
+            dealt = iter((stream * 2)[: need[k]])
+            for t, slot in enumerate(drawn[k]):
+                sizes.append(need[k] // len(drawn[k]) + (t < need[k] % len(drawn[k])))
+                for p in itertools.islice(dealt, sizes[-1]):
+                    taken[x, p] += 1
+                    first.setdefault((x, p), slot)
+            assert next(dealt, None) is None
+        assert out[step] == sorted((str(r[0]), r[2], taken[x, p], first.get((x, p))) for x in sources for p, r in enumerate(order[x]))
+        assert (max(sizes) > 2 * min(sizes)) if step == 3 else (max(sizes) <= 1.5 * min(sizes))
     assert len(set(map(str, out.values()))) == 3
 
 
+def test_mixing_meets_targets_of_sources_of_every_size(spark):
+    """From one word to hundreds of thousands, far below and above a slot; no turn is lost and none is too large."""
+    sizes = [1, 1, 2, 7, 50, 100, 100, 100, 3000, 400_000]
+    rows = [(100 * k + j, f"s{k:02}", " ".join(["w"] * (n // 4 + (j < n % 4)))) for k, n in enumerate(sizes) for j in range(4)] + [(9999, "empty", "")]
+    for slot_words in (4096, 500, 200_000):
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), slot_words=slot_words).collect()
+        by = collections.defaultdict(list)
+        for r in got:
+            by[r.source].append(r)
+        assert len(got) == len(rows)
+        for rs in by.values():
+            assert sum(r.taken for r in rs) == round(rs[0].target) and all(r.taken <= 2 * r["size"] for r in rs)
+            assert all((r.taken > 0) == (r.first_slot is not None) for r in rs)
+
+
 def test_fingerprints_estimate_resemblance(docs):
     d = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r.doc_id: r for r in fingerprint.compare_with_edits(d).collect()}
