@@ -41,6 +41,11 @@ DROPPED_NAMES = frozenset(
     "complementary contentinfo search dialog".split()
 )
 MAIN_NAMES = frozenset("main article content post entry story".split())
+#: Words that say where or how large a thing is, not what it is.
+PLACE_WORDS = frozenset(
+    "site page main top bottom left right side inner outer upper lower global primary secondary sub box block wrap wrapper container list links link item items "
+    "section area bar slot unit group row col column head body form area list the of js is".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT_WHOLE = frozenset("html body article main".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
@@ -49,12 +54,17 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>|[^<]++|<", re.S
 )
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: An attribute's whole name and its value, if any; attributes are read one after another.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
 DEPTH = 120
 #: Distinct pages of a host from which on a text that they all have is the template's: the first comparison tells it.
 DISTINCT = 2
+#: Texts that all pages of a host have are the template's only if they are no more than this share of the pages' text.
+SHARE = 0.6
 #: A repeated item whose text lies in links to at least this share is a menu.
 LINKS = 0.9
+#: Hosts whose wrappers a task holds at most; it passes on those it has not met for longest, and they are folded later.
+HOSTS = 1000
 #: Lists of children that have no unique item in common are aligned by a table of at most so many cells.
 CELLS = 250_000
 
@@ -125,10 +135,12 @@ def _name(attrs: str) -> str | None:
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id", "role"):
             parts.append(re.sub(r"\d+", "", value))
-        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or key in ("hidden", "aria-hidden") and value.lower() != "false":
+        elif (
+            key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)
+            or key == "hidden"
+            or key == "aria-hidden" and value and value.lower() != "false"
+        ):
             parts.append("~hidden")
-    if re.search(r"(?:^|\s)hidden(?:\s|/|$)", attrs):
-        parts.append("~hidden")
     return " ".join(parts) or None
 
 
@@ -273,12 +285,12 @@ def expression(w: list) -> str:
     return f"({inner}){mark}" if w[0] == "()" else f"<{w[0]}>{(' ' + inner + ' ') if inner else ''}</{w[0].split(' ')[0]}>{mark}"
 
 
-# --- what a host's places hold: path -> [pages, characters, a hash of the text, whether it differs, characters in links]
+# --- what a host's places hold: path -> [pages, characters, characters in links, the texts that all pages have there, as hash -> characters]
 
 
-def places(node: list, path: str, out: dict) -> int:
-    """Adds each element's own text to out by path; returns the characters below."""
-    own, below, links = [], 0, 0
+def places(node: list, path: str, out: dict) -> None:
+    """Adds each element's own text to out by path."""
+    own, links = [], 0
     for c in node[2]:
         if isinstance(c, str):
             own.append(c)
@@ -286,12 +298,22 @@ def places(node: list, path: str, out: dict) -> int:
             own.append(_inline(c))
             links += len(" ".join(_linked(c).split()))
         elif c[0] not in DROPPED:
-            below += places(c, f"{path}/{key_of(c)}", out)
+            places(c, f"{path}/{key_of(c)}", out)
     text = " ".join("".join(own).split())
     if text:
-        pages, chars, h, differs, linked = out.get(path, (1, 0, None, False, 0))
-        out[path] = (1, chars + len(text), text if h is None else hash_text(f"{h}\0{text}"), differs or h is not None, linked + min(links, len(text)))
-    return below + len(text)
+        _, chars, linked, texts = out.get(path, (1, 0, 0, {}))
+        if is_plain(node[0]):
+            texts[hash_text(text)] = len(text)
+        out[path] = (1, chars + len(text), linked + min(links, len(text)), texts)
+
+
+def is_plain(tag: str) -> bool:
+    """Whether a template's text may stand in such an element: headings and paragraphs are always the page's own."""
+    return tag not in HEADINGS and tag not in ("p", "body")
+
+
+def own_text(node: list) -> str:
+    return " ".join("".join(c if isinstance(c, str) else _inline(c) for c in node[2] if isinstance(c, str) or c[0] in INLINE).split())
 
 
 def _inline(node: list) -> str:
@@ -304,36 +326,54 @@ def _linked(node: list) -> str:
 
 
 def add_places(total: dict, new: dict) -> None:
-    for path, (pages, chars, h, differs, links) in new.items():
+    for path, (pages, chars, links, texts) in new.items():
         if path in total:
-            p, c, g, d, n = total[path]
-            total[path] = (p + pages, c + chars, g, d or differs or g != h, n + links)
+            p, c, n, t = total[path]
+            total[path] = (p + pages, c + chars, n + links, {h: k for h, k in t.items() if h in texts})
         else:
-            total[path] = (pages, chars, h, differs, links)
+            total[path] = (pages, chars, links, texts)
+
+
+def words_of_name(name: str) -> set[str]:
+    return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())) - {""}
 
 
 def names_of(key: str) -> set[str]:
-    return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", key.partition(" ")[2]).lower()))
+    return words_of_name(key.partition(" ")[2])
+
+
+def is_named_aside(key: str) -> bool:
+    """Whether one of an element's names says as a whole that it is no main text (`site-footer`, `post-comments`, but not
+    `comment-policy-free`), and none that it is (`story`)."""
+    names = [words_of_name(x) for x in key.partition(" ")[2].split()]
+    if any(x & MAIN_NAMES and x <= MAIN_NAMES | PLACE_WORDS for x in names):
+        return False
+    return any(x & DROPPED_NAMES and x <= DROPPED_NAMES | PLACE_WORDS | MAIN_NAMES for x in names)
 
 
 def is_dropped(key: str) -> bool:
     tag = key.partition(" ")[0]
     if tag in DROPPED or "~hidden" in key:
         return True
-    return tag not in KEPT_WHOLE and " " in key and bool(names_of(key) & DROPPED_NAMES)
+    return tag not in KEPT_WHOLE and " " in key and is_named_aside(key)
 
 
 def rules_of(wrapper: list, total: dict, pages: int, distinct: int) -> dict:
-    """roots: the places whose text may be main, ranks: how they rank; dropped: places in them that are part of the template.
+    """roots: the places whose text may be main, ranks: how they rank; dropped: places in them that are menus; constant: by
+    place the texts, as hashes, that are the template's.
 
     Main are article and main elements, or else elements of such names, or else the body, or else all; which of them is
-    for each page to say, as the pages of a host need not share a template.  Outside of article and main elements the slots
-    of the wrapper tell what is the template's, but for headings and paragraphs: a single slot that holds the same text on
-    all pages, if any two of them differ at all, and the slots of repeated items and groups that hold little but links.
-    Elements below a slot are judged on their own.
+    for each page to say, as the pages of a host need not share a template.  The slots of the wrapper tell what is the
+    template's, but for headings and paragraphs: the slots of repeated items and groups that hold little but links, wherever
+    they are; and outside of article and main elements the texts that all pages have at a place that does not repeat, if any two pages
+    differ at all and these texts are no more than a SHARE of what pages hold, as copies of one article differ in little
+    but their menus.  Elements below a slot are judged on their own.
     """
     found: list[tuple[int, str]] = []
     dropped: list[str] = []
+    constant: dict[str, list[str]] = {}
+    whole = sum(chars for path, (_, chars, *_) in total.items() if not any(is_dropped(k) for k in path.split("/")))
+    repeated: set[str] = set()
 
     def walk(w: list, path: str, many: bool, inside: bool) -> None:
         if w[0] == "()":
@@ -347,23 +387,27 @@ def rules_of(wrapper: list, total: dict, pages: int, distinct: int) -> dict:
         rank = 0 if tag == "article" else 1 if tag == "main" or "main" in names_of(w[0]) else 2 if names_of(w[0]) & MAIN_NAMES else 3 if tag == "body" else 9
         if rank < 9:
             found.append((rank, here))
-        seen, chars, _, differs, links = total.get(here, (0, 0, None, True, 0))
+        seen, chars, links, texts = total.get(here, (0, 0, 0, {}))
         many, inside = many or bool(w[2]), inside or rank < 2
-        plain = not inside and tag not in HEADINGS and tag not in ("p", "body")
-        constant = not differs and not many and distinct >= DISTINCT and seen == pages
-        if plain and (constant or many and chars and links >= LINKS * chars):
+        if is_plain(tag) and many and chars and links >= LINKS * chars:
             dropped.append(here)
+        elif many:
+            repeated.add(here)
+        elif texts and not inside and seen == pages and distinct >= DISTINCT:
+            constant[here] = sorted(texts)
         for c in w[3]:
             walk(c, here, many, inside)
 
     walk(wrapper, "", False, False)
     ranks = {path: rank for rank, path in found} | {"#root": 9}
-    return {"roots": sorted(ranks), "ranks": ranks, "dropped": sorted(set(dropped))}
+    constant = {k: v for k, v in constant.items() if k not in repeated}
+    same = pages * sum(sum(total[k][3].values()) for k in constant)
+    return {"roots": sorted(ranks), "ranks": ranks, "dropped": sorted(set(dropped)), "constant": constant if same <= SHARE * whole else {}}
 
 
 def is_skipped(node: list) -> bool:
     """Whether an inline element's text is left out."""
-    return "~hidden" in key_of(node) or bool(node[1] and names_of(key_of(node)) & DROPPED_NAMES and node[0] != "a")
+    return "~hidden" in key_of(node) or bool(node[1] and node[0] != "a" and is_named_aside(key_of(node)))
 
 
 def roots_of(tree: list, rules: dict) -> set[str]:
@@ -389,9 +433,15 @@ def roots_of(tree: list, rules: dict) -> set[str]:
 
 
 def main_text(page: str, rules: dict) -> str:
-    """The blocks of a page's main text, joined by two line feeds."""
+    """The blocks of a page's main text, joined by two line feeds.  A page that would be left with nothing keeps the slots
+    that its host drops."""
     tree = parse(page)
-    roots, dropped = roots_of(tree, rules), set(rules["dropped"])
+    roots = roots_of(tree, rules)
+    dropped, constant = set(rules["dropped"]), {k: set(v) for k, v in rules.get("constant", {}).items()}
+    return _main_text(tree, roots, dropped, constant) or (_main_text(tree, roots, set(), {}) if dropped or constant else "")
+
+
+def _main_text(tree: list, roots: set[str], dropped: set[str], constant: dict[str, set[str]]) -> str:
     blocks: list[str] = []
     current: list[str] = []
 
@@ -427,7 +477,8 @@ def main_text(page: str, rules: dict) -> str:
                 only = False
             if inner:
                 flush()
-            read(c, here, inner, only, here in dropped)
+            mute = here in dropped or here in constant and hash_text(own_text(c)) in constant[here]
+            read(c, here, inner, only, mute)
             if inner:
                 flush()
 
@@ -455,9 +506,9 @@ class Host:
             self.wrapper = w if self.wrapper is None else merged(self.wrapper, w)
         own: dict = {}
         places(tree, "#root", own)
-        add_places(self.places, {k: (a, b, hash_text(h), d, n) for k, (a, b, h, d, n) in own.items()})
+        add_places(self.places, own)
         self.pages += 1
-        self.know([hash_text(json.dumps(own))])
+        self.know([hash_text(text)])
 
     def know(self, hashes: Iterable[str]) -> None:
         """Keeps the smallest hashes of the pages' texts, as many as tell whether DISTINCT pages are distinct."""
@@ -487,11 +538,16 @@ def wrappers(pages: DataFrame, salts: int = 32, written_out: bool = True) -> Dat
         from pyspark import TaskContext
 
         hosts: dict[str, Host] = {}
+        salt = TaskContext.get().partitionId() % salts
         for pdf in batches:
             for host, text in zip(pdf.host, pdf.html):
-                hosts.setdefault(host, Host()).page(text)
+                h = hosts.pop(host, None) or Host()
+                h.page(text)
+                hosts[host] = h  # the last one met is the last one kept
+                if len(hosts) > HOSTS:
+                    some = list(hosts)[: HOSTS // 2]
+                    yield pd.DataFrame([hosts.pop(x).row(x, salt) for x in some])
         if hosts:
-            salt = TaskContext.get().partitionId() % salts
             yield pd.DataFrame([h.row(host, salt) for host, h in hosts.items()])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:

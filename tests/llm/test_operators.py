@@ -623,7 +623,55 @@ def test_html_slots_tell_menus_and_templates(spark):
     got = {x.page_id: x.text for x in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for k in range(3):
         assert got[k] == f"Text {k} with one link\n\npoint x and more words {k}\n\ntwo"
-        assert got[100 + k] == f"News\n\nSport {k}\n\nMore\n\nkept {k}"
+        assert got[100 + k] == f"kept {k}"  # a menu is none of the article's text, wherever it stands
+
+
+def texts_of(spark, rows):
+    return {x.page_id: x.text for x in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_copies_with_different_menus_keep_their_article(spark):
+    body = "<div>" + "The same article, word for word. " * 20 + "</div>"
+    rows = [(k, f"http://h/{k}", f"<body><div>Menu {k} of this page</div>{body}</body>") for k in range(2)] + [(9, "http://alone/", f"<body><div>Menu</div>{body}</body>")]
+    got = texts_of(spark, rows)
+    want = " ".join(["The same article, word for word."] * 20)
+    assert all(got[k].endswith(want) for k in (0, 1, 9))
+
+
+def test_html_names_are_read_as_a_whole(spark):
+    kept = ["data-grid='search'", "data-uid='comment-12'", "data-class=ad", "class='comment-policy-free story'", "class='content no-comments'", "id='ad-hoc'", "class='story widget'", "data-hidden='true'", "title='x hidden y'", "class=menus-of-the-world"]
+    gone = ["class='ad'", "class='site-footer'", "id=comments", "class='postComments'", "role=navigation", "class='cookie-banner x'", "hidden", "aria-hidden='true'", "style='display: none'", "class='ad-slot-3'"]
+    page = lambda a: f"<body><article><p>before</p><div {a}><p>the text</p></div><p>after</p></article></body>"
+    rows = [(k, f"http://h{k}/", page(a)) for k, a in enumerate([*kept, *gone])]
+    rows += [(100 + k, f"http://g{k}/", f"<body><div {a}><p>the text</p></div></body>") for k, a in enumerate(kept)]
+    got = texts_of(spark, rows)
+    for k in range(len(kept)):
+        assert got[k] == "before\n\nthe text\n\nafter" and got[100 + k] == "the text", kept[k]
+    for k in range(len(kept), len(rows) - len(kept)):
+        assert got[k] == "before\n\nafter", rows[k]
+
+
+def test_html_of_generated_hosts(spark):
+    """Pages made of known parts: what an article holds comes back, block by block, and nothing else; with article elements, with
+    main ones, with names, and with plain ones whose menus and footers only the host's other pages tell."""
+    r = random.Random(17)
+    said = lambda n: " ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(n))
+    rows, want = [], {}
+    for h in range(24):
+        kind = h % 4
+        links = [said(1) for _ in range(5)]
+        foot, brand = said(4), said(3)
+        for k in range(5):
+            blocks = [(r.choice(["p", "p", "h2", "blockquote"]), said(r.randrange(8, 40))) for _ in range(r.randrange(3, 9))]
+            inner = "".join(f"<{t}>{x}</{t}>" if r.random() < 0.8 else f"<{t}>\n {x.replace(' ', '  ', 1)}<!-- note --></{t}>" for t, x in blocks)
+            menu = "".join(f"<li><a href=/{k}>{x}</a></li>" for x in links + [said(1)])
+            opened, closed = [("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post-body'>", "</div>"), ("<section>", "</section>")][kind]
+            top = f"<div>{brand}</div><ul>{menu}</ul>" if kind == 3 else f"<header>{brand}</header><nav><ul>{menu}</ul></nav>"
+            end = f"<div>{foot}</div>" if kind == 3 else f"<footer>{foot}</footer><div class='comments'><p>{said(20)}</p></div>"
+            i = 100 * h + k
+            rows.append((i, f"http://host{h}.example/{k}", f"<html><head><title>{said(3)}</title></head><body>{top}{opened}{inner}{closed}{end}<script>x</script></body></html>"))
+            want[i] = "\n\n".join(x for _, x in blocks)
+    assert texts_of(spark, rows) == want
 
 
 def test_lists_of_children_are_aligned_in_bounds():
