@@ -253,10 +253,10 @@ class Exchange:
             there = found.where("pid >= 0").select(F.col("unit").alias("range"), "family", F.col("pid").alias("group"), "bucket", "counts")
             both = asked.withColumn("range", F.col("bucket")).groupBy("range", "family", "group").cogroup(there.groupBy("range", "family", "group"))
             answers = both.applyInArrow(back, REPLY).unionByName(found.where("pid < 0"))
-        # a few partitions' answers a file, in their order, and the totals in one of their own; small row groups, so that a
-        # reader skips what is not its own
+        # the answers of a few partitions a file, of 64 at the most, in their order, and the totals in one of their own; small
+        # row groups, so that a reader skips what is not its own
         parts = self.docs._jdf.queryExecution().toRdd().getNumPartitions()
-        n = max(1, min(1024, -(-parts // 4)))
+        n = max(1, min(1024, -(-parts // 4)), -(-parts // 64))
         place = F.when(F.col("pid") < 0, n).otherwise(F.shiftright("pid", 1) % n).cast("int")
         answers = answers.repartitionById(n + 1, place).sortWithinPartitions("pid", "unit", "family", "bucket")
         answers.write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(self.path)

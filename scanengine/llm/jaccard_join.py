@@ -24,7 +24,7 @@ from scanengine.llm.exchange import Exchange, Families, stable
 from scanengine.llm.shared import row_key, without, written
 
 _U = np.uint64
-#: Width of the hashes by which documents are counted; their own hashes keep 52 bits beside a count of 11.
+#: Width of the hashes by which documents are counted; their own hashes keep 52 bits beside a grade of 11.
 KEY_BITS = 44
 MEMBER = "doc_id long, n_shingles long, node long, prefix int, common int, keys array<long>, key long"
 
@@ -50,6 +50,13 @@ def _firsts(nodes: np.ndarray) -> np.ndarray:
     return out & (nodes != 0)
 
 
+def grade(df: np.ndarray) -> np.ndarray:
+    """A number of documents in 11 bits that rises with it: itself below 1024, then 32 steps to each doubling, up to 2^41."""
+    e = np.frexp(np.maximum(df, _U(1)).astype(np.float64))[1] - 1
+    above = 1024 + (e - 10) * 32 + ((df >> np.maximum(e - 5, 0).astype(np.uint64)) & _U(31)).astype(np.int64)
+    return np.minimum(np.where(df < 1024, df.astype(np.int64), above), 2047).astype(np.uint64)
+
+
 def members(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """A row a document: its set's size and node; and for documents that may have links, the length of their prefix and
     their shared shingles in global order."""
@@ -74,7 +81,7 @@ def members(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
         prefix = (n - need + 1) - (n - n_shared)
         hopeful = first & (prefix > 0)
         keep = shared & hopeful[doc]
-        rank = (np.minimum(df[keep], _U(2047)) << _U(52)) | (sets.hashes[keep] >> _U(12))
+        rank = (grade(df[keep]) << _U(52)) | (sets.hashes[keep] >> _U(12))
         order = np.lexsort((rank, doc[keep]))
         sizes = np.where(hopeful, n_shared, 0)
         # how common a document's shingles are: a thousand times their mean binary logarithm of documents

@@ -674,6 +674,17 @@ def test_html_of_generated_hosts(spark):
     assert texts_of(spark, rows) == want
 
 
+def test_shingles_are_ordered_by_documents_at_every_count():
+    n = np.unique(np.concatenate([np.arange(5000), 2 ** np.arange(40), 2 ** np.arange(40) - 1, np.random.default_rng(2).integers(1, 2**40, 5000)])).astype(np.uint64)
+    g = jaccard_join.grade(n).astype(np.int64)
+    assert (np.diff(g) >= 0).all() and g.max() < 2048 and (g[n < 1024] == n[n < 1024]).all()
+    far = n[n >= 1024].astype(np.float64)
+    # counts that differ by more than a thirty-second part have different grades
+    at = np.searchsorted(far, far * 1.07)
+    ok = at < len(far)
+    assert (g[n >= 1024][at[ok]] > g[n >= 1024][ok]).all()
+
+
 def test_lists_of_children_are_aligned_in_bounds():
     r = random.Random(5)
     for _ in range(300):
