@@ -43,6 +43,24 @@ def test_a_scan_finds_its_place_in_a_model(spark):
         placement.dominant_axes(frame(seen[seen[:, 5] == 1]))
 
 
+def test_axes_of_noisy_scenes_and_the_cubes_turns(spark):
+    """Axes from fourth moments under noise, clutter and uneven surfaces; all turns are rotations, and each other's products."""
+    r = np.random.default_rng(4)
+    for weights in ((1, 1, 1), (8, 2, 1), (5, 5, 1)):
+        q = np.linalg.qr(r.normal(size=(3, 3)))[0]
+        q *= np.sign(np.linalg.det(q))
+        n = np.concatenate([np.repeat(q[:, k][None] * s, 200 * w, 0) for k, w in enumerate(weights) for s in (1, -1)] + [r.normal(size=(300, 3))])
+        n += r.normal(size=n.shape) * 0.03
+        n /= np.linalg.norm(n, axis=1, keepdims=True)
+        d = spark.createDataFrame([(k, 0.0, 0.0, 0.0, *map(float, x)) for k, x in enumerate(n)], ORIENTED)
+        axes, shares = placement.dominant_axes(d)
+        assert np.allclose(axes.T @ axes, np.eye(3), atol=1e-9) and np.linalg.det(axes) > 0
+        assert np.abs(axes.T @ q).max(1).min() > 0.999 and list(shares) == sorted(shares, reverse=True)
+    turns = placement.turns()
+    assert len({tuple(t.ravel()) for t in turns}) == 24 and all(np.linalg.det(t) == 1 for t in turns)
+    assert all(any((a @ b == c).all() for c in turns) for a in turns[:6] for b in turns)
+
+
 def test_depth_of_a_plane_has_its_normal(spark):
     cam = g.Camera()
     rows = []
