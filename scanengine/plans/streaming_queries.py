@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanengine.operators import fuse
+from scanengine.operators import fuse, replay
 from scanengine.plans.common import registrar
 from scanengine.plans.fusion_queries import COARSE, blocks
 from scanengine.plans.scan_sql import fused_with, plan_sql, scan_with
 from scanengine.sources import derived
 from scanengine.sources.derived import CAMERA
 from scanengine.sources.scratch import scratch
-from scanengine.streaming import fusion
+from scanengine.plans import stream_queries
+from scanengine.streaming import fusion, windows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -61,3 +62,18 @@ def t10(s, sf):
     e = derived.table(s, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     n = e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
     return n.select("event_type", F.unix_seconds("w.start").alias("start"), "n")
+
+
+@query("t10_stream_windows", stream_queries.SQL["j2_imu_windows"])
+def t10_stream(s, sf):
+    """J2 by streams: frames and samples arrive in files, in the order of time, two files of each stream a batch."""
+    out = scratch(s, "stream-windows")
+    frames = replay.sequenced(stream_queries.stream(s, sf, "view")).select("seq", "ts", "previous")
+    samples = stream_queries.stream(s, sf, "click").select("id", "ts")
+    ends = samples.agg(F.percentile_approx("ts", [0.25, 0.5, 0.75], 1000).alias("q")).first()["q"] or []
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = (F.lit(True) if low is None else F.col("ts") > low) & (F.lit(True) if high is None else F.col("ts") <= high)
+        for name, rows in (("frames", frames), ("samples", samples)):
+            rows.where(part).coalesce(1).write.mode("append").parquet(f"{out}/{name}")
+        windows.run(s, f"{out}/frames", f"{out}/samples", out, 30 * stream_queries.MINUTE, "7 days", "1 day", files=2)
+    return windows.windows(s, out)

@@ -87,3 +87,37 @@ def test_blocks_in_steps_and_expansion_stops_early(spark, scene, tmp_path):
     with pytest.raises(ValueError, match="more than 100"):
         fusion.context(scan, 100)
     assert fusion.context(scan).count() == 10
+
+
+def test_samples_meet_frames_as_both_arrive(spark, tmp_path):
+    """Frames late, samples late, both in between; what comes after the watermark is counted and left out; state is dropped."""
+    from scanengine.streaming import windows
+
+    second = 1_000_000
+    r = __import__("random").Random(5)
+    frames = [(k, 10 * second * (k + 1), 10 * second * k if k else None) for k in range(60)]
+    samples = [(k, r.randrange(-5 * second, 605 * second)) for k in range(2000)] + [(9000, 10 * second), (9001, 10 * second + 1), (9002, 20 * second)]
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    go = lambda: windows.run(spark, f"{tmp_path}/frames", f"{tmp_path}/samples", f"{tmp_path}/out", 7 * second, "30 seconds", "20 seconds")
+    got = lambda: {(x.seq, x.id) for x in windows.windows(spark, f"{tmp_path}/out").collect()}
+
+    def want(some):
+        return {(seq, i) for seq, hi, lo in frames for i, ts in some if (hi - 30 * second if lo is None else lo) < ts <= hi}
+
+    held = []
+    for upto in range(100, 700, 100):
+        now = [x for x in samples if (upto - 100) * second < x[1] <= upto * second or upto == 100 and x[1] <= 0]
+        part = [f for f in frames if (upto - 100) * second < f[1] <= upto * second]
+        held += now
+        # samples before their frames, then frames before their samples
+        for name, rows, schema in (("samples", now, windows.SAMPLES), ("frames", part, windows.FRAMES))[:: 1 if upto % 200 else -1]:
+            write(name, rows or [], schema)
+            if (upto // 100) % 3 == 0 and (tmp_path / "frames").exists() and (tmp_path / "samples").exists():
+                go()
+        state = go()
+        assert got() == want(held) and state["late"] == 0
+    assert state["kept"] < len(samples) / 2
+    count = len(got())
+    write("samples", [(5000, 15 * second)], windows.SAMPLES)  # ten minutes late
+    assert go()["late"] >= 1 and len(got()) == count
+    assert go()["late"] == 0
