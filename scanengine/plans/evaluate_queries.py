@@ -334,6 +334,16 @@ def m14(s, sf):
     return placement.oriented(derived.pixels(s, sf), CAMERA, 1)
 
 
+_MOMENTS = [f"q{i}{j}{k}" for i, j, k in placement.QUARTICS]
+_POWERS = [" * ".join(["nx"] * i + ["ny"] * j + ["nz"] * k) for i, j, k in placement.QUARTICS]
+
+
+@query("a22_normal_moments", f"SELECT {', '.join(f'round(avg({p}), 9) AS {q}' for p, q in zip(_POWERS, _MOMENTS))}, count(*) AS n FROM ({SQL['m14_oriented_depth']}) o")
+def a22_moments(s, sf):
+    """The fourth moments of the scan's normals, from which its dominant axes follow."""
+    return placement.moment_sums(placement.oriented(derived.pixels(s, sf), CAMERA, 1)).select(*[F.round(q, 9).alias(q) for q in _MOMENTS], "n")
+
+
 @query(
     "v18_trajectory_difference",
     scan_with()

@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from scanengine.operators import commit, fuse, proof
+from scanengine.operators import commit, fuse, multiproof, proof
 from scanengine.plans.common import registrar
 from scanengine.plans.fusion_queries import COARSE, blocks, volume
 from scanengine.plans.scan_sql import d, fused_with, plan_sql, scan_with
@@ -101,6 +101,46 @@ def v3_shared(s, sf):
     return commit.shared_proof(commit.tree(some), some.where("idx % 16 < 3").select("idx")).select("level", "idx", F.lower(F.hex("hash")).alias("hash"))
 
 
+def _forest_sql(top: int = 10) -> str:
+    """Trees of a thousand customers each: lv0 to lv10 by tree; sz: their sizes and heights; kn: what follows from the wanted."""
+    out = [
+        "lo AS (SELECT min(c_custkey) AS low FROM customer)",
+        f"lv0 AS (SELECT (c_custkey - low) // 1000 AS tree, (c_custkey - low) % 1000 AS idx, {_leaf('c_custkey || chr(58) || c_name')} AS h FROM customer, lo)",
+    ]
+    for k in range(top):
+        out.append(
+            f"lv{k + 1} AS (SELECT tree, idx // 2 AS idx, CASE WHEN count(*) = 2 THEN sha256('\\x01'::BLOB || unhex(max(CASE WHEN idx % 2 = 0 THEN h END)) || unhex(max(CASE WHEN idx % 2 = 1 THEN h END))) ELSE max(h) END AS h FROM lv{k} GROUP BY 1, 2)"
+        )
+    out += [
+        "sz AS (SELECT tree, count(*) AS n, CAST(ceil(log2(count(*))) AS INTEGER) AS height FROM lv0 GROUP BY 1)",
+        f"wt AS (SELECT l.tree, k AS level, l.idx >> k AS idx, (n + (1 << k) - 1) // (1 << k) AS size FROM lv0 l JOIN sz USING (tree), range({top}) r(k) WHERE l.idx % 16 < 3 AND k < height)",
+        "kn AS (SELECT DISTINCT tree, level, idx, size FROM wt)",
+        "pn AS (SELECT tree, count(*) AS nodes FROM kn WHERE xor(idx, 1) < size AND NOT EXISTS (SELECT 1 FROM kn o WHERE o.tree = kn.tree AND o.level = kn.level AND o.idx = xor(kn.idx, 1)) GROUP BY 1)",
+        "pa AS (SELECT tree, count(*) AS nodes FROM wt WHERE xor(idx, 1) < size GROUP BY 1)",
+    ]
+    return "WITH " + ",\n".join(out)
+
+
+@query(
+    "v12_shared_proofs",
+    _forest_sql()
+    + """ SELECT tree, n, lower(h) AS root, coalesce(pn.nodes, 0) AS proof_nodes, coalesce(pa.nodes, 0) AS path_nodes
+    FROM lv10 JOIN sz USING (tree) LEFT JOIN pn USING (tree) LEFT JOIN pa USING (tree)""",
+)
+def v12_shared(s, sf):
+    """The roots that shared proofs of a fifth of the leaves of many trees lead to, and how large the proofs are beside paths."""
+    every = leaves(s, sf).select(F.floor(F.col("idx") / 1000).cast("long").alias("tree"), (F.col("idx") % 1000).alias("idx"), "data")
+    nodes, n = multiproof.forest(every), multiproof.sizes(every)
+    wanted = every.where("idx % 16 < 3").select("tree", "idx")
+    proof = kept(multiproof.prove(nodes, wanted, n), "proof")
+    asked = nodes.where("level = 0").join(wanted, ["tree", "idx"]).select("tree", "idx", "hash")
+    found = multiproof.check(asked, proof, n).where("problem is null").select("tree", F.lower(F.hex("root")).alias("root"))
+    count = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    size = proof.groupBy("tree").agg(F.count("*").alias("proof_nodes"))
+    paths = multiproof.path_nodes(wanted, n).withColumnRenamed("nodes", "path_nodes")
+    return found.join(n, "tree").join(size, "tree", "left").join(paths, "tree", "left").select("tree", "n", "root", count("proof_nodes"), count("path_nodes"))
+
+
 @query(
     "g13_depth_tiles",
     scan_with(
