@@ -1,7 +1,9 @@
 """Toxicity by logistic regression on hashed words, regularised by counterfactuals.
 
-Where a labelled sentence names a group, the name is swapped for the names of other groups, and the fit is penalised by
-the squared change of the document's score, so that naming a group moves no score by itself.
+Where a labelled text holds an identity term, the term is swapped for others of its kind, and the fit is penalised by the
+squared change of the text's score, so that naming a group moves no score by itself.  Kinds are those of a list of names, and
+what the labelled texts themselves show: common words that are as frequent under either label, and that stand in the same
+company.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from scanengine.llm.labelled import fold, ids_of, label_of, sample, summed
 
 _U = np.uint64
 BINS = 1 << 18
+#: Terms found in the texts: as many at most; in at least this share of the labelled texts; with a chi-squared below this
+#: (one in twenty by chance) their labels say nothing; and with company at least this alike (a cosine) two are of a kind.
+TERMS, COMMON, NEUTRAL, ALIKE = 64, 0.005, 3.84, 0.9
 
 #: Names of groups in English, German, French and Spanish, by kind of group; swaps stay within a kind.
 GROUPS = (
@@ -65,7 +70,7 @@ class Model:
     columns: np.ndarray
     weights: np.ndarray
     bias: float
-    #: how many swaps of group names the fit was penalised for
+    #: how many swaps of terms in labelled texts the fit was penalised for
     swaps: int = 0
 
     def score(self, text: pa.Array) -> np.ndarray:
@@ -74,32 +79,65 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + np.bincount(d, self.weights[c], n))))
 
 
-def counterfactuals(rows: np.ndarray, cols: np.ndarray, column_of: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(from, to) columns of every swap in the labelled documents: each name that a document holds for each other of its kind."""
-    out = []
-    held = set(zip(rows.tolist(), cols.tolist()))
+def neutral_terms(pos: np.ndarray, neg: np.ndarray, gain: np.ndarray) -> list[int]:
+    """The commonest bins whose texts have either label as often as all texts do, at most TERMS."""
+    n = pos + neg
+    texts = n.max(initial=0)
+    ok = np.flatnonzero((gain < NEUTRAL) & (n >= np.maximum(20, COMMON * texts)))
+    return [int(b) for b in ok[np.lexsort((ok, -n[ok]))][:TERMS]]
+
+
+def company(rows: np.ndarray, cols: np.ndarray, terms: np.ndarray, k: int) -> np.ndarray:
+    """For each term, a column, how often the texts that hold it hold each of k columns, less how often any text does."""
+    base = np.bincount(cols, minlength=k) / max(1, len(np.unique(rows)))
+    out = np.zeros((len(terms), k))
+    for t, c in enumerate(terms):
+        mine = np.isin(rows, rows[cols == c])
+        out[t] = np.bincount(cols[mine], minlength=k) / max(1, len(np.unique(rows[mine]))) - base
+    return out
+
+
+def kinds_of(rows: np.ndarray, cols: np.ndarray, terms: list[int], k: int) -> list[tuple[int, int]]:
+    """Pairs of terms, as columns, that stand in the same company, both ways; the two are no company of each other, as terms of
+    a kind stand for one another."""
+    at = np.array(terms, np.int64)
+    if not len(at):
+        return []
+    c = company(rows, cols, at, k)
+    own = c[:, at]
+    both = c @ c.T - np.diag(own)[:, None] * own.T - own * np.diag(own)[None, :]
+    size = (c * c).sum(1)[:, None] - np.diag(own)[:, None] ** 2 - own**2
+    alike = both / np.sqrt(np.maximum(size * size.T, 1e-300))
+    a, b = np.nonzero((alike >= ALIKE) & ~np.eye(len(at), dtype=bool))
+    return list(zip(at[a].tolist(), at[b].tolist()))
+
+
+def counterfactuals(rows: np.ndarray, cols: np.ndarray, column_of: dict[int, int], found: list[tuple[int, int]] | tuple = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(from, to, n): the swaps of columns, and in how many labelled texts each can be made: those that hold the one term and
+    lack the other.  Swaps are of names of one kind, and of the pairs `found`."""
+    pairs = set(found)
     for kind in GROUPS:
         named = [column_of[b] for b in bin_of(list(kind)) if b in column_of]
-        for a in named:
-            for r in np.unique(rows[cols == a]):
-                out += [(a, b) for b in named if b != a and (int(r), b) not in held]
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+        pairs |= {(a, b) for a in named for b in named if a != b}
+    holds = {c: set(rows[cols == c].tolist()) for c in {x for p in pairs for x in p}}
+    out = np.array([(a, b, len(holds[a] - holds[b])) for a, b in sorted(pairs)], np.int64).reshape(-1, 3)
+    out = out[out[:, 2] > 0]
+    return out[:, 0], out[:, 1], out[:, 2]
 
 
 def fit_weights(
-    rows: np.ndarray, cols: np.ndarray, y: np.ndarray, k: int, swaps: tuple[np.ndarray, np.ndarray], l2: float = 0.1, fairness: float = 10.0, steps: int = 400
+    rows: np.ndarray, cols: np.ndarray, y: np.ndarray, k: int, swaps: tuple[np.ndarray, np.ndarray, np.ndarray], l2: float = 0.1, fairness: float = 10.0, steps: int = 400
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the log loss, l2 |w|^2 / 2n, and fairness times the mean squared change under swaps."""
     w, b, n = np.zeros(k), 0.0, max(1, len(y))
     m = np.zeros(k + 1)
     v = np.zeros(k + 1)
-    a, c = swaps
+    a, c, many = swaps
     for t in range(1, steps + 1):
         g = 1 / (1 + np.exp(-(b + np.bincount(rows, w[cols], len(y))))) - y
         grad = np.append((np.bincount(cols, g[rows], k) + l2 * w) / n, g.sum() / n)
         if len(a):
-            change = (w[c] - w[a]) * (2 * fairness / len(a))
+            change = (w[c] - w[a]) * many * (2 * fairness / many.sum())
             grad[:k] += np.bincount(c, change, k) - np.bincount(a, change, k)
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
@@ -109,11 +147,11 @@ def fit_weights(
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, most: int = 40_000, width: int = 2048) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, most: int = 40_000, width: int = 2048, fairness: float = 10.0) -> Model:
     """Fits on about `most` labelled rows outside the held-out fold.
 
-    The `width` hashed words that tell the labels apart best (chi-squared over the labelled rows), and all names of groups,
-    are the model's inputs.  Without labelled rows every score is 0.5.
+    The `width` hashed words that tell the labels apart best (chi-squared over the labelled rows), all names of groups, and
+    the neutral terms are the model's inputs.  Without labelled rows every score is 0.5.
     """
     known = labels.where(fold(parts) != held)
     ids, y = sample(known, label, most)
@@ -137,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4
     gain = np.where(pos + neg >= 3, (pos - expected) ** 2 / np.maximum(expected * (1 - rate), 1e-9), 0)
     names = sorted({b for kind in GROUPS for b in bin_of(list(kind))})
     best = [int(b) for b in np.argsort(-gain, kind="stable")[:width] if gain[b] > 0]
-    inputs = best + [b for b in names if b not in set(best)]
+    neutral = neutral_terms(pos, neg, gain)
+    inputs = best + [b for b in dict.fromkeys([*names, *neutral]) if b not in set(best)]
     columns = np.full(BINS, -1, np.int64)
     columns[inputs] = np.arange(len(inputs))
 
@@ -155,13 +194,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4
     each = [np.frombuffer(x, "<i2") for x in got["columns"]]
     rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
     cols = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
-    swaps = counterfactuals(rows, cols, {b: k for k, b in enumerate(inputs)})
-    weights, bias = fit_weights(rows, cols, got.y.to_numpy(float), len(inputs), swaps)
-    return Model(columns, weights, bias, len(swaps[0]))
+    column_of = {b: k for k, b in enumerate(inputs)}
+    swaps = counterfactuals(rows, cols, column_of, kinds_of(rows, cols, [column_of[b] for b in neutral], len(inputs)))
+    weights, bias = fit_weights(rows, cols, got.y.to_numpy(float), len(inputs), swaps, fairness=fairness)
+    return Model(columns, weights, bias, int(swaps[2].sum()))
 
 
 def score(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, least: float = 0.3, most: int = 40_000) -> DataFrame:
-    """A row a document: doc_id, held_out (its fold is not learned from), score (0 to 1) and predicted (score >= least).
+    """A row a document: doc_id, held_out (its fold is not learned from), score (0 to 1), predicted (score >= least) and swaps
+    (how many swaps of terms the fit was penalised for, the same in each row).
 
     Null and empty texts get the score of a text without known words.  Labels without document or of unknown documents,
     and null labels, teach nothing; of labels that repeat a doc_id the largest counts, and of documents that share a
@@ -175,4 +216,4 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, lea
 
     rows = docs.select("doc_id", (fold(parts) == held).alias("held_out"), "text")
     out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= least).cast("int"))
+    return out.withColumn("predicted", (F.col("score") >= least).cast("int")).withColumn("swaps", F.lit(model.swaps).cast("long"))

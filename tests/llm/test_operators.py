@@ -792,6 +792,76 @@ def test_html_of_long_deep_and_repeated_pages(spark):
     assert len(got) == 10 and by[1] == {"\n\n".join(f"p{k}" for k in range(20_000))} and by[2] == {"deep"} and by[3] == {" ".join(["word"] * 200_000)} and by[4] == {"same\n\nsame"}
 
 
+def test_toxicity_fit_by_plain_loops():
+    """The penalised fit, the swaps and the scores, against loops over rows and terms."""
+    r = random.Random(12)
+    texts = [(" ".join(r.choice(WORDS) for _ in range(12)) + r.choice([" women", " men", " women men", ""]) + (" idiot" if y else ""), y) for y in [int(r.random() < 0.3) for _ in range(80)]]
+    vocabulary = sorted({w for t, _ in texts for w in t.split()})
+    column_of = {toxicity.bin_of([w])[0]: k for k, w in enumerate(vocabulary)}
+    columns = np.full(toxicity.BINS, -1, np.int64)
+    columns[list(column_of)] = list(column_of.values())
+    bins, doc, n = toxicity.word_bins(pa.array([t for t, _ in texts]))
+    rows, cols = toxicity.presence(bins, doc, n, columns)
+    held = [set(t.split()) for t, _ in texts]
+    found = [(vocabulary.index("ka"), vocabulary.index("lo"))]
+    a, b, many = toxicity.counterfactuals(rows, cols, column_of, found)
+    want = {(x, y): sum(x in h and y not in h for h in held) for x, y in [("women", "men"), ("men", "women"), ("ka", "lo")]}
+    assert {(vocabulary[i], vocabulary[j]): k for i, j, k in zip(a, b, many)} == {k: v for k, v in want.items() if v}
+    y = np.array([y for _, y in texts], float)
+    got, bias = toxicity.fit_weights(rows, cols, y, len(vocabulary), (a, b, many), steps=25)
+    w, c, m, v = {x: 0.0 for x in vocabulary}, 0.0, collections.Counter(), collections.Counter()
+    for t in range(1, 26):
+        slope = collections.Counter({x: 0.1 * w[x] / len(texts) for x in vocabulary})
+        for h, label in zip(held, y):
+            off = 1 / (1 + math.exp(-(c + sum(w[x] for x in h)))) - label
+            for x in h:
+                slope[x] += off / len(texts)
+            slope[None] += off / len(texts)
+        for (x, z), k in want.items():
+            for _ in range(k):
+                slope[z] += 20.0 * (w[z] - w[x]) / sum(want.values())
+                slope[x] -= 20.0 * (w[z] - w[x]) / sum(want.values())
+        for x in [*vocabulary, None]:
+            m[x], v[x] = 0.9 * m[x] + 0.1 * slope[x], 0.99 * v[x] + 0.01 * slope[x] ** 2
+            step = 0.1 * (m[x] / (1 - 0.9**t)) / (math.sqrt(v[x] / (1 - 0.99**t)) + 1e-8)
+            if x is None:
+                c -= step
+            else:
+                w[x] -= step
+    assert np.allclose(got, [w[x] for x in vocabulary], atol=1e-6) and abs(bias - c) < 1e-6
+    model = toxicity.Model(columns, got, bias)
+    scores = model.score(pa.array([*[t for t, _ in texts], "", None, "unknown words"]))
+    assert np.allclose(scores, [1 / (1 + math.exp(-(c + sum(w.get(x, 0) for x in h)))) for h in [*held, (), (), ()]], atol=1e-6)
+
+
+def test_toxicity_finds_terms_in_the_texts(spark):
+    """Two groups that no list names, one of which the labelled insults name more often: both are found, as of one kind, and
+    the penalty draws their weights together."""
+    r = random.Random(5)
+    rows, labels = [], []
+    for k in range(3000):
+        toxic = r.random() < 0.25
+        group = "zorbs" if r.random() < (0.53 if toxic else 0.5) else "quems"
+        rows.append((k, " ".join(["the", group, "met", "again", "at", "noon"] + [r.choice(WORDS) + r.choice(WORDS) for _ in range(8)] + (["vermin"] if toxic else []))))
+        labels.append((k, int(toxic)))
+    rows += [(5000 + k, " ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(8))) for k in range(1500)]
+    labels += [(5000 + k, 0 if k % 4 else 1) for k in range(1500)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    weight = lambda m, w: m.weights[m.columns[toxicity.bin_of([w])[0]]]
+    fair, plain = toxicity.fit(docs, known), toxicity.fit(docs, known, fairness=0.0)
+    assert fair.swaps > 1000
+    apart = [abs(weight(m, "zorbs") - weight(m, "quems")) for m in (fair, plain)]
+    assert apart[0] < apart[1] / 2 and weight(fair, "vermin") > 2
+
+
+def test_toxicity_swaps_on_given_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    fair, plain = (toxicity.fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), fairness=f) for f in (10.0, 0.0))
+    texts = pa.array([x.text for x in docs.select("text").limit(300).collect()], pa.string())
+    assert fair.swaps > 0 and np.abs(fair.score(texts) - plain.score(texts)).max() > 1e-3
+
+
 def test_classifiers_on_long_and_repeated_rows(spark):
     r = random.Random(31)
     good = lambda n=40: " ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(n))
