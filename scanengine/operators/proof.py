@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,17 +162,42 @@ def evidence_counts(evidence: DataFrame, cam: g.Camera, side: int = 16) -> DataF
     return n.groupBy(*BLOCK).agg(F.countDistinct("seq").alias("frames"), F.count("*").alias("tiles"), (2 * F.sum("samples")).alias("bytes"), F.sum("samples").alias("samples"))
 
 
+POSES = "seq long, has_pose boolean, has_depth boolean, " + ", ".join(f"m{k} double" for k in range(12))
+
+
+def poses_of(frames: DataFrame) -> DataFrame:
+    """(seq, has_pose, has_depth, m0..m11) as frame leaves (data) state them."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [read_frame(x.as_py()) for x in batch.column(0)]
+            at = [[None if pose is None else float(pose[k]) for _, pose, _ in rows] for k in range(12)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] is not None for r in rows]), pa.array([r[2] is not None for r in rows]), *[pa.array(c, pa.float64()) for c in at]],
+                ["seq", "has_pose", "has_depth", *[f"m{k}" for k in range(12)]],
+            )
+
+    return frames.select("data").mapInArrow(read, POSES)
+
+
+def reads(poses: DataFrame, blocks: DataFrame, cam: g.Camera, grid: g.Grid) -> DataFrame:
+    """(bx, by, bz, seq, m0..m11): the frames that each block is evaluated in, from their poses and the cull alone."""
+    seen = vector.block_verdicts(poses.withColumn("depth", F.array().cast("array<int>")), blocks, cam, grid, only=(views.SEEN,))
+    return seen.drop("code").join(poses.select("seq", *[f"m{k}" for k in range(12)]), "seq")
+
+
 def fused_from_evidence(frames: DataFrame, blocks: DataFrame, tiles: DataFrame, cam: g.Camera, grid: g.Grid, side: int = 16, stride: int = 1) -> DataFrame:
     """(bx, by, bz, sums, weights, problem): each block as its evidence alone determines it.
 
     frames: (seq, data) frame leaves; tiles: (bx, by, bz, seq, tile, data).  Which frames a block reads follows from their
-    poses.  A pixel that a block reads and no tile holds, and a tile that it reads nothing of, is a problem.  Poses, at most
-    some hundred bytes a frame, go to every task; a task holds one block's tiles.
+    poses.  A pixel that a block reads and no tile holds, and a tile that it reads nothing of, is a problem.  A block meets
+    the frames that it reads and its tiles, in the order of frames, and no others; a task holds one block's.
     """
-    spark = frames.sparkSession
-    rows = frames.where(F.col("seq") % stride == 0).select("seq", "data").orderBy("seq").toArrow()
-    sent = spark.sparkContext.broadcast([read_frame(x.as_py()) for x in rows["data"]])
     across = tiles_across(cam, side)
+    pairs = reads(poses_of(frames.where(F.col("seq") % stride == 0)), blocks, cam, grid)
+    # a block that no frame reads still has a row
+    asked = pairs.unionByName(blocks.select(*BLOCK).distinct(), allowMissingColumns=True)
+    nothing = np.zeros(cam.width * cam.height, np.int64)
 
     def fused(asked: pa.Table, held: pa.Table) -> pa.Table:
         b = np.array([[asked[c][0].as_py() for c in BLOCK]], np.float64)
@@ -179,11 +205,10 @@ def fused_from_evidence(frames: DataFrame, blocks: DataFrame, tiles: DataFrame,
         by: dict[int, list] = {}
         for seq, tile, data in zip(held["seq"].to_pylist(), held["tile"].to_pylist(), held["data"].to_pylist()):
             by.setdefault(seq, []).append((tile, data))
-        for seq, pose, root in sent.value:
+        asked = asked.filter(pc.is_valid(asked["seq"])).sort_by("seq")
+        at = np.column_stack([asked[f"m{k}"].to_numpy() for k in range(12)])
+        for seq, pose in zip(asked["seq"].to_pylist(), at):
             mine = by.pop(seq, [])
-            if pose is None or root is None or views.judged(b, b, np.array(pose[:12]), cam, grid, None, False)[0]:
-                problem = problem or (f"frame {seq} is not read, but a tile of it is held" if mine else None)
-                continue
             image = np.full((cam.height, cam.width), -2, np.int64)
             for tile, data in mine:
                 y, x = tile // across * side, tile % across * side
@@ -193,8 +218,8 @@ def fused_from_evidence(frames: DataFrame, blocks: DataFrame, tiles: DataFrame,
                     problem = problem or f"a tile of frame {seq} has another size"
                 else:
                     image[y : y + high, x : x + wide] = part.reshape(high, wide)
-            _, u, v, _, _ = vector.voxels_of(b, (seq, np.zeros(cam.width * cam.height, np.int64), np.array(pose[:12])), cam, grid)
-            zc, _, _, raw, sd = vector.voxels_of(b, (seq, image.ravel(), np.array(pose[:12])), cam, grid)
+            _, u, v, _, _ = vector.voxels_of(b, (seq, nothing, pose), cam, grid)
+            _, _, _, raw, sd = vector.voxels_of(b, (seq, image.ravel(), pose), cam, grid)
             if (raw == -2).any():
                 problem = problem or f"frame {seq}: a pixel that the block reads is not held"
             inside = raw != -1
@@ -205,7 +230,7 @@ def fused_from_evidence(frames: DataFrame, blocks: DataFrame, tiles: DataFrame,
             total[hit] += np.minimum(1.0, np.maximum(-1.0, sd[hit] / grid.truncation))
             weight[hit] += 1
         if by:
-            problem = problem or f"frame {min(by)} is not selected, but a tile of it is held"
+            problem = problem or f"frame {min(by)} is not read, but a tile of it is held"
         one = lambda x, kind: pa.array([x], kind)
         return pa.table(
             [*[one(int(b[0, k]), pa.int32()) for k in range(3)], one(total.astype("<f8").tobytes(), pa.binary()), one(weight.astype("<u4").tobytes(), pa.binary()), one(problem, pa.string())],
@@ -213,7 +238,7 @@ def fused_from_evidence(frames: DataFrame, blocks: DataFrame, tiles: DataFrame,
         )
 
     schema = "bx int, by int, bz int, sums binary, weights binary, problem string"
-    return blocks.select(*BLOCK).groupBy(*BLOCK).cogroup(tiles.groupBy(*BLOCK)).applyInArrow(lambda a, t: fused(a, t) if a.num_rows else _nothing(schema), schema)
+    return asked.groupBy(*BLOCK).cogroup(tiles.groupBy(*BLOCK)).applyInArrow(lambda a, t: fused(a, t) if a.num_rows else _nothing(schema), schema)
 
 
 def _nothing(schema: str) -> pa.Table:
@@ -308,9 +333,7 @@ def check_blocks(stated: dict, p: Proof) -> DataFrame:
     own = F.substring("data", 1, n + 12) == F.concat(F.lit(commit.BLOCK_TAG), *[F.unhex(F.concat(*[F.substring(F.lpad(F.hex(F.col(c).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), k, 2) for k in (7, 5, 3, 1)])) for c in BLOCK])
     mapped = p.blocks.withColumn("own", own).join(at_root, "idx").select(*BLOCK, F.col("data").alias("block"), (F.col("own") & (F.col("verdict") == "verified")).alias("mapped"))
     frames = p.frames.where(F.col("seq") % stated["frame_stride"] == 0)
-    poses = [read_frame(r["data"])[1] for r in frames.select("data").toLocalIterator()]
-    rigid = spark.createDataFrame([tuple(q[:12]) for q in poses if q], ", ".join(f"m{k} double" for k in range(12))) if any(poses) else None
-    posed = rigid is None or rigid.where(~g.is_rigid(g.pose())).isEmpty()
+    posed = poses_of(frames).where("has_pose").where(~g.is_rigid(g.pose())).isEmpty()
     again = fused_from_evidence(frames, p.blocks, p.tiles, cam, grid, stated["tile_pixels"])
     bad = _wrong_tiles(p, stated).withColumn("torn", F.lit(True))
     d = mapped.join(bad, BLOCK, "left").join(again, BLOCK)
