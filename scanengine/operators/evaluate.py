@@ -224,6 +224,11 @@ def band_limit(voxel: float, truncation: float) -> float:
     return math.degrees(math.acos(min(1.0, voxel / truncation)))
 
 
+def band_limit_of(voxel: Column, truncation: float) -> Column:
+    """band_limit() of a column of voxel sizes."""
+    return F.degrees(F.acos(F.least(F.lit(1.0), voxel / F.lit(truncation))))
+
+
 def disparity(raw: Column, k: float) -> Column:
     """Disparity of a reading; null where there is none."""
     return F.when(raw > 0, F.lit(k) / raw)

@@ -375,9 +375,11 @@ def a24(s, sf):
     return replay.ordered_digest(px, ["seq", "u", "v", "raw"], "i")
 
 
-@query("p23_band_limit", f"SELECT voxel, round(degrees(acos(least({d(1.0)}, voxel / {d(0.4)}))), 9) AS degrees FROM (VALUES ({d(0.1)}), ({d(0.2)}), ({d(0.4)}), ({d(0.5)})) t(voxel)")
+@query("p23_band_limit", f"SELECT DISTINCT p_size AS centimetres, round(degrees(acos(least({d(1.0)}, p_size * {d(0.01)} / {d(0.4)}))), 9) AS degrees FROM part")
 def p23(s, sf):
-    return s.createDataFrame([(v, round(evaluate.band_limit(v, 0.4), 9)) for v in (0.1, 0.2, 0.4, 0.5)], "voxel double, degrees double")
+    """For voxels of the sizes of parts."""
+    size = table(s, sf, "part").select(F.col("p_size").alias("centimetres")).distinct()
+    return size.select("centimetres", F.round(evaluate.band_limit_of(F.col("centimetres") * F.lit(0.01), 0.4), 9).alias("degrees"))
 
 
 def _normals() -> str:

@@ -327,19 +327,33 @@ def route_columns(s):
     return freespace.swept(freespace.chain(freespace.waypoints(s, ROUTE)), 2)
 
 
-@query("g8_route_chain", "WITH RECURSIVE " + CHAIN + " SELECT leg, step, a::BIGINT AS a, b::BIGINT AS b FROM ch")
+#: A leg for each supplier.
+_LEGS = CHAIN.replace(CHAIN[: CHAIN.index("),\nch(") + 1], """wp AS (SELECT CAST(s_suppkey AS INTEGER) AS leg, CAST(s_suppkey * 7 % 41 - 20 AS INTEGER) AS a0, CAST(s_nationkey AS INTEGER) AS b0,
+  CAST(s_suppkey * 11 % 53 - 26 AS INTEGER) AS a1, CAST(s_suppkey % 17 AS INTEGER) AS b1 FROM supplier)""", 1)
+
+
+def legs(s, sf):
+    k = F.col("s_suppkey")
+    return derived.table(s, sf, "supplier").select(k.cast("int").alias("leg"), (k * 7 % 41 - 20).alias("a0"), F.col("s_nationkey").cast("long").alias("b0"), (k * 11 % 53 - 26).alias("a1"), (k % 17).alias("b1"))
+
+
+def leg_columns(s, sf):
+    return freespace.swept(freespace.chain(legs(s, sf)), 2)
+
+
+@query("g8_route_chain", "WITH RECURSIVE " + _LEGS + " SELECT leg, step, a::BIGINT AS a, b::BIGINT AS b FROM ch")
 def g8(s, sf):
-    return freespace.chain(freespace.waypoints(s, ROUTE))
+    return freespace.chain(legs(s, sf))
 
 
-@query("g9_route_sweep", "WITH RECURSIVE " + CHAIN + " SELECT a::BIGINT AS a, b::BIGINT AS b FROM sw")
+@query("g9_route_sweep", "WITH RECURSIVE " + _LEGS + " SELECT a::BIGINT AS a, b::BIGINT AS b FROM sw")
 def g9(s, sf):
-    return route_columns(s)
+    return leg_columns(s, sf)
 
 
-@query("g10_touched_blocks", "WITH RECURSIVE " + CHAIN + " SELECT DISTINCT a >> 3 AS bx, y AS by, b >> 3 AS bz FROM sw, range(-1, 1) r(y)".replace("a >> 3", "CAST(floor(a / 8.0) AS INT)").replace("b >> 3", "CAST(floor(b / 8.0) AS INT)").replace("y AS by", "CAST(y AS INT) AS by"))
+@query("g10_touched_blocks", "WITH RECURSIVE " + _LEGS + " SELECT DISTINCT CAST(floor(a / 8.0) AS INT) AS bx, CAST(y AS INT) AS by, CAST(floor(b / 8.0) AS INT) AS bz FROM sw, range(-1, 1) r(y)")
 def g10(s, sf):
-    return freespace.touched_blocks(route_columns(s), -1, 1)
+    return freespace.touched_blocks(leg_columns(s, sf), -1, 1)
 
 
 @query(

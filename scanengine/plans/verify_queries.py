@@ -193,15 +193,18 @@ def _le(h: str) -> str:
 
 @query(
     "o4_audit_draw",
-    f"""WITH t AS (SELECT i, lpad(upper(hex(i)), 16, '0') AS hx FROM range(64) r(i)),
+    f"""WITH c AS (SELECT count(*) AS rows, count(*) // 50 + 2 AS many FROM customer),
+    t AS (SELECT i, lpad(upper(hex(i)), 16, '0') AS hx FROM (SELECT unnest(range(64 + 4 * many)) AS i FROM c) r),
     h AS (SELECT i, sha256('{_STEM}'::BLOB || unhex({_le("hx")})) AS s FROM t),
     n AS (SELECT i, CAST('0x' || {_le("s")} AS UBIGINT) AS v FROM h),
-    q AS (SELECT i, CAST(v % 1000 AS BIGINT) AS row FROM n WHERE v < {(1 << 64) // 1000 * 1000}::HUGEINT),
+    q AS (SELECT i, CAST(v % rows AS BIGINT) AS row FROM n, c WHERE v < {1 << 64}::HUGEINT // rows * rows),
     f AS (SELECT row, min(i) AS i FROM q GROUP BY 1)
-    SELECT row, i FROM f ORDER BY i LIMIT 32""",
+    SELECT row, i FROM f ORDER BY i LIMIT (SELECT many FROM c)""",
 )
 def o4(s, sf):
-    return commit.audit_rows(s, _DIGEST, _SEED, 1000, 32)
+    """An audit of one row in fifty of a table."""
+    rows = table(s, sf, "customer").count()
+    return commit.audit_rows(s, _DIGEST, _SEED, rows, rows // 50 + 2)
 
 
 @query(
