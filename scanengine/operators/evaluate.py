@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
@@ -247,8 +247,14 @@ def noise_bands(a: DataFrame, b: DataFrame, width: int, k: float, least: int) ->
     `least` pixels or more."""
     met = a.join(b.select("seq", "u", "v", F.col("raw").alias("other")), ["seq", "u", "v"]).where("raw > 0 and other > 0")
     diff = F.abs(disparity(F.col("other"), k) - disparity(F.col("raw"), k))
-    out = met.groupBy(F.floor(F.col("raw") / width).alias("band")).agg(F.count("*").alias("n"), F.percentile(diff, 0.5).alias("median"))
-    return out.where(F.col("n") >= least)
+    # readings are whole numbers, so a band has few differences beside its pixels; those are counted and ranked, not gathered
+    each = met.groupBy(F.floor(F.col("raw") / width).alias("band"), diff.alias("diff")).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("band").orderBy("diff").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("k").over(Window.partitionBy("band"))
+    ranked = each.select("band", "diff", upto.alias("upto"), total.alias("n")).where(F.col("n") >= least)
+    # the values at the two middle ranks, or twice the one
+    at = [F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1 + k) / 2), F.col("diff"))) for k in (0, 1)]
+    return ranked.groupBy("band", "n").agg((at[0] + (at[1] - at[0]) * F.lit(0.5)).alias("median")).select("band", "n", "median")
 
 
 def quantised(px: DataFrame, k: float) -> DataFrame:
