@@ -39,9 +39,9 @@ def wide_fusion(spark, sf_dir: str) -> dict:
     seen = n * 512 * frames
     box, expand = expansion.candidate_box(scan, cam, grid), {}
     for name, hide in (("wide_expand_unpruned_sec", False), ("wide_expand_sec", True)):
-        began = time.time()
+        start = time.time()
         expand["wide_expand_blocks"] = expansion.observed(scan, cam, grid, hide, box).count()
-        expand[name] = round(time.time() - began, 3)
+        expand[name] = round(time.time() - start, 3)
     return expand | {"wide_frames": frames, "wide_blocks": n, "wide_plan_sec": round(planned - began, 3), "wide_fuse_sec": round(took, 3), "wide_observations": seen, "wide_observations_per_second": round(seen / took)}
 
 
