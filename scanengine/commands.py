@@ -143,7 +143,7 @@ def extract_mesh(spark: SparkSession, path: str, out: str, min_weight: int, min_
     import hashlib
 
     header, v, grid = read_volume(spark, path)
-    k = surface.corners(surface.triangles(surface.cells(surface.samples(v, min_weight))), grid.voxel, ("n", "p"))
+    k = surface.corners(surface.triangles(surface.active_cells(surface.samples(v, min_weight))), grid.voxel, ("n", "p"))
     faces, vertices = mesh.indexed(k)
     problems = {r["problem"]: r["count"] for r in mesh.face_problems(faces, vertices).groupBy("problem").count().collect()}
     faces, vertices = (kept(d, "mesh") for d in mesh.split_pinches(mesh.clean(faces, vertices), vertices))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
+from scanengine.operators import halo
 from scanengine.sources import scratch
 
 #: The corners of the six tetrahedra of a cell; a corner's bits are its x, y and z offsets.
@@ -70,32 +71,23 @@ def locate(points: DataFrame, volume: DataFrame, voxel: float) -> DataFrame:
 def surface_points(v: DataFrame, voxel: float) -> DataFrame:
     """Exact zeros at voxel centres, then strict sign changes to the next voxel along x, y and z.
 
-    (kind, gx, gy, gz, x, y, z): kind 0 for zeros, 1 to 3 for the axes.  Each voxel is sent to the three it precedes, so
-    the neighbour join is one shuffle on whole voxels.
+    (kind, gx, gy, gz, x, y, z): kind 0 for zeros, 1 to 3 for the axes.  Blocks meet the faces of the next ones in one
+    shuffle; only what is on the surface leaves them.
     """
     c = [g.centre(F.col(f"g{a}"), voxel) for a in "xyz"]
-    zeros = v.where("value = 0").select(F.lit(0).alias("kind"), "gx", "gy", "gz", *[x.alias(n) for x, n in zip(c, "xyz")])
-    step = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("kind"), *[F.lit(1 if i == k else 0).alias(a) for i, a in enumerate("xyz")]) for k in range(3)])).alias("s")
-    sent = v.select("gx", "gy", "gz", "value", step)
-    sent = sent.select("s.kind", *[(F.col(f"g{a}") - F.col(f"s.{a}")).alias(f"g{a}") for a in "xyz"], F.col("value").alias("next"))
-    met = v.join(sent, ["gx", "gy", "gz"]).where("value * next < 0")
     alpha = F.col("value") / (F.col("value") - F.col("next"))
     moved = [F.when(F.col("kind") == k + 1, c[k] + alpha * (g.centre(F.col(f"g{a}") + 1, voxel) - c[k])).otherwise(c[k]) for k, a in enumerate("xyz")]
-    return zeros.unionByName(met.select("kind", "gx", "gy", "gz", *[x.alias(n) for x, n in zip(moved, "xyz")]))
+    return halo.crossings(v).select("kind", "gx", "gy", "gz", *[x.alias(n) for x, n in zip(moved, "xyz")])
 
 
 def cells(v: DataFrame) -> DataFrame:
-    """(gx, gy, gz, values) of cells, by their lowest corner, whose eight corners are all known and none is zero.
+    """(gx, gy, gz, known, values) of cells, by their lowest corner, of which a corner is known."""
+    return halo.cells(v)
 
-    Each voxel is sent to the eight cells it is a corner of: one shuffle.
-    """
-    corner = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("corner")
-    sent = v.select("gx", "gy", "gz", "value", corner)
-    bit = {"x": F.col("corner") % 2, "y": F.floor(F.col("corner") / 2) % 2, "z": F.floor(F.col("corner") / 4)}
-    sent = sent.select(*[(F.col(f"g{a}") - bit[a]).alias(f"g{a}") for a in "xyz"], "corner", "value")
-    each = [F.max(F.when(F.col("corner") == k, F.col("value"))).alias(f"v{k}") for k in range(8)]
-    c = sent.groupBy("gx", "gy", "gz").agg(F.count("*").alias("known"), *each)
-    return c.select("gx", "gy", "gz", "known", F.array(*[f"v{k}" for k in range(8)]).alias("values"))
+
+def active_cells(v: DataFrame) -> DataFrame:
+    """Cells whose corners are all known, none of them zero, and differ in sign: those that hold triangles."""
+    return halo.cells(v, True)
 
 
 def cell_report(c: DataFrame) -> DataFrame:

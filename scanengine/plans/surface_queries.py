@@ -125,7 +125,7 @@ hn AS (SELECT a, b, count(*) AS n FROM he GROUP BY 1, 2)""",
 
 
 def mesh_corners(s, sf):
-    return surface.corners(surface.triangles(surface.cells(samples(s, sf))), V)
+    return surface.corners(surface.triangles(surface.active_cells(samples(s, sf))), V)
 
 
 @query("m9_mesh_triangles", base(*MESH) + "SELECT gx, gy, gz, tetra, tri, corner, ex, ey, ez, code, x, y, z FROM kc")
@@ -145,7 +145,7 @@ def m7(s, sf):
     SELECT ex, ey, ez, code, row_number() OVER (ORDER BY gz, gy, gx, tetra, n, p) - 1 AS id FROM vf WHERE r = 1""",
 )
 def w3(s, sf):
-    t = surface.triangles(surface.cells(samples(s, sf)))
+    t = surface.triangles(surface.active_cells(samples(s, sf)))
     return surface.vertex_numbers(surface.corners(t, V, ("n", "p")))
 
 
@@ -183,7 +183,7 @@ ff AS (SELECT row_number() OVER (ORDER BY gz, gy, gx, tetra, tri) - 1 AS face, m
 
 def indexed(s, sf):
     """The indexed mesh, written once an application."""
-    corners = lambda: surface.corners(surface.triangles(surface.cells(samples(s, sf))), V, ("n", "p"))
+    corners = lambda: surface.corners(surface.triangles(surface.active_cells(samples(s, sf))), V, ("n", "p"))
     made = functools.cache(lambda: mesh.indexed(corners()))
     return scratch.once(s, "faces", scan_tables(sf), (), lambda: made()[0]), scratch.once(s, "vertices", scan_tables(sf), (), lambda: made()[1])
 
@@ -278,7 +278,7 @@ _DENSE = "sm AS (SELECT * FROM sm0 WHERE gx BETWEEN -16 AND 15 AND gy BETWEEN -1
 def m6_dense(s, sf):
     """The mesh of a dense box of voxels."""
     v = mesh.dense_samples(volume(s, sf), (-16, -16, 0), (32, 32, 32))
-    return surface.corners(surface.triangles(surface.cells(v)), V)
+    return surface.corners(surface.triangles(surface.active_cells(v)), V)
 
 
 @query(

@@ -213,7 +213,7 @@ def test_pinches_components_and_verdicts(spark):
 
 def test_indexed_meshes_have_dense_numbers(spark):
     rows = [(x, y, z, ((x - 4.1) ** 2 + (y - 4.2) ** 2 + (z - 3.9) ** 2) ** 0.5 - 2.6) for x, y, z in itertools.product(range(9), repeat=3)]
-    k = surface.corners(surface.triangles(surface.cells(spark.createDataFrame(rows, "gx long, gy long, gz long, value double"))), 1.0, ("n", "p"))
+    k = surface.corners(surface.triangles(surface.active_cells(spark.createDataFrame(rows, "gx long, gy long, gz long, value double"))), 1.0, ("n", "p"))
     faces, vertices = mesh.indexed(k)
     f, n = faces.orderBy("face").collect(), vertices.count()
     assert [r.face for r in f] == list(range(len(f))) and sorted(r.id for r in vertices.collect()) == list(range(n))

@@ -180,7 +180,7 @@ def test_registration_finds_a_small_motion(spark):
 def test_mesh_of_a_sphere_is_closed(spark):
     rows = [(x, y, z, math.sqrt((x - 4.1) ** 2 + (y - 4.2) ** 2 + (z - 3.9) ** 2) - 2.6) for x, y, z in itertools.product(range(9), repeat=3)]
     v = spark.createDataFrame(rows, "gx long, gy long, gz long, value double")
-    k = surface.corners(surface.triangles(surface.cells(v)), 1.0).cache()
+    k = surface.corners(surface.triangles(surface.active_cells(v)), 1.0).cache()
     r = surface.edge_report(k).first()
     assert r.boundary == 0 and r.non_manifold == 0 and r.manifold > 0
     n_v, n_f = surface.vertices(k).count(), k.count() // 3
