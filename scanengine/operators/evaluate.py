@@ -9,56 +9,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
-from scanengine.operators import order
+from scanengine.operators import boxtree, order
 from scanengine.sources.scratch import kept
 
 
-def _neighbour_cells(p: DataFrame, size: float, names: tuple[str, str, str]) -> DataFrame:
-    for a, n in zip("xyz", names):
-        p = p.withColumn(f"c{a}", F.explode(F.array(*[F.floor(F.col(n) / F.lit(size)) + k for k in (-1, 0, 1)])))
-    return p
+def point_tree(reference: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """The tree of some points (idx, x, y, z) for nearest_in(); points that lie in one place are one, of the lowest idx."""
+    ref = reference.groupBy("x", "y", "z").agg(F.min("idx").alias("idx"))
+    return boxtree.tree(ref.select("idx", *[F.col(a).alias(f"{e}{a}") for e in "lh" for a in "xyz"]), limit)
 
 
-def nearest(query: DataFrame, reference: DataFrame, limit: float, cell: float | None = None) -> DataFrame:
-    """(id, idx, d2): each query point's nearest reference point within limit, the lowest idx of equals; null if none.
+def nearest_in(query: DataFrame, tree: tuple[DataFrame, DataFrame], limit: float) -> DataFrame:
+    """nearest() in a point_tree() for this limit, which several sets of queries can share."""
+    nodes, placed = tree
+    d = [F.col(a) - F.col(f"l{a}") for a in "xyz"]
+    d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    met = boxtree.leaves_near(query, nodes, limit).join(placed, boxtree.CELL).select("id", F.struct(d2.alias("d2"), "idx").alias("s"))
+    best = met.where(F.col("s.d2") <= limit * limit).groupBy("id").agg(F.min("s").alias("s")).select("id", F.col("s.idx").alias("idx"), F.col("s.d2").alias("d2"))
+    return query.select("id").join(best, "id", "left")
 
-    Points meet in cells: a query is sent to its 27 cells and a hit counts if it is no further than a cell.  Queries left
-    over go on with cells twice as large, until a cell spans the limit; only those are looked at again.
-    """
-    size = min(cell or limit / 4, limit)
-    left, found = query.select("id", "x", "y", "z"), None
-    ref = reference.select("idx", *[F.col(a).alias(f"r{a}") for a in "xyz"])
-    while True:
-        q = _neighbour_cells(left, size, ("x", "y", "z"))
-        r = ref.select("*", *[F.floor(F.col(f"r{a}") / F.lit(size)).alias(f"c{a}") for a in "xyz"])
-        d = [F.col(a) - F.col(f"r{a}") for a in "xyz"]
-        d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-        met = q.join(r, ["cx", "cy", "cz"]).select("id", F.struct(d2.alias("d2"), "idx").alias("s"))
-        best = met.groupBy("id").agg(F.min("s").alias("s")).where(F.col("s.d2") <= min(size, limit) ** 2)
-        best = best.select("id", F.col("s.idx").alias("idx"), F.col("s.d2").alias("d2"))
-        found = best if found is None else found.unionByName(best)
-        if size >= limit:
-            break
-        left = left.join(best.select("id"), "id", "left_anti")
-        size = min(2 * size, limit)
-    return query.select("id").join(found, "id", "left")
+
+def nearest(query: DataFrame, reference: DataFrame, limit: float) -> DataFrame:
+    """(id, idx, d2): each query point's nearest reference point within limit, the lowest idx of equals; null if none,
+    or if the query has no place.  Points are found through a tree whose leaves hold few of them however dense they lie."""
+    return nearest_in(query, point_tree(reference, limit), limit)
 
 
 def triangle_distance(query: DataFrame, tri: DataFrame, reach: float) -> DataFrame:
     """(id, d2): the squared distance to the nearest triangle within reach, null if none.
 
-    tri: face, ax..az, bx.., cx..  A triangle is filed under every cell of its bounding box widened by reach, so each query
-    looks in its own cell alone.
+    tri: face, ax..az, bx.., cx..  Triangles lie in a tree by their boxes, each once, whatever its size.
     """
-    q = query.select("id", "x", "y", "z", *[F.floor(F.col(a) / F.lit(reach)).alias(f"k{a}") for a in "xyz"])
-    t = tri
-    for a in "xyz":
-        ends = [F.col(f"{v}{a}") for v in "abc"]
-        lo, hi = F.floor((F.least(*ends) - F.lit(reach)) / F.lit(reach)), F.floor((F.greatest(*ends) + F.lit(reach)) / F.lit(reach))
-        t = t.withColumn(f"k{a}", F.explode(F.sequence(lo, hi)))
+    corners = [f"{v}{a}" for v in "abc" for a in "xyz"]
+    ends = {a: [F.col(f"{v}{a}") for v in "abc"] for a in "xyz"}
+    boxed = tri.select(*corners, *[F.least(*ends[a]).alias(f"l{a}") for a in "xyz"], *[F.greatest(*ends[a]).alias(f"h{a}") for a in "xyz"])
+    nodes, placed = boxtree.tree(boxed.dropna().dropDuplicates(corners), reach)
     pt = tuple(F.col(a) for a in "xyz")
     a, b, c = (tuple(F.col(f"{v}{x}") for x in "xyz") for v in "abc")
-    met = q.join(t, ["kx", "ky", "kz"]).select("id", g.point_triangle_squared(pt, a, b, c).alias("d2"))
+    # a distance to a triangle may be rounded beyond the bounds of its box: look a little further than reach
+    met = boxtree.leaves_near(query, nodes, reach, room=1e-9).join(placed, boxtree.CELL).select("id", g.point_triangle_squared(pt, a, b, c).alias("d2"))
     best = met.where(F.col("d2") <= reach * reach).groupBy("id").agg(F.min("d2").alias("d2"))
     return query.select("id").join(best, "id", "left")
 
@@ -294,11 +283,11 @@ def register(points: DataFrame, model: DataFrame, gate: float, rounds: int = 12,
     """
     import numpy as np
 
-    pose = np.eye(4)
+    pose, tree = np.eye(4), point_tree(model, gate)
     for _ in range(rounds):
         m = [F.lit(float(x)) for x in pose[:3].ravel()]
         moved = points.select("id", *[c.alias(a) for c, a in zip(g.transform(m, F.col("x"), F.col("y"), F.col("z")), "xyz")])
-        hit = nearest(moved, model, gate).where("idx is not null")
+        hit = nearest_in(moved, tree, gate).where("idx is not null")
         target = model.select("idx", *[F.col(a).alias(f"q{a}") for a in "xyz"], "nx", "ny", "nz")
         t = normal_equations(moved.join(hit, "id").join(target, "idx"))
         a = np.zeros((6, 6))

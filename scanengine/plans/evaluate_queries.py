@@ -40,7 +40,7 @@ def cloud(s, sf, odd: int, name: str):
 
 
 def near(s, sf):
-    return evaluate.nearest(cloud(s, sf, 1, "id"), cloud(s, sf, 0, "idx"), LIMIT, 0.02)
+    return evaluate.nearest(cloud(s, sf, 1, "id"), cloud(s, sf, 0, "idx"), LIMIT)
 
 
 _NEAR = f"""

@@ -134,12 +134,12 @@ def test_route_chain_is_a_line_of_cells(spark):
         assert path == want
 
 
-def test_nearest_by_doubling_equals_brute_force(spark):
+def test_nearest_equals_brute_force(spark):
     r = random.Random(2)
     q = [(k, *[r.uniform(-1, 1) for _ in range(3)]) for k in range(40)]
     p = [(k, *[r.uniform(-1, 1) for _ in range(3)]) for k in range(60)]
     p[7] = (7, *p[3][1:])
-    got = {x.id: (x.idx, x.d2) for x in evaluate.nearest(spark.createDataFrame(q, "id long, x double, y double, z double"), spark.createDataFrame(p, "idx long, x double, y double, z double"), 0.5, 0.1).collect()}
+    got = {x.id: (x.idx, x.d2) for x in evaluate.nearest(spark.createDataFrame(q, "id long, x double, y double, z double"), spark.createDataFrame(p, "idx long, x double, y double, z double"), 0.5).collect()}
     for i, *a in q:
         best = min((sum((x - y) ** 2 for x, y in zip(a, b)), k) for k, *b in p)
         assert got[i] == ((best[1], pytest.approx(best[0])) if best[0] <= 0.25 else (None, None))
