@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanengine.functions import geometry as g
@@ -26,6 +26,8 @@ BLOCK = ["bx", "by", "bz"]
 STATE = "bx int, by int, bz int, sums binary, weights binary"
 #: Every so many batches all blocks' state is written, so that a batch reads few files.
 WHOLE_EVERY = 8
+#: Frames whose digests lie in one folder: a batch reads the folders of the frames that it brings and no others.
+SPAN = 4096
 
 
 class ForeignState(ValueError):
@@ -49,7 +51,7 @@ def identity_of(blocks: DataFrame, cam: g.Camera, grid: g.Grid, more: dict | Non
     if len(rows) > artifacts.MOST_BLOCKS:
         raise ValueError(f"a plan has at most {artifacts.MOST_BLOCKS} blocks")
     digest = hashlib.sha256(repr([tuple(r) for r in rows]).encode()).hexdigest()
-    return {"blocks": digest, "camera": repr(cam), "grid": repr(grid)} | (more or {})
+    return {"blocks": digest, "camera": repr(cam), "grid": repr(grid), "digests": "sha-256"} | (more or {})
 
 
 def progress(spark: SparkSession, folder: str, before: int | None = None) -> dict:
@@ -88,23 +90,37 @@ def _added(state: DataFrame, packed: DataFrame) -> DataFrame:
     return state.groupBy(*BLOCK).cogroup(packed.groupBy(*BLOCK)).applyInArrow(add, STATE)
 
 
+def content_digest() -> Column:
+    """SHA-256 of all that a frame brings to a fusion; fields that are null are not in the text that is hashed."""
+    return F.sha2(F.to_json(F.struct("has_depth", "has_pose", "depth", *[f"m{i}" for i in range(12)])), 256)
+
+
+def recorded_digests(spark: SparkSession, folder: str, spans: list[int], before: int) -> DataFrame:
+    """(seq, digest) of the frames of some spans that batches below `before` brought."""
+    held = set(_listed(spark, f"{folder}/digests")) if spans else set()
+    paths = [f"{folder}/digests/span={k}" for k in spans if f"span={k}" in held]
+    if not paths:
+        return spark.createDataFrame([], "seq long, digest string")
+    rows = spark.read.schema("seq long, digest string, span long, batch long").option("basePath", f"{folder}/digests").parquet(*paths)
+    return rows.where(F.col("batch") < before).select("seq", "digest")
+
+
 def absorb(spark: SparkSession, batch: DataFrame, number: int, blocks: DataFrame, cam: g.Camera, grid: g.Grid, folder: str, most: int | None = None) -> dict:
     """Takes in a batch of frames (at most `most` of them now) and returns the progress after it."""
     if _exists(spark, f"{folder}/progress/{number}.json"):
         return progress(spark, folder, number + 1)
     at = progress(spark, folder, number)
-    content = F.xxhash64("has_depth", "has_pose", "depth", *[f"m{i}" for i in range(12)])
-    new = batch
-    if at["batch"] >= 0:
-        new = new.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/waiting/batch={at['batch']}"))
-    new = kept(new.withColumn("_digest", content), "frames")
-    # what a frame was when it first came, of this batch or an earlier one
-    seen = new.select("seq", "_digest")
-    if at["batch"] >= 0:
-        seen = seen.unionByName(spark.read.schema("seq long, _digest long").parquet(f"{folder}/digests").select("seq", "_digest"))
-    changed = seen.groupBy("seq").agg(F.countDistinct("_digest").alias("n")).where("n > 1").orderBy("seq").limit(1).collect()
+    span = F.floor(F.col("seq") / SPAN)
+    came = kept(batch.withColumn("digest", content_digest()), "frames")
+    # what a frame was when it first came; those that wait were compared when they came
+    spans = [r["span"] for r in came.select(span.alias("span")).distinct().collect()]
+    known = recorded_digests(spark, folder, spans, number)
+    changed = came.select("seq", "digest").unionByName(known).groupBy("seq").agg(F.countDistinct("digest").alias("n")).where("n > 1").orderBy("seq").limit(1).collect()
     if changed:
         raise ForeignState(f"frame {changed[0]['seq']} came again with other contents")
+    new = came.drop("digest")
+    if at["batch"] >= 0:
+        new = new.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/waiting/batch={at['batch']}"))
     left = new.where(F.col("seq") >= at["next_seq"]).dropDuplicates(["seq"])
     # numbers alone, of the frames of one batch and of those that wait
     ahead, upto = sorted(r["seq"] for r in left.select("seq").collect()), at["next_seq"]
@@ -113,10 +129,12 @@ def absorb(spark: SparkSession, batch: DataFrame, number: int, blocks: DataFrame
             break
         upto += 1
     ready = left.where(F.col("seq") < upto)
-    left.where(F.col("seq") >= upto).drop("_digest").write.mode("overwrite").parquet(f"{folder}/waiting/batch={number}")
-    new.select("seq", "_digest").distinct().write.mode("overwrite").parquet(f"{folder}/digests/batch={number}")
+    left.where(F.col("seq") >= upto).write.mode("overwrite").parquet(f"{folder}/waiting/batch={number}")
+    fresh = came.select("seq", "digest").distinct().join(known.select("seq"), "seq", "left_anti")
+    fresh = fresh.select("*", span.alias("span"), F.lit(number).cast("long").alias("batch"))
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("span", "batch").parquet(f"{folder}/digests")
     state = _state(spark, folder, at)
-    changes = _added(state, vector.packed_contributions(ready.drop("_digest"), blocks, cam, grid))
+    changes = _added(state, vector.packed_contributions(ready, blocks, cam, grid))
     whole = number - at["whole"] >= WHOLE_EVERY or at["batch"] < 0
     if whole:
         changes = kept(changes, "changes")

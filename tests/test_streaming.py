@@ -73,6 +73,25 @@ def test_steps_limits_and_repeats_of_a_batch(spark, scene, tmp_path):
         fusion.absorb(spark, scan.where("seq = 2").withColumn("m3", F.lit(9.0)), 2, plan, CAMERA, COARSE, folder)
 
 
+def test_digests_of_the_frames_that_came_are_all_that_is_read(spark, scene, tmp_path, monkeypatch):
+    scan, plan = scene
+    folder = str(tmp_path)
+    monkeypatch.setattr(fusion, "SPAN", 4)
+    for k in range(10):
+        fusion.absorb(spark, scan.where(F.col("seq") == k), k, plan, CAMERA, COARSE, folder)
+    for spans in ([], [0], [1, 2], [7]):
+        files = [f for f in fusion.recorded_digests(spark, folder, spans, 99).inputFiles()]
+        assert {int(f.split("span=")[1].split("/")[0]) for f in files} == set(spans) - {7}
+    assert fusion.recorded_digests(spark, folder, [0, 1, 2], 99).count() == 10
+    assert fusion.recorded_digests(spark, folder, [0, 1, 2], 5).count() == 5
+    # a repeat is recorded once; a change is refused after many batches, in whatever field it is
+    assert fusion.absorb(spark, scan.where("seq in (1, 6)"), 10, plan, CAMERA, COARSE, folder)["next_seq"] == 10
+    assert fusion.recorded_digests(spark, folder, [0, 1, 2], 99).count() == 10
+    for column, value in (("m3", F.lit(9.0)), ("has_pose", F.lit(False)), ("depth", F.transform("depth", lambda x: x + 1))):
+        with pytest.raises(fusion.ForeignState, match="frame 1 came again"):
+            fusion.absorb(spark, scan.where("seq = 1").withColumn(column, value), 11, plan, CAMERA, COARSE, folder)
+
+
 def test_blocks_in_steps_and_expansion_stops_early(spark, scene, tmp_path):
     scan, plan = scene
     left, n = [], plan.count()
