@@ -80,3 +80,37 @@ def test_triangles_of_every_size_in_one_place(spark):
     items = tri.select(*[F.least(*[F.col(f"{v}{a}") for v in "abc"]).alias(f"l{a}") for a in "xyz"], *[F.greatest(*[F.col(f"{v}{a}") for v in "abc"]).alias(f"h{a}") for a in "xyz"])
     nodes, placed = boxtree.tree(items, 0.1)
     assert placed.count() == tri.count() and nodes.select("cls").distinct().count() > 3
+
+
+def rows_written(spark, make):
+    """How many rows stages shuffle or write while make()'s result is collected."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList()
+
+    def told():
+        stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        each = [stages.apply(k) for k in range(stages.size())]
+        return {x.stageId(): x.shuffleWriteRecords() + x.outputRecords() for x in each}
+
+    before = told()
+    got = make().collect()
+    return sum(n for k, n in told().items() if k not in before), got
+
+
+def test_no_pair_of_a_query_and_a_point_is_a_row(spark, clouds):
+    """Neither through the tree nor where all are compared with all are there rows for pairs, or many for each query."""
+    _, _, r, q = clouds
+    n, near = rows_written(spark, lambda: evaluate.nearest(q, r, 0.5))
+    assert n < 15 * (q.count() + r.count())
+    m, every = rows_written(spark, lambda: evaluate.nearest_by_all(q, r, 0.5, slice_rows=1000))
+    assert m < 8 * (q.count() + r.count())
+    assert {(x.id, x.idx, x.d2) for x in near} == {(x.id, x.idx, x.d2) for x in every}
+
+
+def test_large_triangles_in_one_place(spark):
+    """Boxes of large triangles hold most of all points; still no row is made for each pair."""
+    r = random.Random(11)
+    tri = spark.createDataFrame([(k, *[r.gauss(0, 0.12) for _ in range(9)]) for k in range(700)], TRIANGLE).cache()
+    query = spark.createDataFrame([(k, *[r.gauss(0, 0.12) for _ in range(3)]) for k in range(900)], f"id long, {POINT}").cache()
+    n, got = rows_written(spark, lambda: evaluate.triangle_distance(query, tri, 0.1))
+    assert n < 15 * 1600
+    assert {(x.id, x.d2) for x in got} == {(x.id, x.d2) for x in evaluate.triangle_distance_by_all(query, tri, 0.1).collect()}
