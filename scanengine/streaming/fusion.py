@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,23 +72,40 @@ def _state(spark: SparkSession, folder: str, at: dict) -> DataFrame:
 
 
 def _added(state: DataFrame, packed: DataFrame) -> DataFrame:
-    """Blocks' states with packed contributions added, frame by frame; only blocks that get any."""
-
-    def add(before: pa.Table, rows: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return before.slice(0, 0).select([*BLOCK, "sums", "weights"])
-        total, weight = np.zeros(512), np.zeros(512, np.int64)
-        if before.num_rows:
-            total = np.frombuffer(before["sums"][0].as_py(), "<f8").copy()
-            weight = np.frombuffer(before["weights"][0].as_py(), "<i8").copy()
-        for l, d in zip(*(rows.sort_by("seq")[c] for c in ("l", "delta"))):
-            k = np.frombuffer(l.as_py(), "<i2")
-            total[k] += np.frombuffer(d.as_py(), "<f8")  # a voxel comes once a frame
-            weight[k] += 1
-        one = lambda x, kind: pa.array([x], kind)
-        return pa.table([*[rows[c][:1].cast(pa.int32()) for c in BLOCK], one(total.tobytes(), pa.binary()), one(weight.tobytes(), pa.binary())], names=[*BLOCK, "sums", "weights"])
-
-    return state.groupBy(*BLOCK).cogroup(packed.groupBy(*BLOCK)).applyInArrow(add, STATE)
+    """Blocks' states with packed contributions added, frame by frame; only blocks that get any.
+
+    A block's state and then its contributions come one by one, so a task holds one batch of rows and one block's sums,
+    however many frames a batch of the stream brings.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, weight, any_ = None, np.zeros(512), np.zeros(512, np.int64), False
+
+        def row() -> pa.RecordBatch:
+            at = [pa.array([int(x)], pa.int32()) for x in held]
+            return pa.RecordBatch.from_arrays([*at, pa.array([total.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary())], [*BLOCK, "sums", "weights"])
+
+        for batch in batches:
+            b, seq = list(zip(*(batch.column(i).to_numpy().tolist() for i in range(3)))), batch.column(3).to_numpy()
+            for k, at in enumerate(b):
+                if at != held:
+                    if any_:
+                        yield row()
+                    held, total, weight, any_ = at, np.zeros(512), np.zeros(512, np.int64), False
+                if seq[k] < 0:
+                    total = np.frombuffer(batch.column(6)[k].as_py(), "<f8").copy()
+                    weight = np.frombuffer(batch.column(7)[k].as_py(), "<i8").copy()
+                else:
+                    l = np.frombuffer(batch.column(4)[k].as_py(), "<i2")
+                    total[l] += np.frombuffer(batch.column(5)[k].as_py(), "<f8")  # a voxel comes once a frame
+                    weight[l] += 1
+                    any_ = True
+        if any_:
+            yield row()
+
+    first = state.select(*BLOCK, F.lit(-1).cast("long").alias("seq"), "sums", "weights")
+    both = packed.select(*BLOCK, "seq", "l", "delta").unionByName(first, allowMissingColumns=True)
+    return both.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "seq").mapInArrow(add, STATE)
 
 
 def content_digest() -> Column:

@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 from scanengine.operators import replay
+from scanengine.streaming import fusion
 from tests.test_boxtree import rows_written
 
 
@@ -21,3 +24,20 @@ def test_association_lists_no_candidates(spark):
     assert {tuple(x) for x in got} == want
     assert n < 6 * (len(a) + len(b))
     assert {tuple(x) for x in replay.associate(frame(a), frame(b), 900, rows_a_range=100).collect()} == want
+
+
+def test_a_block_of_a_stream_is_added_to_row_by_row(spark):
+    """No task gathers all that a batch adds to a block; sums are made in the order of frames, after the state before."""
+    r = random.Random(3)
+    rows = [(k, k % 2, 0, 0, np.array([5, 7 + k % 3], "<i2").tobytes(), np.array([r.uniform(-1, 1), 0.1], "<f8").tobytes()) for k in range(40)]
+    old = (np.arange(512, dtype="<f8") / 7, np.ones(512, "<i8"))
+    state = spark.createDataFrame([(0, 0, 0, old[0].tobytes(), old[1].tobytes()), (9, 9, 9, old[0].tobytes(), old[1].tobytes())], fusion.STATE)
+    packed = spark.createDataFrame(rows[::-1], "seq long, bx int, by int, bz int, l binary, delta binary").repartition(5)
+    added = fusion._added(state, packed)
+    assert "CoGroup" not in added._jdf.queryExecution().executedPlan().toString()
+    want = {0: [old[0].copy(), old[1].copy()], 1: [np.zeros(512), np.zeros(512, np.int64)]}
+    for _, bx, _, _, l, delta in rows:
+        l = np.frombuffer(l, "<i2")
+        want[bx][0][l] += np.frombuffer(delta, "<f8")
+        want[bx][1][l] += 1
+    assert {(x.bx, x.by, x.bz): (bytes(x.sums), bytes(x.weights)) for x in added.collect()} == {(k, 0, 0): (t.tobytes(), w.tobytes()) for k, (t, w) in want.items()}
