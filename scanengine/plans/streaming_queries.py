@@ -31,7 +31,7 @@ def t1(s, sf):
     plan = s.read.parquet(f"{folder}/plan")
     half = frames.agg(F.floor(F.max("seq") / 2).alias("h")).first()["h"]
     for part in (frames.where(F.col("seq") <= half), frames):
-        part.repartitionByRange("seq").sortWithinPartitions("seq").write.mode("append").parquet(f"{folder}/frames")
+        part.sortWithinPartitions("seq").write.mode("append").parquet(f"{folder}/frames")
         fusion.advance(s, f"{folder}/frames", frames.schema, plan, CAMERA, COARSE, folder)
     return fusion.state_of(s, folder)
 
