@@ -33,9 +33,14 @@ def scan_tables(sf: str) -> list[str]:
     return [f"{sf}/lineitem.parquet"]
 
 
+def scan(s: SparkSession, sf: str) -> DataFrame:
+    """The derived scan, written once an application: what reads it more than once reads the table."""
+    return scratch.once(s, "scan", scan_tables(sf), (), lambda: derived.scan(s, sf))
+
+
 def volume(s: SparkSession, sf: str, grid: g.Grid = COARSE) -> DataFrame:
     """The fused volume, written once an application: what is derived from it reads the table."""
-    return scratch.once(s, "volume", scan_tables(sf), (repr(grid),), lambda: fuse.fuse(derived.scan(s, sf), blocks(s, sf, grid), CAMERA, grid))
+    return scratch.once(s, "volume", scan_tables(sf), (repr(grid),), lambda: fuse.fuse(scan(s, sf), blocks(s, sf, grid), CAMERA, grid))
 
 
 def even_volume(s: SparkSession, sf: str, grid: g.Grid = COARSE) -> DataFrame:

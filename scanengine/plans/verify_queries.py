@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scanengine.operators import commit, fuse, multiproof, proof
 from scanengine.plans.common import registrar
 from scanengine.plans.fusion_queries import COARSE, blocks, volume
+from scanengine.plans.fusion_queries import scan as recorded
 from scanengine.plans.scan_sql import d, fused_with, plan_sql, scan_with
 from scanengine.sources import derived
 from scanengine.sources.derived import CAMERA, table
@@ -233,7 +234,7 @@ SIDE = 8
 
 def world(s, sf):
     """(scan, leaves of a map in which some sums are wrong, its statement)."""
-    scan = derived.scan(s, sf)
+    scan = recorded(s, sf)
     v = volume(s, sf).withColumn("tsdf_sum", F.when((F.col("bx") + F.col("by") + F.col("bz")) % 4 == 0, F.when(F.col("l") % 64 == 0, F.col("tsdf_sum") / 2 + 0.25).otherwise(F.col("tsdf_sum"))).otherwise(F.col("tsdf_sum")))
     leaves = kept(commit.numbered(commit.block_leaves(v)), "leaves")
     frames = kept(proof.frame_leaves(scan, proof.depth_trees(proof.image_tiles(scan, CAMERA, SIDE))), "frame-leaves")

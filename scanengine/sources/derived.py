@@ -6,11 +6,14 @@ angle (0.6, 0.8), so both engines agree on every bit.  Some frames lack a pose o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanengine.functions.batches import whole_runs
 from scanengine.functions.geometry import Camera
 
 CAMERA = Camera()
@@ -62,17 +65,26 @@ def with_poses(seq: DataFrame) -> DataFrame:
 
 
 def depth_images(px: DataFrame, cam: Camera = CAMERA) -> DataFrame:
-    """(seq, depth): a row-major array a frame, 0 where there is no reading.  Readings are put in their places, so a frame
-    costs as much as it has pixels."""
+    """(seq, depth): a row-major array a frame, 0 where there is no reading.  Readings come sorted by frame and are put in
+    their places, so a frame costs as much as it has pixels."""
     size = cam.width * cam.height
-
-    def image(table: pa.Table) -> pa.Table:
-        out = np.zeros(size, np.int32)
-        out[table["i"].to_numpy()] = table["raw"].to_numpy()
-        return pa.table({"seq": table["seq"][:1], "depth": pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(out))})
+    most = max(1, 1_000_000 // size)
+
+    def image(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_runs(batches, ["seq"]):
+            seq, place, raw = (batch[c].to_numpy() for c in ("seq", "i", "raw"))
+            which, first = np.unique(seq, return_index=True)
+            ends = np.append(first, len(seq))
+            for k in range(0, len(which), most):
+                some = slice(ends[k], ends[min(k + most, len(which))])
+                n = len(which[k : k + most])
+                out = np.zeros((n, size), np.int32)
+                out[np.searchsorted(which, seq[some]) - k, place[some]] = raw[some]
+                depth = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(which[k : k + most]), depth], ["seq", "depth"])
 
     at = px.select("seq", (F.col("v") * cam.width + F.col("u")).alias("i"), F.col("raw").cast("int").alias("raw"))
-    return at.groupBy("seq").applyInArrow(image, "seq long, depth array<int>")
+    return at.repartition("seq").sortWithinPartitions("seq").mapInArrow(image, "seq long, depth array<int>")
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:

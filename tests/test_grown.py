@@ -3,8 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from scanengine.operators import evaluate, replay
+from scanengine.functions.batches import whole_runs
+from scanengine.functions.geometry import Grid
+from scanengine.operators import commit, evaluate, proof, replay, vector
+from scanengine.sources.derived import CAMERA, with_poses
 from scanengine.streaming import fusion
 from tests.test_boxtree import rows_written
 
@@ -53,3 +58,74 @@ def test_a_pixel_is_sent_once_to_be_compared_with_its_neighbours(spark):
     n, got = rows_written(spark, lambda: evaluate.smooth(spark.createDataFrame(px, "seq long, u int, v int, raw long"), 20))
     assert {tuple(x) for x in got} == want and want
     assert n < 3 * len(px)
+
+
+def test_runs_are_whole_however_batches_are_cut():
+    """Rows of a block and frame, some without a frame, in batches of one row to all."""
+    rows = [(b, s) for b in range(4) for s in (None, *range(3)) for _ in range(1 + (b + (s or 0)) % 4)]
+    for n in range(1, len(rows) + 1):
+        batches = [pa.RecordBatch.from_pylist([{"b": b, "s": s} for b, s in rows[k : k + n]], pa.schema({"b": pa.int32(), "s": pa.int64()})) for k in range(0, len(rows), n)]
+        out = [[(r["b"], r["s"]) for r in x.to_pylist()] for x in whole_runs(iter(batches), ["b", "s"])]
+        assert [r for x in out for r in x] == rows
+        assert all(a[-1] != b[0] for a, b in zip(out, out[1:]))
+
+
+def _recorded(spark, n: int):
+    r = random.Random(4)
+    images = [(k, [r.choice((0, 900, 1500, 2600, 4000)) for _ in range(CAMERA.width * CAMERA.height)]) for k in range(n)]
+    return with_poses(spark.createDataFrame([(k,) for k, _ in images], "seq long")).join(spark.createDataFrame(images, "seq long, depth array<int>"), "seq")
+
+
+def test_a_block_is_fused_from_its_evidence_as_it_comes(spark):
+    """No task gathers the evidence of a block or of a scan; what is missing, spare or broken is told of its block alone."""
+    grid, side = Grid(0.2, 0.4), 10
+    scan = _recorded(spark, 20).cache()
+    plan = [(x, y, z) for x in (-1, 0) for y in (-1, 0) for z in (0, 1, 2)] + [(0, 0, -9)]
+    blocks = spark.createDataFrame(plan, "bx int, by int, bz int")
+    frames = proof.frame_leaves(scan, proof.depth_trees(proof.image_tiles(scan, CAMERA, side))).cache()
+    tiles = proof.evidence_tiles(scan, blocks, CAMERA, grid, side, True)
+    want = {b: (np.zeros(512), np.zeros(512, np.int64)) for b in plan}
+    for f in scan.where("has_depth and has_pose").orderBy("seq").collect():
+        pose = np.array([f[f"m{k}"] for k in range(12)])
+        for b, (total, weight) in want.items():
+            sd = vector.voxels_of(np.array([b], float), (f.seq, np.array(f.depth), pose), CAMERA, grid)[4]
+            hit = sd >= -grid.truncation
+            total[hit] += np.minimum(1.0, np.maximum(-1.0, sd[hit] / grid.truncation))
+            weight[hit] += 1
+    want = {b: (t.astype("<f8").tobytes(), w.astype("<u4").tobytes()) for b, (t, w) in want.items()}
+    held = [tuple(r) for r in tiles.collect()]
+    assert len({x for x, _ in want.values()}) > 10 and {r[3:5] for r in held} and all(r[5].startswith(commit.TILE_TAG) for r in held)
+    of = lambda b: next(k for k, r in enumerate(held) if r[:3] == b)
+    a, b, c, d, e = (-1, -1, 1), (0, 0, 1), (0, -1, 1), (-1, 0, 1), (0, 0, -9)
+    bad = list(held)
+    bad[of(b)] = bad[of(b)][:5] + (bad[of(b)][5][:-2],)  # another size
+    bad += [c + (10, 0, held[0][5]), c + (None, 0, held[0][5])]  # frames that are not read
+    bad += [d + (held[of(d)][3], k, held[0][5]) for k in (None, -1, 99)] + [e + (0, 0, held[0][5]), (50, 0, 0, 0, 0, held[0][5])]
+    del bad[of(a)]
+    told = {a: "is not held", b: "another size", c: "is not read", d: "another size", e: "is not read"}
+    for batch in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        for rows, wrong in ((held, {}), (bad, told)):
+            found = proof.fused_from_evidence(frames, blocks, spark.createDataFrame(rows[::-1], tiles.schema).repartition(3), CAMERA, grid, side)
+            text = found._jdf.queryExecution().executedPlan().toString()
+            assert "CoGroup" not in text and "FlatMapGroups" not in text
+            got = {(r.bx, r.by, r.bz): r for r in found.collect()}
+            assert set(got) == set(plan)
+            assert {k for k, r in got.items() if r.problem} == set(wrong) and all(x in got[k].problem for k, x in wrong.items())
+            assert all((bytes(r.sums), bytes(r.weights)) == want[k] for k, r in got.items() if k not in (a, b))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_frames_of_a_joined_scan_are_dealt_out(spark):
+    """A join leaves few, small partitions by the frames' numbers; evaluating them needs all cores."""
+    parts = 4 * spark.sparkContext.defaultParallelism
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        dealt = vector.dealt_frames(_recorded(spark, 40))
+        where = dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for k, x in kept.items():
+            spark.conf.set(k, x)
+    assert sum(r["count"] for r in where) > 20 and len(where) > 4
