@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanengine.operators import commit, freespace, fuse, noise, render
+from scanengine.plans import fusion_queries
 from scanengine.plans.common import registrar
 from scanengine.plans.fusion_queries import COARSE, blocks, points
 from scanengine.plans.scan_sql import d, scan_with
@@ -75,7 +76,7 @@ def p20(s, sf):
 @query("v11_v14_verdicts")
 def verdicts(s, sf):
     """A map's blocks proved, an audit of them and a route through them, each to its verdict."""
-    plan, scan = kept(blocks(s, sf), "plan"), derived.scan(s, sf)
+    plan, scan = kept(blocks(s, sf), "plan"), fusion_queries.scan(s, sf)
     vol = kept(fuse.fuse(scan, plan, CAMERA, COARSE), "volume")
     leaves = kept(commit.numbered(commit.block_leaves(vol)).select("idx", "bx", "by", "bz", "data"), "leaves")
     nodes, n = kept(commit.tree(leaves), "nodes"), leaves.count()
